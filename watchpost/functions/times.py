@@ -54,13 +54,17 @@ def ts_type(df: DataFrame, col: str) -> T.DataType:
     return kind
 
 
-def ts_lit(seconds: float, kind: T.DataType) -> Column:
-    """Epoch seconds as a literal of the column's own timestamp type."""
+def ts_sql(seconds: float, kind: T.DataType) -> str:
+    """Epoch seconds as a SQL literal of the column's own timestamp type."""
     micros = int((Decimal(str(seconds)) * 1_000_000).to_integral_value())
     text = (_EPOCH + timedelta(microseconds=micros)).isoformat(sep=" ")
     if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestamp_ntz'{text}'")
-    return F.expr(f"timestamp'{text}Z'")
+        return f"timestamp_ntz'{text}'"
+    return f"timestamp'{text}Z'"
+
+
+def ts_lit(seconds: float, kind: T.DataType) -> Column:
+    return F.expr(ts_sql(seconds, kind))
 
 
 def seconds_to_ts(c: Column, kind: T.DataType) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.checks import whole
-from ..functions.times import require_utc, ts_lit, ts_type
+from ..functions.times import require_utc, ts_sql, ts_type
+from ..session import scratch_root
 from .projections import WEEK_DAYS
 
 HOUR, DAY = 3600, 86_400
@@ -25,97 +24,63 @@ def expand_downtimes(downtimes: DataFrame, horizon_s: float) -> DataFrame:
     months without drifting. Weeks start on Monday. A downtime without recurrence, start or end
     has the one occurrence it states. Adds ``occurrence``, numbered from 0 in the recurrence.
     """
-    spark = downtimes.sparkSession
-    require_utc(spark)
+    require_utc(downtimes.sparkSession)
     kind = ts_type(downtimes, "ts_start")
-    rec = F.col("recurrence")
-    zone = F.coalesce("timezone", F.lit("UTC"))
-    utc = F.lit("UTC")
-
-    def local(c: Column) -> Column:
-        return F.convert_timezone(utc, zone, c.cast("timestamp_ntz"))
-
-    limit = F.least(rec["until"].cast(kind), ts_lit(horizon_s, kind))
-    start, stop = local(F.col("ts_start")), local(limit)
-    repeats = rec["type"].isNotNull() & F.col("ts_start").isNotNull() & F.col("ts_end").isNotNull()
-    period = rec["period"]
-    days = F.greatest(F.date_diff(stop, start), F.lit(0))
-    months = F.greatest(
-        (F.year(stop) - F.year(start)) * 12 + F.month(stop) - F.month(start), F.lit(0)
-    )
-    # an upper bound on the index; occurrences past the limit are filtered below
-    bound = (
-        F.when(~repeats, F.lit(0))
-        .when(rec["type"] == "days", days / period)
-        .when(rec["type"] == "weeks", (days + 7) / (period * 7))
-        .when(rec["type"] == "months", months / period)
-        .otherwise(months / (period * 12))
-    ).cast("int")
-
-    # week days as offsets from Monday; none given means the weekday of the first occurrence
-    own_day = F.weekday(start)
-    listed = F.filter(
-        F.array(*[F.lit(i) for i in range(7)]),
-        lambda i: F.array_contains(
-            rec["week_days"], F.element_at(F.array(*[F.lit(d) for d in WEEK_DAYS]), i + 1)
-        ),
-    )
-    has_days = F.coalesce(F.size(rec["week_days"]) > 0, F.lit(False))
-    offsets = F.when(
-        repeats & (rec["type"] == "weeks"),
-        F.transform(F.when(has_days, listed).otherwise(F.array(own_day)), lambda d: d - own_day),
-    ).otherwise(F.array(F.lit(0)))
-
-    i, shift = F.col("_i"), F.col("_shift")
-    added_days = (
-        F.when(rec["type"] == "days", i * period)
-        .when(rec["type"] == "weeks", i * period * 7 + shift)
-        .otherwise(F.lit(0))
-    )
-    added_months = (
-        F.when(rec["type"] == "months", i * period)
-        .when(rec["type"] == "years", i * period * 12)
-        .otherwise(F.lit(0))
-    )
-    moved = (
-        start
-        + F.make_ym_interval(F.lit(0), added_months)
-        + F.make_dt_interval(added_days)
-    )
-    at = F.when(repeats, F.convert_timezone(zone, utc, moved).cast(kind)).otherwise(
-        F.col("ts_start")
+    ts = kind.simpleString()
+    days = ", ".join(f"'{d}'" for d in WEEK_DAYS)
+    planned = (
+        downtimes.selectExpr(
+            "*",
+            "coalesce(timezone, 'UTC') AS _zone",
+            f"least(CAST(recurrence.until AS {ts}), {ts_sql(horizon_s, kind)}) AS _limit",
+            "IF(ts_start IS NULL OR ts_end IS NULL, 'once', coalesce(recurrence.type, 'once'))"
+            " AS _unit",
+            "coalesce(recurrence.period, 1) AS _period",
+        )
+        .selectExpr(
+            "*",
+            "convert_timezone('UTC', _zone, CAST(ts_start AS timestamp_ntz)) AS _first",
+            "convert_timezone('UTC', _zone, CAST(_limit AS timestamp_ntz)) AS _stop",
+        )
+        .selectExpr(
+            "*",
+            # the highest index that can start before the limit, or one more
+            """CASE _unit WHEN 'once' THEN 0
+                 WHEN 'days' THEN greatest(date_diff(_stop, _first), 0) div _period
+                 WHEN 'weeks' THEN (greatest(date_diff(_stop, _first), 0) + 7) div (7 * _period)
+                 ELSE greatest(12 * (year(_stop) - year(_first)) + month(_stop) - month(_first), 0)
+                      div (_period * IF(_unit = 'years', 12, 1)) END AS _last""",
+            # week days as distances from the first occurrence; none given means its own
+            f"""CASE WHEN _unit = 'weeks' AND size(recurrence.week_days) > 0
+                 THEN transform(filter(sequence(0, 6), d ->
+                        array_contains(recurrence.week_days, array({days})[d])),
+                      d -> d - weekday(_first))
+                 ELSE array(0) END AS _shifts""",
+        )
     )
-    length = F.col("ts_end") - F.col("ts_start")
+    runs = f"""filter(
+        flatten(transform(sequence(0, CAST(_last AS INT)), i -> transform(_shifts, s -> struct(
+          i AS occurrence,
+          IF(_unit = 'once', ts_start, CAST(convert_timezone(_zone, 'UTC', _first
+            + make_ym_interval(0, CASE _unit WHEN 'months' THEN i * _period
+                                  WHEN 'years' THEN 12 * i * _period ELSE 0 END)
+            + make_dt_interval(CASE _unit WHEN 'days' THEN i * _period
+                               WHEN 'weeks' THEN 7 * i * _period + s ELSE 0 END)) AS {ts})
+          ) AS at)))),
+        r -> IF(_unit = 'once', coalesce(r.at < _limit, true), r.at < _limit AND r.at >= ts_start))"""
+    kept = [c for c in downtimes.columns if c not in ("ts_start", "ts_end")]
     return (
-        downtimes.withColumn("_i", F.explode(F.sequence(F.lit(0), bound)))
-        .withColumn("_shift", F.explode(offsets))
-        .withColumns({"_at": at, "_limit": limit})
-        .filter(F.col("_at").isNull() | (F.col("_at") < F.col("_limit")))
-        .filter(~repeats | (F.col("_at") >= F.col("ts_start")))
-        .withColumn("ts_end", F.when(repeats, F.col("_at") + length).otherwise(F.col("ts_end")))
-        .withColumns({"ts_start": F.col("_at"), "occurrence": i})
-        .drop("_i", "_shift", "_at", "_limit")
-    )
-
-
-def _tier(start: Column, end: Column) -> Column:
-    length = end - start
-    cases = [(length <= limit, n) for n, (_, limit) in enumerate(TIERS) if limit]
-    pick = reduce(lambda c, case: c.when(*case), cases[1:], F.when(*cases[0]))
-    return F.when(end.isNull(), F.lit(OPEN)).otherwise(pick.otherwise(F.lit(OPEN - 1)))
-
-
-def _width(tier: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(w).cast("long") for w, _ in TIERS]), tier + 1)
-
-
-def _restriction(downtimes: DataFrame) -> Column:
-    """What an alert must carry besides the scope: its monitor, one of the tags, or nothing."""
-    first_tag = F.get("monitor_tags", F.lit(0))
-    return (
-        F.when(F.col("monitor_id").isNotNull(), F.concat(F.lit("m:"), "monitor_id"))
-        .when(first_tag.isNotNull(), F.concat(F.lit("t:"), first_tag))
-        .otherwise(F.lit("-"))
+        planned.selectExpr("*", f"explode({runs}) AS _run")
+        .selectExpr(
+            *[f"`{c}`" for c in kept],
+            "_run.occurrence AS occurrence",
+            "_run.at AS ts_start",
+            "_run.at + (ts_end - ts_start) AS _moved_end",
+            "ts_end",
+            "_unit",
+        )
+        .withColumn("ts_end", F.expr("IF(_unit = 'once', ts_end, _moved_end)"))
+        .select(*downtimes.columns, "occurrence")
     )
 
 
@@ -124,56 +89,61 @@ def covers(downtimes: DataFrame) -> DataFrame:
 
     Clipping makes all downtimes that span a whole bin equal, and of those starting together
     only the last to end matters, so a bin of one scope holds at most one row per second and
-    restriction, however many downtimes overlap there. Cancelled, disabled and wrong-way-round
-    downtimes cover nothing; so do those with several scopes, which have no defined meaning.
+    restriction, however many downtimes overlap there. Disabled and wrong-way-round downtimes
+    cover nothing; so do those with several scopes, which have no defined meaning. A missing
+    start means always begun.
+
+    ``only`` is what an alert must carry besides the scope: its monitor, one of the monitor
+    tags, or nothing.
     """
     kind = ts_type(downtimes, "ts_start")
-    start = F.coalesce("ts_start", ts_lit(0, kind))
-    usable = (
-        ~F.coalesce(F.col("disabled"), F.lit(False))
-        & (F.size("scope") == 1)
-        & (F.col("ts_end").isNull() | (F.col("ts_end") > start))
-    )
-    none = F.array().cast("array<string>")
-    flat = downtimes.filter(usable).select(
-        F.get("scope", F.lit(0)).alias("scope"),
-        _restriction(downtimes).alias("only"),
-        "monitor_id",
-        F.array_sort(F.coalesce("monitor_tags", none)).alias("need"),
-        start.alias("start"),
-        F.col("ts_end").alias("end"),
-    )
-    a, b = F.unix_timestamp("start"), F.unix_timestamp("end")
-    width = _width(F.col("tier"))
-    bins = F.when(F.col("tier") == OPEN, F.array(F.lit(0).cast("long"))).otherwise(
-        F.sequence(F.floor(a / width), F.floor(b / width))
+    epoch = ts_sql(0, kind)
+    tiers = " ".join(
+        f"WHEN _b - _a <= {limit} THEN {n}" for n, (_, limit) in enumerate(TIERS) if limit
+    )
+    widths = ", ".join(f"{w}L" for w, _ in TIERS)
+    flat = (
+        downtimes.filter("NOT coalesce(disabled, false) AND size(scope) = 1")
+        .selectExpr(
+            "scope[0] AS scope",
+            "CASE WHEN monitor_id IS NOT NULL THEN concat('m:', monitor_id)"
+            " WHEN size(monitor_tags) > 0 THEN concat('t:', monitor_tags[0]) ELSE '-' END AS only",
+            "monitor_id",
+            "array_sort(coalesce(monitor_tags, array())) AS need",
+            f"coalesce(ts_start, {epoch}) AS start",
+            "ts_end AS end",
+        )
+        .filter("end IS NULL OR end > start")
+    )
+    tiered = flat.selectExpr(
+        "*", "unix_timestamp(start) AS _a", "unix_timestamp(end) AS _b"
+    ).selectExpr(
+        "*",
+        f"CASE WHEN end IS NULL THEN {OPEN} {tiers} ELSE {OPEN - 1} END AS tier",
+    )
+    cut = tiered.selectExpr(
+        "*", f"IF(tier = {OPEN}, NULL, element_at(array({widths}, 0L), tier + 1)) AS _w"
+    ).selectExpr(
+        "*",
+        f"""explode(IF(tier = {OPEN}, array(struct(0L AS bin, start, end)),
+            transform(sequence({_floor_div('_a', '_w')}, {_floor_div('_b', '_w')}), b -> struct(
+              b AS bin,
+              greatest(start, {epoch} + make_dt_interval(0, 0, 0, b * _w)) AS start,
+              least(end, {epoch} + make_dt_interval(0, 0, 0, (b + 1) * _w)) AS end)))) AS _p""",
     )
-    cut = flat.withColumn("tier", _tier(a, b)).withColumn("bin", F.explode(bins))
-    from_bin = F.greatest(a, F.col("bin") * width)
-    # the first second of the bin, or the exact start inside it
-    clipped = F.when(
-        (F.col("tier") != OPEN) & (from_bin > a), _second(from_bin, kind)
-    ).otherwise(F.col("start"))
-    bin_end = _second((F.col("bin") + 1) * width, kind)
-    clipped_end = F.when(F.col("tier") != OPEN, F.least("end", bin_end))
     return (
-        cut.withColumns({"start": clipped, "end": clipped_end})
-        .filter(F.col("end").isNull() | (F.col("end") > F.col("start")))
+        cut.selectExpr(
+            "scope", "only", "monitor_id", "need", "tier",
+            "_p.bin AS bin", "_p.start AS start", "_p.end AS end",
+        )
+        .filter("end IS NULL OR end > start")
         .groupBy("scope", "only", "tier", "bin", "monitor_id", "need", "start")
         .agg(F.max("end").alias("end"))
     )
 
 
-def _second(c: Column, kind: T.DataType) -> Column:
-    return ts_lit(0, kind) + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), c.cast("decimal(18,6)")
-    )
-
-
-def _probe(tier: int, place: Column):
-    return lambda only: F.struct(
-        F.lit(tier).alias("tier"), place.alias("bin"), only.alias("only")
-    )
+def _floor_div(a: str, b: str) -> str:
+    return f"({a} - pmod({a}, {b})) div {b}"
 
 
 def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> DataFrame:
@@ -184,61 +154,54 @@ def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> D
     copies of its (few) downtime rows. Spark broadcasts the downtime side when it measures
     small enough; nothing forces it to.
     """
-    require_utc(alerts.sparkSession)
+    spark = alerts.sparkSession
+    require_utc(spark)
     salts = whole("salts", salts, 1)
-    marks = covers(downtimes)
+    scratch_root(spark)
+    # read twice below, so it is written once
+    marks = covers(downtimes).checkpoint()
     # At most 15 pairs: which tiers and kinds of restriction occur at all. Alerts are only
     # probed for these.
-    used = {
-        (r["tier"], r["how"])
-        for r in marks.select("tier", F.substring("only", 1, 1).alias("how"))
-        .distinct()
-        .collect()
-    }
-    none = F.array().cast("array<string>")
-    monitor_tags = F.coalesce("monitor_tags", none)
-    seconds = F.unix_timestamp("ts")
-    probes = []
-    for tier, how in sorted(used):
-        place = (
-            F.lit(0).cast("long") if tier == OPEN else F.floor(seconds / F.lit(TIERS[tier][0]))
-        )
-        only = {
-            "-": F.array(F.lit("-")),
-            "m": F.array(F.concat(F.lit("m:"), "monitor_id")),
-            "t": F.transform(monitor_tags, lambda t: F.concat(F.lit("t:"), t)),
-        }[how]
-        probes.append(F.transform(only, _probe(tier, place)))
-    asked = F.concat(*probes) if probes else F.array().cast(
-        "array<struct<tier:int,bin:bigint,only:string>>"
-    )
+    kinds = marks.selectExpr("tier", "left(only, 1) AS how").distinct()
+    probes = [_probe(r["tier"], r["how"]) for r in kinds.orderBy("tier", "how").collect()]
+    if not probes:
+        return alerts.select("alert_id").limit(0)
     rows = (
-        alerts.select("alert_id", "ts", "tags", "monitor_id", monitor_tags.alias("has"), asked.alias("p"))
-        .withColumn("scope", F.explode(F.array_distinct("tags")))
-        .withColumn("p", F.explode("p"))
-        .select(
+        alerts.selectExpr(
             "alert_id",
             "ts",
-            "scope",
-            "p.tier",
-            "p.bin",
-            "p.only",
-            F.col("monitor_id").alias("has_id"),
-            "has",
-            F.pmod(F.xxhash64("alert_id"), F.lit(salts)).cast("int").alias("salt"),
+            "array_distinct(tags) AS tags",
+            "monitor_id AS has_id",
+            "coalesce(monitor_tags, array()) AS has",
+            f"CAST(pmod(xxhash64(alert_id), {salts}) AS INT) AS salt",
+        )
+        .selectExpr("*", "explode(tags) AS scope")
+        .selectExpr(
+            "alert_id", "ts", "scope", "has_id", "has", "salt", f"inline(concat({', '.join(probes)}))"
         )
     )
-    marks = marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    marks = marks.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
     keys = ["scope", "tier", "bin", "only", "salt"]
-    r, m = rows.alias("r"), marks.alias("m")
-    same = reduce(lambda x, y: x & y, [F.col(f"r.{k}") == F.col(f"m.{k}") for k in keys])
-    inside = (F.col("r.ts") >= F.col("m.start")) & (
-        F.col("m.end").isNull() | (F.col("r.ts") < F.col("m.end"))
+    same = " AND ".join(f"r.{k} = m.{k}" for k in keys)
+    covered = F.expr(
+        f"""{same} AND r.ts >= m.start AND (m.end IS NULL OR r.ts < m.end)
+        AND (m.monitor_id IS NULL OR r.has_id = m.monitor_id)
+        AND size(array_except(m.need, r.has)) = 0"""
     )
-    allowed = (F.col("m.monitor_id").isNull() | (F.col("r.has_id") == F.col("m.monitor_id"))) & (
-        F.size(F.array_except("m.need", "r.has")) == 0
-    )
-    return r.join(m, same & inside & allowed, "left_semi").select("alert_id").distinct()
+    hits = rows.alias("r").join(marks.alias("m"), covered, "left_semi")
+    return hits.select("alert_id").distinct()
+
+
+def _probe(tier: int, how: str) -> str:
+    """The bins an alert looks into for downtimes of one tier and kind of restriction."""
+    place = "0L" if tier == OPEN else _floor_div("unix_timestamp(ts)", f"{TIERS[tier][0]}L")
+
+    def entry(only: str) -> str:
+        return f"struct({tier} AS tier, {place} AS bin, {only} AS only)"
+
+    if how == "t":
+        return f"transform(has, t -> {entry("concat('t:', t)")})"
+    return f"array({entry("concat('m:', has_id)" if how == 'm' else "'-'")})"
 
 
 def flag_suppressed(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> DataFrame:

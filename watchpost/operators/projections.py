@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from ..functions.times import from_ts, to_ts
+from ..functions.times import from_ts
 
 RECURRENCE_UNITS = ("days", "weeks", "months", "years")
 WEEK_DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
@@ -64,48 +64,38 @@ def normalise_downtimes(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The scope becomes a one-element array. ``until`` is kept; expansion honours it.
     """
-    rec = F.col("recurrence")
-    period = rec["period"]
-    days = F.coalesce(rec["week_days"], F.array().cast("array<string>"))
-    known_days = F.array(*[F.lit(d) for d in WEEK_DAYS])
-
-    def bad(test: Column, reason: str) -> Column:
-        return F.when(F.coalesce(test, F.lit(False)), F.lit(reason))
-
-    reason = F.coalesce(
-        bad(F.col("scope").isNull() | (F.col("scope") == ""), "empty scope"),
-        bad(F.col("end") <= F.col("start"), "end not after start"),
-        bad(
-            rec.isNotNull() & (rec["type"].isNull() | ~rec["type"].isin(*RECURRENCE_UNITS)),
-            "unknown recurrence type",
-        ),
-        bad(
-            rec.isNotNull() & (period.isNull() | (period < 1) | (period != F.floor(period))),
-            "recurrence period below 1",
-        ),
-        bad(F.size(F.array_except(days, known_days)) > 0, "unknown week day"),
+    units, days = _quoted(RECURRENCE_UNITS), _quoted(WEEK_DAYS)
+    # in order of precedence; a null test is not a reason
+    reason = F.expr(
+        f"""CASE
+        WHEN scope IS NULL OR scope = '' THEN 'empty scope'
+        WHEN end <= start THEN 'end not after start'
+        WHEN recurrence IS NOT NULL AND NOT coalesce(recurrence.type IN ({units}), false)
+          THEN 'unknown recurrence type'
+        WHEN recurrence IS NOT NULL AND NOT coalesce(recurrence.period >= 1
+          AND recurrence.period = floor(recurrence.period), false)
+          THEN 'recurrence period below 1'
+        WHEN size(array_except(recurrence.week_days, array({days}))) > 0
+          THEN 'unknown week day' END"""
     )
     judged = requests.withColumn("reason", reason)
-    recurrence = F.when(
-        rec.isNotNull(),
-        F.struct(
-            rec["type"].alias("type"),
-            period.cast("int").alias("period"),
-            rec["week_days"].alias("week_days"),
-            to_ts(rec["until"], "s").alias("until"),
-        ),
-    )
-    valid = judged.filter(F.col("reason").isNull()).select(
+    valid = judged.filter("reason IS NULL").selectExpr(
         "id",
-        F.array("scope").alias("scope"),
-        to_ts("start", "s").alias("ts_start"),
-        to_ts("end", "s").alias("ts_end"),
+        "array(scope) AS scope",
+        "timestamp_seconds(start) AS ts_start",
+        "timestamp_seconds(end) AS ts_end",
         "message",
         "timezone",
         "monitor_id",
         "monitor_tags",
-        recurrence.alias("recurrence"),
-        F.lit(None).cast("boolean").alias("active"),
-        F.lit(False).alias("disabled"),
+        "IF(recurrence IS NULL, NULL, struct(recurrence.type AS type,"
+        " CAST(recurrence.period AS INT) AS period, recurrence.week_days AS week_days,"
+        " timestamp_seconds(recurrence.until) AS until)) AS recurrence",
+        "CAST(NULL AS BOOLEAN) AS active",
+        "false AS disabled",
     )
-    return valid, judged.filter(F.col("reason").isNotNull())
+    return valid, judged.filter("reason IS NOT NULL")
+
+
+def _quoted(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)

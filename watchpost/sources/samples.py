@@ -6,57 +6,37 @@ capped, and the mappings are plain projections, except hosts (last event per use
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-ERROR_MONITORS = 8
+from ..operators.projections import normalise_downtimes
+
+START = "1704067200"  # 2024-01-01 in epoch seconds
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-def _by_remainder(c: Column, n: int, values: dict[int, str]) -> Column:
-    out = F.lit(None).cast("string")
-    for key, value in values.items():
-        out = F.when(c % n == key, F.lit(value)).otherwise(out)
-    return out
-
-
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events")
-    id_ = F.col("event_id")
-    service = (
-        F.when(id_ % 10 == 0, F.lit(None))
-        .when(id_ % 10 == 1, F.lit(""))
-        .otherwise(_text("svc-", id_ % 7))
-    )
-    host = _text("host-", F.col("user_id"))
-    return e.select(
-        id_.alias("id"),
+    return _table(spark, sf_dir, "events").selectExpr(
+        "event_id AS id",
         "ts",
-        F.when(F.col("event_type") == "error", "error").otherwise("info").alias("status"),
-        _text(F.col("event_type"), " ", F.col("props")).alias("message"),
-        service.alias("service"),
-        host.alias("host"),
-        F.array(F.concat(F.lit("host:"), host), F.concat(F.lit("kind:"), "event_type")).alias(
-            "tags"
-        ),
+        "IF(event_type = 'error', 'error', 'info') AS status",
+        "concat(event_type, ' ', props) AS message",
+        "CASE event_id % 10 WHEN 0 THEN NULL WHEN 1 THEN ''"
+        " ELSE concat('svc-', event_id % 7) END AS service",
+        "concat('host-', user_id) AS host",
+        "array(concat('host:host-', user_id), concat('kind:', event_type)) AS tags",
     )
 
 
 def points_of(events: DataFrame) -> DataFrame:
     """Shared by batch and stream. The values have two decimals: kept as such, sums are exact."""
-    return events.select(
-        F.concat(F.lit("app."), "event_type").alias("metric"),
+    return events.selectExpr(
+        "concat('app.', event_type) AS metric",
         "ts",
-        F.col("value").cast("decimal(18,2)").alias("value"),
-        F.array(
-            _text("host:host-", F.col("user_id")), _text("env:", F.col("user_id") % 3)
-        ).alias("tags"),
+        "CAST(value AS DECIMAL(18,2)) AS value",
+        "array(concat('host:host-', user_id), concat('env:', user_id % 3)) AS tags",
     )
 
 
@@ -72,80 +52,51 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = _table(spark, sf_dir, "lineitem")
-    qty = F.col("l_quantity").cast("int")
-    code = F.when(qty % 10 == 0, "500").when(qty % 10 == 1, "404").otherwise("200")
-    return line.select(
-        F.col("l_linenumber").cast("bigint").alias("span_id"),
-        F.col("l_orderkey").alias("trace_id"),
-        F.when(F.col("l_linenumber") > 1, F.lit(1).cast("bigint")).alias("parent_id"),
-        _text("svc-", F.col("l_returnflag")).alias("service"),
-        _text("op-", F.col("l_linestatus")).alias("operation"),
-        _text("/parts/", F.col("l_partkey")).alias("resource"),
-        F.col("l_shipdate").alias("ts"),
-        (F.round(F.col("l_extendedprice") * 100).cast("bigint") * 10_000).alias("duration_ns"),
-        F.when(F.col("l_discount") >= 0.09, 1).otherwise(0).alias("error"),
-        F.create_map(
-            F.lit("http.status_code"),
-            code,
-            F.lit("supplier.id"),
-            F.col("l_suppkey").cast("string"),
-        ).alias("meta"),
+    return _table(spark, sf_dir, "lineitem").selectExpr(
+        "CAST(l_linenumber AS BIGINT) AS span_id",
+        "l_orderkey AS trace_id",
+        "IF(l_linenumber > 1, 1L, NULL) AS parent_id",
+        "concat('svc-', l_returnflag) AS service",
+        "concat('op-', l_linestatus) AS operation",
+        "concat('/parts/', l_partkey) AS resource",
+        "l_shipdate AS ts",
+        "CAST(round(l_extendedprice * 100) AS BIGINT) * 10000 AS duration_ns",
+        "IF(l_discount >= 0.09D, 1, 0) AS error",
+        "map('http.status_code',"
+        " CASE CAST(l_quantity AS INT) % 10 WHEN 0 THEN '500' WHEN 1 THEN '404' ELSE '200' END,"
+        " 'supplier.id', CAST(l_suppkey AS STRING)) AS meta",
     )
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = _table(spark, sf_dir, "orders")
-    status = (
-        F.when(F.col("o_orderstatus") == "F", "resolved")
-        .when(F.col("o_orderstatus") == "O", "active")
-        .otherwise("stable")
-    )
-    impacted = F.when(F.col("o_orderkey") % 11 != 0, F.col("o_totalprice") > 250000)
-    return o.select(
-        F.col("o_orderkey").alias("id"),
-        _text("Incident ", F.col("o_orderkey")).alias("title"),
-        status.alias("status"),
-        F.concat(F.lit("SEV-"), F.left("o_orderpriority", F.lit(1))).alias("severity"),
-        F.col("o_orderdate").alias("created"),
-        (F.col("o_orderdate") + F.make_dt_interval(hours=(F.col("o_custkey") % 72).cast("int"))).alias("modified"),
-        impacted.alias("customer_impacted"),
+    return _table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS id",
+        "concat('Incident ', o_orderkey) AS title",
+        "CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'active' ELSE 'stable' END"
+        " AS status",
+        "concat('SEV-', left(o_orderpriority, 1)) AS severity",
+        "o_orderdate AS created",
+        "o_orderdate + make_dt_interval(0, CAST(o_custkey % 72 AS INT)) AS modified",
+        "IF(o_orderkey % 11 <> 0, o_totalprice > 250000, NULL) AS customer_impacted",
     )
 
 
-# The states the sample monitors go through, by remainder of their key.
-SAMPLE_STATES = {
-    0: "Alert",
-    1: "Warn",
-    2: "No Data",
-    3: "OK",
-    4: "Ignored",
-    5: "Skipped",
-    6: "Unknown",
-    7: "Paused",
-    9: "",
-}
-
-
 def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _table(spark, sf_dir, "part")
-    key = F.col("p_partkey")
-    day = F.expr("timestamp_ntz'2024-01-01 00:00:00'")
-    return p.select(
-        key.alias("id"),
-        F.when(key % 23 != 0, F.col("p_name")).alias("name"),
-        F.lit("metric alert").alias("type"),
-        F.when(F.col("p_size") >= 5, _text("size ", F.col("p_size"))).alias("message"),
-        F.when(
-            key % 29 != 0,
-            F.array(_text("brand:", F.col("p_brand")), _text("type:", F.col("p_type"))),
-        ).alias("tags"),
-        F.when(key % 2 == 0, _text("avg:part.price{id:", key, "}")).alias("query"),
-        _by_remainder(key, 10, SAMPLE_STATES).alias("overall_state"),
-        day.alias("created"),
-        F.when(
-            key % 13 != 0, day + F.make_dt_interval(secs=key.cast("decimal(18,6)") * 60 + F.lit(0.5).cast("decimal(18,6)"))
-        ).alias("modified"),
+    """Monitors in all seven states, in one nobody knows, with an empty one and with none."""
+    return _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id",
+        "IF(p_partkey % 23 <> 0, p_name, NULL) AS name",
+        "'metric alert' AS type",
+        "IF(p_size >= 5, concat('size ', p_size), NULL) AS message",
+        "IF(p_partkey % 29 <> 0, array(concat('brand:', p_brand), concat('type:', p_type)), NULL)"
+        " AS tags",
+        "IF(p_partkey % 2 = 0, concat('avg:part.price{id:', p_partkey, '}'), NULL) AS query",
+        "CASE p_partkey % 10 WHEN 0 THEN 'Alert' WHEN 1 THEN 'Warn' WHEN 2 THEN 'No Data'"
+        " WHEN 3 THEN 'OK' WHEN 4 THEN 'Ignored' WHEN 5 THEN 'Skipped' WHEN 6 THEN 'Unknown'"
+        " WHEN 7 THEN 'Paused' WHEN 9 THEN '' END AS overall_state",
+        "timestamp_ntz'2024-01-01 00:00:00' AS created",
+        "IF(p_partkey % 13 <> 0, timestamp_ntz'2024-01-01 00:00:00.5'"
+        " + make_dt_interval(0, 0, CAST(p_partkey AS INT)), NULL) AS modified",
     )
 
 
@@ -159,113 +110,97 @@ def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"),
         )
     )
-    c = _table(spark, sf_dir, "customer").join(
-        seen, F.col("c_custkey") == F.col("user_id"), "left"
-    )
-    return c.select(
-        F.col("c_custkey").alias("id"),
-        _text("host-", F.col("c_custkey")).alias("name"),
-        F.array(F.lower("c_name")).alias("aliases"),
-        F.array(F.lower("c_mktsegment")).alias("apps"),
-        F.lit(False).alias("is_muted"),
+    customers = _table(spark, sf_dir, "customer")
+    return customers.join(seen, customers["c_custkey"] == seen["user_id"], "left").selectExpr(
+        "c_custkey AS id",
+        "concat('host-', c_custkey) AS name",
+        "array(lower(c_name)) AS aliases",
+        "array(lower(c_mktsegment)) AS apps",
+        "false AS is_muted",
         "last_reported",
-        F.create_map(F.lit("platform"), F.lower("c_mktsegment")).alias("meta"),
-        F.create_map(F.lit("load"), F.col("c_acctbal")).alias("metrics"),
-        F.array(F.lit("agent")).alias("sources"),
-        F.coalesce(F.col("last_type") != "error", F.lit(False)).alias("up"),
-        F.array(_text("nation:", F.col("c_nationkey"))).alias("tags"),
+        "map('platform', lower(c_mktsegment)) AS meta",
+        "map('load', c_acctbal) AS metrics",
+        "array('agent') AS sources",
+        "coalesce(last_type <> 'error', false) AS up",
+        "array(concat('nation:', c_nationkey)) AS tags",
     )
 
 
 def dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _table(spark, sf_dir, "documents")
-    return d.select(
-        F.col("doc_id").alias("id"),
-        F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("title"),
-        F.when(F.col("doc_id") % 19 != 0, F.concat_ws(",", "lang", "source")).alias(
-            "description"
-        ),
-        F.lit("custom_timeboard").alias("type"),
-        F.when(F.col("doc_id") % 2 == 0, "ordered").otherwise("free").alias("layout_type"),
+    return _table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS id",
+        "IF(doc_id % 17 <> 0, text, NULL) AS title",
+        "IF(doc_id % 19 <> 0, concat(lang, ',', source), NULL) AS description",
+        "'custom_timeboard' AS type",
+        "IF(doc_id % 2 = 0, 'ordered', 'free') AS layout_type",
     )
 
 
-_START_S = 1_704_067_200  # 2024-01-01
-
-
 def downtime_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests as callers write them, some of them invalid."""
-    s = _table(spark, sf_dir, "supplier")
-    key = F.col("s_suppkey")
-    start = F.lit(_START_S) + (key * 37 % 600) * 3600
-    scope = (
-        F.when(key % 13 == 12, F.lit(""))
-        .when(key % 5 == 0, _text("env:", key % 3))
-        .otherwise(_text("host:host-", key))
-    )
-    unit = _by_remainder(
-        key, 16, {1: "days", 5: "days", 9: "days", 2: "weeks", 6: "weeks", 10: "weeks",
-                  3: "months", 11: "months", 7: "years", 14: "hours"}
-    )
-    days = F.when(key % 4 == 2, F.when(key % 8 == 2, F.array(F.lit("Mon"), F.lit("Thu"))))
-    zone = _by_remainder(key, 6, {1: "America/New_York", 2: "Europe/Paris", 3: "UTC"})
-    return s.select(
-        key.alias("id"),
-        scope.alias("scope"),
-        F.when(key % 31 != 30, start).alias("start"),
-        F.when(key % 10 != 3, start + (key % 48) * 3600).alias("end"),
-        F.when(key % 2 == 0, _text("maintenance ", key)).alias("message"),
-        zone.alias("timezone"),
-        F.when(key % 7 == 4, key % ERROR_MONITORS).alias("monitor_id"),
-        F.when(key % 9 == 5, F.array(_text("env:", key % 3))).alias("monitor_tags"),
-        F.when(
-            unit.isNotNull(),
-            F.struct(
-                unit.alias("type"),
-                F.when(key % 27 == 26, 0.5).otherwise((1 + key % 3).cast("double")).alias("period"),
-                days.alias("week_days"),
-                F.when(key % 5 == 2, start + 45 * 86400).alias("until"),
-            ),
-        ).alias("recurrence"),
-    )
+    start = f"{START} + s_suppkey * 37 % 600 * 3600"
+    asked = _table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS id",
+        "CASE WHEN s_suppkey % 13 = 12 THEN ''"
+        " WHEN s_suppkey % 5 = 0 THEN concat('env:', s_suppkey % 3)"
+        " ELSE concat('host:host-', s_suppkey) END AS scope",
+        f"IF(s_suppkey % 31 <> 30, {start}, NULL) AS start",
+        f"IF(s_suppkey % 10 <> 3, {start} + s_suppkey % 48 * 3600, NULL) AS end",
+        "IF(s_suppkey % 2 = 0, concat('maintenance ', s_suppkey), NULL) AS message",
+        "CASE s_suppkey % 6 WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Europe/Paris'"
+        " WHEN 3 THEN 'UTC' END AS timezone",
+        "IF(s_suppkey % 7 = 4, s_suppkey % 8, NULL) AS monitor_id",
+        "IF(s_suppkey % 9 = 5, array(concat('env:', s_suppkey % 3)), NULL) AS monitor_tags",
+        "CASE WHEN s_suppkey % 16 IN (1, 5, 9) THEN 'days' WHEN s_suppkey % 16 IN (2, 6, 10)"
+        " THEN 'weeks' WHEN s_suppkey % 16 IN (3, 11) THEN 'months'"
+        " WHEN s_suppkey % 16 = 7 THEN 'years' WHEN s_suppkey % 16 = 14 THEN 'hours' END AS unit",
+        "IF(s_suppkey % 27 = 26, 0.5D, CAST(1 + s_suppkey % 3 AS DOUBLE)) AS period",
+        "IF(s_suppkey % 8 = 2, array('Mon', 'Thu'), NULL) AS week_days",
+        f"IF(s_suppkey % 5 = 2, {start} + 45 * 86400, NULL) AS until",
+    )
+    return asked.withColumn(
+        "recurrence",
+        F.expr(
+            "IF(unit IS NOT NULL, struct(unit AS type, period, week_days, until), NULL)"
+        ),
+    ).drop("unit", "period", "week_days", "until")
 
 
 def downtimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The valid requests as downtimes with the timestamp type of the sample tables."""
-    from ..operators.projections import normalise_downtimes
-
     valid, _ = normalise_downtimes(downtime_requests(spark, sf_dir))
     return valid.withColumns(
         {
             "ts_start": F.col("ts_start").cast("timestamp_ntz"),
             "ts_end": F.col("ts_end").cast("timestamp_ntz"),
-            "disabled": F.col("id") % 11 == 0,
+            "disabled": F.expr("id % 11 = 0"),
         }
     )
 
 
 def downtime_cancels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh downtime, and for every fiftieth supplier an id nobody has."""
-    key = F.col("s_suppkey")
-    s = _table(spark, sf_dir, "supplier")
-    ids = F.when(key % 7 == 0, key).when(key % 50 == 1, -key)
-    return s.select(ids.alias("downtime_id")).filter("downtime_id is not null")
+    return (
+        _table(spark, sf_dir, "supplier")
+        .selectExpr(
+            "CASE WHEN s_suppkey % 7 = 0 THEN s_suppkey WHEN s_suppkey % 50 = 1 THEN -s_suppkey"
+            " END AS downtime_id"
+        )
+        .filter("downtime_id IS NOT NULL")
+    )
 
 
 def mute_commands_of(events: DataFrame) -> DataFrame:
     """Sign-ups mute, clicks unmute; shared by batch and stream."""
-    id_ = F.col("event_id")
-    mute = F.col("event_type") == "signup"
-    return events.filter(F.col("event_type").isin("signup", "click")).select(
-        _text("host-", F.col("user_id")).alias("host"),
+    return events.filter("event_type IN ('signup', 'click')").selectExpr(
+        "concat('host-', user_id) AS host",
         "ts",
-        id_.alias("seq"),
-        F.when(mute, "mute").otherwise("unmute").alias("action"),
-        F.when(
-            mute & (id_ % 48 != 0), F.col("ts") + F.make_dt_interval(hours=(id_ % 48 * 4).cast("int"))
-        ).alias("mute_end"),
-        (mute & (id_ % 3 == 0)).alias("override"),
-        F.when(mute, _text("muted by ", id_)).alias("message"),
+        "event_id AS seq",
+        "IF(event_type = 'signup', 'mute', 'unmute') AS action",
+        "IF(event_type = 'signup' AND event_id % 48 <> 0,"
+        " ts + make_dt_interval(0, CAST(event_id % 48 * 4 AS INT)), NULL) AS mute_end",
+        "event_type = 'signup' AND event_id % 3 = 0 AS override",
+        "IF(event_type = 'signup', concat('muted by ', event_id), NULL) AS message",
     )
 
 
@@ -275,14 +210,16 @@ def mute_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def error_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error events as alerts of eight monitors."""
-    e = _table(spark, sf_dir, "events").filter(F.col("event_type") == "error")
-    env = _text("env:", F.col("user_id") % 3)
-    return e.select(
-        F.col("event_id").alias("alert_id"),
-        "ts",
-        F.array(_text("host:host-", F.col("user_id")), env).alias("tags"),
-        (F.col("event_id") % ERROR_MONITORS).alias("monitor_id"),
-        F.array(env, F.lit("team:ops")).alias("monitor_tags"),
+    return (
+        _table(spark, sf_dir, "events")
+        .filter("event_type = 'error'")
+        .selectExpr(
+            "event_id AS alert_id",
+            "ts",
+            "array(concat('host:host-', user_id), concat('env:', user_id % 3)) AS tags",
+            "event_id % 8 AS monitor_id",
+            "array(concat('env:', user_id % 3), 'team:ops') AS monitor_tags",
+        )
     )
 
 
@@ -296,9 +233,11 @@ def monitor_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM VALUES
           (1, 'app.error', array('*'), array('env'), 'avg', 'avg', 7200, '>', 52.13),
           (2, 'app.error', array('env:1'), array('host'), 'max', 'max', 14400, '>', 120.07),
-          (3, 'app.purchase', CAST(array() AS ARRAY<STRING>), CAST(array() AS ARRAY<STRING>), 'sum', 'min', 10800, '<', 90.11),
+          (3, 'app.purchase', CAST(array() AS ARRAY<STRING>), CAST(array() AS ARRAY<STRING>),
+           'sum', 'min', 10800, '<', 90.11),
           (4, 'app.view', array('*'), array('env'), 'count', 'sum', 7200, '>=', 5),
-          (5, 'app.click', array('env:2'), CAST(array() AS ARRAY<STRING>), 'min', 'avg', 3600, '<=', 8.21),
+          (5, 'app.click', array('env:2'), CAST(array() AS ARRAY<STRING>),
+           'min', 'avg', 3600, '<=', 8.21),
           (6, 'app.absent', array('*'), array('host'), 'avg', 'avg', 3600, '>', 1)
           AS r(id, metric, scope, by, space_agg, time_agg, lookback_s, comparator, threshold)
         """
