@@ -373,8 +373,7 @@ ORACLES: dict[str, str] = {
         WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM points WHERE metric = 'app.error') - INTERVAL 10 MINUTE"""),
     "stream_monitor_eval": _q([RULES, POINTS, steps(
         "CAST(epoch(time_bucket(INTERVAL 30 MINUTE, ts, timestamp '1970-01-01')) AS BIGINT)", "true"), f"""seen AS (
-          SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM points WHERE metric IN
-            (SELECT metric FROM rules WHERE lookback_s = 7200)),
+          SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM points),
         evaluated AS (
           SELECT r.rule_id, c.grp, c.step + k * 1800 AS moment, r.how, r.threshold, r.time_agg, {time_agg("c.value")} AS v
           FROM cells c JOIN rules r ON r.rule_id = c.rule_id CROSS JOIN range(0, 4) g(k)
