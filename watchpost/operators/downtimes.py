@@ -160,24 +160,26 @@ def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> D
     scratch_root(spark)
     # read twice below, so it is written once
     marks = covers(downtimes).checkpoint()
-    # At most 15 pairs: which tiers and kinds of restriction occur at all. Alerts are only
-    # probed for these.
-    kinds = marks.selectExpr("tier", "left(only, 1) AS how").distinct()
-    probes = [_probe(r["tier"], r["how"]) for r in kinds.orderBy("tier", "how").collect()]
-    if not probes:
-        return alerts.select("alert_id").limit(0)
+    # What kinds of downtime a scope has at all, at most 15: alerts are only probed for those,
+    # and tags no downtime names go no further.
+    kinds = marks.selectExpr("scope", "tier", "left(only, 1) AS how").distinct()
+    widths = ", ".join(f"{w}L" for w, _ in TIERS)
+    place = _floor_div("unix_timestamp(ts)", f"element_at(array({widths}, 1L), tier + 1)")
     rows = (
         alerts.selectExpr(
             "alert_id",
             "ts",
-            "array_distinct(tags) AS tags",
             "monitor_id AS has_id",
             "coalesce(monitor_tags, array()) AS has",
             f"CAST(pmod(xxhash64(alert_id), {salts}) AS INT) AS salt",
+            "explode(array_distinct(tags)) AS scope",
         )
-        .selectExpr("*", "explode(tags) AS scope")
+        .join(kinds, "scope")
         .selectExpr(
-            "alert_id", "ts", "scope", "has_id", "has", "salt", f"inline(concat({', '.join(probes)}))"
+            "*",
+            f"IF(tier = {OPEN}, 0L, {place}) AS bin",
+            "explode(CASE how WHEN '-' THEN array('-') WHEN 'm' THEN array(concat('m:', has_id))"
+            " ELSE transform(has, t -> concat('t:', t)) END) AS only",
         )
     )
     marks = marks.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
@@ -192,20 +194,12 @@ def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> D
     return hits.select("alert_id").distinct()
 
 
-def _probe(tier: int, how: str) -> str:
-    """The bins an alert looks into for downtimes of one tier and kind of restriction."""
-    place = "0L" if tier == OPEN else _floor_div("unix_timestamp(ts)", f"{TIERS[tier][0]}L")
-
-    def entry(only: str) -> str:
-        return f"struct({tier} AS tier, {place} AS bin, {only} AS only)"
-
-    if how == "t":
-        return f"transform(has, t -> {entry("concat('t:', t)")})"
-    return f"array({entry("concat('m:', has_id)" if how == 'm' else "'-'")})"
-
-
 def flag_suppressed(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> DataFrame:
-    """Alerts with a ``suppressed`` column."""
+    """Alerts with a ``suppressed`` column.
+
+    The alerts are read twice, once for their ids: hand in a table, or checkpoint what is
+    costly to compute.
+    """
     hit = covered_alerts(alerts, downtimes, salts).withColumn("_hit", F.lit(True))
     return (
         alerts.join(hit, "alert_id", "left")

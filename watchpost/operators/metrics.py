@@ -16,7 +16,7 @@ AGGREGATES = ("avg", "sum", "min", "max", "count")
 def tag_set(tags: Column | str) -> Column:
     """The tags as a set in one order, so equal sets group together."""
     none = F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.coalesce(tags, none)))
+    return F.sort_array(F.array_distinct(F.coalesce(tags, none)))
 
 
 def tag_value(tags: Column, key: Column) -> Column:
@@ -32,6 +32,12 @@ def scope_label(tags: Column, by: Column) -> Column:
     return F.when(F.size(by) == 0, "*").otherwise(F.array_join(parts, ","))
 
 
+def scope_label_for(tags: str, by: Sequence[str]) -> Column:
+    """The same for keys known when the plan is built."""
+    parts = [F.concat(F.lit(f"{k}:"), tag_value(F.col(tags), F.lit(k))) for k in by]
+    return F.concat_ws(",", *parts) if parts else F.lit("*")
+
+
 def mean(c: Column | str) -> Column:
     """Sum over count: exact, whatever the order of rows, when the input is a decimal."""
     return F.sum(c).cast("double") / F.count(c)
@@ -58,11 +64,10 @@ def rollup(points: DataFrame, agg: str, by: Sequence[str], step_s: int) -> DataF
     sets = points.groupBy(F.window("ts", step).alias("w"), tag_set("tags").alias("tags")).agg(
         mean("value").alias("value")
     )
-    keys = F.array(*[F.lit(k) for k in by]).cast("array<string>")
     return (
         sets.groupBy(
             F.window(F.window_time("w"), step).alias("w"),
-            scope_label(F.col("tags"), keys).alias("scope"),
+            scope_label_for("tags", by).alias("scope"),
         )
         .agg(space_aggregate(agg, "value").alias("value"))
         .select("scope", F.col("w.start").alias("ts"), "value")

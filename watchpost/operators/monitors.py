@@ -195,6 +195,10 @@ def evaluate_monitors_over(
     )
 
     # One row per step of a group from here on, so a partition is as long as the range at most.
+    # The number of tasks is stated: the rows multiply after this shuffle, and sized by what
+    # arrives, adaptive execution would merge too many of them into one task.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(tasks, "rule_id", "group")
     # Fill the silent steps: each row also stands for the gap up to the next one.
     group = Window.partitionBy("rule_id", "group")
     by_step = group.orderBy("step")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.downtimes import expand_downtimes, flag_suppressed
 from ..operators.monitors import evaluate_monitors_over
+from ..session import scratch_root
 
 
 def rule_alerts(states: DataFrame, rules: DataFrame) -> DataFrame:
@@ -37,7 +38,10 @@ def alert_report(
 ) -> DataFrame:
     """Per rule, how many evaluations alerted and how many of those fell in a downtime."""
     states = evaluate_monitors_over(points, rules, from_s, to_s, step_s)
-    alerts = flag_suppressed(rule_alerts(states, rules), expand_downtimes(downtimes, to_s))
-    return alerts.groupBy("rule_id").agg(
+    # suppression reads the alerts twice; written once, the points are evaluated once
+    scratch_root(points.sparkSession)
+    alerts = rule_alerts(states, rules).checkpoint()
+    flagged = flag_suppressed(alerts, expand_downtimes(downtimes, to_s))
+    return flagged.groupBy("rule_id").agg(
         F.count(F.lit(1)).alias("alerts"), F.count_if("suppressed").alias("suppressed")
     )
