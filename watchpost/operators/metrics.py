@@ -13,29 +13,31 @@ from .filters import time_range
 AGGREGATES = ("avg", "sum", "min", "max", "count")
 
 
-def tag_set(tags: Column | str) -> Column:
+def tag_set(tags: str) -> Column:
     """The tags as a set in one order, so equal sets group together."""
-    none = F.array().cast("array<string>")
-    return F.sort_array(F.array_distinct(F.coalesce(tags, none)))
+    return F.expr(f"sort_array(array_distinct(coalesce({tags}, array())))")
 
 
-def tag_value(tags: Column, key: Column) -> Column:
-    """The value of the first ``key:value`` tag; ``N/A`` when there is none."""
-    prefix = F.concat(key, F.lit(":"))
-    hit = F.get(F.filter(tags, lambda t: F.startswith(t, prefix)), F.lit(0))
-    return F.coalesce(F.substring(hit, F.length(prefix) + 1, F.length(hit)), F.lit("N/A"))
+def _label_part(tags: str, key: str) -> str:
+    """``key:value`` as SQL: the first such tag, or value ``N/A`` when there is none."""
+    return (
+        f"coalesce(get(filter({tags}, t -> startswith(t, concat({key}, ':'))), 0),"
+        f" concat({key}, ':N/A'))"
+    )
 
 
-def scope_label(tags: Column, by: Column) -> Column:
-    """``host:web-01,env:prod`` for the keys in ``by``; ``*`` when it is empty."""
-    parts = F.transform(by, lambda k: F.concat(k, F.lit(":"), tag_value(tags, k)))
-    return F.when(F.size(by) == 0, "*").otherwise(F.array_join(parts, ","))
+def scope_label(tags: str, by: str) -> Column:
+    """``host:web-01,env:prod`` for the keys in column ``by``; ``*`` when it is empty."""
+    parts = f"transform({by}, k -> {_label_part(tags, 'k')})"
+    return F.expr(f"IF(size({by}) = 0, '*', array_join({parts}, ','))")
 
 
 def scope_label_for(tags: str, by: Sequence[str]) -> Column:
     """The same for keys known when the plan is built."""
-    parts = [F.concat(F.lit(f"{k}:"), tag_value(F.col(tags), F.lit(k))) for k in by]
-    return F.concat_ws(",", *parts) if parts else F.lit("*")
+    if not by:
+        return F.lit("*")
+    keys = ["'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in by]
+    return F.expr(f"concat_ws(',', {', '.join(_label_part(tags, k) for k in keys)})")
 
 
 def mean(c: Column | str) -> Column:

@@ -19,23 +19,24 @@ _TICKS = 1_000_000_000
 
 def with_series(rules: DataFrame, step_s: int) -> DataFrame:
     """Rules with a normal scope, a lookback in whole steps, and the key of their series."""
-    none = F.array().cast("array<string>")
-    named = F.filter(F.coalesce("scope", none), lambda t: ~t.isin("", "*"))
-    steps = F.ceil(F.col("lookback_s") / F.lit(step_s)).cast("long")
     return rules.withColumns(
         {
-            "scope": tag_set(named),
-            "by": F.coalesce("by", none),
-            "lookback_s": F.greatest(steps, F.lit(1)) * F.lit(step_s),
+            "scope": F.expr(
+                "sort_array(array_distinct(filter(coalesce(scope, array()),"
+                " t -> t NOT IN ('', '*'))))"
+            ),
+            "by": F.expr("coalesce(by, array())"),
+            "lookback_s": F.expr(
+                f"greatest((lookback_s + {step_s - 1}) div {step_s}, 1) * {step_s}"
+            ),
         }
-    ).withColumn("series", F.to_json(F.struct("metric", "scope", "by", "space_agg")))
+    ).withColumn("series", F.expr("to_json(struct(metric, scope, by, space_agg))"))
 
 
 def average_sets(points: DataFrame, rules: DataFrame, step: Column) -> DataFrame:
     """One row per metric, tag set and step, for the metrics that rules name."""
-    named = rules.select("metric").distinct()
     return (
-        points.join(named, "metric", "left_semi")
+        points.join(rules.select("metric"), "metric", "left_semi")
         .groupBy("metric", step.alias("step"), tag_set("tags").alias("tags"))
         .agg(mean("value").alias("value"))
     )
@@ -56,7 +57,7 @@ def match_series(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return (
         probes.join(spaces, ["metric", "probe"])
         .filter(inside)
-        .withColumn("group", scope_label(F.col("tags"), F.col("by")))
+        .withColumn("group", scope_label("tags", "by"))
     )
 
 
@@ -70,31 +71,24 @@ def accumulate(value: str) -> list[Column]:
     ]
 
 
-def chosen(kind: Column | str) -> Column:
-    """The aggregate named by ``kind`` out of the accumulated parts; null over no values."""
-    kind = F.col(kind) if isinstance(kind, str) else kind
-    value = (
-        F.when(kind == "avg", F.col("_sum") / F.nullif("_n", F.lit(0)))
-        .when(kind == "sum", F.col("_sum"))
-        .when(kind == "min", F.col("_min"))
-        .when(kind == "max", F.col("_max"))
-        .when(kind == "count", F.col("_n").cast("double"))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown aggregate "), kind)).cast("double"))
+def chosen(kind: str) -> Column:
+    """The aggregate named by column ``kind`` out of the accumulated parts; null over no values."""
+    return F.expr(
+        f"""CASE WHEN _n > 0 THEN CASE {kind} WHEN 'avg' THEN _sum / nullif(_n, 0)
+          WHEN 'sum' THEN _sum WHEN 'min' THEN _min WHEN 'max' THEN _max
+          WHEN 'count' THEN CAST(_n AS DOUBLE)
+          ELSE CAST(raise_error(concat('unknown aggregate ', {kind})) AS DOUBLE) END END"""
     )
-    return F.when(F.col("_n") > 0, value)
-
-
-def state(value: Column | str) -> Column:
-    value = F.col(value) if isinstance(value, str) else value
-    how, limit = F.col("comparator"), F.col("threshold")
-    hit = (
-        F.when(how == ">", value > limit)
-        .when(how == ">=", value >= limit)
-        .when(how == "<", value < limit)
-        .when(how == "<=", value <= limit)
-        .otherwise(F.raise_error(F.concat(F.lit("unknown comparator "), how)).cast("boolean"))
+
+
+def state(value: str) -> Column:
+    return F.expr(
+        f"""CASE WHEN {value} IS NULL THEN 'No Data'
+          WHEN CASE comparator WHEN '>' THEN {value} > threshold WHEN '>=' THEN {value} >= threshold
+                 WHEN '<' THEN {value} < threshold WHEN '<=' THEN {value} <= threshold
+                 ELSE CAST(raise_error(concat('unknown comparator ', comparator)) AS BOOLEAN) END
+          THEN 'Alert' ELSE 'OK' END"""
     )
-    return F.when(value.isNull(), "No Data").when(hit, "Alert").otherwise("OK")
 
 
 def series_steps(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -105,8 +99,8 @@ def series_steps(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """
     columns = ["series", "space_agg", "group", "step", "value"]
     real = match_series(sets, rules).select(*columns)
-    blank = rules.select("series", "space_agg").distinct()
-    blank = blank.withColumns(
+    # repeated for rules sharing a series, which changes no aggregate of nothing
+    blank = rules.select("series", "space_agg").withColumns(
         {
             "group": F.lit(None).cast("string"),
             "step": F.lit(None).cast("long"),
