@@ -278,6 +278,14 @@ ORACLES: dict[str, str] = {
     "get_all_services": _q([LOGS], f"""SELECT DISTINCT service FROM (
         SELECT service FROM logs WHERE ts >= {FROM} AND ts < {TO} ORDER BY ts DESC, id DESC LIMIT 1000)
         WHERE service IS NOT NULL AND service <> ''"""),
+    "read_landed_logs": _q([LOGS], """SELECT CAST(id AS VARCHAR) AS id,
+        make_timestamp(epoch_us(ts) // 1000 * 1000) AS ts, status, message, service, host,
+        'host:' || host || '|kind:' || kind AS tags FROM logs"""),
+    "convert_time_units": _q([LOGS], """SELECT id, ts, epoch_us(ts) // 1000000 AS s, epoch_us(ts) // 1000 AS ms,
+        strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS iso, epoch_us(ts) * 1000 + 999 AS ns,
+        make_timestamp(epoch_us(ts) // 1000000 * 1000000) AS from_s,
+        make_timestamp(epoch_us(ts) // 1000 * 1000) AS from_ms, ts AS from_ns,
+        make_timestamp(epoch_us(ts) // 1000 * 1000) AS from_iso FROM logs"""),
     "list_traces_desc": _q([SPANS], f"SELECT * FROM spans ORDER BY {SPANS_DESC} LIMIT 100"),
     "list_traces_asc": _q([SPANS], f"SELECT * FROM spans ORDER BY {SPANS_ASC} LIMIT 250"),
     "list_traces_facets": _q([SPANS], f"""SELECT * FROM spans
@@ -297,6 +305,7 @@ ORACLES: dict[str, str] = {
         string_agg(CAST(epoch(ts) AS BIGINT) || '=' || CAST(value AS DECIMAL(18,6)), ' ' ORDER BY ts) AS pointlist
         FROM series GROUP BY ALL"""),
     "list_incidents_page": _q([INCIDENTS], "SELECT * FROM incidents ORDER BY created DESC, id LIMIT 100 OFFSET 250"),
+    "list_incidents_deep_page": _q([INCIDENTS], "SELECT * FROM incidents ORDER BY created DESC, id LIMIT 50 OFFSET 12000"),
     "get_incident": _q([INCIDENTS], "SELECT * FROM incidents WHERE id = 1234"),
     "incidents_ndjson": _q([INCIDENTS], """SELECT '{"id":' || id || ',"title":"' || title || '","status":"' || status
         || '","severity":"' || severity || '","created":"' || strftime(created, '%Y-%m-%dT%H:%M:%S.%gZ')
@@ -337,6 +346,8 @@ ORACLES: dict[str, str] = {
         CAST(floor(epoch(mute_end)) AS BIGINT) AS mute_end, CAST(floor(epoch(last_reported)) AS BIGINT) AS last_reported,
         up, '{LINK}/hosts?host=' || name AS url
         FROM hosts LEFT JOIN muted ON name = host""", True),
+    "mutes_of_unlisted_hosts": _q([MUTES, HOSTS], f"""SELECT DISTINCT host FROM commands
+        WHERE ts <= {AS_OF} AND host NOT IN (SELECT name FROM hosts WHERE up)"""),
     "list_dashboards_name": _q([DASHBOARDS], f"""SELECT *, '{LINK}/dashboard/' || id AS url FROM dashboards
         WHERE contains(lower(title), 'heron')"""),
     "list_dashboards_tags": _q([DASHBOARDS], f"""SELECT *, '{LINK}/dashboard/' || id AS url FROM dashboards

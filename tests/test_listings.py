@@ -117,15 +117,31 @@ def rows(spark):
     )
 
 
-@pytest.mark.parametrize("offset,n", [(0, 10), (0, 1000), (5, 0), (990, 50), (333, 400), (2000, 5)])
-def test_deep_pages_equal_top_k(rows, offset, n):
-    order = [F.desc("ts"), F.asc("id")]
-    want = [r["id"] for r in rows.orderBy(*order).collect()][offset : offset + n]
-    for limit in (100_000, 0):
+PAGES = [(0, 10), (0, 1000), (5, 0), (990, 50), (333, 400), (2000, 5), (700, 1)]
+
+
+@pytest.mark.parametrize("offset,n", PAGES)
+@pytest.mark.parametrize("way", ["asc", "desc", "asc_nulls_last", "desc_nulls_last"])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_deep_pages_equal_top_k(spark, offset, n, way, kind):
+    # over five hours, with many ties, one instant holding a third, and some without time
+    at = F.when(F.col("id") % 3 == 0, 7000).when(F.col("id") % 10 != 1, F.col("id") % 50 * 360)
+    rows = spark.range(1000).select("id", F.timestamp_seconds(F.lit(T0) + at).cast(kind).alias("ts"))
+    order = [("ts", way), ("id", "asc")]
+    ordered = rows.orderBy(getattr(F.col("ts"), way)(), "id")
+    want = [r["id"] for r in ordered.collect()][offset : offset + n]
+    for limit in (100_000, 150, 0):
         got = slice_sorted(rows, order, offset, n, topk_rows=limit)
         assert [r["id"] for r in got.collect()] == want
 
 
+def test_deep_pages_by_another_field(spark):
+    rows = spark.range(500).selectExpr("id", "concat('n', id % 7) AS name")
+    want = [r["id"] for r in rows.orderBy("name", "id").collect()]
+    got = slice_sorted(rows, [("name", "asc"), ("id", "asc")], 100, 250, topk_rows=0).collect()
+    assert [r["id"] for r in got] == want[100:350]
+
+
 def test_latest_and_spans(rows):
     got = [(r["ts"], r["id"]) for r in paging.latest(rows, 20).collect()]
     assert got == sorted(((r["ts"], r["id"]) for r in rows.collect()), reverse=True)[:20]

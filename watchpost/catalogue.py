@@ -10,11 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .functions.times import from_ts, to_ts
 from .operators import aggregates, downtimes, filters, metrics, monitors, mutes, paging, projections
 from .plans.alerting import alert_report
 from .session import scratch_path
 from .sources import samples
-from .sources.entities import ndjson_lines
+from .sources.entities import ndjson_lines, read_entity
 from .streaming.metrics import stream_metric
 from .streaming.monitors import stream_monitors
 from .streaming.mutes import read_mute_state, stream_mutes
@@ -54,6 +55,36 @@ def get_all_services(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.all_services(filters.time_range(samples.logs(spark, d), FROM, TO))
 
 
+def read_landed_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Logs landed as response documents of up to 100 records each, read back."""
+    logs = samples.logs(spark, d)
+    record = F.struct(
+        F.col("id").cast("string").alias("id"),
+        F.struct(
+            F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
+            "status", "message", "service", "host", "tags",
+        ).alias("attributes"),
+    )
+    docs = logs.groupBy(F.expr("id div 100")).agg(F.collect_list(record).alias("data"))
+    path = scratch_path(spark, "landed-logs")
+    docs.select(F.to_json(F.struct("data")).alias("value")).write.text(path)
+    read = read_entity(spark, "logs", path, "json")
+    return read.select(
+        "id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "message", "service",
+        "host", F.array_join("tags", "|").alias("tags"),
+    )
+
+
+def convert_time_units(spark: SparkSession, d: str) -> DataFrame:
+    """Event times as seconds, milliseconds and ISO text, and back from three units."""
+    e = samples.logs(spark, d).select(
+        "id", "ts", from_ts("ts", "s").alias("s"), from_ts("ts", "ms").alias("ms"),
+        from_ts("ts", "iso").alias("iso"), (from_ts("ts", "us") * 1000 + 999).alias("ns"),
+    )
+    back = {f"from_{u}": to_ts(u, u).cast("timestamp_ntz") for u in ("s", "ms", "ns", "iso")}
+    return e.withColumns(back)
+
+
 # spans
 
 
@@ -127,6 +158,10 @@ def metric_pointlist(spark: SparkSession, d: str) -> DataFrame:
 # incidents
 
 
+def list_incidents_deep_page(spark: SparkSession, d: str) -> DataFrame:
+    return paging.incidents_page(samples.incidents(spark, d), 50, 12_000)
+
+
 def list_incidents_page(spark: SparkSession, d: str) -> DataFrame:
     return paging.incidents_page(samples.incidents(spark, d), 100, 250)
 
@@ -222,6 +257,12 @@ def hosts_with_mute(spark: SparkSession, d: str) -> DataFrame:
     return shown.select("name", "id", "mute", "mute_end", "last_reported", "up", "url")
 
 
+def mutes_of_unlisted_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts with mute commands that are not among the hosts listed as up."""
+    state = mutes.fold_mutes(samples.mute_commands(spark, d), AS_OF)
+    return mutes.unknown_hosts(samples.hosts(spark, d).filter("up"), state)
+
+
 # dashboards
 
 
@@ -360,11 +401,12 @@ def stream_mute_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    get_logs, get_logs_text, get_all_services, list_traces_desc, list_traces_asc,
+    get_logs, get_logs_text, get_all_services, read_landed_logs, convert_time_units, list_traces_desc, list_traces_asc,
     list_traces_facets, trace_page_count, query_metric_by_host, query_metric_scope,
-    query_metric_sum, metric_pointlist, list_incidents_page, get_incident, incidents_ndjson,
+    query_metric_sum, metric_pointlist, list_incidents_page, list_incidents_deep_page, get_incident,
+    incidents_ndjson,
     list_monitors, filter_monitors, monitor_summary, evaluate_monitors, evaluate_monitors_grid,
-    list_hosts_page, filter_hosts, active_hosts, host_mute_state, hosts_with_mute,
+    list_hosts_page, filter_hosts, active_hosts, host_mute_state, hosts_with_mute, mutes_of_unlisted_hosts,
     list_dashboards_name, list_dashboards_tags, get_dashboard, current_downtimes,
     schedule_downtimes, expand_downtimes, cancel_downtimes, suppressed_alerts,
     unsuppressed_alerts, alert_summary, stream_metric_rollup, stream_monitor_eval,

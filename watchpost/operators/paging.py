@@ -13,7 +13,7 @@ from ..plans.layout import TOPK_ROWS, slice_sorted
 def latest(df: DataFrame, n: int = 100, topk_rows: int = TOPK_ROWS) -> DataFrame:
     """The newest ``n`` logs, newest first."""
     n = whole("n", n, 0)
-    return slice_sorted(df, [F.desc("ts"), F.desc("id")], 0, n, topk_rows)
+    return slice_sorted(df, [("ts", "desc"), ("id", "desc")], 0, n, topk_rows)
 
 
 def spans_page(
@@ -28,8 +28,8 @@ def spans_page(
     ``ties`` names the columns that make a span unique among those of one instant.
     """
     one_of("sort", sort, ("timestamp", "-timestamp"))
-    turn = F.asc if sort == "timestamp" else F.desc
-    return slice_sorted(df, [turn(c) for c in ("ts", *ties)], 0, whole("n", n, 0), topk_rows)
+    way = "asc" if sort == "timestamp" else "desc"
+    return slice_sorted(df, [(c, way) for c in ("ts", *ties)], 0, whole("n", n, 0), topk_rows)
 
 
 def incidents_page(
@@ -37,7 +37,7 @@ def incidents_page(
 ) -> DataFrame:
     """One page of incidents, latest created first; the offset counts rows."""
     size, offset = whole("size", size, 1, 100), whole("offset", offset, 0)
-    return slice_sorted(df, [F.desc("created"), F.asc("id")], offset, size, topk_rows)
+    return slice_sorted(df, [("created", "desc"), ("id", "asc")], offset, size, topk_rows)
 
 
 def hosts_page(
@@ -54,8 +54,8 @@ def hosts_page(
         raise ValueError(f"cannot sort by {sort_field}: maps have no order")
     one_of("sort_dir", sort_dir, ("asc", "desc"))
     start, count = whole("start", start, 0), whole("count", count, 0, 1000)
-    by = F.asc_nulls_last if sort_dir == "asc" else F.desc_nulls_last
-    return slice_sorted(df, [by(sort_field), F.asc("id")], start, count, topk_rows)
+    order = [(sort_field, f"{sort_dir}_nulls_last"), ("id", "asc")]
+    return slice_sorted(df, order, start, count, topk_rows)
 
 
 def page_count(page: DataFrame) -> DataFrame:
