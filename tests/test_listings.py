@@ -117,12 +117,18 @@ def rows(spark):
     )
 
 
-PAGES = [(0, 10), (0, 1000), (5, 0), (990, 50), (333, 400), (2000, 5), (700, 1)]
-
-
-@pytest.mark.parametrize("offset,n", PAGES)
-@pytest.mark.parametrize("way", ["asc", "desc", "asc_nulls_last", "desc_nulls_last"])
-@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+PAGES = [
+    (0, 1000, "asc", "timestamp"),
+    (5, 0, "desc", "timestamp"),
+    (990, 50, "asc_nulls_last", "timestamp_ntz"),
+    (333, 400, "desc", "timestamp_ntz"),
+    (333, 400, "asc", "timestamp"),
+    (700, 1, "desc_nulls_last", "timestamp"),
+    (2000, 5, "asc", "timestamp_ntz"),
+]
+
+
+@pytest.mark.parametrize("offset,n,way,kind", PAGES)
 def test_deep_pages_equal_top_k(spark, offset, n, way, kind):
     # over five hours, with many ties, one instant holding a third, and some without time
     at = F.when(F.col("id") % 3 == 0, 7000).when(F.col("id") % 10 != 1, F.col("id") % 50 * 360)
@@ -130,7 +136,7 @@ def test_deep_pages_equal_top_k(spark, offset, n, way, kind):
     order = [("ts", way), ("id", "asc")]
     ordered = rows.orderBy(getattr(F.col("ts"), way)(), "id")
     want = [r["id"] for r in ordered.collect()][offset : offset + n]
-    for limit in (100_000, 150, 0):
+    for limit in (150, 0):
         got = slice_sorted(rows, order, offset, n, topk_rows=limit)
         assert [r["id"] for r in got.collect()] == want
 

@@ -95,8 +95,8 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 def _span_rows(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {
-            "http_status": F.try_element_at("meta", F.lit("http.status_code")),
-            "supplier": F.try_element_at("meta", F.lit("supplier.id")),
+            "http_status": F.col("meta").getItem("http.status_code"),
+            "supplier": F.col("meta").getItem("supplier.id"),
         }
     ).drop("meta")
 
@@ -220,8 +220,8 @@ def list_hosts_page(spark: SparkSession, d: str) -> DataFrame:
     return shown.select(
         "name", "id", F.array_join("aliases", "|").alias("aliases"),
         F.array_join("apps", "|").alias("apps"), "mute", "last_reported",
-        F.try_element_at("meta", F.lit("platform")).alias("platform"),
-        F.try_element_at("metrics", F.lit("load")).alias("load"),
+        F.col("meta").getItem("platform").alias("platform"),
+        F.col("metrics").getItem("load").alias("load"),
         F.array_join("sources", "|").alias("sources"), "up", "url",
     )
 

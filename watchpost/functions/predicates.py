@@ -55,7 +55,7 @@ def search(
         elif isinstance(kind, T.StringType):
             preds.append(F.col(key) == F.lit(value))
         elif kind is None and isinstance(columns.get("meta"), T.MapType):
-            preds.append(F.try_element_at("meta", F.lit(key)) == F.lit(value))
+            preds.append(F.col("meta").getItem(key) == F.lit(value))
         elif kind is None and isinstance(columns.get("tags"), T.ArrayType):
             preds.append(F.array_contains("tags", f"{key}:{value}"))
         else:

@@ -31,7 +31,8 @@ def stream_mutes(
 
     Commands are held back until the newest one seen is ``delay_s`` past them, so they are
     applied in order although they arrive out of it. A command arriving later than that is
-    kept in ``late`` and not applied. ``read_mute_state`` answers from the folder.
+    kept in ``late`` and not applied. ``read_mute_state`` answers from the folder. A batch needs
+    only its predecessor's folder; older ones are history and may be removed.
     """
     query = (
         commands.writeStream.foreachBatch(lambda df, n: _apply(df, n, state_dir, delay_s))
@@ -41,25 +42,30 @@ def stream_mutes(
 
 
 def _apply(batch: DataFrame, batch_id: int, state_dir: str, delay_s: int) -> None:
-    spark = batch.sparkSession
+    # several answers are taken from the batch; it is read from its source once
+    fresh = batch.select(*COMMAND_COLUMNS).persist()
+    try:
+        _advance(fresh, batch_id, state_dir, delay_s)
+    finally:
+        fresh.unpersist()
+
+
+def _advance(fresh: DataFrame, batch_id: int, state_dir: str, delay_s: int) -> None:
+    spark = fresh.sparkSession
     known, pending, applied_to = _load(spark, state_dir, batch_id - 1)
     at = F.unix_micros("ts")
-    fresh = batch.select(*COMMAND_COLUMNS)
     late = fresh.filter(at <= applied_to)
     waiting = pending.unionByName(fresh.filter(at > applied_to))
     newest = waiting.agg(F.max(at)).first()[0]
     up_to = max(applied_to, newest - delay_s * 1_000_000) if newest is not None else applied_to
-    due = waiting.filter(at <= up_to)
     folder = f"{state_dir}/{batch_id}"
     waiting.filter(at > up_to).write.mode("overwrite").parquet(f"{folder}/pending")
     late.write.mode("overwrite").parquet(f"{folder}/late")
-    _merge(known, due, up_to / 1e6).withColumn("applied_to", F.lit(up_to)).write.mode(
-        "overwrite"
-    ).parquet(f"{folder}/state")
+    state = _merge(known, waiting.filter(at <= up_to), up_to / 1e6)
+    state.write.mode("overwrite").parquet(f"{folder}/state")
     # written last: its presence says the folder is complete
-    spark.range(1).select(F.lit(up_to).alias("applied_to")).coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{folder}/done")
+    mark = spark.range(1).select(F.lit(up_to).alias("applied_to"))
+    mark.coalesce(1).write.mode("overwrite").parquet(f"{folder}/done")
 
 
 def _merge(known: DataFrame, due: DataFrame, as_of_s: float) -> DataFrame:
