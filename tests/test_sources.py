@@ -156,3 +156,20 @@ def test_arguments(spark, tmp_path):
         read_entity(spark, "widgets", str(tmp_path), "json")
     with pytest.raises(ValueError):
         read_entity(spark, "logs", str(tmp_path), "csv")
+
+
+def test_date_partitioned_table_is_pruned(spark, tmp_path):
+    from watchpost.operators.filters import time_range
+
+    rows = spark.range(4).selectExpr(
+        "concat('l', id) AS id", f"timestamp_seconds({S} + id * 86400) AS ts", "'info' AS status",
+        "'m' AS message", "'web' AS service", "'h' AS host", "array('a:b') AS tags",
+    )
+    path = str(tmp_path / "logs")
+    rows.withColumn("dt", F.col("ts").cast("date")).write.partitionBy("dt").parquet(path)
+    logs = read_entity(spark, "logs", path)
+    assert dict(logs.dtypes)["dt"] == "date"
+    found = time_range(logs, S + 86400, S + 86401)
+    assert [r["id"] for r in found.collect()] == ["l1"]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(dt" in plan and "GreaterThanOrEqual(ts" in plan
