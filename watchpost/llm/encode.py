@@ -16,8 +16,8 @@ import re
 
 import numpy as np
 
-PIECES = 200_000
-WORDS = 400_000
+PIECES = 450_000
+WORDS = 700_000
 BATCH = 64
 END_ID = 0
 
