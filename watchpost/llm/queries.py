@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import quality, secrets, token_files
+from . import packing, quality, secrets, token_files
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -33,5 +37,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_token_files, op8_quality, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_token_files, op3_packing, op8_quality, op10_secrets)}
 ORACLES: dict[str, str] = {}
