@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import packing, quality, secrets, token_files
+from . import line_dedup, packing, quality, secrets, token_files
 from .common import table
 
 
@@ -33,9 +33,13 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_token_files, op3_packing, op8_quality, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_token_files, op3_packing, op8_quality, op9_line_dedup, op10_secrets)}
 ORACLES: dict[str, str] = {}
