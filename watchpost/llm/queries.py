@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import line_dedup, packing, quality, secrets, token_files
+from . import decontam, line_dedup, packing, quality, secrets, token_files
 from .common import table
 
 
@@ -23,6 +23,14 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(
+        decontam.find_passages(
+            table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+        )
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -41,5 +49,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_token_files, op3_packing, op8_quality, op9_line_dedup, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_token_files, op2_decontamination, op3_packing, op8_quality, op9_line_dedup, op10_secrets)}
 ORACLES: dict[str, str] = {}
