@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import decontam, line_dedup, packing, quality, secrets, token_files
+from . import decontam, line_dedup, near_dedup, packing, quality, secrets, token_files
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("set")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -49,5 +53,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_token_files, op2_decontamination, op3_packing, op8_quality, op9_line_dedup, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_token_files, op2_decontamination, op3_packing, op6_near_duplicates, op8_quality, op9_line_dedup, op10_secrets)}
 ORACLES: dict[str, str] = {}
