@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import decontam, line_dedup, near_dedup, packing, quality, secrets, token_files
+from . import decontam, line_dedup, near_dedup, packing, quality, secrets, token_files, toxicity
 from .common import table
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -18,7 +18,7 @@ def _tokenizer(name: str) -> str:
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_shards(
-        table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), path
+        table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), path
     )
     return token_files.read_documents(spark, path)
 
@@ -32,13 +32,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("set")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -53,5 +58,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_token_files, op2_decontamination, op3_packing, op6_near_duplicates, op8_quality, op9_line_dedup, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_token_files, op2_decontamination, op3_packing, op6_near_duplicates, op7_toxicity, op8_quality, op9_line_dedup, op10_secrets)}
 ORACLES: dict[str, str] = {}
