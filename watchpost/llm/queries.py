@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
-from . import decontam, line_dedup, near_dedup, packing, quality, secrets, token_files, toxicity, url_filter
+from . import decontam, line_dedup, lm_score, near_dedup, packing, quality, secrets, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return url_filter.judge_urls(pages, url_filter.listed_hosts(pages))
@@ -63,5 +67,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {q.__name__: q for q in (op1_token_files, op2_decontamination, op3_packing, op5_url_filter, op6_near_duplicates, op7_toxicity, op8_quality, op9_line_dedup, op10_secrets)}
+QUERIES = {q.__name__: q for q in (op1_token_files, op2_decontamination, op3_packing, op4_lm_score, op5_url_filter, op6_near_duplicates, op7_toxicity, op8_quality, op9_line_dedup, op10_secrets)}
 ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}
