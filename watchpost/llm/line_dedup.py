@@ -37,22 +37,21 @@ def _masked(line: Column) -> Column:
     return F.trim(F.when(line.rlike("[0-9]"), with_fields).otherwise(line))
 
 
-def _tokens(masked: Column) -> Column:
-    return F.split(masked, r"\s+")
-
-
 def _place(line: Column) -> Column:
-    """struct(template, leaf, n, tokens) of a line."""
+    """struct(template, leaf, n, masked) of a line; its tokens are what stands between spaces."""
 
     def named(masked: Column) -> Column:
-        tokens = _tokens(masked)
+        n = (
+            F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+        )
         return F.struct(
             F.xxhash64(masked).alias("template"),
-            F.xxhash64(F.size(tokens), F.slice(tokens, 1, DEPTH)).alias("leaf"),
-            F.size(tokens).alias("n"),
-            tokens.alias("tokens"),
+            F.xxhash64(n, F.substring_index(masked, " ", DEPTH)).alias("leaf"),
+            n.alias("n"),
+            masked.alias("masked"),
         )
 
+    # a lambda over one element, so that the masked line is made once
     return F.get(F.transform(F.array(_masked(line)), named), 0)
 
 
@@ -89,13 +88,20 @@ def recurring_templates(
     # leaves with several templates: read the lines of their keepers again
     mixed = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     wanted = distinct.join(mixed.select("leaf"), "leaf", "left_semi")
-    full = docs.select(
-        F.struct("doc_id").alias("keeper"), F.explode(F.transform(_lines(), _place)).alias("p")
-    ).select("keeper", "p.*")
-    lines = full.filter(F.col("n") >= min_words).join(
-        wanted.select("template", "keeper", "docs"), ["template", "keeper"]
+    by_doc = wanted.groupBy(F.col("keeper.doc_id").alias("_doc")).agg(
+        F.map_from_entries(F.collect_list(F.struct("template", "docs"))).alias("_wanted")
+    )
+    full = (
+        docs.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")))
+        .select("_wanted", F.explode(_lines()).alias("line"))
+        .select("_wanted", _place(F.col("line")).alias("p"))
+        .select("p.*", F.col("_wanted")[F.col("p.template")].alias("docs"))
+        .filter("docs is not null")
+    )
+    lines = full.dropDuplicates(["template", "leaf", "n"]).select(
+        "template", "leaf", "n", "docs", F.split("masked", " ").alias("tokens")
     )
-    lines = stored(lines.dropDuplicates(["template", "leaf", "n"]), "leaf-lines")
+    lines = stored(lines, "leaf-lines")
     votes = (
         lines.select("leaf", "docs", F.posexplode("tokens").alias("at", "token"))
         .groupBy("leaf", "at", "token")
