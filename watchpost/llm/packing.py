@@ -2,7 +2,7 @@
 
 Documents are encoded once; only those longer than a sequence are cut, into pieces of the full
 length and a rest. What is left of the packing is a histogram of at most ``capacity`` lengths.
-Patterns of one to three lengths that fill a sequence exactly are enumerated, repeat counts are
+Patterns of one to three lengths that fill a sequence are enumerated, repeat counts are
 fitted to the histogram by non-negative least squares (multiplicative updates), rounded to what the
 histogram holds, and the residual pieces are packed best fit first, longest first. Every step
 works on counts, so the plan has the same bounded size for any corpus.
@@ -30,6 +30,7 @@ from .encode import encoder
 
 CAPACITY = 2048
 FIT_ROUNDS = 120
+RICH = 10
 PIECES = (
     "part int, nth int, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 )
@@ -69,18 +70,28 @@ def cut_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
 
 
 def few_piece_patterns(capacity: int, present: np.ndarray) -> np.ndarray:
-    """Triples of lengths, 0 for none, that fill a sequence and occur in the histogram."""
+    """Triples of lengths of the histogram, 0 for none, that fill a sequence.
+
+    They fill it exactly if there are at least ``RICH`` such patterns for each length. A sparse
+    histogram has fewer; then gaps are let in, one token wider at a time up to a sixteenth.
+    """
     present = present.copy()
     present[0] = True
     lengths = np.flatnonzero(present)
-    found = []
-    for a in lengths[lengths > 0].tolist():
-        # a >= b >= c with a + b + c = capacity
-        b = lengths[(lengths <= a) & (lengths <= capacity - a) & (2 * lengths >= capacity - a)]
-        c = capacity - a - b
-        keep = present[c]
-        found.append(np.stack([np.full(keep.sum(), a), b[keep], c[keep]], 1))
-    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    found, total = [np.zeros((0, 3), np.int64)], 0
+    for filled in range(capacity, capacity - capacity // 16 - 1, -1):
+        for a in lengths[(lengths > 0) & (lengths <= filled)].tolist():
+            # a >= b >= c with a + b + c = filled
+            b = lengths[
+                (lengths <= a) & (lengths <= filled - a) & (2 * lengths >= filled - a)
+            ]
+            c = filled - a - b
+            keep = present[c]
+            found.append(np.stack([np.full(keep.sum(), a), b[keep], c[keep]], 1))
+            total += int(keep.sum())
+        if total >= RICH * len(lengths):
+            break
+    return np.concatenate(found)
 
 
 def fit_counts(patterns: np.ndarray, counts: np.ndarray, rounds: int) -> np.ndarray:
