@@ -16,9 +16,9 @@ import re
 
 import numpy as np
 
-PIECES = 450_000
-WORDS = 700_000
-BATCH = 64
+PIECES = 600_000
+WORDS = 900_000
+BATCH = 128
 END_ID = 0
 
 # letters whose case and composition need no context, then ASCII marks but the apostrophe, which
@@ -81,26 +81,31 @@ class TextEncoder:
     def _learn(self, missing: set[str]) -> None:
         """Remember the ids of pieces; None marks one that cannot stand alone."""
         space = " " if self.keeps_spaces else ""
-        lowers, plain, split, new = self.lowers, PLAIN.fullmatch, [], set()
+        lowers, plain, split, single = self.lowers, PLAIN.fullmatch, [], []
+        parts: set[str] = set()
         for p in missing:
+            if p.isalpha() and p.isascii():
+                single.append(p)
+                continue
             found = plain(p)
             if found:
-                parts = found.groups("")
-                if lowers:
-                    parts = [x.lower() for x in parts]
-                letters, marks, below, rest = parts
+                own = found.groups("")
+                letters, marks, below, rest = [x.lower() for x in own] if lowers else own
                 split.append((p, space + letters, marks, below, rest))
-                new.update((space + letters, marks, below, rest))
+                parts.update((space + letters, marks, below, rest))
             elif space and (not p or p[0].isspace() or p[-1].isspace()):
                 self.pieces[p] = None
             else:
                 self.pieces[p] = self._whole(space + p)
-        words = self.words
-        self._learn_words([w for w in new if w and w not in words])
+        words, pieces = self.words, self.pieces
+        spelt = [p.lower() for p in single] if lowers else [space + p for p in single]
+        parts.update(spelt)
         words[""] = b""
+        self._learn_words([w for w in parts if w not in words])
+        pieces.update(zip(single, map(words.__getitem__, spelt)))
         for p, letters, marks, below, rest in split:
             ids = words[letters] + words[marks]
-            self.pieces[p] = ids + self.line_end + words[below] + words[rest] if below else ids
+            pieces[p] = ids + self.line_end + words[below] + words[rest] if below else ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text (null: empty) and then the end id, as packed bytes."""
@@ -110,8 +115,8 @@ class TextEncoder:
                 if len(memory) > most:
                     memory.clear()
             cut = [(t or "").split(" ") for t in texts[i : i + BATCH]]
-            used = {p for parts in cut for p in parts[self.keeps_spaces :]}
-            self._learn(used - self.pieces.keys())
+            used = set().union(*(parts[self.keeps_spaces :] for parts in cut))
+            self._learn(used.difference(self.pieces))
             for text, parts in zip(texts[i : i + BATCH], cut):
                 out.append(self._joined(text or "", parts) + self.end)
         return out
