@@ -342,6 +342,7 @@ ORACLES: dict[str, str] = {
     "active_hosts": _q([HOSTS], f"""SELECT count(*) AS total_active, count(*) FILTER (up) AS total_up
         FROM hosts WHERE last_reported >= {JAN} + INTERVAL 30 DAY - INTERVAL 12 HOUR"""),
     "host_mute_state": _q([MUTES, fold(AS_OF)], "SELECT * FROM muted", True),
+    "host_mute_state_by_joins": _q([MUTES, fold(AS_OF)], "SELECT * FROM muted", True),
     "hosts_with_mute": _q([MUTES, fold(AS_OF), HOSTS], f"""SELECT name, id, coalesce(muted, false) AS mute,
         CAST(floor(epoch(mute_end)) AS BIGINT) AS mute_end, CAST(floor(epoch(last_reported)) AS BIGINT) AS last_reported,
         up, '{LINK}/hosts?host=' || name AS url

@@ -113,3 +113,27 @@ def test_hosts_with_mute(spark):
     assert rows["a"]["is_muted"] and rows["a"]["mute_end"] is None and rows["a"]["mute_message"] == "why"
     assert rows["b"]["is_muted"] is False
     assert [r["host"] for r in unknown_hosts(hosts, state).collect()] == ["zz"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ties_give_one_answer_for_any_order_and_size(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(60):
+        t = T0 + rng.randrange(6)
+        action = rng.choice(["mute", "mute", "unmute"])
+        e = rng.choice([t + 2, t + 5, None])
+        rows.append(("h", t, rng.randrange(2), action, e, rng.random() < 0.3, rng.choice("ab")))
+    expected = None
+    for order in range(2):
+        rng.shuffle(rows)
+        for fold_rows in (50_000, 0):
+            got = folded(commands(spark, rows), T0 + 100, fold_rows=fold_rows)
+            expected = expected or got
+            assert got == expected
+
+
+def test_a_command_without_a_host_is_an_error(spark):
+    rows = [(None, T0, 0, "mute", None, False, "m")]
+    with pytest.raises(Exception, match="without a host"):
+        fold_mutes(commands(spark, rows), T0 + 1).collect()

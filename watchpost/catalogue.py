@@ -248,6 +248,11 @@ def host_mute_state(spark: SparkSession, d: str) -> DataFrame:
     return mutes.fold_mutes(samples.mute_commands(spark, d), AS_OF)
 
 
+def host_mute_state_by_joins(spark: SparkSession, d: str) -> DataFrame:
+    """The same log, every host resolved the way hosts of any size are."""
+    return mutes.fold_mutes(samples.mute_commands(spark, d), AS_OF, fold_rows=0)
+
+
 def hosts_with_mute(spark: SparkSession, d: str) -> DataFrame:
     state = mutes.fold_mutes(samples.mute_commands(spark, d), AS_OF)
     joined = mutes.with_mute(samples.hosts(spark, d), state)
@@ -406,7 +411,8 @@ _ALL = (
     query_metric_sum, metric_pointlist, list_incidents_page, list_incidents_deep_page, get_incident,
     incidents_ndjson,
     list_monitors, filter_monitors, monitor_summary, evaluate_monitors, evaluate_monitors_grid,
-    list_hosts_page, filter_hosts, active_hosts, host_mute_state, hosts_with_mute, mutes_of_unlisted_hosts,
+    list_hosts_page, filter_hosts, active_hosts, host_mute_state,
+    host_mute_state_by_joins, hosts_with_mute, mutes_of_unlisted_hosts,
     list_dashboards_name, list_dashboards_tags, get_dashboard, current_downtimes,
     schedule_downtimes, expand_downtimes, cancel_downtimes, suppressed_alerts,
     unsuppressed_alerts, alert_summary, stream_metric_rollup, stream_monitor_eval,

@@ -26,7 +26,8 @@ def fold_mutes(
     """The state of every host at ``as_of_s``, with its commands and rejections counted.
 
     ``initial`` holds earlier results ``(host, mute_end, message)`` of hosts still muted when
-    the commands start. Hosts with up to ``fold_rows`` commands are folded one array each; the
+    the commands start. Commands of one host and instant follow each other by ``seq``, then by
+    action, end, override and message, for hosts of any size. Hosts with up to ``fold_rows`` commands are folded one array each; the
     size is checked first, and larger hosts are resolved by joins that never gather a host.
     """
     kind = ts_type(commands, "ts")
@@ -66,8 +67,11 @@ def _as_log(commands: DataFrame, kind) -> DataFrame:
     known = F.when(F.col("action").isin("mute", "unmute"), F.col("action")).otherwise(
         F.raise_error(F.concat(F.lit("unknown mute action "), F.coalesce("action", F.lit("null"))))
     )
+    host = F.when(F.col("host").isNotNull(), F.col("host")).otherwise(
+        F.raise_error(F.lit("mute command without a host"))
+    )
     return commands.select(
-        "host",
+        host.alias("host"),
         "ts",
         "seq",
         known.alias("action"),
@@ -127,8 +131,15 @@ def _fold_large(log: DataFrame) -> DataFrame:
     nodes = (
         log.withColumn("node", F.monotonically_increasing_id())
         .withColumn("resets", (F.col("action") == "unmute") | F.col("override"))
+        # ties are broken as in the array fold: by what the rows say, not by where they lie
+        .withColumn("seq", F.struct("seq", "action", "end", "override", "message"))
         .checkpoint()
     )
+    seq_type = nodes.schema["seq"].dataType
+    first_of_all = F.struct(
+        F.lit(-(2**62)).alias("seq"),
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in seq_type.fields[1:]],
+    )
     self_at = F.struct("ts", "seq", "node", (F.col("action") == "unmute").alias("unmute"), "resets")
     at = self_at.alias("at")
     none = F.when(F.lit(False), self_at)
@@ -146,7 +157,7 @@ def _fold_large(log: DataFrame) -> DataFrame:
     ends = nodes.select(
         "host",
         F.when(after_end, F.col("end")).otherwise(F.col("ts")).alias("ts"),
-        F.when(after_end, F.lit(-(2**62))).otherwise(F.col("seq")).alias("seq"),
+        F.when(after_end, first_of_all).otherwise(F.col("seq")).alias("seq"),
         F.when(after_end, F.lit(0)).otherwise(F.lit(2)).alias("rank"),
         "node",
         none.alias("at"),
