@@ -109,3 +109,26 @@ def test_late_mute_commands_are_kept_aside(spark, tmp_path):
     got = read_mute_state(spark, state, 2, T0 + 3000).collect()
     assert [(r["host"], r["muted"], r["commands"], r["rejected"]) for r in got] == [("h", False, 2, 0)]
     assert spark.read.parquet(f"{state}/1/late").count() == 1
+
+
+def test_a_command_of_the_far_future_holds_up_no_one(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    batches = [
+        [("far", 4_070_908_800, 0, "mute"), ("h", T0, 1, "mute")],
+        [("h", T0 + 500, 2, "unmute")],
+        [("h", T0 + 900, 3, "mute")],
+    ]
+    for i, rows_ in enumerate(batches):
+        spark.createDataFrame([(*r, None, False, "x") for r in rows_], DDL).select(
+            "host", F.timestamp_seconds("t").alias("ts"), "seq", "action",
+            F.timestamp_seconds("e").alias("mute_end"), "override", "message",
+        ).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    schema = spark.read.parquet(str(tmp_path / "in" / "p0")).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(
+        str(tmp_path / "in" / "p*"))
+    state = str(tmp_path / "state")
+    q = stream_mutes(source, state, str(tmp_path / "cp"), 60, {"availableNow": True})
+    assert q.awaitTermination(300)
+    got = read_mute_state(spark, state, 2, T0 + 3000).collect()
+    assert [(r["host"], r["muted"], r["commands"], r["rejected"]) for r in got] == [("h", True, 3, 0)]
+    assert sum(spark.read.parquet(f"{state}/{i}/late").count() for i in range(3)) == 0

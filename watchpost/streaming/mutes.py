@@ -7,6 +7,8 @@ from the same predecessor and writes the same result.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -26,6 +28,7 @@ def stream_mutes(
     checkpoint_dir: str,
     delay_s: int = 600,
     trigger: dict | None = None,
+    not_after_s: float | None = None,
 ) -> StreamingQuery:
     """Keep the mute state of every host in ``state_dir``.
 
@@ -35,28 +38,33 @@ def stream_mutes(
     only its predecessor's folder; older ones are history and may be removed.
     """
     query = (
-        commands.writeStream.foreachBatch(lambda df, n: _apply(df, n, state_dir, delay_s))
+        commands.writeStream.foreachBatch(lambda df, n: _apply(df, n, state_dir, delay_s, not_after_s))
         .option("checkpointLocation", checkpoint_dir)
     )
     return query.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
-def _apply(batch: DataFrame, batch_id: int, state_dir: str, delay_s: int) -> None:
+def _apply(
+    batch: DataFrame, batch_id: int, state_dir: str, delay_s: int, not_after_s: float | None
+) -> None:
     # several answers are taken from the batch; it is read from its source once
     fresh = batch.select(*COMMAND_COLUMNS).persist()
     try:
-        _advance(fresh, batch_id, state_dir, delay_s)
+        now = time.time() if not_after_s is None else not_after_s
+        _advance(fresh, batch_id, state_dir, delay_s, now)
     finally:
         fresh.unpersist()
 
 
-def _advance(fresh: DataFrame, batch_id: int, state_dir: str, delay_s: int) -> None:
+def _advance(
+    fresh: DataFrame, batch_id: int, state_dir: str, delay_s: int, now_s: float
+) -> None:
     spark = fresh.sparkSession
     known, pending, applied_to = _load(spark, state_dir, batch_id - 1)
     at = F.unix_micros("ts")
     late = fresh.filter(at <= applied_to)
     waiting = pending.unionByName(fresh.filter(at > applied_to))
-    newest = waiting.agg(F.max(at)).first()[0]
+    newest = waiting.filter(at <= int(now_s * 1_000_000)).agg(F.max(at)).first()[0]
     up_to = max(applied_to, newest - delay_s * 1_000_000) if newest is not None else applied_to
     folder = f"{state_dir}/{batch_id}"
     waiting.filter(at > up_to).write.mode("overwrite").parquet(f"{folder}/pending")
