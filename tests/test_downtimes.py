@@ -5,7 +5,7 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from watchpost.operators.downtimes import cancel, covers, expand_downtimes, flag_suppressed, suppress
+from watchpost.operators.downtimes import cancel, covers, expand_downtimes, flag_suppressed, rejected_downtimes, suppress
 
 DDL = (
     "id long, scope array<string>, a string, b string, timezone string, monitor_id long,"
@@ -202,3 +202,19 @@ def test_cancel(spark):
     remaining, unknown = cancel(table, asked)
     assert sorted(r["id"] for r in remaining.collect()) == [1, 3]
     assert [r["downtime_id"] for r in unknown.collect()] == [9]
+
+
+def test_rejects_are_listed_and_fail_nothing(spark):
+    day = ("2024-01-01 00:00:00", "2024-01-02 00:00:00")
+    good = row(1, *day, "days", 1)
+    several = list(row(2, *day))
+    several[1] = ["host:a", "env:p"]
+    none = list(row(5, *day))
+    none[1] = None
+    rows = [good, tuple(several), row(3, *day, "days", 1, tz="Mars/Base"), row(4, day[1], day[0]), tuple(none)]
+    df = downtimes(spark, rows)
+    assert {r["id"]: r["reason"] for r in rejected_downtimes(df).collect()} == {
+        2: "several scopes", 3: "unknown time zone", 4: "end not after start", 5: "empty scope",
+    }
+    assert {r["id"] for r in expand_downtimes(df, 1704326400).collect()} >= {1, 2}
+    assert 3 not in {r["id"] for r in expand_downtimes(df, 1704326400).collect()}

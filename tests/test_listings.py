@@ -99,12 +99,25 @@ def test_normalise_downtimes(spark):
         3: "end not after start",
         5: "unknown recurrence type",
         6: "recurrence period below 1",
-        7: "recurrence period below 1",
+        7: "recurrence period not a whole number",
         8: "unknown week day",
         11: "unknown recurrence type",
     }
 
 
+def test_unknown_time_zones_are_rejected(spark):
+    def row(i, zone):
+        return (i, "host:a", T0, T0 + 60, None, zone, None, None, None)
+
+    zones = [None, "UTC", "Europe/Berlin", "+05:30", "Mars/Base", "", "+99:00"]
+    df = spark.createDataFrame([row(i, z) for i, z in enumerate(zones)], REQUEST)
+    valid, rejected = projections.normalise_downtimes(df)
+    assert sorted(r["id"] for r in valid.collect()) == [0, 1, 2, 3]
+    assert {r["id"]: r["reason"] for r in rejected.collect()} == {
+        4: "unknown time zone", 5: "unknown time zone", 6: "unknown time zone",
+    }
+
+
 # paging
 
 

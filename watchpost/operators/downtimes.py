@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.checks import whole
 from ..functions.times import require_utc, ts_sql, ts_type
 from ..session import scratch_root
-from .projections import WEEK_DAYS
+from .projections import WEEK_DAYS, known_zone
 
 HOUR, DAY = 3600, 86_400
 # Bin width for downtimes up to the given length: a downtime meets a few dozen bins at most,
@@ -16,6 +16,20 @@ TIERS = ((HOUR, DAY), (DAY, 30 * DAY), (30 * DAY, 1000 * DAY), (1000 * DAY, None
 OPEN = len(TIERS)
 
 
+def rejected_downtimes(downtimes: DataFrame) -> DataFrame:
+    """Stored downtimes that cannot cover anything, with a ``reason``.
+
+    Expansion and suppression leave these out; reading them here is how one hears of it.
+    """
+    reason = F.expr(
+        f"""CASE WHEN coalesce(size(scope), 0) <= 0 THEN 'empty scope'
+        WHEN size(scope) > 1 THEN 'several scopes'
+        WHEN ts_end <= ts_start THEN 'end not after start'
+        WHEN NOT {known_zone("timezone")} THEN 'unknown time zone' END"""
+    )
+    return downtimes.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
 def expand_downtimes(downtimes: DataFrame, horizon_s: float) -> DataFrame:
     """Every occurrence starting before the horizon or ``until``, whichever is earlier.
 
@@ -23,13 +37,14 @@ def expand_downtimes(downtimes: DataFrame, horizon_s: float) -> DataFrame:
     a clock time stays put over daylight saving, and the 31st falls on the last day of shorter
     months without drifting. Weeks start on Monday. A downtime without recurrence, start or end
     has the one occurrence it states. Adds ``occurrence``, numbered from 0 in the recurrence.
+    Downtimes of an unknown time zone have none; ``rejected_downtimes`` lists them.
     """
     require_utc(downtimes.sparkSession)
     kind = ts_type(downtimes, "ts_start")
     ts = kind.simpleString()
     days = ", ".join(f"'{d}'" for d in WEEK_DAYS)
     planned = (
-        downtimes.selectExpr(
+        downtimes.filter(known_zone("timezone")).selectExpr(
             "*",
             "coalesce(timezone, 'UTC') AS _zone",
             f"least(CAST(recurrence.until AS {ts}), {ts_sql(horizon_s, kind)}) AS _limit",
@@ -90,8 +105,8 @@ def covers(downtimes: DataFrame) -> DataFrame:
     Clipping makes all downtimes that span a whole bin equal, and of those starting together
     only the last to end matters, so a bin of one scope holds at most one row per second and
     restriction, however many downtimes overlap there. Disabled and wrong-way-round downtimes
-    cover nothing; so do those with several scopes, which have no defined meaning. A missing
-    start means always begun.
+    cover nothing; so do those with several scopes, which have no defined meaning and are listed
+    by ``rejected_downtimes``. A missing start means always begun.
 
     ``only`` is what an alert must carry besides the scope: its monitor, one of the monitor
     tags, or nothing.

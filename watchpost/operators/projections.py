@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from zoneinfo import available_timezones
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.times import from_ts
 
+# fixed values: units and week days of a recurrence
 RECURRENCE_UNITS = ("days", "weeks", "months", "years")
 WEEK_DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -72,11 +75,13 @@ def normalise_downtimes(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
         WHEN end <= start THEN 'end not after start'
         WHEN recurrence IS NOT NULL AND NOT coalesce(recurrence.type IN ({units}), false)
           THEN 'unknown recurrence type'
-        WHEN recurrence IS NOT NULL AND NOT coalesce(recurrence.period >= 1
-          AND recurrence.period = floor(recurrence.period), false)
+        WHEN recurrence IS NOT NULL AND NOT coalesce(recurrence.period >= 1, false)
           THEN 'recurrence period below 1'
+        WHEN recurrence.period <> floor(recurrence.period)
+          THEN 'recurrence period not a whole number'
         WHEN size(array_except(recurrence.week_days, array({days}))) > 0
-          THEN 'unknown week day' END"""
+          THEN 'unknown week day'
+        WHEN NOT {known_zone("timezone")} THEN 'unknown time zone' END"""
     )
     judged = requests.withColumn("reason", reason)
     valid = judged.filter("reason IS NULL").selectExpr(
@@ -97,5 +102,11 @@ def normalise_downtimes(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     return valid, judged.filter("reason IS NOT NULL")
 
 
+def known_zone(column: str) -> str:
+    """SQL: whether a time zone is none at all, a region's name, or an offset such as +02:00."""
+    names = _quoted(tuple(sorted(available_timezones())))
+    return f"coalesce({column} IN ({names}) OR {column} RLIKE '^[+-](0[0-9]|1[0-8]):[0-5][0-9]$', true)"
+
+
 def _quoted(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
