@@ -44,12 +44,23 @@ def test_time_range_prunes_days(spark, tmp_path):
         F.timestamp_seconds(F.lit(T0) + F.col("id") * 86400).cast("date").alias("dt"),
     )
     df.write.partitionBy("dt").parquet(str(tmp_path / "t"))
-    found = f.time_range(spark.read.parquet(str(tmp_path / "t")), T0 + 86400, T0 + 2 * 86400 + 1)
+    found = f.time_range(
+        spark.read.parquet(str(tmp_path / "t")), T0 + 86400, T0 + 2 * 86400 + 1, day_col="dt"
+    )
     assert ids(found) == [1, 2]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan
 
 
+def test_a_column_called_dt_changes_nothing_by_itself(spark):
+    df = spark.range(3).select(
+        "id",
+        F.timestamp_seconds(F.lit(T0) + F.col("id")).alias("ts"),
+        F.lit("1999-01-01").cast("date").alias("dt"),
+    )
+    assert ids(f.time_range(df, T0, T0 + 2)) == [0, 1]
+
+
 def test_search_terms(logs):
     assert ids(f.search_rows(logs)) == [1, 2, 3, 4]
     assert ids(f.search_rows(logs, text=("*", ""))) == [1, 2, 3, 4]

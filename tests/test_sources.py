@@ -109,14 +109,14 @@ def test_incidents_and_one_incident(spark, tmp_path):
     one = read_entity(spark, "incident", land_one(tmp_path, "one", {"data": rec}), "json").collect()
     assert many == one and one[0]["created_by"] == "u" and one[0]["commander"] is None
     assert str(one[0]["timeline"][0]["ts"]) == "2022-01-01 00:01:00"
-    with pytest.raises(Exception, match="No incident data returned"):
+    with pytest.raises(Exception, match="the document has no incident"):
         read_entity(spark, "incident", land_one(tmp_path, "none", {"data": None}), "json").collect()
 
 
 @pytest.mark.parametrize("kind,key,message", [
-    ("logs", "data", "No logs data returned"), ("spans", "data", "No traces data returned"),
-    ("incidents", "data", "No incidents data returned"), ("hosts", "host_list", "No hosts data returned"),
-    ("dashboards", "dashboards", "No dashboards data returned"), ("monitors", None, "No monitors data returned"),
+    ("logs", "data", "the document has no logs"), ("spans", "data", "the document has no spans"),
+    ("incidents", "data", "the document has no incidents"), ("hosts", "host_list", "the document has no hosts"),
+    ("dashboards", "dashboards", "the document has no dashboards"), ("monitors", None, "the document has no monitors"),
 ])
 def test_absent_is_an_error_and_empty_is_not(spark, tmp_path, kind, key, message):
     docs = [None] if key is None else [{key: None}, {"meta": {}}]
@@ -169,7 +169,47 @@ def test_date_partitioned_table_is_pruned(spark, tmp_path):
     rows.withColumn("dt", F.col("ts").cast("date")).write.partitionBy("dt").parquet(path)
     logs = read_entity(spark, "logs", path)
     assert dict(logs.dtypes)["dt"] == "date"
-    found = time_range(logs, S + 86400, S + 86401)
+    found = time_range(logs, S + 86400, S + 86401, day_col="dt")
     assert [r["id"] for r in found.collect()] == ["l1"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(dt" in plan and "GreaterThanOrEqual(ts" in plan
+
+
+@pytest.mark.parametrize("kind", ["logs", "downtimes", "metric_points", "monitors", "incident"])
+def test_malformed_documents_raise_for_every_kind(spark, tmp_path, kind):
+    path = tmp_path / "broken"
+    path.write_text('{"series": [{"metric": "cpu", ')
+    with pytest.raises(Exception, match="malformed document"):
+        read_entity(spark, kind, str(path), "json").collect()
+
+
+def test_fractions_of_a_time_are_kept(spark, tmp_path):
+    down = read_entity(spark, "downtimes", land_one(tmp_path, "d", [
+        {"id": 5, "start": 1893456000.5, "end": 1893456001, "scope": ["host:a"]}]), "json").first()
+    assert str(down["ts_start"]) == "2030-01-01 00:00:00.500000"
+    logs = read_entity(spark, "logs", land_one(tmp_path, "l", {"data": [
+        {"id": "a", "attributes": {"timestamp": 1704067200000.5}}]}), "json").first()
+    assert str(logs["ts"]) == "2024-01-01 00:00:00.000500"
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_written_times_are_utc_in_any_session(spark, zone):
+    from watchpost.functions.times import from_ts
+    from watchpost.sources.entities import ndjson_lines
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.range(1).selectExpr(
+            f"timestamp_seconds({S}) AS ts", "timestamp_ntz'2022-01-01 00:00:00.25' AS wall"
+        )
+        units = [from_ts(c, u).alias(f"{c}_{u}") for c in ("ts", "wall") for u in ("s", "ms", "us", "iso")]
+        got = df.select(*units).first()
+        stamp = spark.sql(f"SELECT unix_micros(timestamp_seconds({S})) AS m").first()["m"]
+        assert list(got[:3]) == [S, S * 1000, stamp]
+        assert got["ts_iso"].endswith("Z") and got["wall_iso"] == "2022-01-01T00:00:00.250Z"
+        assert got["wall_ms"] == 1640995200250 and got["wall_s"] == 1640995200
+        line = ndjson_lines(df.select("ts")).first()["value"]
+        assert got["ts_iso"] in line
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

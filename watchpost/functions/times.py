@@ -7,7 +7,7 @@ comparison reaches the Parquet reader.
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -23,7 +23,8 @@ def to_ts(c: Column | str, unit: str) -> Column:
     if unit == "s":
         return F.timestamp_seconds(c)
     if unit == "ms":
-        return F.timestamp_millis(c.cast("long"))
+        # a part of a millisecond is kept down to the microsecond
+        return F.timestamp_micros((c * 1000).cast("long"))
     if unit == "ns":
         # integer division: nanoseconds since 1970 do not fit a double
         whole = c - F.pmod(c, F.lit(1000))
@@ -33,20 +34,41 @@ def to_ts(c: Column | str, unit: str) -> Column:
     raise ValueError(f"unknown time unit {unit!r}")
 
 
+def _utc_micros(c: Column) -> Column:
+    """Microseconds since 1970 of either timestamp type, whatever the session's time zone."""
+    since = c.cast("timestamp_ntz") - F.expr("timestamp_ntz'1970-01-01 00:00:00'")
+    wall = (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
+    return F.when(F.typeof(c) == "timestamp_ntz", wall).otherwise(
+        F.unix_micros(c.cast("timestamp"))
+    )
+
+
 def from_ts(c: Column | str, unit: str) -> Column:
-    """A timestamp as whole seconds (floor), milliseconds (floor), microseconds or ISO text."""
+    """A timestamp as whole seconds (floor), milliseconds (floor), microseconds or ISO text.
+
+    All are UTC, whatever the session's time zone; a TIMESTAMP_NTZ holds the UTC wall clock.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    if unit == "s":
-        return F.unix_timestamp(c)
-    if unit == "ms":
-        return F.unix_millis(c.cast("timestamp"))
+    micros = _utc_micros(c)
     if unit == "us":
-        return F.unix_micros(c.cast("timestamp"))
+        return micros
+    if unit in ("s", "ms"):
+        part = F.lit(1_000_000 if unit == "s" else 1000)
+        return F.call_function("div", micros - F.pmod(micros, part), part)
     if unit == "iso":
-        return F.date_format(c, ISO_MILLIS)
+        seconds = micros.cast("decimal(20,0)") / 1_000_000
+        none = F.lit(0)
+        wall = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(
+            none, none, none, seconds.cast("decimal(18,6)")
+        )
+        return F.date_format(wall, ISO_MILLIS)
     raise ValueError(f"unknown time unit {unit!r}")
 
 
+def utc_day(seconds: float) -> date:
+    return (_EPOCH + timedelta(seconds=seconds)).date()
+
+
 def ts_type(df: DataFrame, col: str) -> T.DataType:
     kind = df.schema[col].dataType
     if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):

@@ -8,21 +8,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.checks import one_of
 from ..functions.predicates import all_of, contains_ci, has_all, search
-from ..functions.times import ts_lit, ts_type
+from ..functions.times import ts_lit, ts_type, utc_day
 
+# fixed values: the states a monitor can be in
 MONITOR_STATES = ("alert", "warn", "no data", "ok")
 
 
-def time_range(df: DataFrame, from_s: float, to_s: float, col: str = "ts") -> DataFrame:
+def time_range(
+    df: DataFrame, from_s: float, to_s: float, col: str = "ts", day_col: str | None = None
+) -> DataFrame:
     """Rows with ``from_s <= col < to_s`` (epoch seconds); an inverted range is empty.
 
-    A table laid out by day in a ``dt`` DATE column is pruned to the days touched.
+    ``day_col`` names a DATE column that holds the UTC day of ``col``, by which the table is laid
+    out; its folders are then pruned to the days touched.
     """
     kind = ts_type(df, col)
     low, high = ts_lit(from_s, kind), ts_lit(to_s, kind)
     pred = (F.col(col) >= low) & (F.col(col) < high)
-    if "dt" in df.columns and df.schema["dt"].dataType.simpleString() == "date":
-        pred = pred & F.col("dt").between(low.cast("date"), high.cast("date"))
+    if day_col is not None:
+        days = [F.lit(utc_day(at)) for at in (from_s, to_s)]
+        pred = pred & F.col(day_col).between(*days)
     return df.filter(pred)
 
 

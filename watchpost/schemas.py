@@ -61,13 +61,13 @@ CANONICAL: dict[str, str] = {
 RAW: dict[str, dict] = {
     "logs": dict(
         envelope="data",
-        required="No logs data returned",
-        record="struct<id: string, type: string, attributes: struct<timestamp: bigint,"
+        required="the document has no logs",
+        record="struct<id: string, type: string, attributes: struct<timestamp: decimal(20,6),"
         " status: string, message: string, service: string, host: string, tags: array<string>>>",
     ),
     "spans": dict(
         envelope="data",
-        required="No traces data returned",
+        required="the document has no spans",
         record="struct<id: string, type: string, attributes: struct<service: string,"
         " name: string, resource: string, trace_id: string, span_id: string, parent_id: string,"
         " start: bigint, duration: bigint, error: int, meta: map<string,string>>>",
@@ -80,28 +80,28 @@ RAW: dict[str, dict] = {
     ),
     "monitors": dict(
         envelope=None,
-        required="No monitors data returned",
+        required="the document has no monitors",
         record="struct<id: bigint, name: string, type: string, message: string,"
         " tags: array<string>, query: string, overall_state: string, created: string,"
         " modified: string>",
     ),
     "hosts": dict(
         envelope="host_list",
-        required="No hosts data returned",
+        required="the document has no hosts",
         record="struct<id: bigint, name: string, aliases: array<string>, apps: array<string>,"
-        " is_muted: boolean, last_reported_time: bigint, meta: map<string,string>,"
+        " is_muted: boolean, last_reported_time: decimal(20,6), meta: map<string,string>,"
         " metrics: map<string,double>, sources: array<string>, up: boolean,"
         " tags: array<string>>",
     ),
     "dashboards": dict(
         envelope="dashboards",
-        required="No dashboards data returned",
+        required="the document has no dashboards",
         record="struct<id: string, title: string, description: string, type: string,"
         " layout_type: string>",
     ),
     "incidents": dict(
         envelope="data",
-        required="No incidents data returned",
+        required="the document has no incidents",
         record="struct<id: string, type: string, attributes: struct<title: string,"
         " created: string, modified: string, status: string, severity: string,"
         " customer_impact_scope: string, customer_impact_start: string,"
@@ -115,13 +115,13 @@ RAW: dict[str, dict] = {
     "downtimes": dict(
         envelope=None,
         required=None,
-        record="struct<id: bigint, active: boolean, disabled: boolean, start: bigint,"
-        " end: bigint, scope: array<string>, message: string, monitor_id: bigint,"
+        record="struct<id: bigint, active: boolean, disabled: boolean, start: decimal(20,6),"
+        " end: decimal(20,6), scope: array<string>, message: string, monitor_id: bigint,"
         " monitor_tags: array<string>, timezone: string, recurrence: struct<type: string,"
-        " period: int, week_days: array<string>, until: bigint>>",
+        " period: int, week_days: array<string>, until: decimal(20,6)>>",
     ),
 }
 # A single incident is the same record, not wrapped in an array.
 RAW["incident"] = dict(
-    RAW["incidents"], required="No incident data returned", single=True
+    RAW["incidents"], required="the document has no incident", single=True
 )

@@ -58,7 +58,10 @@ def _records(docs: DataFrame, kind: str) -> DataFrame:
         records = F.when(records.isNull(), F.raise_error(F.lit(spec["required"]))).otherwise(
             records
         )
-    return docs.select(F.explode(records).alias("r"))
+    # a document that is no JSON is an error for every kind; absent is not the same as broken
+    broken = F.raise_error(F.concat(F.lit("malformed document: "), F.left("value", F.lit(80))))
+    whole = F.try_parse_json("value").isNotNull()
+    return docs.select(F.explode(F.when(whole, records).otherwise(broken)).alias("r"))
 
 
 def _logs(df: DataFrame) -> DataFrame:
@@ -209,6 +212,7 @@ def ndjson_lines(df: DataFrame) -> DataFrame:
             {
                 "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
                 "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'",
+                "timeZone": "UTC",
             },
         ).alias("value")
     )
