@@ -164,6 +164,8 @@ def _floor_div(a: str, b: str) -> str:
 def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> DataFrame:
     """The ids of alerts inside a downtime: same scope, time in ``[start, end)``, restrictions.
 
+    An alert comes once for each of its tags that is covered.
+
     An equi-join on scope, time bin and restriction, so a task looks at the downtimes of one
     bin. Alerts of a hot scope are spread over its bins and, within a bin, over ``salts``
     copies of its (few) downtime rows. Spark broadcasts the downtime side when it measures
@@ -206,7 +208,7 @@ def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> D
         AND size(array_except(m.need, r.has)) = 0"""
     )
     hits = rows.alias("r").join(marks.alias("m"), covered, "left_semi")
-    return hits.select("alert_id").distinct()
+    return hits.select("alert_id")
 
 
 def flag_suppressed(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> DataFrame:
@@ -215,7 +217,7 @@ def flag_suppressed(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) ->
     The alerts are read twice, once for their ids: hand in a table, or checkpoint what is
     costly to compute.
     """
-    hit = covered_alerts(alerts, downtimes, salts).withColumn("_hit", F.lit(True))
+    hit = covered_alerts(alerts, downtimes, salts).distinct().withColumn("_hit", F.lit(True))
     return (
         alerts.join(hit, "alert_id", "left")
         .withColumn("suppressed", F.coalesce("_hit", F.lit(False)))

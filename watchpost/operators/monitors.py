@@ -150,7 +150,11 @@ def evaluate_monitors(
         read = read.filter(F.col("ts") > ts_lit(seen_since_s, kind))
     age = F.lit(as_of_s * 1_000_000) - from_ts("ts", "us")
     back = F.call_function("div", age, F.lit(step_s * 1_000_000))
-    steps = series_steps(average_sets(read, rules, back), rules)
+    # whatever is older than every lookback shares one step, so that history comes to one row
+    # for each tag set before it is shuffled
+    oldest = rules.agg(F.max(F.ceil(F.col("lookback_s") / step_s)).cast("long")).scalar()
+    read = read.withColumn("_back", F.least(back, oldest))
+    steps = series_steps(average_sets(read, rules, F.col("_back")), rules)
     within = F.when(F.col("step") * step_s < F.col("lookback_s"), F.col("value"))
     return (
         steps.join(rules.drop("metric", "scope", "by", "space_agg"), "series")
