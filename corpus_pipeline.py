@@ -12,6 +12,9 @@ from watchpost.llm import decontam, line_dedup, near_dedup, packing, toxicity
 from watchpost.llm.common import stored, table
 from watchpost.llm.queries import tokenizer_path
 
+#: similarity in per cent from which documents are linked; op6_near_duplicates has 85
+NEAR_PERCENT = 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network rejects go."""
@@ -25,7 +28,7 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
-    return near_dedup.keep_one_of_each(docs)
+    return near_dedup.keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

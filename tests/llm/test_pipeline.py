@@ -9,8 +9,9 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 import public_tokenizers
-from watchpost.llm import toxicity
+from watchpost.llm import near_dedup, toxicity
 from watchpost.llm.common import stored, table
+from watchpost.llm.shingles import bands_for, missed
 
 SMALL = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,6 +92,53 @@ def test_one_of_each_group_of_near_copies_stays(stages):
     assert set(after) == {d for d in docs if top(d) == d}
 
 
+def changed(words, swaps):
+    out = list(words)
+    for k in range(swaps):
+        out[20 + 40 * k] = f"other{k}"
+    return " ".join(out)
+
+
+def test_near_copies_are_linked_from_80_per_cent_on(spark):
+    words = [f"w{k}" for k in range(404)]
+    # five shingles of 400 for each word changed
+    texts_in = {1: " ".join(words), 2: changed(words, 8), 3: " ".join(words[:300]), 4: "alone here"}
+    share = len(shingles(texts_in[1]) & shingles(texts_in[2])) / len(
+        shingles(texts_in[1]) | shingles(texts_in[2])
+    )
+    assert 0.80 <= share < 0.85
+    docs = spark.createDataFrame(list(texts_in.items()), "doc_id bigint, text string")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert set(texts(got)) == {1, 3, 4}
+    # the query's own rule stays at 85
+    at_85 = near_dedup.near_duplicates(docs).filter("kept").collect()
+    assert {r["doc_id"] for r in at_85} == {1, 2, 3, 4}
+
+
+def test_one_of_each_group_at_80_per_cent_stays(stages):
+    before, after = texts(stages[2]), texts(stages[3])
+    sets = {d: shingles(t) for d, t in before.items()}
+    docs, group = sorted(before), {d: d for d in before}
+
+    def top(d):
+        while group[d] != d:
+            d = group[d]
+        return d
+
+    for k, a in enumerate(docs):
+        for b in docs[:k]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                group[max(top(a), top(b))] = min(top(a), top(b))
+    assert set(after) == {d for d in docs if top(d) == d}
+
+
+def test_bands_follow_the_threshold():
+    assert bands_for(85) == 48 and bands_for(80) == 64
+    assert missed(80, bands_for(80)) < 1e-7 < missed(80, 48)
+    assert near_dedup.sketch_margin(85) == near_dedup.SKETCH_MARGIN < near_dedup.sketch_margin(80)
+
+
 def test_documents_with_benchmark_passages_go(spark, stages):
     before, after = texts(stages[3]), texts(stages[4])
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

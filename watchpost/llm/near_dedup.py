@@ -12,9 +12,9 @@
    comes out is a spanning forest of confirmed links, at most one link for a class and task.
 4. Components of the confirmed links give the result.
 
-With eight values in each of 48 bands, a pair at the threshold of 0.85 shares no band with a
-probability of 2.4e-7; the sketch estimate has a standard deviation of 0.02 there and is cut
-at 0.74.
+The bands follow from the threshold. With eight values in each of 48 bands, a pair at 0.85 shares
+no band with a probability of 2.4e-7, and with six in each of 64 a pair at 0.80 with 3.6e-9. The
+sketch estimate has a standard deviation of 0.02 at 0.85 and is cut at 0.74, and at 0.68 for 0.80.
 
 Cases: null, empty and blank texts have an empty set and are linked with nothing. Repeated rows are
 one class. A null ``doc_id`` counts only where a component has no other id. An empty table gives an
@@ -23,6 +23,7 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,7 @@ from .common import stored
 from .components import components
 from .shingles import (
     band_keys,
+    bands_for,
     estimated_similarity,
     minhashes,
     odd_sketch,
@@ -45,21 +47,29 @@ SKETCH_MARGIN = 0.11
 BLOCK = 800
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(0, batch.num_rows, 128):
-            some = batch.slice(i, 128)
-            sets = shingle_sets(some["text"].to_pylist())
-            bands = [band_keys(minhashes(s)) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    some["doc_id"],
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([set_key(s) for s in sets], pa.binary()),
-                    pa.array(bands, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_shingles", "set", "bands"],
-            )
+def sketch_margin(percent: int) -> float:
+    """As many standard deviations of the estimate as ``SKETCH_MARGIN`` is at ``PERCENT``."""
+    return SKETCH_MARGIN * math.sqrt(percent * (100 - percent) / (PERCENT * (100 - PERCENT)))
+
+
+def _features(n_bands: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 128):
+                some = batch.slice(i, 128)
+                sets = shingle_sets(some["text"].to_pylist())
+                bands = [band_keys(minhashes(s), n_bands) if len(s) else [] for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        some["doc_id"],
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([set_key(s) for s in sets], pa.binary()),
+                        pa.array(bands, pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "n_shingles", "set", "bands"],
+                )
+
+    return run
 
 
 FEATURES = "doc_id bigint, n_shingles bigint, set binary, bands array<bigint>"
@@ -161,12 +171,15 @@ def _confirm(percent: int, margin: float):
 def near_duplicates(
     docs: DataFrame,
     percent: int = PERCENT,
-    margin: float = SKETCH_MARGIN,
+    margin: float | None = None,
     block: int = BLOCK,
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, set (its name), component_id and kept."""
     texts = docs.select("doc_id", "text")
-    features = stored(texts.mapInArrow(_features, FEATURES), "shingle-features")
+    margin = sketch_margin(percent) if margin is None else margin
+    features = stored(
+        texts.mapInArrow(_features(bands_for(percent)), FEATURES), "shingle-features"
+    )
     classes = stored(
         features.filter("n_shingles > 0")
         .groupBy("set")

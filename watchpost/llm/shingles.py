@@ -7,7 +7,9 @@ import numpy as np
 from .common import SPACED, Words, mix
 
 SHINGLE = 5
-HASHES, BANDS = 384, 48
+HASHES = 384
+#: the most a pair at the threshold may be missed with
+MISSED = 2.5e-7
 SKETCH_BITS = 2048
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -54,10 +56,22 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return best
 
 
-def band_keys(mins: np.ndarray) -> np.ndarray:
-    """One 64-bit key for each run of ``HASHES / BANDS`` minima."""
-    rows = mins.reshape(BANDS, -1).astype(np.uint64)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+def bands_for(percent: int) -> int:
+    """The fewest bands in which a pair at ``percent`` is missed with at most ``MISSED``."""
+    bands = [b for b in range(1, HASHES + 1) if HASHES % b == 0]
+    found = [b for b in bands if missed(percent, b) <= MISSED]
+    return found[0] if found else HASHES
+
+
+def missed(percent: int, bands: int) -> float:
+    """The probability with which a pair of this similarity shares no band."""
+    return (1 - (percent / 100) ** (HASHES // bands)) ** bands
+
+
+def band_keys(mins: np.ndarray, bands: int) -> np.ndarray:
+    """One 64-bit key for each run of ``HASHES / bands`` minima."""
+    rows = mins.reshape(bands, -1).astype(np.uint64)
+    key = np.arange(1, bands + 1, dtype=np.uint64)
     for k in range(rows.shape[1]):
         key = mix(key * _STEP + rows[:, k])
     return key.view(np.int64)
