@@ -302,6 +302,29 @@ def test_windows_cover_every_word():
     assert len(np.unique(inputs.windows[inputs.owner == 3])) == 200
 
 
+@pytest.mark.parametrize("size", [1, 15, 16, 17, 24, 25, 40, 5000])
+def test_every_byte_of_a_long_word_is_read(size):
+    rng = np.random.default_rng(size)
+    glued = "".join(chr(97 + k) for k in rng.integers(0, 26, size))
+    w = toxicity.Pieces(["two words", glued, "", "end"], toxicity.SPACED)
+    assert w.ends[0] == 2 and w.ends[3] - w.ends[2] == 1 and w.ends[2] == w.ends[1]
+    pieces = [w.word(k) for k in range(w.ends[0], w.ends[1])]
+    assert max(map(len, pieces)) <= toxicity.CHARS
+    # each run of three letters stands whole in some piece
+    inside = {p[k : k + 3] for p in pieces for k in range(max(len(p) - 2, 1))}
+    assert {glued[k : k + 3] for k in range(max(size - 2, 1))} == inside
+    assert pieces[0] == glued[:16] and glued.endswith(pieces[-1])
+
+
+def test_what_follows_in_a_long_word_counts():
+    net, start = toxicity.Network(1), "perfectly_fine_s"
+    texts = [start + "_and_friendly", start + "_you_idiot", "\u4f60\u597d\u4e16\u754c\u5927" * 9 + "\u597d", "\u4f60\u597d\u4e16\u754c\u5927" * 9 + "\u574f"]
+    logits = net.text_logits(texts)
+    assert abs(logits[0] - logits[1]) > 1e-4 and abs(logits[2] - logits[3]) > 1e-4
+    # a long word fills windows as its pieces do
+    assert len(toxicity.Inputs(["x" * 5000]).windows) == 19
+
+
 def test_toxicity_with_one_class(spark, docs):
     labels = spark.createDataFrame([(1, 1, 1)], "doc_id bigint, quality int, toxic int")
     assert toxicity.fit(docs, labels) in (0.0, 1.0)

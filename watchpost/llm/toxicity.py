@@ -1,7 +1,8 @@
 """Toxicity of whole texts: a bidirectional gated recurrent network with attention pooling.
 
 A word's input is the sum of a word embedding (by hash; zero until trained) and the mean of its
-character-trigram embeddings. Windows of ``WINDOW`` words that overlap by half cover the whole
+character-trigram embeddings. A word of more than ``CHARS`` bytes is read as pieces of that size
+that overlap by half, each in the place of a word, so a text without spaces is read whole. Windows of ``WINDOW`` words that overlap by half cover the whole
 text. In each, a gated recurrent unit runs in both directions, attention weighs its states, and a
 logistic unit scores the pooled state. A text's logit is its highest window's, put on a probability
 scale by a logistic fit over the training texts at the labels' own proportions.
@@ -32,7 +33,7 @@ from .common import SPACED, Words, mix
 WINDOW, STRIDE = 64, 32
 SAMPLE = 1500
 WORD_SLOTS, CHAR_SLOTS, WIDTH, STATES = 1 << 16, 1 << 13, 8, 8
-CHARS = 16
+CHARS, PIECE_STRIDE = 16, 8
 ROUNDS, BATCH, RATE, SEED = 4, 128, 0.02, 7
 FOLDS = 5
 
@@ -41,15 +42,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+class Pieces(Words):
+    """Words, the longer ones cut into overlapping pieces of ``CHARS`` bytes."""
+
+    def _hash(self) -> np.ndarray:
+        length = self.stops - self.starts
+        pieces = 1 - np.minimum(CHARS - length, 0) // PIECE_STRIDE
+        before = np.concatenate([[0], np.cumsum(pieces)])
+        owner = np.repeat(np.arange(len(length)), pieces)
+        step = (np.arange(before[-1]) - before[owner]) * PIECE_STRIDE
+        # the last piece ends with the word
+        step = np.minimum(step, np.maximum(length - CHARS, 0)[owner])
+        self.starts = self.starts[owner] + step
+        self.stops = np.minimum(self.starts + CHARS, self.stops[owner])
+        self.ends = before[self.ends]
+        return super()._hash()
+
+
 class Inputs:
-    """Distinct words of some texts, their slots, and the windows over them.
+    """Distinct words and pieces of some texts, their slots, and the windows over them.
 
     ``windows`` holds places in the list of distinct words, -1 for padding; ``owner`` the text of
     each window.
     """
 
     def __init__(self, texts: list[str | None]):
-        w = Words(texts, SPACED)
+        w = Pieces(texts, SPACED)
         _, first, at = np.unique(w.hashes, return_index=True, return_inverse=True)
         self.words = (w.hashes[first] % np.uint64(WORD_SLOTS)).astype(np.int64)
         self.chars, self.n_chars = self._trigrams(w, first)
@@ -76,7 +94,7 @@ class Inputs:
 
     @staticmethod
     def _trigrams(w: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size = np.minimum(w.stops[first] - w.starts[first], CHARS)
+        size = w.stops[first] - w.starts[first]
         at = np.arange(CHARS)
         inside = at < size[:, None]
         # the texts are followed by a line end, so a place one off a word exists or is clipped
