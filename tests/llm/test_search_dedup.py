@@ -202,3 +202,26 @@ def test_line_dedup_keeps_rows_and_columns(clashing, no_docs, rows):
     got = line_dedup.drop_recurring_lines(clashing)
     assert got.columns == clashing.columns and got.count() == len(rows)
     assert line_dedup.drop_recurring_lines(no_docs).count() == 0
+
+
+def test_a_leaf_has_a_template_for_each_family(spark):
+    names = "abcdefghij"
+    first = [f"first{chr(97 + k)}" for k in range(26)]
+    second = [f"second{chr(97 + k)}" for k in range(26)]
+    lines = {}
+    for k in range(6):
+        body = list(first)
+        body[7], body[15] = f"to{names[k]}", f"from{names[k]}"
+        lines[k] = " ".join(["the", "following", "is", "a", *body])
+    for k in range(6, 10):
+        body = list(second)
+        body[3], body[20] = f"to{names[k]}", f"from{names[k]}"
+        lines[k] = " ".join(["the", "following", "is", "a", *body])
+    # lines that have nothing but the leaf in common with others
+    for k in range(10, 60):
+        body = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j)}" for j in range(26)]
+        lines[k] = " ".join(["the", "following", "is", "a", *body])
+    frame = spark.createDataFrame(list(lines.items()), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(frame).collect()}
+    assert {k for k, text in got.items() if text} == {0, 6, *range(10, 60)}
+    assert all(text in ("", lines[k]) for k, text in got.items())

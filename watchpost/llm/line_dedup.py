@@ -2,9 +2,14 @@
 
 A line falls down a tree of fixed depth: first by its number of tokens, then by its leading
 tokens, with tokens that hold a digit read as a variable field. Lines that are equal but for such
-fields have one template. In a leaf with several of them the commonest token at each position,
-weighted by documents, makes a general template, and lines that agree with it in ``SIMILAR`` of
-their positions belong to it; what differs is a variable field as well.
+fields have one template. Lines of a leaf that agree in one of several runs of positions are a group; the
+runs are so many that a line that agrees with a template in ``SIMILAR`` of its positions agrees with
+it in all of some run. In a group the commonest token at each position, weighted by documents, makes
+a general template, and lines that agree with it in ``SIMILAR`` of their positions belong to it;
+what differs is a variable field as well. The lines left over are grouped again until no template
+gets two of them, so a leaf may have any number of general templates.
+
+A line may belong to several; the smallest document that keeps one of them counts.
 
 A template recurs if it stands in at least ``LONG_DOCS`` documents, or in ``SHORT_DOCS`` if it has
 fewer than ``LONG_WORDS`` tokens; lines of fewer than ``MIN_WORDS`` stay. Lines of a recurring
@@ -59,6 +64,53 @@ def _lines() -> Column:
     return F.split("text", "\n")
 
 
+def _runs(similar: float) -> Column:
+    """A key for each run of positions of a line: one run more than positions may differ."""
+    n = F.col("n").cast("int")
+    k = (n - F.ceil(F.lit(similar) * n) + 1).cast("int")
+
+    def key(at: Column) -> Column:
+        low, high = F.floor(at * n / k).cast("int"), F.floor((at + 1) * n / k).cast("int")
+        return F.xxhash64("leaf", at, F.slice("tokens", low + 1, high - low))
+
+    return F.transform(F.sequence(F.lit(0), k - 1), key)
+
+
+def general_templates(lines: DataFrame, similar: float) -> DataFrame:
+    """(template, group) of the lines that a general template has in common with others."""
+    spread = lines.select("template", F.explode(_runs(similar)).alias("group"))
+    # runs that the same lines agree in are one group
+    same = spread.groupBy("group").agg(
+        F.count(F.lit(1)).alias("k"),
+        F.bit_xor("template").alias("name"),
+        F.bit_xor(F.xxhash64("template")).alias("name2"),
+    )
+    groups = same.filter("k > 1").groupBy("k", "name", "name2").agg(F.min("group").alias("group"))
+    grouped = spread.join(groups.select("group"), "group").join(lines, "template")
+    votes = (
+        grouped.select("group", "docs", F.posexplode("tokens").alias("at", "token"))
+        .groupBy("group", "at", "token")
+        .agg(F.sum("docs").alias("votes"))
+        .groupBy("group", "at")
+        .agg(F.max(F.struct("votes", "token"))["token"].alias("token"))
+    )
+    general = votes.groupBy("group").agg(
+        F.sort_array(F.collect_list(F.struct("at", "token"))).alias("common")
+    )
+    agree = F.size(
+        F.filter(
+            F.zip_with("tokens", "common", lambda t, c: t == c["token"]), lambda same: same
+        )
+    )
+    members = (
+        grouped.join(general, "group")
+        .filter(agree >= similar * F.col("n"))
+        .select("template", "group")
+    )
+    several = members.groupBy("group").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
+    return members.join(several.select("group"), "group").select("template", "group")
+
+
 def recurring_templates(
     docs: DataFrame,
     similar: float = SIMILAR,
@@ -102,26 +154,13 @@ def recurring_templates(
         "template", "leaf", "n", "docs", F.split("masked", " ").alias("tokens")
     )
     lines = stored(lines, "leaf-lines")
-    votes = (
-        lines.select("leaf", "docs", F.posexplode("tokens").alias("at", "token"))
-        .groupBy("leaf", "at", "token")
-        .agg(F.sum("docs").alias("votes"))
-        .groupBy("leaf", "at")
-        .agg(F.max(F.struct("votes", "token"))["token"].alias("token"))
-    )
-    general = votes.groupBy("leaf").agg(
-        F.sort_array(F.collect_list(F.struct("at", "token"))).alias("common")
-    )
-    agree = F.size(
-        F.filter(
-            F.zip_with("tokens", "common", lambda t, c: t == c["token"]), lambda same: same
-        )
-    )
-    members = (
-        lines.join(general, "leaf")
-        .filter(agree >= similar * F.col("n"))
-        .select("template", F.col("leaf").alias("group"))
-    )
+    members = None
+    while True:
+        found = stored(general_templates(lines, similar), "line-groups")
+        members = found if members is None else members.unionByName(found)
+        if not found.limit(1).count():
+            break
+        lines = stored(lines.join(found.select("template"), "template", "left_anti"), "leaf-lines")
 
     # a general template stands for all its members; any other line for itself
     joined = distinct.join(members, "template", "left")
@@ -142,7 +181,7 @@ def recurring_templates(
         )
     )
     templates = alone.select("template", "keeper").unionByName(
-        grouped.select("template", F.col("first").alias("keeper"))
+        grouped.groupBy("template").agg(F.min("first").alias("keeper"))
     )
     return seen, templates
 
