@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 from . import (
-    decontam, line_dedup, lm_score, near_dedup, packing, quality, secrets, token_files, toxicity,
-    url_filter, whitening,
+    decontam, line_dedup, lm_score, mixing, near_dedup, packing, quality, secrets,
+    token_files, toxicity, url_filter, whitening,
 )
 from .common import table
 
@@ -74,9 +74,14 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mix(table(spark, sf_dir, "documents")).report()
+
+
 _ALL = (
     op1_token_files, op2_decontamination, op3_packing, op4_lm_score, op5_url_filter,
-    op6_near_duplicates, op7_toxicity, op8_quality, op9_line_dedup, op10_secrets, op12_whitening,
+    op6_near_duplicates, op7_toxicity, op8_quality, op9_line_dedup, op10_secrets,
+    op12_whitening, op13_mixing,
 )
 QUERIES = {q.__name__: q for q in _ALL}
 ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}
