@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import scratch_path
 from . import (
     decontam, line_dedup, lm_score, mixing, near_dedup, packing, quality, secrets,
-    token_files, toxicity, url_filter, whitening,
+    token_alignment, token_files, toxicity, url_filter, whitening,
 )
 from .common import table
 
@@ -70,6 +70,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(
+        table(spark, sf_dir, "documents"),
+        tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"),
+    )
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -81,7 +89,7 @@ def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_token_files, op2_decontamination, op3_packing, op4_lm_score, op5_url_filter,
     op6_near_duplicates, op7_toxicity, op8_quality, op9_line_dedup, op10_secrets,
-    op12_whitening, op13_mixing,
+    op11_token_alignment, op12_whitening, op13_mixing,
 )
 QUERIES = {q.__name__: q for q in _ALL}
 ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}
