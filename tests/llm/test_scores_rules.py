@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -185,6 +186,34 @@ def hot_by_hand(run, window, bits):
     return low, high
 
 
+def entropy_by_hand(text):
+    """Spans of entropy by the rules as they are told: runs, allow-list, windows, plain matches."""
+    plain = [(m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    plain += [(m.start(), m.end()) for m in re.finditer(r"AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}", text)]
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{24,}", text):
+        run = m[0]
+        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run)):
+            continue
+        if re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+            continue
+        if re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}[T_]?[0-9Z+-]*", run):
+            continue
+        words = re.split("[/_-]", run.removeprefix("/"))
+        if len(words) > 1 and all(re.fullmatch("[A-Za-z]+", w) for w in words[:-1]):
+            if re.fullmatch("[A-Za-z0-9]{0,12}", words[-1]):
+                continue
+        low, high = hot_by_hand(run, 24, 3.0 if re.fullmatch("[0-9a-fA-F]+", run) else 3.75)
+        left = [i for i in range(m.start() + low, m.start() + high) if high > 0 and not any(a <= i < b for a, b in plain)]
+        while left:
+            n = 1
+            while n < len(left) and left[n] == left[0] + n:
+                n += 1
+            out += [(left[0], left[0] + n)] * (n >= 8)
+            left = left[n:]
+    return out
+
+
 def test_incremental_entropy_equals_counting(spark):
     rng = np.random.default_rng(9)
     runs = ["".join(rng.choice(list("abcdefXYZ0123"), rng.integers(24, 80))) + "Z9" for _ in range(20)]
@@ -196,6 +225,64 @@ def test_incremental_entropy_equals_counting(spark):
         assert spans == ([(low, high)] if high > 0 else [])
 
 
+def secret_texts():
+    rng = np.random.default_rng(11)
+    alphabet = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+    key = lambda n: "".join(rng.choice(alphabet, n))
+    hexa = "".join(rng.choice(list("0123456789abcdef"), 40))
+    texts = [
+        f"Path 2024-05-01/{key(30)} holds it", "at 2024-05-01T10-20-30-123456Z all was well",
+        f"token={key(20)}.{key(40)} and more", f"{key(30)}AKIA{'AB12' * 4}{key(30)}", f"{key(40)}/{hexa}/{key(50)}",
+        f"DEADBEEF01234567{hexa[:16].upper()}", f"{hexa[:24]} short", "01234567" * 3 + "a", "a/b/c/some/plain/words/and/more/x12",
+        f"secret: {key(30)} secret: {key(30)}", f"data:image/png;base64,{key(2000)}==", "some_long_name_of_a_thing_with_2_parts_a1",
+        f"caf\u00e9 \U0001f600 {key(33)}", "1a" * 30, f"{key(25)}\n{key(24)}", "aaaa1" * 9,
+    ]
+    pool = ["plain words", "x=1", "token: ", hexa, "AKIA" + "Q7" * 8, "/", "-", " ", "\n"]
+    for _ in range(150):
+        texts.append("".join(str(rng.choice(pool)) if rng.random() < 0.6 else key(rng.integers(5, 60)) for _ in range(rng.integers(1, 12))))
+    return texts
+
+
+def test_entropy_spans_equal_counting_by_hand(spark):
+    """On texts like those of the table, with keys the plain patterns do not know."""
+    texts = secret_texts()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = secrets.find_secrets(frame).collect()
+    added = 0
+    for r in got:
+        spans = [(s["start"], s["end"]) for s in r["added"]]
+        assert spans == entropy_by_hand(texts[r["doc_id"]]), texts[r["doc_id"]]
+        added += len(spans)
+    assert len(got) == len(texts) and added > 100
+
+
+def test_very_long_runs_and_very_many_matches_end_soon(spark):
+    """A megabyte of base64, of path parts, of one letter; a hundred thousand matches in a text."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
+    base64 = rng.choice(letters, 1_000_000).tobytes().decode()
+    texts = [
+        base64, "ab/" * 333_000 + "1b", "ab/" * 333_000 + "1b" * 20, "x" * 1_000_000, "1g" * 500_000,
+        "token=abcdefgh " * 100_000, "2024-05-01" + "-0" * 500_000, f"{'0123456789abcdef' * 2} " * 30_000,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    begun = time.time()
+    got = {r["doc_id"]: r for r in secrets.report(secrets.find_secrets(frame)).collect()}
+    assert time.time() - begun < 120
+    assert got[0]["spans"] == "entropy:0:1000000"
+    assert got[1]["spans"] == got[3]["spans"] == got[4]["spans"] == got[6]["spans"] == ""
+    assert got[5]["n_assign"] == 100_000 and got[7]["n_hex"] == 30_000
+
+
+def test_secrets_of_odd_rows(spark):
+    schema = "doc_id bigint, text string, base string, added string, _text string, _runs string"
+    rows = [(None, "token=abcdefgh"), (None, None), (1, "same token=abcdefgh"), (1, "same token=abcdefgh"), (1, "")]
+    frame = spark.createDataFrame([(k, t, "a", "b", "c", "d") for k, t in rows], schema)
+    got = sorted((r["doc_id"] is None, r["spans"]) for r in secrets.report(secrets.find_secrets(frame)).collect())
+    assert got == [(False, ""), (False, "assign:5:19"), (False, "assign:5:19"), (True, ""), (True, "assign:0:14")]
+    assert secrets.report(secrets.find_secrets(frame.limit(0))).collect() == []
+
+
 URLS = [
     "http://www.example.com/en/1", "https://a.www.Example.COM/en/x?y#z", "http://m.example.com/en/",
     "http://example.com/en", "ftp://x.net/es/1", "x.net/es/1", None, "", "http://com/", "http://com",

@@ -3,21 +3,26 @@
 Everything is SQL functions, one row in and one row out, with no exchange. Matches are bracketed
 by two noncharacters and the places read off the pieces between them, so that places are code
 points. Noncharacters of that kind in a text are first replaced one for one, which moves nothing
-and touches no character that a pattern can match.
+and touches no character that a pattern can match. No pattern repeats a group that has to be
+remembered, so that a run of any length is matched without recursion.
 
 Entropy: a candidate is a run of key characters with a letter and a digit. A window slides over
-it; the counts of its characters and the sum of n*log2(n) change by the one character that enters
-and the one that leaves, and give the Shannon entropy of each window. Hexadecimal runs and mixed
-ones have thresholds of their own. The span runs from the first window above the threshold to the
-end of the last. Runs on the allow-list and spans that touch a plain match are left out.
+it; the counts of its characters, a string with one character for each, and the sum of n*log2(n),
+a whole number at a fixed scale, change by the one character that enters and the one that leaves,
+and give the Shannon entropy of each window. Hexadecimal runs and mixed ones have thresholds of
+their own. The span runs from the first window at the threshold to the end of the last. Runs on
+the allow-list are left out; what plain matches cover is cut off a span, and what is left of it
+counts from ``PIECE`` characters on.
 
 Cases: a null text is an empty one. Rows are judged on their own, so repeated rows and null or
-equal ids give a row each. Other columns are ignored.
+equal ids give a row each. Work grows with the length of a text; lists of matches are put together
+in blocks, as appending to one long list would copy it every time. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -40,36 +45,69 @@ WINDOW = 24
 HEX_BITS, MIXED_BITS = 3.0, 3.75
 #: runs that look random and are no secrets: UUIDs, dates and times, paths of plain words
 ALLOWED = (
-    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    r"^/?([A-Za-z]+[/_-])+[A-Za-z0-9]{0,12}$",
+    r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_]?[0-9Z+-]*$",
+    r"^/?(?:[A-Za-z]++[/_-])++[A-Za-z0-9]{0,12}$",
 )
+#: characters of a cut span that still count
+PIECE = 8
+#: the sum of n*log2(n) is kept as whole multiples of one part in this
+SCALE = 1 << 32
+#: items of a list that are worked off before they are added to the result
+STRETCH = 300
 
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 _SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, as the variable of a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _walk(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """struct(state, out): ``step`` gives the next state and an array to append, item after item."""
+    none = F.expr(f"cast(array() as array<{kind}>)")
+
+    def held(now: Column, out: Column) -> Column:
+        return F.struct(now.alias("state"), out.alias("out"))
+
+    def one(so_far: Column, item: Column) -> Column:
+        now, more = step(so_far["state"], item)
+        return held(now, F.concat(so_far["out"], more))
+
+    def stretch(so_far: Column, k: Column) -> Column:
+        part = F.slice(items, k * STRETCH + 1, F.lit(STRETCH))
+        worked = F.aggregate(part, held(so_far["state"], none), one)
+        return _bound(worked, lambda w: held(w["state"], F.concat(so_far["out"], w["out"])))
+
+    last = F.floor((F.size(items) - 1) / STRETCH).cast("int")
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(
+        F.expr("cast(array() as array<int>)")
+    )
+    return F.aggregate(numbers, held(state, none), stretch)
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct(start, found)> of the leftmost non-overlapping matches."""
+    kind = "struct<start:bigint,found:string>"
     marked = F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}")
-    parts = F.split(marked, _OPEN)
 
-    def step(state: Column, part: Column) -> Column:
+    def step(at: Column, part: Column) -> tuple[Column, Column]:
         found = F.substring_index(part, _CLOSE, 1)
-        return F.struct(
-            (state["at"] + F.length(part) - 1).cast("bigint").alias("at"),
-            F.concat(
-                state["out"], F.array(F.struct(state["at"].alias("start"), found.alias("found")))
-            ).alias("out"),
+        return (
+            (at + F.length(part) - 1).cast("bigint"),
+            F.array(F.struct(at.alias("start"), found.alias("found"))),
         )
 
-    start = F.struct(
-        F.length(F.element_at(parts, 1)).cast("bigint").alias("at"),
-        F.expr("cast(array() as array<struct<start:bigint,found:string>>)").alias("out"),
-    )
-    walked = F.aggregate(F.slice(parts, 2, F.size(parts)), start, step, lambda s: s["out"])
-    none = F.expr("cast(array() as array<struct<start:bigint,found:string>>)")
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    def places(parts: Column) -> Column:
+        first = F.length(F.get(parts, F.lit(0))).cast("bigint")
+        return _bound(
+            F.slice(parts, F.lit(2), F.size(parts)), lambda rest: _walk(rest, first, kind, step)["out"]
+        )
+
+    none = F.expr(f"cast(array() as array<{kind}>)")
+    return F.when(text.rlike(pattern), _bound(F.split(marked, _OPEN), places)).otherwise(none)
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -84,48 +122,107 @@ def _spans(found: Column, kind: int) -> Column:
 
 
 def _hot_range(found: Column, window: int, hex_bits: float, mixed_bits: float) -> Column:
-    """struct(low, high): from the first window above its threshold to the end of the last."""
-    codes = F.transform(F.split(found, ""), lambda c: F.ascii(c))
-    bits = F.when(found.rlike("^[0-9a-fA-F]+$"), F.lit(hex_bits)).otherwise(F.lit(mixed_bits))
-
-    def weight(n: Column) -> Column:
-        return F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-
-    def step(state: Column, i: Column) -> Column:
-        enters = F.get(codes, i)
-        leaves = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
-        gone, come = F.get(state["counts"], leaves), F.get(state["counts"], enters)
-        changed = F.when(
-            enters == leaves, state["total"]
-        ).otherwise(
-            state["total"]
-            + weight(come + 1)
-            - weight(come)
-            + F.when(leaves >= 0, weight(gone - 1) - weight(gone)).otherwise(F.lit(0.0))
-        )
-        counts = F.transform(
-            state["counts"],
-            lambda n, k: n + (k == enters).cast("int") - (k == leaves).cast("int"),
-        )
-        hot = (i >= window - 1) & (F.log2(F.lit(float(window))) - changed / window >= bits)
-        return F.struct(
-            counts.alias("counts"),
-            changed.alias("total"),
-            F.when(hot & (state["low"] < 0), i - window + 1).otherwise(state["low"]).alias("low"),
-            F.when(hot, i + 1).otherwise(state["high"]).alias("high"),
+    """struct(low, high): from the first window at its threshold to the end of the last."""
+    weight = [round(n * math.log2(n) * SCALE) if n else 0 for n in range(window + 2)]
+    up = F.array(*[F.lit(b - a) for a, b in zip(weight, weight[1:])])
+
+    def most(bits: float) -> Column:
+        # rounding of the weights must not cost a window exactly at the threshold
+        return F.lit(int((math.log2(window) - bits) * window * SCALE) + window)
+
+    limit = F.when(found.rlike("^[0-9a-fA-F]+$"), most(hex_bits)).otherwise(most(mixed_bits))
+
+    def count(state: Column, c: Column) -> Column:
+        return F.ascii(F.substring(state["counts"], F.ascii(c) + 1, F.lit(1)))
+
+    def put(counts: Column, c: Column, n: Column) -> Column:
+        return F.overlay(counts, F.chr(n), F.ascii(c) + 1, F.lit(1))
+
+    def judged(state: Column, low: str, high: str) -> list[Column]:
+        """The bounds after the window that ends at the last character read."""
+        hot = (state["i"] >= window) & (state["total"] <= state["limit"])
+        return [
+            F.when(hot & (state[low] < 0), state["i"] - window).otherwise(state[low]).alias(low),
+            F.when(hot, state["i"]).otherwise(state[high]).alias(high),
+        ]
+
+    def step(state: Column, c: Column) -> Column:
+        leaves = F.substring(state["ring"], 1, 1)
+        full, same = state["i"] >= window, leaves == c
+
+        def changed(n: Column) -> Column:
+            come, gone = n["come"], n["gone"]
+            total = (
+                F.when(full & same, state["total"])
+                .when(full, state["total"] + F.get(up, come) - F.get(up, gone - 1))
+                .otherwise(state["total"] + F.get(up, come))
+            )
+            entered = put(state["counts"], c, come + 1)
+            counts = (
+                F.when(full & same, state["counts"])
+                .when(full, put(entered, leaves, gone - 1))
+                .otherwise(entered)
+            )
+            kept = F.when(full, F.substring(state["ring"], 2, window)).otherwise(state["ring"])
+            return F.struct(
+                (state["i"] + 1).alias("i"),
+                F.concat(kept, c).alias("ring"),
+                counts.alias("counts"),
+                total.alias("total"),
+                state["limit"].alias("limit"),
+                *judged(state, "low", "high"),
+            )
+
+        return _bound(
+            F.struct(count(state, c).alias("come"), count(state, leaves).alias("gone")), changed
         )
 
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"),
-        F.lit(0.0).alias("total"),
+        F.lit(0).alias("i"),
+        F.lit("").alias("ring"),
+        F.repeat(F.chr(F.lit(0)), F.lit(128)).alias("counts"),
+        F.lit(0).cast("bigint").alias("total"),
+        limit.cast("bigint").alias("limit"),
         F.lit(-1).alias("low"),
         F.lit(-1).alias("high"),
     )
     return F.aggregate(
-        F.sequence(F.lit(0), F.size(codes) - 1),
-        start,
-        step,
-        lambda s: F.struct(s["low"].alias("low"), s["high"].alias("high")),
+        F.split(found, ""), start, step, lambda s: F.struct(*judged(s, "low", "high"))
+    )
+
+
+def _uncovered(base: Column, added: Column) -> Column:
+    """The spans ``added``, which are disjoint, without what spans of ``base`` cover."""
+    none = F.expr(f"cast(array() as array<{_SPAN}>)")
+
+    def piece(start: Column, end: Column) -> Column:
+        return F.when(
+            end - start >= PIECE,
+            F.array(F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))),
+        ).otherwise(none)
+
+    def state(low: Column, high: Column, covered: Column) -> Column:
+        return F.struct(low.alias("low"), high.alias("high"), covered.alias("covered"))
+
+    def step(now: Column, span: Column) -> tuple[Column, Column]:
+        """[low, high) is what is left of the last span of ``added``."""
+        plain, none_left = span["kind"] < 3, F.lit(-1).cast("bigint")
+        covered = F.greatest(now["covered"], span["end"])
+        inside = plain & (span["start"] < now["high"])
+        after = (
+            F.when(inside, state(F.greatest(span["end"], now["low"]), now["high"], covered))
+            .when(plain, state(none_left, none_left, covered))
+            .otherwise(state(F.greatest(span["start"], now["covered"]), span["end"], now["covered"]))
+        )
+        return after, piece(now["low"], F.when(inside, span["start"]).otherwise(now["high"]))
+
+    empty = state(*(F.lit(-1).cast("bigint") for _ in range(3)))
+    return _bound(
+        F.array_sort(F.concat(base, added)),
+        lambda spans: _bound(
+            _walk(spans, empty, _SPAN, step),
+            lambda w: F.concat(w["out"], piece(w["state"]["low"], w["state"]["high"])),
+        ),
     )
 
 
@@ -193,15 +290,18 @@ def find_secrets(
             (h["start"] + h["hot"]["high"]).alias("end"),
         ),
     )
-    apart = F.filter(
-        added,
-        lambda a: ~F.exists("base", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])),
-    )
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     return (
         found.select("doc_id", base.alias("base"), "_runs")
         .select("doc_id", "base", F.when(F.size("_runs") > 0, hot).alias("_hot"))
-        .select("doc_id", "base", F.coalesce(apart, none).alias("added"))
+        .select("doc_id", "base", F.coalesce(added, none).alias("_added"))
+        .select(
+            "doc_id",
+            "base",
+            F.when(F.size("_added") > 0, _uncovered(F.col("base"), F.col("_added")))
+            .otherwise(none)
+            .alias("added"),
+        )
     )
 
 
