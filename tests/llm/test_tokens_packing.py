@@ -13,9 +13,7 @@ BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe
 
 
 def ids_of(path, text):
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+    return Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def crc(ids):
@@ -30,7 +28,7 @@ def key(row):
 def test_encoder_equals_the_library_on_odd_texts(path):
     rng = random.Random(1)
     parts = ["a", "the", " ", "  ", "\n", "\t", "don't", "'s", "12", "\u00e9", "e\u0301", "\u00a0", "\x1c",
-             "!!", "<|endoftext|>", "\u0130", "\u03a3", "\u4e2d", "Word.", "x,y", "\u3000", "\U0001f600"]
+             "!!", "<|endoftext|>", "\u0130", "\u03a3", "\u4e2d", "Word.", "x,y", "\u3000", "\U0001f600", "<|EndOfText|>", "<|startoftext|>", "<|"]
     texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(400)]
     enc = TextEncoder(path)
     for text, got in zip(texts, enc.encode(texts)):

@@ -5,6 +5,9 @@ both memories are bounded. Cutting at a space changes nothing for a tokenizer th
 space. A byte-level one keeps runs of white space together, so there a text in which a space
 touches other white space is encoded whole.
 
+A text that holds the string of a special token is encoded whole: the library gives that string the
+token's id, as in a plain call without added tokens.
+
 Most pieces are letters followed by marks, on one line or two. Both tokenizers encode the parts on
 their own, so these go straight to the library's BPE model; every other piece takes the library's full path.
 """
@@ -45,8 +48,9 @@ class TextEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # the strings of special tokens are ordinary text in a document
-        self.tokenizer.encode_special_tokens = True
+        # the library finds these anywhere in a text, so a text that holds one is encoded whole
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
         # the same model over words that are spelt in its alphabet already, one a line
         self.by_line = Tokenizer(self.tokenizer.model)
         self.by_line.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
@@ -56,6 +60,8 @@ class TextEncoder:
         self.keeps_spaces = self._whole(" a") != self._whole("a")
         self.line_end = self._whole("\n")
         self.lowers = self._whole("A") == self._whole("a")
+        if self.lowers:
+            self.added = [t.lower() for t in self.added]
         self.pieces: dict[str, bytes | None] = {}
         self.words: dict[str, bytes] = {}
 
@@ -114,13 +120,19 @@ class TextEncoder:
             for memory, most in ((self.pieces, PIECES), (self.words, WORDS)):
                 if len(memory) > most:
                     memory.clear()
-            cut = [(t or "").split(" ") for t in texts[i : i + BATCH]]
+            cut = [[] if self._holds_added(t) else (t or "").split(" ") for t in texts[i : i + BATCH]]
             used = set().union(*(parts[self.keeps_spaces :] for parts in cut))
             self._learn(used.difference(self.pieces))
             for text, parts in zip(texts[i : i + BATCH], cut):
-                out.append(self._joined(text or "", parts) + self.end)
+                out.append((self._joined(text or "", parts) if parts else self._whole(text)) + self.end)
         return out
 
+    def _holds_added(self, text: str | None) -> bool:
+        if not text:
+            return False
+        text = text.lower() if self.lowers else text
+        return any(t in text for t in self.added)
+
     def _joined(self, text: str, parts: list[str]) -> bytes:
         head = b""
         if self.keeps_spaces:
