@@ -384,15 +384,26 @@ ORACLES: dict[str, str] = {
         low=JAN, high=MONTH_END)], """SELECT * FROM series
         WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM points WHERE metric = 'app.error') - INTERVAL 10 MINUTE"""),
     "stream_monitor_eval": _q([RULES, POINTS, steps(
-        "CAST(epoch(time_bucket(INTERVAL 30 MINUTE, ts, timestamp '1970-01-01')) AS BIGINT)", "true"), f"""seen AS (
-          SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM points),
+        "CAST(epoch(time_bucket(INTERVAL 30 MINUTE, ts, timestamp '1970-01-01')) AS BIGINT)", "true"), f"""bounds AS (
+          SELECT CAST(epoch(time_bucket(INTERVAL 30 MINUTE, min(ts), timestamp '1970-01-01')) AS BIGINT) AS low,
+                 max(ts) - INTERVAL 10 MINUTE AS mark FROM points),
+        axis AS (
+          SELECT moment FROM (SELECT unnest(range(low, CAST(epoch(mark) AS BIGINT), 1800)) AS moment, mark FROM bounds)
+          WHERE make_timestamp((moment + 1800) * 1000000) <= mark),
+        firsts AS (SELECT rule_id, grp, min(step) AS f FROM cells GROUP BY ALL),
+        spans AS (
+          SELECT rule_id, '*' AS grp, low AS f, CAST(NULL AS BIGINT) AS until FROM rules, bounds WHERE by_key IS NULL
+          UNION ALL SELECT rule_id, grp, f, NULL FROM firsts JOIN rules USING (rule_id) WHERE by_key IS NOT NULL
+          UNION ALL SELECT r.rule_id, '*', any_value(low), min(f) FROM rules r CROSS JOIN bounds
+            LEFT JOIN firsts USING (rule_id) WHERE by_key IS NOT NULL GROUP BY r.rule_id),
         evaluated AS (
-          SELECT r.rule_id, c.grp, c.step + k * 1800 AS moment, r.how, r.threshold, r.time_agg, {time_agg("c.value")} AS v
-          FROM cells c JOIN rules r ON r.rule_id = c.rule_id CROSS JOIN range(0, 4) g(k)
-          WHERE r.lookback_s = 7200
-          GROUP BY r.rule_id, c.grp, c.step + k * 1800, r.how, r.threshold, r.time_agg)"""],
+          SELECT r.rule_id, e.grp, x.moment, r.how, r.threshold, r.time_agg, {time_agg("c.value")} AS v
+          FROM spans e JOIN rules r USING (rule_id)
+          JOIN axis x ON x.moment >= e.f AND (e.until IS NULL OR x.moment < e.until)
+          LEFT JOIN cells c ON c.rule_id = e.rule_id AND c.grp = e.grp
+               AND c.step <= x.moment AND c.step > x.moment - r.lookback_s
+          GROUP BY r.rule_id, e.grp, x.moment, r.how, r.threshold, r.time_agg)"""],
         f"""SELECT CAST(rule_id AS BIGINT) AS rule_id, grp AS "group", make_timestamp(moment * 1000000) AS ts,
-        round(v, 6) AS value, {STATE} AS state FROM evaluated, seen
-        WHERE make_timestamp((moment + 1800) * 1000000) <= mark"""),
+        round(v, 6) AS value, {STATE} AS state FROM evaluated"""),
     "stream_mute_state": _q([MUTES, fold(MONTH_END)], "SELECT * FROM muted", True),
 }

@@ -185,3 +185,25 @@ def test_unknown_rule_words_fail(spark, points):
             evaluate_monitors(
                 points, spark.createDataFrame([tuple(rule)], RULE_DDL), T0 + 3600
             ).collect()
+
+
+def test_a_point_with_several_values_of_a_tag_is_in_each_group(spark):
+    rows = [("cpu", T0 + 1, 4.0, ["env:a", "env:b", "host:x"]), ("cpu", T0 + 2, 2.0, ["env:b"]), ("cpu", T0 + 3, 6.0, [])]
+    points = spark.createDataFrame(rows, "metric string, t long, value double, tags array<string>").withColumn(
+        "ts", F.timestamp_seconds("t"))
+    got = {r["scope"]: r["value"] for r in query_metric(points, "cpu", T0, T0 + 60, "avg", None, ["env"], 60).collect()}
+    assert got == {"env:a": 4.0, "env:b": 3.0, "env:N/A": 6.0}
+    got = {r["scope"] for r in query_metric(points, "cpu", T0, T0 + 60, "avg", None, ["env", "host"], 60).collect()}
+    assert got == {"env:a,host:x", "env:b,host:x", "env:b,host:N/A", "env:N/A,host:N/A"}
+    rules = spark.createDataFrame([(1, "cpu", ["*"], ["env"], "max", "max", 60, ">", 3.5)], RULE_DDL)
+    states = {r["group"]: r["state"] for r in evaluate_monitors(points, rules, T0 + 30).collect()}
+    assert states == {"env:a": "Alert", "env:b": "Alert", "env:N/A": "Alert"}
+
+
+def test_rules_are_probed_by_the_tag_fewest_share(spark):
+    from watchpost.operators.monitors import probed_spaces, with_series
+
+    rules = [(k, "cpu", ["env:prod", f"host:h{k}"], [], "avg", "avg", 60, ">", 1.0) for k in range(20)]
+    rules += [(30, "cpu", ["env:prod"], [], "avg", "avg", 60, ">", 1.0), (31, "cpu", ["*"], [], "avg", "avg", 60, ">", 1.0)]
+    probes = [r["probe"] for r in probed_spaces(with_series(spark.createDataFrame(rules, RULE_DDL), 60)).collect()]
+    assert sorted(probes) == sorted([f"host:h{k}" for k in range(20)] + ["env:prod", "*"])

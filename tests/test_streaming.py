@@ -55,17 +55,55 @@ def test_metric_stream_equals_batch_for_closed_steps(spark, files, tmp_path):
     assert rows(got, "scope", "ts") == rows(closed, "scope", "ts")
 
 
-def test_monitor_stream_equals_batch_where_it_has_data(spark, files, tmp_path):
+def test_monitor_stream_equals_batch_for_all_rules(spark, files, tmp_path):
+    """Every lookback, silent steps and silent rules, over three micro-batches."""
     rules = spark.createDataFrame(RULES, RULE_DDL)
-    got = run(stream_monitors(stream(spark, files), rules, 900, 60, "5 minutes"), str(tmp_path))
+    got = run(stream_monitors(stream(spark, files), rules, 60, "5 minutes"), str(tmp_path))
     points = spark.read.schema(POINTS).parquet(f"{files}/p*")
-    batch = evaluate_monitors_over(points, rules.filter("lookback_s = 900"), T0, T0 + 7200, 60)
-    named = points.filter("metric in ('cpu', 'mem')")
-    mark = named.agg(F.max("ts") - F.expr("interval 5 minutes")).first()[0]
-    closed = batch.filter("value is not null").filter(
-        F.col("ts") + F.expr("interval 60 seconds") <= F.lit(mark)
-    )
-    assert rows(got, "rule_id", "group", "ts", "state") == rows(closed, "rule_id", "group", "ts", "state")
+    low, mark = points.agg(
+        F.unix_timestamp(F.min("ts")), F.unix_timestamp(F.max("ts") - F.expr("interval 5 minutes"))
+    ).first()
+    low, high = low // 60 * 60, mark // 60 * 60
+    # groups of the whole range, which the stream knows from their first step on
+    batch = evaluate_monitors_over(points, rules, low, high, 60).withColumn("s", F.unix_timestamp("ts"))
+    want, first = {}, {}
+    for r in batch.collect():
+        want[r["rule_id"], r["group"], r["s"]] = (r["value"], r["state"])
+        if r["value"] is not None:
+            key = (r["rule_id"], r["group"])
+            first[key] = min(first.get(key, r["s"]), r["s"])
+    grouped = {r[0] for r in RULES if r[3]}
+    want = {k: v for k, v in want.items() if k[2] >= first.get(k[:2], low) or (k[0] not in grouped)}
+    for rule in grouped:
+        begin = min((s for (r, _), s in first.items() if r == rule), default=None)
+        for s in range(low, high if begin is None else begin, 60):
+            want[rule, "*", s] = (None, "No Data")
+    found = {
+        (r["rule_id"], r["group"], r["s"]): (r["value"], r["state"])
+        for r in got.withColumn("s", F.unix_timestamp("ts")).collect()
+    }
+    assert found.keys() == want.keys()
+    assert {k: (v and pytest.approx(v), s) for k, (v, s) in want.items()} == found
+    assert sum(s == "No Data" for _, s in found.values()) > 100
+
+
+def test_a_silent_group_is_reported_until_it_speaks_again(spark, tmp_path):
+    rule = [(1, "cpu", ["*"], ["host"], "avg", "avg", 120, ">", 1.0)]
+    sent = [[(0, "a"), (0, "b")], [(600, "b")], [(1200, "a"), (1500, "b")]]
+    for i, part in enumerate(sent):
+        spark.createDataFrame(
+            [("cpu" if h != "x" else "other", T0 + t, 2.0, [f"host:{h}"]) for t, h in part],
+            "metric string, t long, value double, tags array<string>",
+        ).select("metric", F.timestamp_seconds("t").alias("ts"), "value", "tags").coalesce(1).write.parquet(
+            str(tmp_path / "in" / f"p{i}"))
+    rules = spark.createDataFrame(rule, RULE_DDL)
+    rows_ = run(stream_monitors(stream(spark, str(tmp_path / "in")), rules, 60, "0 seconds"), str(tmp_path)).collect()
+    states = {}
+    for r in sorted(rows_, key=lambda r: r["ts"]):
+        states.setdefault(r["group"], []).append(r["state"])
+    assert states["host:a"] == ["Alert"] * 2 + ["No Data"] * 18 + ["Alert"] * 2 + ["No Data"] * 3
+    assert states["host:b"] == ["Alert"] * 2 + ["No Data"] * 8 + ["Alert"] * 2 + ["No Data"] * 13
+    assert "*" not in states
 
 
 def test_mute_stream_over_batches(spark, tmp_path):

@@ -387,7 +387,7 @@ def stream_metric_rollup(spark: SparkSession, d: str) -> DataFrame:
 def stream_monitor_eval(spark: SparkSession, d: str) -> DataFrame:
     points = samples.points_of(samples.event_stream(spark, d))
     rules = samples.monitor_rules(spark, d)
-    rows = _drain(stream_monitors(points, rules, 7200, 1800), "monitor-eval")
+    rows = _drain(stream_monitors(points, rules, 1800), "monitor-eval")
     return rows.withColumn("value", F.round("value", 6))
 
 

@@ -18,26 +18,38 @@ def tag_set(tags: str) -> Column:
     return F.expr(f"sort_array(array_distinct(coalesce({tags}, array())))")
 
 
-def _label_part(tags: str, key: str) -> str:
-    """``key:value`` as SQL: the first such tag, or value ``N/A`` when there is none."""
-    return (
-        f"coalesce(get(filter({tags}, t -> startswith(t, concat({key}, ':'))), 0),"
-        f" concat({key}, ':N/A'))"
-    )
+def _values_of(tags: str, key: str) -> str:
+    """All ``key:value`` tags of a key as SQL, or value ``N/A`` when there is none."""
+    own = f"filter({tags}, t -> startswith(t, concat({key}, ':')))"
+    return f"transform(array({own}), o -> IF(size(o) = 0, array(concat({key}, ':N/A')), o))[0]"
 
 
-def scope_label(tags: str, by: str) -> Column:
-    """``host:web-01,env:prod`` for the keys in column ``by``; ``*`` when it is empty."""
-    parts = f"transform({by}, k -> {_label_part(tags, 'k')})"
-    return F.expr(f"IF(size({by}) = 0, '*', array_join({parts}, ','))")
+def scope_labels(tags: str, by: str) -> Column:
+    """``host:web-01,env:prod`` for the keys in column ``by``; ``*`` when it is empty.
+
+    One label for each combination of values: a point with two values of a key is in two groups.
+    """
+    more = (
+        f"flatten(transform(done, d -> transform({_values_of(tags, 'k')},"
+        " v -> IF(d = '', v, concat(d, ',', v)))))"
+    )
+    return F.expr(
+        f"IF(size({by}) = 0, array('*'), aggregate({by}, array(''), (done, k) -> {more}))"
+    )
 
 
-def scope_label_for(tags: str, by: Sequence[str]) -> Column:
+def scope_labels_for(tags: str, by: Sequence[str]) -> Column:
     """The same for keys known when the plan is built."""
     if not by:
-        return F.lit("*")
+        return F.array(F.lit("*"))
     keys = ["'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'" for k in by]
-    return F.expr(f"concat_ws(',', {', '.join(_label_part(tags, k) for k in keys)})")
+    labels = _values_of(tags, keys[0])
+    for key in keys[1:]:
+        labels = (
+            f"flatten(transform({labels}, d -> transform({_values_of(tags, key)},"
+            " v -> concat(d, ',', v))))"
+        )
+    return F.expr(labels)
 
 
 def mean(c: Column | str) -> Column:
@@ -59,7 +71,7 @@ def rollup(points: DataFrame, agg: str, by: Sequence[str], step_s: int) -> DataF
     """Points of one metric to ``(scope, ts, value)``, batch or stream.
 
     Within a step each tag set is averaged first, then ``agg`` is taken across the tag sets of
-    a group. The first grouping carries the whole tag set and the step, and is combined before
+    a group; a set with several values of a ``by`` key is in a group for each. The first grouping carries the whole tag set and the step, and is combined before
     its shuffle, so one busy host or metric is not one task.
     """
     step = f"{step_s} seconds"
@@ -67,10 +79,8 @@ def rollup(points: DataFrame, agg: str, by: Sequence[str], step_s: int) -> DataF
         mean("value").alias("value")
     )
     return (
-        sets.groupBy(
-            F.window(F.window_time("w"), step).alias("w"),
-            scope_label_for("tags", by).alias("scope"),
-        )
+        sets.select("w", "value", F.explode(scope_labels_for("tags", by)).alias("scope"))
+        .groupBy(F.window(F.window_time("w"), step).alias("w"), "scope")
         .agg(space_aggregate(agg, "value").alias("value"))
         .select("scope", F.col("w.start").alias("ts"), "value")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.checks import whole
 from ..functions.times import from_ts, require_utc, seconds_to_ts, ts_lit, ts_type
 from .filters import time_range
-from .metrics import mean, scope_label, tag_set
+from .metrics import mean, scope_labels, tag_set
 
 _TICKS = 1_000_000_000
 
@@ -42,22 +42,44 @@ def average_sets(points: DataFrame, rules: DataFrame, step: Column) -> DataFrame
     )
 
 
+def probed_spaces(rules: DataFrame) -> DataFrame:
+    """The distinct series of rules with the tag a row has to carry to be looked at.
+
+    That tag is the one of the scope that the fewest series of the metric share: rules of one
+    environment and a host each meet the rows of their host. ``*`` for a rule without scope.
+    """
+    spaces = rules.select("series", "metric", "scope", "by", "space_agg").distinct()
+    shared = (
+        spaces.select("metric", F.explode("scope").alias("tag"))
+        .groupBy("metric", "tag")
+        .agg(F.count(F.lit(1)).alias("_many"))
+    )
+    rarest = (
+        spaces.select("series", "metric", F.explode("scope").alias("tag"))
+        .join(shared, ["metric", "tag"])
+        .groupBy("series")
+        .agg(F.min_by("tag", F.struct("_many", "tag")).alias("probe"))
+    )
+    return spaces.join(rarest, "series", "left").withColumn("probe", F.coalesce("probe", F.lit("*")))
+
+
+def in_scope() -> Column:
+    return F.size(F.array_except("scope", "tags")) == 0
+
+
 def match_series(sets: DataFrame, rules: DataFrame) -> DataFrame:
     """Tag-set rows to the series whose scope they are in, with their group label.
 
-    Joined on the metric and one scope tag (``*`` for a rule without scope) rather than on the
-    metric alone: with a rule per host, a row meets the rules of its own host only.
+    Joined on the metric and the rarest scope tag (``*`` for a rule without scope) rather than on
+    the metric alone: with a rule per host, a row meets the rules of its own host only.
     """
-    spaces = rules.select("series", "metric", "scope", "by", "space_agg").distinct()
-    spaces = spaces.withColumn("probe", F.coalesce(F.get("scope", F.lit(0)), F.lit("*")))
     probes = sets.withColumn(
         "probe", F.explode(F.array_distinct(F.array_append("tags", F.lit("*"))))
     )
-    inside = F.size(F.array_except("scope", "tags")) == 0
     return (
-        probes.join(spaces, ["metric", "probe"])
-        .filter(inside)
-        .withColumn("group", scope_label("tags", "by"))
+        probes.join(probed_spaces(rules), ["metric", "probe"])
+        .filter(in_scope())
+        .withColumn("group", F.explode(scope_labels("tags", "by")))
     )
 
 
