@@ -1,3 +1,4 @@
+import glob
 import random
 
 import pytest
@@ -9,6 +10,7 @@ from watchpost.operators.metrics import query_metric
 from watchpost.operators.monitors import evaluate_monitors_over
 from watchpost.streaming.metrics import stream_metric
 from watchpost.streaming.monitors import stream_monitors
+from watchpost.streaming import mutes
 from watchpost.streaming.mutes import read_mute_state, stream_mutes
 
 T0 = 1_704_067_200
@@ -170,3 +172,55 @@ def test_a_command_of_the_far_future_holds_up_no_one(spark, tmp_path):
     got = read_mute_state(spark, state, 2, T0 + 3000).collect()
     assert [(r["host"], r["muted"], r["commands"], r["rejected"]) for r in got] == [("h", True, 3, 0)]
     assert sum(spark.read.parquet(f"{state}/{i}/late").count() for i in range(3)) == 0
+
+
+def mute_batches(spark, parts):
+    return [
+        spark.createDataFrame(p, DDL).select(
+            "host", F.timestamp_seconds("t").alias("ts"), "seq", "action",
+            F.timestamp_seconds("e").alias("mute_end"), "override", "message",
+        )
+        for p in parts
+    ]
+
+
+def stored(spark, state):
+    """All rows below a state folder by their place, without the files' own names."""
+    out = {}
+    for folder in glob.glob(f"{state}/*/*") + glob.glob(f"{state}/*/state/bucket=*"):
+        if not folder.endswith("state"):
+            out[folder.removeprefix(state)] = sorted(map(repr, spark.read.parquet(folder).collect()))
+    return out
+
+
+def test_a_repeated_batch_writes_the_same_rows_at_another_time(spark, tmp_path, monkeypatch):
+    data = sorted(log(7, n=160), key=lambda r: r[1])
+    # one command of the far future: the wall clock decides whether it counts
+    data[30] = ("far", T0 + 10**7, 999, "mute", None, False, "x")
+    batches, state = mute_batches(spark, [data[k * 40 : k * 40 + 40] for k in range(4)]), str(tmp_path)
+    for n, batch in enumerate(batches):
+        monkeypatch.setattr(mutes.time, "time", lambda: T0 + 10**6)
+        mutes._apply(batch, n, state, 60, None, 8)
+        before = stored(spark, state)
+        monkeypatch.setattr(mutes.time, "time", lambda: T0 + 10**8)
+        mutes._apply(batch, n, state, 60, None, 8)
+        assert stored(spark, state) == before
+    got = read_mute_state(spark, state, 3, T0 + 700).withColumn("e", F.unix_timestamp("mute_end")).collect()
+    assert {r["host"]: (r["muted"], r["e"], r["message"], r["commands"], r["rejected"]) for r in got} == brute(
+        [r for r in data if r[0] != "far"], T0 + 700)
+
+
+def test_only_touched_buckets_are_written_and_old_ones_go(spark, tmp_path):
+    state = str(tmp_path)
+    first = [(f"h{k}", T0 + k, k, "mute", None, False, "m") for k in range(60)]
+    parts = [first + [("h0", T0 + 1000, 100, "unmute", None, False, "")]]
+    parts += [[("h1", T0 + 2000 + 1000 * n, 200 + n, "unmute" if n % 2 == 0 else "mute", None, False, "again")] for n in range(4)]
+    for n, batch in enumerate(mute_batches(spark, parts)):
+        mutes._apply(batch, n, state, 60, T0 + 10**6, 16)
+    buckets = lambda n: {f.rsplit("=")[-1] for f in glob.glob(f"{state}/{n}/state/bucket=*")}
+    # the first batch's buckets of all others live on, that of h1 was written in the last one
+    assert len(buckets(0)) == 15 - (buckets(1) > set()) or len(buckets(0)) >= 13
+    assert len(buckets(4)) == 1 and buckets(4).isdisjoint(buckets(0))
+    assert buckets(2) == set() and not glob.glob(f"{state}/2/done") and glob.glob(f"{state}/2/late")
+    got = {r["host"]: (r["muted"], r["commands"]) for r in read_mute_state(spark, state, 4, T0 + 9000).collect()}
+    assert got["h0"] == (False, 2) and got["h1"] == (True, 5) and got["h59"] == (True, 1) and len(got) == 60

@@ -392,8 +392,9 @@ def stream_monitor_eval(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_mute_state(spark: SparkSession, d: str) -> DataFrame:
-    commands = samples.mute_commands_of(samples.event_stream(spark, d))
+    """The mute log in four micro-batches, a command at most ten minutes late."""
     out = scratch_path(spark, "mute-state")
+    commands = samples.mute_commands_of(samples.event_batches(spark, d, f"{out}/events"))
     query = stream_mutes(
         commands, f"{out}/state", f"{out}/checkpoint", trigger={"availableNow": True}
     )

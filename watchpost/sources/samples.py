@@ -51,6 +51,28 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def event_batches(spark: SparkSession, sf_dir: str, path: str, batches: int = 4) -> DataFrame:
+    """The events as a file stream of ``batches`` micro-batches, in order of time.
+
+    All events are written once more below ``path``, a range of time to a file.
+    """
+    events = _table(spark, sf_dir, "events")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(batches):
+        part = events
+        if k:
+            part = part.filter(F.col("ts") >= F.lit(low + (high - low) * k / batches))
+        if k < batches - 1:
+            part = part.filter(F.col("ts") < F.lit(low + (high - low) * (k + 1) / batches))
+        part.coalesce(1).write.parquet(f"{path}/part-{k}")
+    stream = (
+        spark.readStream.schema(events.schema)
+        .option("maxFilesPerTrigger", 1)
+        .parquet(f"{path}/part-*")
+    )
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").selectExpr(
         "CAST(l_linenumber AS BIGINT) AS span_id",
