@@ -37,12 +37,17 @@ DOC_BITS = 16
 #: links that are counted in one go, links of a batch of documents, and postings of a segment
 SLICE, BATCH_LINKS, SEGMENT_POSTINGS = 2_000_000, 2_000_000, 6_000_000
 #: remembered parts of texts
-PARTS = 250_000
+PARTS = 500_000
 # A text is cut where neither tokenizer can join: before a space or a line end that follows
-# something else than white space. No piece of B has a space after another character, and A
-# never joins white space to what stands before it.
-CUT = re.compile("(?<=[^\\s▁])(?=[ \n])")
+# something else than white space, between a line end and what is no white space, and after a
+# letter or digit before anything else. A takes these apart by its pattern; that B has no piece
+# across them is read from its vocabulary.
 SPACE = "▁"
+LETTERS = "A-Za-z0-9À-ÖØ-öø-ÿ"
+BREAKS = "(?<=[^\\s▁])(?=[ \n])|(?<=\n)(?=\\S)"
+CUT = re.compile(BREAKS)
+FINE_CUT = re.compile(f"{BREAKS}|(?<=[{LETTERS}])(?=[^\\w\\s])")
+ACROSS = re.compile(f"[{LETTERS}][^\\w\\s]")
 
 
 def piece_bytes(piece: str) -> bytes:
@@ -52,19 +57,30 @@ def piece_bytes(piece: str) -> bytes:
     return piece.replace(SPACE, " ").encode()
 
 
-def linked(a: list[int], b: list[int], a_ends: list[int], b_ends: list[int]):
-    """The links of two token lists over the same bytes, as pairs of places, and group ends."""
-    pairs, groups, i, j = [], [], 0, 0
-    while i < len(a):
-        pairs.append((a[i], b[j]))
-        if a_ends[i] == b_ends[j]:
-            i, j = i + 1, j + 1
-            groups.append((i, j))
-        elif a_ends[i] < b_ends[j]:
+def linked(a: list[int], b: list[int], a_sizes: list[int], b_sizes: list[int], a_text, b_text):
+    """The links of two token lists over the same bytes, as codes, and the groups as texts."""
+    codes, groups, i, j = [], [], 0, 0
+    a_end, b_end = a_sizes[0], b_sizes[0]
+    a_shown, b_shown = a_text[a[0]], b_text[b[0]]
+    while True:
+        codes.append(a[i] << PAIR_BITS | b[j])
+        if a_end == b_end:
+            groups.append(f"{a_shown}|{b_shown}")
             i += 1
+            j += 1
+            if i == len(a):
+                return codes, groups
+            a_end += a_sizes[i]
+            b_end += b_sizes[j]
+            a_shown, b_shown = a_text[a[i]], b_text[b[j]]
+        elif a_end < b_end:
+            i += 1
+            a_end += a_sizes[i]
+            a_shown += f",{a_text[a[i]]}"
         else:
             j += 1
-    return pairs, groups
+            b_end += b_sizes[j]
+            b_shown += f",{b_text[b[j]]}"
 
 
 class Aligner:
@@ -85,77 +101,70 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         byte = {c: b for b, c in SPELLING.items() if b != 10}
         byte[chr(256 + 10)] = 10
-        self.a_bytes: dict[int, bytes] = {}
+        self.a_bytes = [b""] * self.a.get_vocab_size()
         for token, n in self.a.get_vocab(with_added_tokens=False).items():
             self.a_bytes[n] = bytes(byte[c] for c in token)
-        self.b_bytes = [piece_bytes(self.b.id_to_piece(i)) for i in range(self.b.vocab_size())]
-        if max(self.a.get_vocab_size(), len(self.b_bytes)) > 1 << PAIR_BITS:
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        self.b_bytes = [piece_bytes(p) for p in pieces]
+        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << PAIR_BITS:
             raise ValueError(f"vocabularies must have at most {1 << PAIR_BITS} ids")
+        plain = [p for p in pieces if not self.b.is_byte(self.b.piece_to_id(p))]
+        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in plain):
+            raise ValueError("the sentence piece model has pieces with a space inside")
+        self.cut = CUT if any(ACROSS.search(p) for p in plain[3:]) else FINE_CUT
+        self.a_sizes, self.b_sizes = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
+        self.a_text, self.b_text = [[str(i) for i in range(len(x))] for x in (self.a_bytes, self.b_bytes)]
         self.lone_space = self.b.piece_to_id(SPACE)
         self.clear()
 
     def clear(self) -> None:
         self.numbers: dict[str, int] = {}
         self.groups: list[str] = []
-        self.counts = np.zeros((1024, 5), np.int64)
-        self.starts = np.zeros(1024, np.int64)
-        self.codes = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _b_ids(self, part: str) -> list[int]:
-        """B's ids of a part that starts with its own space, or with a line end."""
-        if part == " ":
-            return [self.lone_space]
-        if part[0] == " ":
-            return self.b.encode(part[1:], num_threads=1)
-        # B puts a space before a text; a part inside a text has none
-        ids = self.b.encode(part, num_threads=1)
-        return ids[1:] if ids and ids[0] == self.lone_space else [-1]
+        self.counts = np.zeros((0, 5), np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.codes = np.zeros(0, np.int64)
 
     def _learn(self, missing: list[str]) -> None:
-        encoded = self.a.encode_batch(missing, add_special_tokens=False)
-        for part, found in zip(missing, encoded):
-            a, b = found.ids, self._b_ids(part)
-            number = len(self.groups)
-            if number == len(self.counts):
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.numbers[part] = number
-            self.starts[number] = self.used
+        encoded = self.a.encode_batch_fast(missing, add_special_tokens=False)
+        # B puts a space before a text: it stands for the part's own, or for a line end that is
+        # put there and whose two ids are dropped again
+        inside = [p[0] != " " for p in missing]
+        sent = [f"\n{p}" if own else p[1:] for p, own in zip(missing, inside)]
+        a_bytes, b_bytes = self.a_bytes, self.b_bytes
+        counts, codes, none = [], [], (0, 0, 0, 0, 0)
+        for part, found, b, own in zip(missing, encoded, self.b.encode(sent, num_threads=1), inside):
+            a = found.ids
+            if own:
+                b = b[2:]
+            elif part == " ":
+                b = [self.lone_space]
+            self.numbers[part] = len(self.groups)
             whole = part.encode()
-            try:
-                a_parts = [self.a_bytes[i] for i in a]
-                b_parts = [self.b_bytes[i] for i in b] if -1 not in b else []
-            except KeyError:
-                a_parts = b_parts = []
-            if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
+            if b"".join([a_bytes[i] for i in a]) != whole or b"".join([b_bytes[i] for i in b]) != whole:
                 self.groups.append("")
-                self.counts[number] = 0
+                counts.append(none)
                 continue
-            a_ends, b_ends = np.cumsum([len(x) for x in a_parts]), np.cumsum([len(x) for x in b_parts])
-            pairs, ends = linked(a, b, a_ends.tolist(), b_ends.tolist())
-            codes = np.array(pairs, np.int64)
-            while self.used + len(codes) > len(self.codes):
-                self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
-            self.codes[self.used : self.used + len(codes)] = codes[:, 0] << PAIR_BITS | codes[:, 1]
-            self.used += len(codes)
-            shown, i, j = [], 0, 0
-            for x, y in ends:
-                shown.append(f"{','.join(map(str, a[i:x]))}|{','.join(map(str, b[j:y]))}")
-                i, j = x, y
-            self.groups.append(";".join(shown))
-            self.counts[number] = 1, len(a), len(b), len(ends), len(codes)
+            links, groups = linked(
+                a, b, [self.a_sizes[i] for i in a], [self.b_sizes[i] for i in b], self.a_text, self.b_text
+            )
+            codes += links
+            self.groups.append(";".join(groups))
+            counts.append((1, len(a), len(b), len(groups), len(links)))
+        fresh = np.array(counts, np.int64)
+        ends = np.cumsum(fresh[:, 4]) + len(self.codes)
+        self.starts = np.concatenate([self.starts, ends - fresh[:, 4]])
+        self.counts = np.concatenate([self.counts, fresh])
+        self.codes = np.concatenate([self.codes, np.array(codes, np.int64)])
 
     def find(self, texts: list[str | None]) -> list[list[int]]:
         """The numbers of each text's parts; none for a null or empty text."""
         if len(self.numbers) > PARTS:
             self.clear()
-        cut = [CUT.split(f" {t}") if t else [] for t in texts]
-        known = self.numbers
-        missing = {p for parts in cut for p in parts if p not in known}
+        split, known = self.cut.split, self.numbers
+        cut = [split(f" {t}") if t else [] for t in texts]
+        missing = set().union(*cut).difference(known)
         if missing:
-            # parts of one length together, so that a batch of the library is even
-            self._learn(sorted(missing, key=len))
+            self._learn(list(missing))
         return [[known[p] for p in parts] for parts in cut]
 
     def links(self, numbers: np.ndarray) -> np.ndarray:
