@@ -207,3 +207,33 @@ def test_rules_are_probed_by_the_tag_fewest_share(spark):
     rules += [(30, "cpu", ["env:prod"], [], "avg", "avg", 60, ">", 1.0), (31, "cpu", ["*"], [], "avg", "avg", 60, ">", 1.0)]
     probes = [r["probe"] for r in probed_spaces(with_series(spark.createDataFrame(rules, RULE_DDL), 60)).collect()]
     assert sorted(probes) == sorted([f"host:h{k}" for k in range(20)] + ["env:prod", "*"])
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 7, 40])
+def test_trailing_parts_of_any_width(spark, width):
+    from watchpost.operators.monitors import trailing
+
+    rng = random.Random(width)
+    values = {g: [rng.choice([None, float(rng.randint(-9, 9))]) for _ in range(n)] for g, n in (("a", 33), ("b", 6), ("c", 1))}
+    # silent rows for a lookback before the first
+    rows = [(1, g, 100 - width + i, v) for g, vs in values.items() for i, v in enumerate([None] * width + vs)]
+    frame = spark.createDataFrame(rows, "rule_id int, group string, at long, value double")
+    got = trailing(frame, F.col("at"), F.lit(width).cast("long")).collect()
+    for r in got:
+        i = r["at"] - 100
+        if i < 0:
+            continue
+        held = [v for v in values[r["group"]][max(i - width + 1, 0) : i + 1] if v is not None]
+        want = (sum(held), len(held), min(held), max(held)) if held else (None, 0, None, None)
+        assert (r["_sum"], r["_n"], r["_min"], r["_max"]) == want, (width, r)
+
+
+def test_a_long_lookback_costs_as_much_as_a_short_one(spark):
+    """No window frame is as wide as the lookback."""
+    points = spark.range(100).selectExpr(
+        "'cpu' AS metric", f"timestamp_seconds({T0} + id * 60) AS ts", "1.0D AS value", "array('host:a') AS tags")
+    rules = spark.createDataFrame([(1, "cpu", ["*"], ["host"], "avg", "max", 172_800, ">", 1.0)], RULE_DDL)
+    plan = evaluate_monitors_over(points, rules, T0, T0 + 6000, 60)._jdf.queryExecution().executedPlan().toString()
+    frames = [f for f in plan.split("specifiedwindowframe(")[1:]]
+    assert frames and all(
+        f.startswith(("RowFrame, unboundedpreceding$(), ", "RowFrame, -1, -1", "RowFrame, 1, 1")) for f in frames)

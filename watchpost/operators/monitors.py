@@ -14,9 +14,6 @@ from ..functions.times import from_ts, require_utc, seconds_to_ts, ts_lit, ts_ty
 from .filters import time_range
 from .metrics import mean, scope_labels, tag_set
 
-_TICKS = 1_000_000_000
-
-
 def with_series(rules: DataFrame, step_s: int) -> DataFrame:
     """Rules with a normal scope, a lookback in whole steps, and the key of their series."""
     return rules.withColumns(
@@ -219,15 +216,17 @@ def evaluate_monitors_over(
     # arrives, adaptive execution would merge too many of them into one task.
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(tasks, "rule_id", "group")
-    # Fill the silent steps: each row also stands for the gap up to the next one.
-    group = Window.partitionBy("rule_id", "group")
-    by_step = group.orderBy("step")
+    # Fill the silent steps: each row also stands for the gap up to the next one, the first one
+    # for those back to a lookback before the range too.
+    by_step = Window.partitionBy("rule_id", "group").orderBy("step")
     is_first = F.lag("step").over(by_step).isNull()
     until = F.coalesce(F.lead("step").over(by_step) - step_s, F.lit(last))
     filled = (
         cells.withColumns(
             {
-                "_from": F.when(is_first, F.least("step", F.lit(first))).otherwise(F.col("step")),
+                "_from": F.when(
+                    is_first, F.least("step", F.lit(first) - F.col("lookback_s"))
+                ).otherwise(F.col("step")),
                 "_to": until,
             }
         )
@@ -235,23 +234,8 @@ def evaluate_monitors_over(
         .withColumn("at", F.explode(F.sequence("_from", "_to", F.lit(step_s).cast("long"))))
         .withColumn("value", F.when(F.col("at") == F.col("step"), F.col("value")))
     )
-
-    # Frames take constant bounds but each rule has its own lookback: measure time in lookbacks.
-    # A frame just short of one lookback holds the current step and those after ``at - lookback``.
-    ticks = F.call_function(
-        "div", (F.col("at") - F.lit(base)) * F.lit(_TICKS), F.col("lookback_s")
-    )
-    slack = _TICKS * step_s // (2 * longest)
-    trailing = group.orderBy(ticks).rangeBetween(-(_TICKS - slack), 0)
-    # aggregates over the frame, then the one the rule names
-    parts = {
-        "_sum": F.sum("value").over(trailing),
-        "_n": F.count("value").over(trailing),
-        "_min": F.min("value").over(trailing),
-        "_max": F.max("value").over(trailing),
-    }
     return (
-        filled.withColumns(parts)
+        trailing(filled, F.expr(f"(at - {base - step_s}) div {step_s}"), F.expr(f"lookback_s div {step_s}"))
         .filter(F.col("at") >= first)
         .withColumn("value", chosen("time_agg"))
         .select(
@@ -262,3 +246,48 @@ def evaluate_monitors_over(
             state("value").alias("state"),
         )
     )
+
+
+def trailing(filled: DataFrame, number: Column, width: Column) -> DataFrame:
+    """Adds the parts of ``accumulate`` over each row's last ``width`` rows of its rule and group.
+
+    ``number`` counts the rows of a group without gaps. The rows are cut into blocks as wide as
+    the lookback: a trailing range is the end of one block and the beginning of the next, both of
+    which are running aggregates. So a row costs the same for any lookback. All windows share the
+    partitioning by rule and group.
+    """
+    keys = ["rule_id", "group"]
+    cut = filled.withColumns({"_i": number, "_k": width}).withColumns(
+        {"_block": F.expr("_i div _k"), "_rest": F.expr("_i % _k")}
+    )
+
+    def running(order: Column, upto: int) -> Column:
+        frame = (
+            Window.partitionBy(*keys, "_block")
+            .orderBy(order)
+            .rowsBetween(Window.unboundedPreceding, upto)
+        )
+        return F.struct(
+            F.sum("value").over(frame).cast("double").alias("sum"),
+            F.count("value").over(frame).alias("n"),
+            F.min("value").over(frame).cast("double").alias("min"),
+            F.max("value").over(frame).cast("double").alias("max"),
+        )
+
+    # what follows a row in its block is still in range one lookback later, at the next row of
+    # its residue class
+    in_class = Window.partitionBy(*keys, "_rest").orderBy("_i")
+    joined = (
+        cut.withColumn("_head", running(F.col("_i").asc(), 0))
+        .withColumn("_tail", running(F.col("_i").desc(), -1))
+        .withColumn("_old", F.lag("_tail").over(in_class))
+    )
+    head, tail = F.col("_head"), F.col("_old")
+    return joined.withColumns(
+        {
+            "_sum": F.coalesce(head["sum"] + tail["sum"], head["sum"], tail["sum"]),
+            "_n": head["n"] + F.coalesce(tail["n"], F.lit(0)),
+            "_min": F.least(head["min"], tail["min"]),
+            "_max": F.greatest(head["max"], tail["max"]),
+        }
+    ).drop("_i", "_k", "_block", "_rest", "_head", "_tail", "_old")
