@@ -213,3 +213,76 @@ def test_written_times_are_utc_in_any_session(spark, zone):
         assert got["ts_iso"] in line
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def landed(spark, tmp_path, kind, doc):
+    from watchpost.sources.entities import land_entity
+
+    path = land_one(tmp_path, kind, doc)
+    rows, rejects = land_entity(spark, kind, path)
+    return path, rows.collect(), sorted((r["field"], r["reason"]) for r in rejects.collect())
+
+
+UNREADABLE = [
+    ("downtimes", [{"id": 1, "start": "soon", "scope": ["host:a"]}], [("start", "not decimal(20,6)")]),
+    ("downtimes", [{"id": 1, "scope": "host:a"}], [("scope", "not a list of texts")]),
+    ("downtimes", [{"id": 1, "scope": [{"host": "a"}]}], [("scope", "not a list of texts")]),
+    ("downtimes", {"errors": ["forbidden"]}, [("$", "not a list of records")]),
+    ("downtimes", [{"id": 1, "recurrence": {"period": 1.5, "week_days": 3}}], [
+        ("recurrence.period", "not int"), ("recurrence.week_days", "not a list of texts")]),
+    ("downtimes", ["x"], [("$", "not an object")]),
+    ("logs", {"data": [{"id": "a", "attributes": {"timestamp": "x1"}}]}, [("attributes.timestamp", "not decimal(20,6)")]),
+    ("logs", {"data": [{"id": "a", "attributes": "none"}]}, [("attributes", "not an object")]),
+    ("logs", {"data": "none"}, [("$", "not a list of records")]),
+    ("logs", [1], [("$", "the document has no logs")]),
+    ("monitors", [{"id": "abc"}, {"id": 2.5}, {"id": True}], [("id", "not bigint")] * 3),
+    ("monitors", [{"id": 1, "created": "yesterday"}], [("created", "not a time")]),
+    ("hosts", {"host_list": [{"id": 1, "up": "yes", "metrics": {"load": "high"}}]}, [
+        ("metrics", "not map<string,double>"), ("up", "not boolean")]),
+    ("spans", {"data": [{"id": "s", "attributes": {"start": 1.5e18, "duration": "long", "meta": [1]}}]}, [
+        ("attributes.duration", "not bigint"), ("attributes.meta", "not map<string,string>")]),
+    ("dashboards", {"dashboards": [{"id": "x", "title": ["t"]}]}, [("title", "not string")]),
+    ("incidents", {"data": [{"id": "i", "attributes": {"created": "soon", "timeline": {"entries": [
+        {"timestamp": "2022-01-01T00:01:00Z"}, {"timestamp": "later"}]}}}]}, [
+        ("attributes.created", "not a time"), ("attributes.timeline.entries[].timestamp", "not a time")]),
+    ("metric_points", {"status": "ok", "series": [{"metric": "cpu", "scope": ["a"], "pointlist": [[S, 1]]}]}, [
+        ("scope", "not string")]),
+    ("metric_points", {"status": "error", "message": "Invalid query"}, [("$", "metric query failed: Invalid query")]),
+]
+
+
+@pytest.mark.parametrize("kind,doc,want", UNREADABLE)
+def test_unreadable_values_are_rejects_or_raise(spark, tmp_path, kind, doc, want):
+    path, rows, rejects = landed(spark, tmp_path, kind, doc)
+    assert rows == [] and rejects == want
+    with pytest.raises(Exception, match="unreadable|not a list|not an object|has no|failed"):
+        read_entity(spark, kind, path, "json").select(F.lit(1)).collect()
+
+
+def test_a_bad_point_costs_no_other(spark, tmp_path):
+    doc = {"status": "ok", "series": [
+        {"metric": "cpu", "scope": "host:a", "pointlist": [[S * 1000, 1.5], ["x", 2], [S * 1000, "high"], [S * 1000], [None, 1],
+                                                           [S * 1000 + 1, None]],
+         "display_name": "cpu", "expression": "avg:cpu{*}", "unit": [{"family": "percentage", "scale_factor": 1}, None]}]}
+    _, rows, rejects = landed(spark, tmp_path, "metric_points", doc)
+    assert [(r["value"], r["tags"], r["display_name"], r["expression"]) for r in rows] == [
+        (1.5, ["host:a"], "cpu", "avg:cpu{*}"), (None, ["host:a"], "cpu", "avg:cpu{*}")]
+    assert rows[0]["unit"][0]["family"] == "percentage" and rows[0]["unit"][1] is None
+    assert rejects == [(f"pointlist[{i}]", "not a time and a number") for i in (1, 2, 3, 4)]
+
+
+def test_rejects_name_their_file_and_record(spark, tmp_path):
+    from watchpost.sources.entities import land_entity
+
+    folder = tmp_path / "d"
+    folder.mkdir()
+    (folder / "one.json").write_text('[{"id": 1, "scope": ["a:b"], "created": 1640995000, "creator_id": 7, "updated_at": 1640995010}]\n')
+    (folder / "two.json").write_text('[{"id": "x"}, {"id": 2}]\n{"broken": \n')
+    rows, rejects = land_entity(spark, "downtimes", str(folder))
+    got = {r["id"]: r for r in rows.withColumn("c", F.unix_timestamp("created")).collect()}
+    assert set(got) == {1, 2} and got[1]["c"] == 1640995000 and got[1]["creator_id"] == 7
+    found = sorted((r["file"].rsplit("/")[-1], r["text"], r["field"], r["reason"]) for r in rejects.collect())
+    assert found == [
+        ("two.json", '{"broken": ', "$", 'malformed document: {"broken": '),
+        ("two.json", '{"id":"x"}', "id", "not bigint"),
+    ]

@@ -13,7 +13,11 @@ CANONICAL: dict[str, str] = {
         "span_id string, trace_id string, parent_id string, service string, operation string,"
         " resource string, ts timestamp, duration_ns bigint, error int, meta map<string,string>"
     ),
-    "metric_points": ("metric string, ts timestamp, value double, tags array<string>"),
+    "metric_points": (
+        "metric string, ts timestamp, value double, tags array<string>, display_name string,"
+        " expression string, unit array<struct<family: string, scale_factor: double, name: string,"
+        " short_name: string>>"
+    ),
     "monitors": (
         "id bigint, name string, type string, message string, tags array<string>, query string,"
         " overall_state string, created timestamp, modified timestamp"
@@ -38,7 +42,8 @@ CANONICAL: dict[str, str] = {
     "downtimes": (
         "id bigint, scope array<string>, ts_start timestamp, ts_end timestamp, message string,"
         " timezone string, monitor_id bigint, monitor_tags array<string>,"
-        f" recurrence {_RECURRENCE}, active boolean, disabled boolean"
+        f" recurrence {_RECURRENCE}, active boolean, disabled boolean, created timestamp,"
+        " creator_id bigint, updated_at timestamp"
     ),
     "mute_commands": (
         "host string, ts timestamp, seq bigint, action string, mute_end timestamp,"
@@ -58,6 +63,7 @@ CANONICAL: dict[str, str] = {
 
 # One landed document per line (or file). ``envelope`` is the key the records sit under; None
 # means the document is the array itself. ``required`` documents without records are an error.
+# Texts under ``iso`` have to be times.
 RAW: dict[str, dict] = {
     "logs": dict(
         envelope="data",
@@ -76,7 +82,9 @@ RAW: dict[str, dict] = {
         envelope="series",
         required=None,
         record="struct<metric: string, display_name: string,"
-        " pointlist: array<array<double>>, scope: string, expression: string>",
+        " pointlist: array<array<double>>, scope: string, expression: string,"
+        " unit: array<struct<family: string, scale_factor: double, name: string,"
+        " short_name: string>>>",
     ),
     "monitors": dict(
         envelope=None,
@@ -84,6 +92,7 @@ RAW: dict[str, dict] = {
         record="struct<id: bigint, name: string, type: string, message: string,"
         " tags: array<string>, query: string, overall_state: string, created: string,"
         " modified: string>",
+        iso=("created", "modified"),
     ),
     "hosts": dict(
         envelope="host_list",
@@ -111,6 +120,10 @@ RAW: dict[str, dict] = {
         "timestamp: string, content: string, type: string>>>>,"
         " relationships: struct<created_by: struct<data: struct<id: string, type: string>>,"
         " commander: struct<data: struct<id: string, type: string>>>>",
+        iso=(
+            "attributes.created", "attributes.modified", "attributes.customer_impact_start",
+            "attributes.customer_impact_end", "attributes.timeline.entries[].timestamp",
+        ),
     ),
     "downtimes": dict(
         envelope=None,
@@ -118,7 +131,8 @@ RAW: dict[str, dict] = {
         record="struct<id: bigint, active: boolean, disabled: boolean, start: decimal(20,6),"
         " end: decimal(20,6), scope: array<string>, message: string, monitor_id: bigint,"
         " monitor_tags: array<string>, timezone: string, recurrence: struct<type: string,"
-        " period: int, week_days: array<string>, until: decimal(20,6)>>",
+        " period: int, week_days: array<string>, until: decimal(20,6)>, created: decimal(20,6),"
+        " creator_id: bigint, updated_at: decimal(20,6)>",
     ),
 }
 # A single incident is the same record, not wrapped in an array.

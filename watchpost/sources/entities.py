@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.checks import one_of
 from ..functions.times import to_ts
 from ..schemas import CANONICAL, RAW
+from . import landing
 
 
 def read_entity(
@@ -20,48 +21,31 @@ def read_entity(
 
     ``parquet`` paths hold canonical tables, read with their declared schema (date-partitioned
     folders keep their ``dt`` column for pruning). ``json`` paths hold landed response
-    documents, one per line, or one per file with ``whole_files``; the envelope is opened, time
-    units are normalised, and a document without its envelope fails the read while an empty
-    list is simply no rows.
+    documents, one per line, or one per file with ``whole_files``; the envelope is opened and time
+    units are normalised. A document without its envelope fails the read, as does a value that is
+    there and cannot be read, while an empty list is simply no rows; ``land_entity`` keeps what
+    cannot be read apart instead.
     """
     one_of("fmt", fmt, ("parquet", "json"))
     if fmt == "parquet":
         one_of("kind", kind, CANONICAL)
         return spark.read.schema(CANONICAL[kind]).parquet(path)
     one_of("kind", kind, RAW)
-    docs = spark.read.text(path, wholetext=whole_files).filter(F.trim("value") != "")
-    return _NORMALISE[kind](_records(docs, kind))
-
-
-def _records(docs: DataFrame, kind: str) -> DataFrame:
-    """Explode each document's record list into rows of one struct column ``r``."""
-    spec = RAW[kind]
-    one, many = spec["record"], f"array<{spec['record']}>"
-    if spec["envelope"] is None:
-        records = F.from_json("value", many)
-    else:
-        key = spec["envelope"]
-        held = one if spec.get("single") else many
-        doc = F.from_json(
-            "value", f"struct<{key}: {held}, status: string, message: string>"
-        )
-        records = doc.getField(key)
-        if spec.get("single"):
-            records = F.when(records.isNotNull(), F.array(records))
-        if kind == "metric_points":
-            failed = doc.getField("status") == "error"
-            note = F.concat(
-                F.lit("metric query failed: "), F.coalesce(doc.getField("message"), F.lit(""))
-            )
-            records = F.when(failed, F.raise_error(note)).otherwise(records)
-    if spec["required"]:
-        records = F.when(records.isNull(), F.raise_error(F.lit(spec["required"]))).otherwise(
-            records
-        )
-    # a document that is no JSON is an error for every kind; absent is not the same as broken
-    broken = F.raise_error(F.concat(F.lit("malformed document: "), F.left("value", F.lit(80))))
-    whole = F.try_parse_json("value").isNotNull()
-    return docs.select(F.explode(F.when(whole, records).otherwise(broken)).alias("r"))
+    docs = landing.documents(spark, path, whole_files)
+    return _NORMALISE[kind](landing.all_readable(landing.parsed(docs, kind)))
+
+
+def land_entity(
+    spark: SparkSession, kind: str, path: str, whole_files: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """The canonical rows of landed documents, and what could not be read.
+
+    Rejects are (file, text, field, reason). A record with a reject has no row; of a metric
+    series only the points that cannot be read are left out, unless more is wrong with it.
+    """
+    one_of("kind", kind, RAW)
+    records = landing.parsed(landing.documents(spark, path, whole_files), kind)
+    return _NORMALISE[kind](landing.readable(records)), landing.rejects(records)
 
 
 def _logs(df: DataFrame) -> DataFrame:
@@ -98,13 +82,18 @@ def _points(df: DataFrame) -> DataFrame:
     tags = F.when(F.col("r.scope").isin("", "*"), F.array().cast("array<string>")).otherwise(
         F.split("r.scope", ",")
     )
-    return df.select(
-        F.col("r.metric").alias("metric"), tags.alias("tags"), F.explode("r.pointlist").alias("p")
-    ).select(
-        "metric",
-        to_ts(F.col("p")[0], "ms").alias("ts"),
-        F.col("p")[1].alias("value"),
-        "tags",
+    about = ("display_name", "expression", "unit")
+    return (
+        df.select(
+            F.col("r.metric").alias("metric"),
+            tags.alias("tags"),
+            F.explode("r.pointlist").alias("p"),
+            *[f"r.{c}" for c in about],
+        )
+        .filter(F.col("p").isNotNull())
+        .select(
+            "metric", to_ts(F.col("p")[0], "ms").alias("ts"), F.col("p")[1].alias("value"), "tags", *about
+        )
     )
 
 
@@ -188,6 +177,9 @@ def _downtimes(df: DataFrame) -> DataFrame:
         recurrence.alias("recurrence"),
         "r.active",
         "r.disabled",
+        to_ts("r.created", "s").alias("created"),
+        "r.creator_id",
+        to_ts("r.updated_at", "s").alias("updated_at"),
     )
 
 
