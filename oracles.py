@@ -268,7 +268,40 @@ DOWNTIME_COLUMNS = """id, scope, ts_start, ts_end, message, timezone, monitor_id
          CASE WHEN mon_thu AND unit = 'weeks' THEN 'Mon|Thu' END AS week_days, until_s AS until, disabled"""
 LOG_COLUMNS = "id, ts, status, message, service, host"
 
+ALL_SPANS = SPANS[: SPANS.index("  WHERE")] + ")"
+
 ORACLES: dict[str, str] = {
+    "get_latest_services": _q([LOGS], f"""SELECT DISTINCT service FROM (
+        SELECT service FROM logs WHERE ts >= {FROM} AND ts < {TO} ORDER BY ts DESC, id DESC LIMIT 5)
+        WHERE service IS NOT NULL AND service <> ''"""),
+    "trace_page_count_full": _q([SPANS], """SELECT count(*) AS count FROM (
+        SELECT 1 FROM spans WHERE error <> 0 LIMIT 40)"""),
+    "landed_rejects": """SELECT CAST(event_id AS VARCHAR) AS id,
+        CASE WHEN event_id % 97 = 0 THEN 'attributes.timestamp' WHEN event_id % 89 = 0 THEN 'attributes.tags'
+             ELSE '' END AS field,
+        CASE WHEN event_id % 97 = 0 THEN 'not decimal(20,6)' WHEN event_id % 89 = 0 THEN 'not a list of texts'
+             ELSE 'read' END AS reason FROM events""",
+    "read_landed_spans": _q([ALL_SPANS], """SELECT CAST(span_id AS VARCHAR) AS span_id,
+        CAST(trace_id AS VARCHAR) AS trace_id, CAST(parent_id AS VARCHAR) AS parent_id, service, operation,
+        resource, ts, duration_ns, error, http_status, supplier FROM spans"""),
+    "read_landed_points": _q([POINTS], """SELECT metric, make_timestamp(epoch_us(ts) // 1000 * 1000) AS ts,
+        CAST(value AS DOUBLE) AS value, host || '|' || env AS tags, 'raw' AS expression FROM points"""),
+    "read_landed_monitors": _q([MONITORS], """SELECT id, name, 'metric alert' AS type, message,
+        CASE WHEN tagged THEN brand || '|' || kind END AS tags, query, state AS overall_state,
+        timestamp '2024-01-01' AS created,
+        make_timestamp(modified_s * 1000000 + 500000) AS modified FROM monitors"""),
+    "read_landed_hosts": _q([HOSTS], """SELECT id, name, alias AS aliases, segment AS apps, false AS is_muted,
+        last_reported, segment AS platform, load, up, tag AS tags FROM hosts"""),
+    "read_landed_dashboards": _q([DASHBOARDS], """SELECT CAST(id AS VARCHAR) AS id, title, description, type,
+        layout_type FROM dashboards"""),
+    "read_landed_incidents": _q([INCIDENTS], """SELECT CAST(id AS VARCHAR) AS id, title, status, severity, created,
+        modified, customer_impacted FROM incidents"""),
+    "read_landed_downtimes": _q([REQUESTS], f"SELECT {DOWNTIME_COLUMNS} FROM downtimes"),
+    "rejected_downtimes": _q([REQUESTS], """SELECT id, scope, timezone, reason FROM (
+        SELECT id, scope, CASE WHEN id % 17 = 3 THEN 'Nowhere/Land' ELSE timezone END AS timezone,
+               CASE WHEN scope = '' THEN 'empty scope' WHEN end_s <= start_s THEN 'end not after start'
+                    WHEN id % 17 = 3 THEN 'unknown time zone' END AS reason FROM requests)
+        WHERE reason IS NOT NULL"""),
     "get_logs": _q([LOGS], f"""SELECT {LOG_COLUMNS} FROM logs
         WHERE ts >= {FROM} AND ts < {TO} AND service = 'svc-3' ORDER BY ts DESC, id DESC LIMIT 100"""),
     "get_logs_text": _q([LOGS], f"""SELECT {LOG_COLUMNS} FROM logs

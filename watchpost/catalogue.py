@@ -15,7 +15,7 @@ from .operators import aggregates, downtimes, filters, metrics, monitors, mutes,
 from .plans.alerting import alert_report
 from .session import scratch_path
 from .sources import samples
-from .sources.entities import ndjson_lines, read_entity
+from .sources.entities import land_entity, ndjson_lines, read_entity
 from .streaming.metrics import stream_metric
 from .streaming.monitors import stream_monitors
 from .streaming.mutes import read_mute_state, stream_mutes
@@ -55,19 +55,29 @@ def get_all_services(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.all_services(filters.time_range(samples.logs(spark, d), FROM, TO))
 
 
-def read_landed_logs(spark: SparkSession, d: str) -> DataFrame:
-    """Logs landed as response documents of up to 100 records each, read back."""
-    logs = samples.logs(spark, d)
+def _land(records: DataFrame, group: str, label: str, envelope: str | None) -> str:
+    """Write JSON texts (column ``record``) as documents of one ``group`` each; returns the path."""
+    path = scratch_path(records.sparkSession, label)
+    held = F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]"))
+    docs = records.groupBy(F.expr(group)).agg(held.alias("held"))
+    text = "held" if envelope is None else f"concat('{{\"{envelope}\":', held, '}}')"
+    docs.select(F.expr(text).alias("value")).write.text(path)
+    return path
+
+
+def _log_records(spark: SparkSession, d: str) -> DataFrame:
     record = F.struct(
         F.col("id").cast("string").alias("id"),
         F.struct(
-            F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"),
-            "status", "message", "service", "host", "tags",
+            from_ts("ts", "ms").alias("timestamp"), "status", "message", "service", "host", "tags"
         ).alias("attributes"),
     )
-    docs = logs.groupBy(F.expr("id div 100")).agg(F.collect_list(record).alias("data"))
-    path = scratch_path(spark, "landed-logs")
-    docs.select(F.to_json(F.struct("data")).alias("value")).write.text(path)
+    return samples.logs(spark, d).select("id", F.to_json(record).alias("record"))
+
+
+def read_landed_logs(spark: SparkSession, d: str) -> DataFrame:
+    """Logs landed as response documents of up to 100 records each, read back."""
+    path = _land(_log_records(spark, d), "id div 100", "landed-logs", "data")
     read = read_entity(spark, "logs", path, "json")
     return read.select(
         "id", F.col("ts").cast("timestamp_ntz").alias("ts"), "status", "message", "service",
@@ -75,6 +85,122 @@ def read_landed_logs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def landed_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """What cannot be read of logs some of which have a word for a time, or a text for tags."""
+    broken = _log_records(spark, d).withColumn(
+        "record",
+        F.expr(
+            """CASE WHEN id % 97 = 0 THEN regexp_replace(record, '"timestamp":[0-9]+', '"timestamp":"soon"')
+            WHEN id % 89 = 0 THEN regexp_replace(record, '"tags":.[^]]*.', '"tags":"none"')
+            ELSE record END"""
+        ),
+    )
+    rows, rejects = land_entity(spark, "logs", _land(broken, "id div 100", "landed-broken", "data"))
+    return rejects.select(
+        F.get_json_object("text", "$.id").alias("id"), "field", "reason"
+    ).unionByName(rows.select("id", F.lit("").alias("field"), F.lit("read").alias("reason")))
+
+
+def read_landed_spans(spark: SparkSession, d: str) -> DataFrame:
+    text = lambda c: F.col(c).cast("string").alias(c)
+    record = F.struct(
+        F.concat_ws("-", "trace_id", "span_id").alias("id"),
+        F.struct(
+            "service", F.col("operation").alias("name"), "resource", text("trace_id"),
+            text("span_id"), text("parent_id"), (from_ts("ts", "us") * 1000).alias("start"),
+            F.col("duration_ns").alias("duration"), "error", "meta",
+        ).alias("attributes"),
+    )
+    records = samples.spans(spark, d).select("trace_id", F.to_json(record).alias("record"))
+    read = read_entity(spark, "spans", _land(records, "trace_id div 25", "landed-spans", "data"), "json")
+    return _span_rows(read).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def read_landed_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points as series of a metric, scope and day."""
+    points = samples.metric_points(spark, d)
+    series = points.groupBy(
+        "metric", F.array_join("tags", ",").alias("scope"), F.expr("unix_timestamp(ts) div 86400").alias("day")
+    ).agg(
+        F.collect_list(
+            F.array(from_ts("ts", "ms").cast("double"), F.col("value").cast("double"))
+        ).alias("pointlist")
+    )
+    record = F.to_json(F.struct("metric", "scope", "pointlist", F.lit("raw").alias("expression")))
+    path = _land(series.select("day", record.alias("record")), "day", "landed-points", "series")
+    return read_entity(spark, "metric_points", path, "json").select(
+        "metric", F.col("ts").cast("timestamp_ntz").alias("ts"), "value",
+        F.array_join("tags", "|").alias("tags"), "expression",
+    )
+
+
+def read_landed_monitors(spark: SparkSession, d: str) -> DataFrame:
+    iso = {c: from_ts(c, "iso") for c in ("created", "modified")}
+    made = samples.monitors(spark, d).withColumns(iso)
+    records = made.select("id", F.to_json(F.struct("*")).alias("record"))
+    read = read_entity(spark, "monitors", _land(records, "id div 100", "landed-monitors", None), "json")
+    return read.select(
+        "id", "name", "type", "message", F.array_join("tags", "|").alias("tags"), "query",
+        "overall_state", *[F.col(c).cast("timestamp_ntz").alias(c) for c in iso],
+    )
+
+
+def read_landed_hosts(spark: SparkSession, d: str) -> DataFrame:
+    seconds = (from_ts("last_reported", "us").cast("decimal(20,0)") / 1_000_000).cast("decimal(20,6)")
+    made = samples.hosts(spark, d).withColumn("last_reported_time", seconds).drop("last_reported")
+    records = made.select("id", F.to_json(F.struct("*")).alias("record"))
+    read = read_entity(spark, "hosts", _land(records, "id div 100", "landed-hosts", "host_list"), "json")
+    return read.select(
+        "id", "name", F.array_join("aliases", "|").alias("aliases"),
+        F.array_join("apps", "|").alias("apps"), "is_muted",
+        F.col("last_reported").cast("timestamp_ntz").alias("last_reported"),
+        F.col("meta").getItem("platform").alias("platform"),
+        F.col("metrics").getItem("load").alias("load"), "up",
+        F.array_join("tags", "|").alias("tags"),
+    )
+
+
+def read_landed_dashboards(spark: SparkSession, d: str) -> DataFrame:
+    made = samples.dashboards(spark, d).withColumn("key", F.col("id")).withColumn("id", F.col("id").cast("string"))
+    records = made.select("key", F.to_json(F.struct(*made.drop("key").columns)).alias("record"))
+    path = _land(records, "key div 20", "landed-dashboards", "dashboards")
+    return read_entity(spark, "dashboards", path, "json")
+
+
+def read_landed_incidents(spark: SparkSession, d: str) -> DataFrame:
+    record = F.struct(
+        F.col("id").cast("string").alias("id"),
+        F.struct(
+            "title", "status", "severity", "customer_impacted",
+            *[from_ts(c, "iso").alias(c) for c in ("created", "modified")],
+        ).alias("attributes"),
+    )
+    records = samples.incidents(spark, d).select("id", F.to_json(record).alias("record"))
+    read = read_entity(spark, "incidents", _land(records, "id div 100", "landed-incidents", "data"), "json")
+    return read.select(
+        "id", "title", "status", "severity",
+        *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("created", "modified")], "customer_impacted",
+    )
+
+
+def read_landed_downtimes(spark: SparkSession, d: str) -> DataFrame:
+    until = F.col("recurrence").withField("until", F.unix_timestamp("recurrence.until"))
+    record = F.struct(
+        "id", "scope", from_ts("ts_start", "s").alias("start"), from_ts("ts_end", "s").alias("end"),
+        "message", "timezone", "monitor_id", "monitor_tags", until.alias("recurrence"), "disabled",
+    )
+    records = samples.downtimes(spark, d).select("id", F.to_json(record).alias("record"))
+    read = read_entity(spark, "downtimes", _land(records, "id div 100", "landed-downtimes", None), "json")
+    return _downtime_rows(
+        read.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts_start", "ts_end")})
+    )
+
+
+def get_latest_services(spark: SparkSession, d: str) -> DataFrame:
+    """Services of the latest five logs; most services have older logs only."""
+    return aggregates.all_services(filters.time_range(samples.logs(spark, d), FROM, TO), 5)
+
+
 def convert_time_units(spark: SparkSession, d: str) -> DataFrame:
     """Event times as seconds, milliseconds and ISO text, and back from three units."""
     e = samples.logs(spark, d).select(
@@ -120,6 +246,12 @@ def trace_page_count(spark: SparkSession, d: str) -> DataFrame:
     return paging.page_count(paging.spans_page(_span_rows(found), 10_000, ties=SPAN_TIES))
 
 
+def trace_page_count_full(spark: SparkSession, d: str) -> DataFrame:
+    """A full page of fewer rows than match: the page is counted, not the matches."""
+    found = filters.search_rows(_spans(spark, d), {"error": "true"})
+    return paging.page_count(paging.spans_page(_span_rows(found), 40, ties=SPAN_TIES))
+
+
 # metrics
 
 
@@ -323,6 +455,17 @@ def expand_downtimes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def rejected_downtimes(spark: SparkSession, d: str) -> DataFrame:
+    """Stored downtimes that cover nothing: of requests that were stored as they came."""
+    stored = samples.downtime_requests(spark, d).select(
+        "id", F.expr("filter(array(scope), s -> s <> '')").alias("scope"),
+        to_ts("start", "s").alias("ts_start"), to_ts("end", "s").alias("ts_end"),
+        F.expr("IF(id % 17 = 3, 'Nowhere/Land', timezone)").alias("timezone"),
+    )
+    found = downtimes.rejected_downtimes(stored)
+    return found.select("id", F.array_join("scope", "|").alias("scope"), "timezone", "reason")
+
+
 def cancel_downtimes(spark: SparkSession, d: str) -> DataFrame:
     remaining, unknown = downtimes.cancel(
         samples.downtimes(spark, d), samples.downtime_cancels(spark, d)
@@ -407,8 +550,11 @@ def stream_mute_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    get_logs, get_logs_text, get_all_services, read_landed_logs, convert_time_units, list_traces_desc, list_traces_asc,
-    list_traces_facets, trace_page_count, query_metric_by_host, query_metric_scope,
+    get_logs, get_logs_text, get_all_services, get_latest_services, read_landed_logs,
+    read_landed_spans, read_landed_points, read_landed_monitors, read_landed_hosts,
+    read_landed_dashboards, read_landed_incidents, read_landed_downtimes, landed_rejects,
+    convert_time_units, list_traces_desc, list_traces_asc,
+    list_traces_facets, trace_page_count, trace_page_count_full, rejected_downtimes, query_metric_by_host, query_metric_scope,
     query_metric_sum, metric_pointlist, list_incidents_page, list_incidents_deep_page, get_incident,
     incidents_ndjson,
     list_monitors, filter_monitors, monitor_summary, evaluate_monitors, evaluate_monitors_grid,

@@ -162,12 +162,15 @@ def parsed(docs: DataFrame, kind: str) -> DataFrame:
         whole.when(~F.coalesce(_is(F.col("v"), "OBJECT"), F.lit(False)), F.array(_problem("$", "not an object")))
         .otherwise(F.concat(*own))
     )
-    return items.select(
-        "file",
-        F.when(F.col("problem").isNull(), F.to_json("v")).otherwise(F.left("value", F.lit(SHOWN))).alias("text"),
+    text = F.when(F.col("problem").isNull(), F.to_json("v")).otherwise(F.left("value", F.lit(SHOWN)))
+    record = F.struct(
+        text.alias("text"),
         F.struct(*[f.value.alias(n) for n, f in fields]).alias("r"),
         problems.alias("problems"),
     )
+    # as the rows of a generator the fields are made once; a projection would be merged into every
+    # filter and projection that follows
+    return items.select("file", F.explode(F.array(record)).alias("x")).select("file", "x.*")
 
 
 def _not_a_time(path: str) -> Column:
