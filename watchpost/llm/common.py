@@ -27,6 +27,19 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``stored`` and the path, for tables that ``removed`` takes away before the session ends."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     scratch_root(df.sparkSession)
     return df.checkpoint()

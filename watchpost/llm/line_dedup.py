@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored
+from .common import removed, stored, stored_at
 
 DEPTH = 4
 SIMILAR = 0.8
@@ -153,14 +153,20 @@ def recurring_templates(
     lines = full.dropDuplicates(["template", "leaf", "n"]).select(
         "template", "leaf", "n", "docs", F.split("masked", " ").alias("tokens")
     )
-    lines = stored(lines, "leaf-lines")
+    lines, path = stored_at(lines, "leaf-lines")
     members = None
     while True:
         found = stored(general_templates(lines, similar), "line-groups")
         members = found if members is None else members.unionByName(found)
         if not found.limit(1).count():
             break
-        lines = stored(lines.join(found.select("template"), "template", "left_anti"), "leaf-lines")
+        # the templates found hold all that this round's lines are still needed for
+        left, next_path = stored_at(
+            lines.join(found.select("template"), "template", "left_anti"), "leaf-lines"
+        )
+        removed(docs.sparkSession, path)
+        lines, path = left, next_path
+    removed(docs.sparkSession, path)
 
     # a general template stands for all its members; any other line for itself
     joined = distinct.join(members, "template", "left")
