@@ -167,7 +167,7 @@ def test_suppression_equals_nested_loops(spark, kind):
     ).withColumn("ts", F.col("t").cast(kind)).drop("t")
     table = downtimes(spark, ds, kind)
     want = {a[0] for a in alerts if naive(a, ds)}
-    kept, hit = suppress(df, table, salts=3)
+    kept, hit = suppress(df, table, rows_per_task=7)
     hit_ids = [r["alert_id"] for r in hit.collect()]
     assert sorted(hit_ids) == sorted(want)
     assert sorted(r["alert_id"] for r in kept.collect()) == sorted(set(range(800)) - want)
@@ -218,3 +218,42 @@ def test_rejects_are_listed_and_fail_nothing(spark):
     }
     assert {r["id"] for r in expand_downtimes(df, 1704326400).collect()} >= {1, 2}
     assert 3 not in {r["id"] for r in expand_downtimes(df, 1704326400).collect()}
+
+
+def test_overlapping_downtimes_become_disjoint_intervals(spark):
+    rng = random.Random(9)
+    t0 = datetime(2024, 1, 1)
+    ds = []
+    for i in range(120):
+        start = t0 + timedelta(seconds=rng.randrange(40_000))
+        end = None if i == 7 else str(start + timedelta(seconds=rng.randrange(1, 900)))
+        ds.append(row(i, str(start), end, scope="env:a" if i % 3 else "env:b"))
+    parts = covers(downtimes(spark, ds)).collect()
+    for scope in ("env:a", "env:b"):
+        own = sorted((r["start"], r["end"] or datetime(9999, 1, 1)) for r in parts if r["scope"] == scope and r["tier"] != 4)
+        assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))
+    assert sum(r["end"] is None for r in parts) == 1
+
+
+def test_a_hot_scope_of_open_downtimes_is_spread(spark):
+    """A third of all alerts on one scope, which has hundreds of downtimes without end."""
+    rng = random.Random(5)
+    t0 = datetime(2024, 1, 1)
+    ds = [row(i, str(t0 + timedelta(minutes=10 + i)), None, scope="env:hot") for i in range(300)]
+    ds += [row(400 + i, str(t0), str(t0 + timedelta(hours=5)), scope=f"host:h{i}") for i in range(20)]
+    alerts = [
+        (i, str(t0 + timedelta(minutes=rng.randrange(700))), ["env:hot"] if i % 3 == 0 else [f"host:h{i % 41}"], 1, ["x"])
+        for i in range(3000)
+    ]
+    df = spark.createDataFrame(
+        alerts, "alert_id long, t string, tags array<string>, monitor_id long, monitor_tags array<string>"
+    ).withColumn("ts", F.col("t").cast("timestamp_ntz")).drop("t")
+    table = downtimes(spark, ds)
+    kept, hit = suppress(df, table, rows_per_task=100)
+    want = {a[0] for a in alerts if naive(a, ds)}
+    assert sorted(r["alert_id"] for r in hit.collect()) == sorted(want)
+    assert kept.count() == 3000 - len(want)
+    # a thousand alerts of one key meet ten copies of one downtime row, not one of three hundred
+    assert covers(table).filter("scope = 'env:hot'").count() == 1
+    plan = hit._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salts" in plan

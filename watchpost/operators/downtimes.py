@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.checks import whole
 from ..functions.times import require_utc, ts_sql, ts_type
@@ -14,6 +14,9 @@ HOUR, DAY = 3600, 86_400
 # however long it is. Still longer ones take the widest bins; open ones have no bins at all.
 TIERS = ((HOUR, DAY), (DAY, 30 * DAY), (30 * DAY, 1000 * DAY), (1000 * DAY, None))
 OPEN = len(TIERS)
+FOREVER_S = 253_370_764_800  # 9999-01-01, the end of an open downtime
+#: alerts of one scope, bin and restriction that go to one task
+ROWS_PER_TASK = 200_000
 
 
 def rejected_downtimes(downtimes: DataFrame) -> DataFrame:
@@ -99,14 +102,33 @@ def expand_downtimes(downtimes: DataFrame, horizon_s: float) -> DataFrame:
     )
 
 
+def islands(flat: DataFrame, kind) -> DataFrame:
+    """Overlapping and touching intervals of one scope and restriction as one; open if one is.
+
+    Rows are (scope, only, monitor_id, need, start, end), a null end meaning open.
+    """
+    keys = ["scope", "only", "monitor_id", "need"]
+    far = ts_sql(FOREVER_S, kind)
+    # of those starting together only the last to end matters
+    longest = flat.groupBy(*keys, "start").agg(F.max(F.expr(f"coalesce(end, {far})")).alias("end"))
+    by_start = Window.partitionBy(*keys).orderBy("start")
+    before = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = longest.withColumn(
+        "_new", F.coalesce(F.col("start") > before, F.lit(True)).cast("int")
+    ).withColumn("_island", F.sum("_new").over(by_start))
+    merged = numbered.groupBy(*keys, "_island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")
+    )
+    return merged.drop("_island").withColumn("end", F.expr(f"IF(end < {far}, end, NULL)"))
+
+
 def covers(downtimes: DataFrame) -> DataFrame:
-    """Downtimes cut into time bins and clipped to them.
+    """Downtimes as disjoint intervals, cut into time bins and clipped to them.
 
-    Clipping makes all downtimes that span a whole bin equal, and of those starting together
-    only the last to end matters, so a bin of one scope holds at most one row per second and
-    restriction, however many downtimes overlap there. Disabled and wrong-way-round downtimes
-    cover nothing; so do those with several scopes, which have no defined meaning and are listed
-    by ``rejected_downtimes``. A missing start means always begun.
+    Downtimes of one scope and restriction are merged first, so however many overlap, an instant
+    meets one row of a restriction, and open ones come to one row each. Disabled and
+    wrong-way-round downtimes cover nothing; so do those with several scopes, which have no
+    defined meaning and are listed by ``rejected_downtimes``. A missing start means always begun.
 
     ``only`` is what an alert must carry besides the scope: its monitor, one of the monitor
     tags, or nothing.
@@ -130,7 +152,7 @@ def covers(downtimes: DataFrame) -> DataFrame:
         )
         .filter("end IS NULL OR end > start")
     )
-    tiered = flat.selectExpr(
+    tiered = islands(flat, kind).selectExpr(
         "*", "unix_timestamp(start) AS _a", "unix_timestamp(end) AS _b"
     ).selectExpr(
         "*",
@@ -146,36 +168,34 @@ def covers(downtimes: DataFrame) -> DataFrame:
               greatest(start, {epoch} + make_dt_interval(0, 0, 0, b * _w)) AS start,
               least(end, {epoch} + make_dt_interval(0, 0, 0, (b + 1) * _w)) AS end)))) AS _p""",
     )
-    return (
-        cut.selectExpr(
-            "scope", "only", "monitor_id", "need", "tier",
-            "_p.bin AS bin", "_p.start AS start", "_p.end AS end",
-        )
-        .filter("end IS NULL OR end > start")
-        .groupBy("scope", "only", "tier", "bin", "monitor_id", "need", "start")
-        .agg(F.max("end").alias("end"))
-    )
+    return cut.selectExpr(
+        "scope", "only", "monitor_id", "need", "tier",
+        "_p.bin AS bin", "_p.start AS start", "_p.end AS end",
+    ).filter("end IS NULL OR end > start")
 
 
 def _floor_div(a: str, b: str) -> str:
     return f"({a} - pmod({a}, {b})) div {b}"
 
 
-def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> DataFrame:
+def covered_alerts(
+    alerts: DataFrame, downtimes: DataFrame, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """The ids of alerts inside a downtime: same scope, time in ``[start, end)``, restrictions.
 
     An alert comes once for each of its tags that is covered.
 
     An equi-join on scope, time bin and restriction, so a task looks at the downtimes of one
-    bin. Alerts of a hot scope are spread over its bins and, within a bin, over ``salts``
-    copies of its (few) downtime rows. Spark broadcasts the downtime side when it measures
-    small enough; nothing forces it to.
+    bin. The alerts of each such key are counted; those of a key with more than
+    ``rows_per_task`` are spread over as many copies of its downtime rows as make that many
+    each, so a hot scope is no hot task. Spark broadcasts a side when it measures small enough;
+    nothing forces it to.
     """
     spark = alerts.sparkSession
     require_utc(spark)
-    salts = whole("salts", salts, 1)
+    rows_per_task = whole("rows_per_task", rows_per_task, 1)
     scratch_root(spark)
-    # read twice below, so it is written once
+    # read several times below, so it is written once
     marks = covers(downtimes).checkpoint()
     # What kinds of downtime a scope has at all, at most 15: alerts are only probed for those,
     # and tags no downtime names go no further.
@@ -188,7 +208,6 @@ def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> D
             "ts",
             "monitor_id AS has_id",
             "coalesce(monitor_tags, array()) AS has",
-            f"CAST(pmod(xxhash64(alert_id), {salts}) AS INT) AS salt",
             "explode(array_distinct(tags)) AS scope",
         )
         .join(kinds, "scope")
@@ -199,25 +218,40 @@ def covered_alerts(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> D
             " ELSE transform(has, t -> concat('t:', t)) END) AS only",
         )
     )
-    marks = marks.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS salt")
-    keys = ["scope", "tier", "bin", "only", "salt"]
-    same = " AND ".join(f"r.{k} = m.{k}" for k in keys)
+    keys = ["scope", "tier", "bin", "only"]
+    # counted per task before the exchange; one row stays for each ``rows_per_task`` alerts or more
+    hot = (
+        rows.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_n") > rows_per_task)
+        .selectExpr(*keys, f"CAST(ceil(_n / {rows_per_task}) AS INT) AS _salts")
+        .checkpoint()
+    )
+    salted = rows.join(hot, keys, "left").selectExpr(
+        "*", "CAST(pmod(xxhash64(alert_id), coalesce(_salts, 1)) AS INT) AS salt"
+    )
+    marks = marks.join(hot, keys, "left").selectExpr(
+        "*", "explode(sequence(0, coalesce(_salts, 1) - 1)) AS salt"
+    )
+    same = " AND ".join(f"r.{k} = m.{k}" for k in [*keys, "salt"])
     covered = F.expr(
         f"""{same} AND r.ts >= m.start AND (m.end IS NULL OR r.ts < m.end)
         AND (m.monitor_id IS NULL OR r.has_id = m.monitor_id)
         AND size(array_except(m.need, r.has)) = 0"""
     )
-    hits = rows.alias("r").join(marks.alias("m"), covered, "left_semi")
+    hits = salted.alias("r").join(marks.alias("m"), covered, "left_semi")
     return hits.select("alert_id")
 
 
-def flag_suppressed(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) -> DataFrame:
+def flag_suppressed(
+    alerts: DataFrame, downtimes: DataFrame, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame:
     """Alerts with a ``suppressed`` column.
 
-    The alerts are read twice, once for their ids: hand in a table, or checkpoint what is
+    The alerts are read three times, twice for their tags: hand in a table, or checkpoint what is
     costly to compute.
     """
-    hit = covered_alerts(alerts, downtimes, salts).distinct().withColumn("_hit", F.lit(True))
+    hit = covered_alerts(alerts, downtimes, rows_per_task).distinct().withColumn("_hit", F.lit(True))
     return (
         alerts.join(hit, "alert_id", "left")
         .withColumn("suppressed", F.coalesce("_hit", F.lit(False)))
@@ -226,10 +260,10 @@ def flag_suppressed(alerts: DataFrame, downtimes: DataFrame, salts: int = 8) ->
 
 
 def suppress(
-    alerts: DataFrame, downtimes: DataFrame, salts: int = 8
+    alerts: DataFrame, downtimes: DataFrame, rows_per_task: int = ROWS_PER_TASK
 ) -> tuple[DataFrame, DataFrame]:
     """The alerts outside all downtimes, and those inside one."""
-    hit = covered_alerts(alerts, downtimes, salts)
+    hit = covered_alerts(alerts, downtimes, rows_per_task)
     return (
         alerts.join(hit, "alert_id", "left_anti"),
         alerts.join(hit, "alert_id", "left_semi"),
