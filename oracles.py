@@ -271,6 +271,11 @@ LOG_COLUMNS = "id, ts, status, message, service, host"
 ALL_SPANS = SPANS[: SPANS.index("  WHERE")] + ")"
 
 ORACLES: dict[str, str] = {
+    "list_hosts_deep_page": _q([HOSTS], """SELECT id, name, last_reported, up, segment AS platform
+        FROM (SELECT *, row_number() OVER (ORDER BY name, id) AS n, count(*) OVER () AS total FROM hosts)
+        WHERE n > total // 2 AND n <= total // 2 + 300"""),
+    "export_incidents": _q([INCIDENTS], """SELECT * EXCLUDE (n), CAST((n - 1) // 400 AS INTEGER) AS page
+        FROM (SELECT *, row_number() OVER (ORDER BY created DESC, id) AS n FROM incidents) WHERE n <= 1200"""),
     "get_latest_services": _q([LOGS], f"""SELECT DISTINCT service FROM (
         SELECT service FROM logs WHERE ts >= {FROM} AND ts < {TO} ORDER BY ts DESC, id DESC LIMIT 5)
         WHERE service IS NOT NULL AND service <> ''"""),

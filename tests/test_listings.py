@@ -161,6 +161,59 @@ def test_deep_pages_by_another_field(spark):
     assert [r["id"] for r in got] == want[100:350]
 
 
+@pytest.mark.parametrize("way", ["asc", "desc", "asc_nulls_last", "desc_nulls_first"])
+def test_deep_pages_of_many_rows_and_few_values(spark, way, monkeypatch):
+    """Sampled bounds, rows that agree in all order columns, nulls, and no row for each value."""
+    from watchpost.plans import layout
+
+    monkeypatch.setattr(layout, "SAMPLE", 400)
+    rows = spark.range(9000).selectExpr(
+        "id", "IF(id % 11 = 0, NULL, concat('n', id % 900)) AS name", "id % 3 AS kind", "repeat('x', 20) AS wide")
+    for order in ([("name", way), ("id", "desc")], [("name", way)], [("kind", "asc"), ("name", way)]):
+        by = [getattr(F.col(c), w)() for c, w in order]
+        want = [tuple(r) for r in rows.orderBy(*by).select(*[c for c, _ in order]).collect()]
+        for offset, n in ((4000, 300), (8990, 50), (100, 8800), (9000, 5), (2995, 10)):
+            got = slice_sorted(rows, order, offset, n, topk_rows=0).collect()
+            assert [tuple(r[c] for c, _ in order) for r in got] == want[offset : offset + n]
+            assert len({r["id"] for r in got}) == len(got)
+
+
+def test_a_deep_page_writes_its_order_columns_only(spark):
+    from watchpost.plans import layout
+
+    written = []
+    real = layout.range_blocks
+    rows = spark.range(500).selectExpr("id", "concat('n', id % 7) AS name", "repeat('x', 99) AS wide")
+    layout.range_blocks = lambda df, *a, **k: written.append(df.columns) or real(df, *a, **k)
+    try:
+        got = slice_sorted(rows, [("name", "asc"), ("id", "asc")], 100, 250, topk_rows=0)
+    finally:
+        layout.range_blocks = real
+    assert written == [["name", "id"]] and got.columns == ["id", "name", "wide"] and got.count() == 250
+
+
+@pytest.mark.parametrize("way", ["asc", "desc", "asc_nulls_last", "desc_nulls_first"])
+def test_cursors_read_everything_once(spark, way, tmp_path):
+    rows = spark.range(300).selectExpr("id", "IF(id % 7 = 0, NULL, timestamp_seconds(id % 40)) AS ts")
+    rows.write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    order = [("ts", way), ("id", "asc")]
+    want = [r["id"] for r in table.orderBy(getattr(F.col("ts"), way)(), "id").collect()]
+    got, last = [], None
+    while True:
+        page = paging.after_cursor(table, order, last, 64).collect()
+        if not page:
+            break
+        got += [r["id"] for r in page]
+        last = (page[-1]["ts"], page[-1]["id"])
+    assert got == want
+    with pytest.raises(ValueError):
+        paging.after_cursor(table, order, [1], 5)
+    top = table.agg(F.max("ts")).first()[0]
+    plan = paging.after_cursor(table, [("ts", "desc"), ("id", "asc")], (top, 5), 5)._jdf.queryExecution()
+    assert "LessThanOrEqual(ts" in plan.executedPlan().toString()
+
+
 def test_latest_and_spans(rows):
     got = [(r["ts"], r["id"]) for r in paging.latest(rows, 20).collect()]
     assert got == sorted(((r["ts"], r["id"]) for r in rows.collect()), reverse=True)[:20]

@@ -358,6 +358,28 @@ def list_hosts_page(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def list_hosts_deep_page(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts by name from half-way on, the page found among names and ids alone."""
+    hosts = samples.hosts(spark, d).select("id", "name", "last_reported", "up", "meta")
+    half = hosts.count() // 2
+    page = paging.hosts_page(hosts, "name", "asc", half, 300, topk_rows=50)
+    return page.select("id", "name", "last_reported", "up", F.col("meta").getItem("platform").alias("platform"))
+
+
+def export_incidents(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages read one behind the other, each from the cursor its predecessor left."""
+    incidents = samples.incidents(spark, d)
+    order, last, pages = [("created", "desc"), ("id", "asc")], None, None
+    for n in range(3):
+        page = paging.after_cursor(incidents, order, last, 400).withColumn("page", F.lit(n))
+        end = page.orderBy(F.col("created").asc(), F.col("id").desc()).select("created", "id").first()
+        pages = page if pages is None else pages.unionByName(page)
+        if end is None:
+            break
+        last = (end["created"], end["id"])
+    return pages
+
+
 def filter_hosts(spark: SparkSession, d: str) -> DataFrame:
     """By a tag, and by a piece of an alias, each with a lower bound on the last report."""
     hosts = projections.host_details(samples.hosts(spark, d))
@@ -558,7 +580,7 @@ _ALL = (
     query_metric_sum, metric_pointlist, list_incidents_page, list_incidents_deep_page, get_incident,
     incidents_ndjson,
     list_monitors, filter_monitors, monitor_summary, evaluate_monitors, evaluate_monitors_grid,
-    list_hosts_page, filter_hosts, active_hosts, host_mute_state,
+    list_hosts_page, list_hosts_deep_page, export_incidents, filter_hosts, active_hosts, host_mute_state,
     host_mute_state_by_joins, hosts_with_mute, mutes_of_unlisted_hosts,
     list_dashboards_name, list_dashboards_tags, get_dashboard, current_downtimes,
     schedule_downtimes, expand_downtimes, cancel_downtimes, suppressed_alerts,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.checks import one_of, whole
-from ..plans.layout import TOPK_ROWS, slice_sorted
+from ..plans.layout import TOPK_ROWS, behind, slice_sorted
 
 
 def latest(df: DataFrame, n: int = 100, topk_rows: int = TOPK_ROWS) -> DataFrame:
@@ -61,3 +61,24 @@ def hosts_page(
 def page_count(page: DataFrame) -> DataFrame:
     """How many rows the page holds (not how many matched)."""
     return page.agg(F.count(F.lit(1)).alias("count"))
+
+
+def after_cursor(
+    df: DataFrame,
+    order: Sequence[tuple[str, str]],
+    last: Sequence | None,
+    n: int,
+    topk_rows: int = TOPK_ROWS,
+) -> DataFrame:
+    """The next ``n`` rows behind a cursor: the order columns of the last row already read.
+
+    For reading a table page by page. ``order`` is (column, direction) pairs ending in a unique
+    one, ``last`` their values (None: from the start). What the cursor has passed is left out by
+    a filter on the leading column that reaches the files, so a page costs the same however deep.
+    """
+    n = whole("n", n, 0)
+    if last is not None:
+        if len(last) != len(order):
+            raise ValueError(f"the cursor needs {len(order)} values; got {len(last)}")
+        df = df.filter(behind(df, order, last))
+    return slice_sorted(df, order, 0, n, topk_rows)

@@ -12,10 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.times import ts_lit
 from ..session import scratch_root
 
 TOPK_ROWS = 10_000
+#: rows of the sample that bounds a deep page
+SAMPLE = 4096
 BLOCK = "_block"
 
 
@@ -84,66 +85,166 @@ def slice_sorted(
     """Rows ``offset .. offset+n-1`` in sort order, given as ``(column, direction)`` pairs.
 
     Up to ``topk_rows`` the built-in top-k does it: each task keeps its best rows and one task
-    merges them. Deeper pages would gather everything before their end in that task. For those,
-    a count per hour of the leading time column first narrows the read to the hours the page
-    lies in; what is still too deep is cut by range blocks: whole blocks inside the page pass,
-    and only the blocks holding an edge of it are numbered row by row. The driver sees one
-    count per hour and one per block.
+    merges them. Deeper pages would gather everything before their end in that task. There, a
+    bottom-k sample of the leading column, of any type, gives values between which the page is
+    all but sure to lie; rows before and between them are counted, which makes it sure. Within
+    them the order columns alone are cut into range blocks to find the first and the last row of
+    the page, and the table is read between those two. The driver sees the sample, two rows and
+    a count for each block.
     """
     by = [getattr(F.col(name), way)() for name, way in order]
-    if offset + n > topk_rows:
-        df, offset = _hours_of_page(df, *order[0], offset, n)
     if offset + n <= topk_rows:
-        top = df.orderBy(*by)
-        return (top.offset(offset) if offset else top).limit(n)
-    cut = range_blocks(df, by)
-    counts = {r[BLOCK]: r["count"] for r in cut.groupBy(BLOCK).count().collect()}
-    inside, edges, before = [], [], 0
-    for block in sorted(counts):
-        low = max(offset - before, 0)
-        high = min(offset + n - before, counts[block])
-        if low == 0 and high == counts[block]:
-            inside.append(block)
-        elif low < high:
-            edges.append((block, low, high))
-        before += counts[block]
-    page = cut.filter(F.col(BLOCK).isin(inside))
-    if edges:
-        numbered = cut.filter(F.col(BLOCK).isin([b for b, _, _ in edges])).withColumn(
-            "_row", F.row_number().over(Window.partitionBy(BLOCK).orderBy(*by))
-        )
-        keep = F.lit(False)
-        for block, low, high in edges:
-            keep = keep | ((F.col(BLOCK) == block) & F.col("_row").between(low + 1, high))
-        page = page.unionByName(numbered.filter(keep).drop("_row"))
-    return page.drop(BLOCK).orderBy(*by)
+        return _top(df, by, offset, n)
+    near, offset = _near(df, order, offset, n)
+    if offset + n <= topk_rows:
+        return _top(near, by, offset, n)
+    return _between(near, order, by, offset, n)
+
+
+def _top(df: DataFrame, by: list[Column], offset: int, n: int) -> DataFrame:
+    top = df.orderBy(*by)
+    return (top.offset(offset) if offset else top).limit(n)
+
+
+def _literal(value, kind: T.DataType) -> Column:
+    return F.lit(value).cast(kind)
+
+
+def _nulls_first(way: str) -> bool:
+    return way == "asc" or way.endswith("nulls_first")
+
+
+def _precedes(col: str, way: str, value, kind: T.DataType) -> Column:
+    """Whether the column sorts strictly before a value; never null."""
+    first = _nulls_first(way)
+    if value is None:
+        return F.lit(False) if first else F.col(col).isNotNull()
+    lit = _literal(value, kind)
+    less = F.col(col) > lit if way.startswith("desc") else F.col(col) < lit
+    return F.coalesce(less, F.lit(first))
+
+
+def _same(col: str, value, kind: T.DataType) -> Column:
+    return F.col(col).isNull() if value is None else F.col(col).eqNullSafe(_literal(value, kind))
 
 
-def _hours_of_page(
-    df: DataFrame, col: str, way: str, offset: int, n: int
+def _reaches(col: str, low, high, way: str, kind: T.DataType) -> Column:
+    """A plain condition on the leading column for the files' statistics, true for all in range."""
+    if low is None or high is None:
+        return F.lit(True)
+    least, most = (high, low) if way.startswith("desc") else (low, high)
+    return (F.col(col) >= _literal(least, kind)) & (F.col(col) <= _literal(most, kind))
+
+
+def behind(df: DataFrame, order: Sequence[tuple[str, str]], row: Sequence) -> Column:
+    """Rows that sort after a row given by its order columns."""
+    kinds = [df.schema[c].dataType for c, _ in order]
+    upto = F.lit(True)
+    for (c, way), value, kind in reversed(list(zip(order, row, kinds))):
+        upto = _precedes(c, way, value, kind) | (_same(c, value, kind) & upto)
+    (lead, way), value, kind = order[0], row[0], kinds[0]
+    if value is None:
+        return ~upto
+    lit = _literal(value, kind)
+    reaches = F.col(lead) <= lit if way.startswith("desc") else F.col(lead) >= lit
+    if not _nulls_first(way):
+        reaches = reaches | F.col(lead).isNull()
+    return reaches & ~upto
+
+
+def _near(
+    df: DataFrame, order: Sequence[tuple[str, str]], offset: int, n: int
 ) -> tuple[DataFrame, int]:
-    """The rows of the hours that hold the page, and the offset within them."""
+    """The rows whose leading value is near the page's, and the offset among them."""
+    col, way = order[0]
     kind = df.schema[col].dataType
-    if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    # the rows of least hash are a sample of all, whatever the partitioning
+    chance = F.xxhash64(*[F.col(c) for c, _ in order])
+    sample = df.select(col, chance.alias("_h")).orderBy("_h").limit(SAMPLE)
+    values = [r[0] for r in sample.orderBy(getattr(F.col(col), way)()).select(col).collect()]
+    total = df.count()
+    if len(values) < SAMPLE or total <= offset:
         return df, offset
-    hour = F.expr(f"floor(unix_timestamp({col}) / 3600D)").alias("hour")
-    counts = {r["hour"]: r["count"] for r in df.groupBy(hour).count().collect()}
-    hours = sorted((h for h in counts if h is not None), reverse=way.startswith("desc"))
-    if None in counts:
-        # nulls sort lowest unless the direction says otherwise
-        first = way == "asc" or way.endswith("nulls_first")
-        hours.insert(0 if first else len(hours), None)
-    chosen, before, skipped = [], 0, 0
-    for h in hours:
-        if before + counts[h] <= offset:
-            skipped = before + counts[h]
-        elif before < offset + n:
-            chosen.append(h)
-        before += counts[h]
-    known = [h for h in chosen if h is not None]
-    keep = F.col(col).isNull() if None in chosen else F.lit(False)
-    if known:
-        low, high = ts_lit(min(known) * 3600, kind), ts_lit((max(known) + 1) * 3600, kind)
-        within = (F.col(col) >= low) & (F.col(col) < high)
-        keep = within | keep if None in chosen else within
-    return df.filter(keep), offset - skipped
+    # five standard deviations of a sampled rank
+    margin = 5 * 0.5 / len(values) ** 0.5
+    low_at = int(((offset / total) - margin) * len(values))
+    high_at = int((((offset + n) / total) + margin) * len(values)) + 1
+    low = values[low_at] if low_at > 0 else _EDGE
+    high = values[high_at] if high_at < len(values) else _EDGE
+    before = F.lit(False) if low is _EDGE else _precedes(col, way, low, kind)
+    upto = F.lit(True)
+    if high is not _EDGE:
+        upto = _precedes(col, way, high, kind) | _same(col, high, kind)
+    counted = df.agg(F.count_if(before).alias("before"), F.count_if(~before & upto).alias("in")).first()
+    if counted["before"] > offset or counted["before"] + counted["in"] < min(offset + n, total):
+        return df, offset
+    keep = ~before & upto
+    if low is not _EDGE and high is not _EDGE:
+        keep = _reaches(col, low, high, way, kind) & keep
+    return df.filter(keep), offset - counted["before"]
+
+
+_EDGE = object()
+
+
+def _between(
+    df: DataFrame, order: Sequence[tuple[str, str]], by: list[Column], offset: int, n: int
+) -> DataFrame:
+    """The page from its first and last row, which are found among the order columns alone."""
+    names = [c for c, _ in order]
+    cut = range_blocks(df.select(*names), by)
+    counts = {r[BLOCK]: r["count"] for r in cut.groupBy(BLOCK).count().collect()}
+    total = sum(counts.values())
+    last = min(offset + n, total) - 1
+    if last < offset:
+        return df.limit(0)
+
+    def row_at(place: int) -> dict:
+        """The order columns of a row, and how many equal rows come before it."""
+        before = 0
+        for block in sorted(counts):
+            if place < before + counts[block]:
+                break
+            before += counts[block]
+        numbered = cut.filter(F.col(BLOCK) == block).withColumn(
+            "_row", F.row_number().over(Window.partitionBy(BLOCK).orderBy(*by))
+        )
+        found = numbered.filter(F.col("_row") == place - before + 1)
+        return found.select(*names).first().asDict()
+
+    low, high = row_at(offset), row_at(last)
+    kinds = {c: df.schema[c].dataType for c in names}
+
+    def before_row(row: dict) -> Column:
+        out = F.lit(False)
+        for c, way in reversed(order):
+            out = _precedes(c, way, row[c], kinds[c]) | (_same(c, row[c], kinds[c]) & out)
+        return out
+
+    def same_row(row: dict) -> Column:
+        out = F.lit(True)
+        for c in names:
+            out = out & _same(c, row[c], kinds[c])
+        return out
+
+    within = ~before_row(low) & (before_row(high) | same_row(high))
+    lead, way = order[0]
+    page = df.filter(_reaches(lead, low[lead], high[lead], way, kinds[lead]) & within)
+    # rows that agree in all order columns stand in no order: of those at the edges as many are
+    # taken as the page has room for
+    ties = cut.agg(
+        F.count_if(before_row(low)).alias("before"),
+        F.count_if(same_row(low)).alias("low"),
+        F.count_if(before_row(high)).alias("ahead"),
+        F.count_if(same_row(high)).alias("high"),
+    ).first()
+    if low == high:
+        return page.limit(last - offset + 1)
+    skip, room = offset - ties["before"], last + 1 - ties["ahead"]
+    if skip or ties["high"] > room:
+        page = (
+            page.filter(~same_row(low) & ~same_row(high))
+            .unionByName(page.filter(same_row(low)).limit(ties["low"] - skip))
+            .unionByName(page.filter(same_row(high)).limit(room))
+        )
+    return page.orderBy(*by)
