@@ -237,3 +237,36 @@ def test_a_long_lookback_costs_as_much_as_a_short_one(spark):
     frames = [f for f in plan.split("specifiedwindowframe(")[1:]]
     assert frames and all(
         f.startswith(("RowFrame, unboundedpreceding$(), ", "RowFrame, -1, -1", "RowFrame, 1, 1")) for f in frames)
+
+
+def test_sums_of_doubles_do_not_depend_on_the_order(spark):
+    import math
+    from watchpost.operators.metrics import exact_sum
+
+    rng = random.Random(8)
+    values = [rng.choice([1, -1]) * 10 ** rng.uniform(-12, 20) for _ in range(4000)]
+    values += [0.1] * 500 + [1e16, -1e16, 3e33, -3e33, 5e-27]
+    seen = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(values)
+        frame = spark.createDataFrame([(v,) for v in values], "v double").repartition(1 + 3 * seed)
+        seen.add(frame.agg(exact_sum("v").alias("s")).first()["s"])
+    assert len(seen) == 1 and seen.pop() == pytest.approx(math.fsum(values), rel=1e-12)
+    odd = lambda vs: spark.createDataFrame([(v,) for v in vs], "v double").agg(exact_sum("v").alias("s")).first()["s"]
+    assert odd([]) is None and odd([None]) is None and odd([0.1] * 10) == 1.0
+    assert odd([1e300, 1.0]) == 1e300 and odd([float("inf"), 1.0]) == float("inf")
+    assert math.isnan(odd([float("nan"), 1.0])) and odd([9e14] * 3 + [1e15]) == 3.7e15
+
+
+def test_series_and_states_have_the_same_bits_in_any_order(spark, raw):
+    rules = spark.createDataFrame(RULES, RULE_DDL)
+    found = set()
+    for seed in range(3):
+        rows = [(m, us, v + 0.1, t) for m, us, v, t in raw if v is not None]
+        random.Random(seed).shuffle(rows)
+        points = spark.createDataFrame(rows, "metric string, us long, value double, tags array<string>").select(
+            "metric", F.timestamp_micros("us").alias("ts"), "value", "tags").repartition(2 + seed)
+        series = query_metric(points, "cpu", T0, T0 + 7200, "avg", None, [], 600).collect()
+        states = evaluate_monitors(points, rules, T0 + 3601).collect()
+        found.add((tuple(sorted(map(repr, series))), tuple(sorted(map(repr, states)))))
+    assert len(found) == 1

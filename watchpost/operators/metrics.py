@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.checks import one_of, whole
 from ..functions.predicates import has_all
@@ -52,15 +52,46 @@ def scope_labels_for(tags: str, by: Sequence[str]) -> Column:
     return F.expr(labels)
 
 
-def mean(c: Column | str) -> Column:
-    """Sum over count: exact, whatever the order of rows, when the input is a decimal."""
-    return F.sum(c).cast("double") / F.count(c)
+#: doubles are added up as decimals of these types, by size; each holds 17 digits of its values
+_DECIMALS = ((0.0, 1.0, "decimal(38,28)"), (1.0, 1e15, "decimal(38,16)"), (1e15, 1e34, "decimal(38,2)"))
+
+
+def is_exact(df: DataFrame, c: str) -> bool:
+    """Whether sums of the column are exact as they are: whole numbers and decimals."""
+    return not isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+
+
+def exact_sum(c: str) -> Column:
+    """The sum of a column of doubles, the same bits whatever the order of the rows.
+
+    A double stands for the decimal it is written as. Decimals of about one size add up without
+    rounding, so three sums by size, added at the end, do not depend on the order. What is beyond
+    them, infinities and NaN, is added as it is.
+    """
+    size, parts = F.abs(c), []
+    for low, high, kind in _DECIMALS:
+        own = F.when((size >= low) & (size < high), F.col(c).cast("double"))
+        # more than the decimal holds comes to null, and then to the plain sum
+        parts.append(F.coalesce(F.try_sum(own.cast(kind)).cast("double"), F.sum(own), F.lit(0.0)))
+    beyond = F.sum(F.when(~(size < _DECIMALS[-1][1]), F.col(c).cast("double")))
+    total = parts[2] + parts[1] + parts[0]
+    return F.when(F.count(c) > 0, F.coalesce(total + beyond, total))
+
+
+def total(c: str, exact: bool) -> Column:
+    return F.sum(c).cast("double") if exact else exact_sum(c)
+
+
+def mean(c: str, exact: bool) -> Column:
+    """Sum over count; ``exact`` says that the column's own sums are."""
+    return total(c, exact) / F.count(c)
 
 
 def space_aggregate(agg: str, c: str) -> Column:
+    """Over the tag sets' averages, which are doubles."""
     return {
-        "avg": mean(c),
-        "sum": F.sum(c),
+        "avg": mean(c, False),
+        "sum": total(c, False),
         "min": F.min(c),
         "max": F.max(c),
         "count": F.count(c),
@@ -76,7 +107,7 @@ def rollup(points: DataFrame, agg: str, by: Sequence[str], step_s: int) -> DataF
     """
     step = f"{step_s} seconds"
     sets = points.groupBy(F.window("ts", step).alias("w"), tag_set("tags").alias("tags")).agg(
-        mean("value").alias("value")
+        mean("value", is_exact(points, "value")).alias("value")
     )
     return (
         sets.select("w", "value", F.explode(scope_labels_for("tags", by)).alias("scope"))

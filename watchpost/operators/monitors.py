@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.checks import whole
 from ..functions.times import from_ts, require_utc, seconds_to_ts, ts_lit, ts_type
 from .filters import time_range
-from .metrics import mean, scope_labels, tag_set
+from .metrics import exact_sum, is_exact, mean, scope_labels, tag_set
 
 def with_series(rules: DataFrame, step_s: int) -> DataFrame:
     """Rules with a normal scope, a lookback in whole steps, and the key of their series."""
@@ -35,7 +35,7 @@ def average_sets(points: DataFrame, rules: DataFrame, step: Column) -> DataFrame
     return (
         points.join(rules.select("metric"), "metric", "left_semi")
         .groupBy("metric", step.alias("step"), tag_set("tags").alias("tags"))
-        .agg(mean("value").alias("value"))
+        .agg(mean("value", is_exact(points, "value")).alias("value"))
     )
 
 
@@ -83,7 +83,7 @@ def match_series(sets: DataFrame, rules: DataFrame) -> DataFrame:
 def accumulate(value: str) -> list[Column]:
     """The parts every aggregate is made of, for a rule that names its aggregate in a column."""
     return [
-        F.sum(value).cast("double").alias("_sum"),
+        exact_sum(value).alias("_sum"),
         F.count(value).alias("_n"),
         F.min(value).cast("double").alias("_min"),
         F.max(value).cast("double").alias("_max"),

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions.checks import whole
-from ..operators.metrics import mean, scope_labels, tag_set
+from ..operators.metrics import is_exact, mean, scope_labels, tag_set
 from ..operators.monitors import accumulate, chosen, in_scope, probed_spaces, with_series
 
 #: keyed state with timers needs this provider
@@ -54,7 +54,7 @@ def stream_monitors(
             F.when(F.col("_named"), F.col("metric")).otherwise(CLOCK).alias("metric"),
             F.when(F.col("_named"), tag_set("tags")).otherwise(no_tags).alias("tags"),
         )
-        .agg(mean("value").alias("value"))
+        .agg(mean("value", is_exact(points, "value")).alias("value"))
     )
     series = (
         _grouped(sets, rules)
