@@ -276,6 +276,10 @@ ORACLES: dict[str, str] = {
         WHERE n > total // 2 AND n <= total // 2 + 300"""),
     "export_incidents": _q([INCIDENTS], """SELECT * EXCLUDE (n), CAST((n - 1) // 400 AS INTEGER) AS page
         FROM (SELECT *, row_number() OVER (ORDER BY created DESC, id) AS n FROM incidents) WHERE n <= 1200"""),
+    "laid_out_logs_hours": _q([LOGS], f"""SELECT CAST(id AS VARCHAR) AS id, ts, status, message, service, host
+        FROM logs WHERE ts >= {AS_OF} AND ts < {AS_OF} + INTERVAL 12 HOUR"""),
+    "laid_out_log": _q([LOGS], """SELECT CAST(id AS VARCHAR) AS id, ts, status, message, service, host
+        FROM logs WHERE id = 77"""),
     "get_latest_services": _q([LOGS], f"""SELECT DISTINCT service FROM (
         SELECT service FROM logs WHERE ts >= {FROM} AND ts < {TO} ORDER BY ts DESC, id DESC LIMIT 5)
         WHERE service IS NOT NULL AND service <> ''"""),

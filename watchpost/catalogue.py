@@ -16,6 +16,7 @@ from .plans.alerting import alert_report
 from .session import scratch_path
 from .sources import samples
 from .sources.entities import land_entity, ndjson_lines, read_entity
+from .sources.tables import write_entity
 from .streaming.metrics import stream_metric
 from .streaming.monitors import stream_monitors
 from .streaming.mutes import read_mute_state, stream_mutes
@@ -196,6 +197,29 @@ def read_landed_downtimes(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _canonical_logs(spark: SparkSession, d: str) -> DataFrame:
+    return samples.logs(spark, d).withColumns(
+        {"id": F.col("id").cast("string"), "ts": F.col("ts").cast("timestamp")}
+    )
+
+
+def laid_out_logs_hours(spark: SparkSession, d: str) -> DataFrame:
+    """All logs written by day and in order of time, and twelve hours of one day read back."""
+    path = scratch_path(spark, "laid-out-logs")
+    write_entity(_canonical_logs(spark, d), "logs", path)
+    read = read_entity(spark, "logs", path)
+    found = filters.time_range(read, AS_OF, AS_OF + 12 * 3600, day_col="dt")
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz")).drop("tags", "dt")
+
+
+def laid_out_log(spark: SparkSession, d: str) -> DataFrame:
+    """One log by its id from the table laid out with Bloom filters."""
+    path = scratch_path(spark, "laid-out-log")
+    write_entity(_canonical_logs(spark, d), "logs", path)
+    found = filters.get_by_id(read_entity(spark, "logs", path), "77")
+    return found.withColumn("ts", F.col("ts").cast("timestamp_ntz")).drop("tags", "dt")
+
+
 def get_latest_services(spark: SparkSession, d: str) -> DataFrame:
     """Services of the latest five logs; most services have older logs only."""
     return aggregates.all_services(filters.time_range(samples.logs(spark, d), FROM, TO), 5)
@@ -572,7 +596,8 @@ def stream_mute_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    get_logs, get_logs_text, get_all_services, get_latest_services, read_landed_logs,
+    get_logs, get_logs_text, laid_out_logs_hours, laid_out_log, get_all_services,
+    get_latest_services, read_landed_logs,
     read_landed_spans, read_landed_points, read_landed_monitors, read_landed_hosts,
     read_landed_dashboards, read_landed_incidents, read_landed_downtimes, landed_rejects,
     convert_time_units, list_traces_desc, list_traces_asc,
