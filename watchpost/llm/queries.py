@@ -10,6 +10,7 @@ from . import (
     token_alignment, token_files, toxicity, url_filter, whitening,
 )
 from .common import table
+from .oracle_sql import ORACLES  # noqa: F401
 
 
 def tokenizer_path(name: str) -> str:
@@ -92,4 +93,3 @@ _ALL = (
     op11_token_alignment, op12_whitening, op13_mixing,
 )
 QUERIES = {q.__name__: q for q in _ALL}
-ORACLES: dict[str, str] = {"op5_url_filter": url_filter.oracle_sql()}
