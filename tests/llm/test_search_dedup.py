@@ -1,3 +1,4 @@
+import random
 import hashlib
 import re
 from collections import defaultdict
@@ -198,6 +199,65 @@ def test_short_lines_need_more_documents(spark):
     assert [r["doc_id"] for r in got] == [0]
 
 
+def units_by_hand(docs, short=20):
+    """Drop units of adjacent short lines shared with another document, but from the smallest id."""
+    def units(text):
+        lines = (text or "").split("\n")
+        for i in range(len(lines)):
+            total, j = 0, i
+            while j < len(lines) and total < short and len(lines[j].split(" ")) < short:
+                total += len(lines[j].split(" "))
+                j += 1
+            if total >= short:
+                yield i, j, tuple(lines[i:j])
+
+    holders = {}
+    for k, text in docs:
+        for _, _, key in units(text):
+            holders.setdefault(key, set()).add(k)
+    out = {}
+    for k, text in docs:
+        gone = {x for i, j, key in units(text) if len(holders[key]) > 1 and min(holders[key]) != k for x in range(i, j)}
+        out[k] = "\n".join(line for i, line in enumerate((text or "").split("\n")) if i not in gone)
+    return out
+
+
+def test_wrapped_passages_go_with_their_neighbours(spark):
+    """Passages wrapped into short lines, in two documents each, among lines of their own."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("bdfgklmnprstaeiou") for _ in range(rng.randint(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = [[line(rng.randint(1, 9)) for _ in range(12)] for _ in range(6)]
+    docs = []
+    for k in range(24):
+        lines = [line(rng.randint(1, 12)) for _ in range(rng.randint(1, 8))]
+        if k % 2:
+            at = rng.randint(0, len(lines))
+            lines[at:at] = passages[k % 6][: rng.randint(6, 12)]
+        docs.append((k, "\n".join(lines)))
+    docs += [(50, "\n".join(passages[0][:2])), (51, ""), (52, "\n\n\n"), (53, "one\ntwo\n" * 30), (54, "one\ntwo\n" * 30)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(frame).collect()}
+    want = units_by_hand(docs)
+    assert got == want
+    assert sum(want[k] != t for k, t in docs) >= 6
+
+
+def test_lines_without_spaces_count_by_characters(spark):
+    passage = "\u4e2d\u6587\u5b57" * 90
+    rows = [(1, f"a b c\n{passage}"), (2, f"{passage}\nd e f"), (3, "\u4e2d\u6587"), (4, "\u4e2d\u6587")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(frame).collect()}
+    assert got == {1: f"a b c\n{passage}", 2: "d e f", 3: "\u4e2d\u6587", 4: "\u4e2d\u6587"}
+
+
+def test_a_very_long_text_of_short_lines(spark):
+    body = "\n".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)} goes on" for k in range(8000))
+    frame = spark.createDataFrame([(1, body), (2, f"own line\n{body}\nown end")], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_recurring_lines(frame).collect()}
+    assert got[1] == body and got[2].startswith("own line") and len(got[2]) < 60
+
+
 def test_line_dedup_keeps_rows_and_columns(clashing, no_docs, rows):
     got = line_dedup.drop_recurring_lines(clashing)
     assert got.columns == clashing.columns and got.count() == len(rows)

@@ -12,8 +12,13 @@ gets two of them, so a leaf may have any number of general templates.
 A line may belong to several; the smallest document that keeps one of them counts.
 
 A template recurs if it stands in at least ``LONG_DOCS`` documents, or in ``SHORT_DOCS`` if it has
-fewer than ``LONG_WORDS`` tokens; lines of fewer than ``MIN_WORDS`` stay. Lines of a recurring
-template are dropped from every document but the one with the smallest id.
+fewer than ``LONG_WORDS`` tokens; by themselves lines of fewer than ``MIN_WORDS`` stay. Lines of a
+recurring template are dropped from every document but the one with the smallest id.
+
+Short lines count with their neighbours as well: from every short line on, adjacent short lines
+up to ``LONG_WORDS`` tokens together are a unit, by their templates, and a unit recurs like a long
+line. So a passage wrapped into short lines goes like one on a line of its own. Where a line has
+few spaces, ``CHARS`` characters count as a token.
 
 All counts are taken over distinct lines and then aggregated, so that a line or a template that
 is everywhere is never gathered in one place.
@@ -29,12 +34,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import removed, stored, stored_at
+from .sequences import bound, walk
 
 DEPTH = 4
 SIMILAR = 0.8
 MIN_WORDS, LONG_WORDS = 3, 20
 LONG_DOCS, SHORT_DOCS = 2, 10
 FIELD = "<*>"
+CHARS = 12
 
 
 def _masked(line: Column) -> Column:
@@ -53,6 +60,7 @@ def _place(line: Column) -> Column:
             F.xxhash64(masked).alias("template"),
             F.xxhash64(n, F.substring_index(masked, " ", DEPTH)).alias("leaf"),
             n.alias("n"),
+            F.greatest(n, (F.length(masked) / CHARS).cast("int")).alias("w"),
             masked.alias("masked"),
         )
 
@@ -64,6 +72,48 @@ def _lines() -> Column:
     return F.split("text", "\n")
 
 
+def _units(places: Column, long_words: int) -> Column:
+    """For each line struct(key, size): the unit that starts at it; size 0 where there is none.
+
+    ``places`` has ``template`` and ``w`` of each line; a line has a token at least, so a unit has
+    at most ``long_words`` lines.
+    """
+    def join(unit: Column, place: Column) -> Column:
+        # a long line, or the end of the text, leaves the unit too short
+        open_ = (unit["w"] < long_words) & (place["w"] < long_words) & ~unit["over"]
+        return F.struct(
+            F.when(open_, F.xxhash64(unit["key"], place["template"])).otherwise(unit["key"]).alias("key"),
+            F.when(open_, unit["w"] + place["w"]).otherwise(unit["w"]).alias("w"),
+            F.when(open_, unit["size"] + 1).otherwise(unit["size"]).alias("size"),
+            (unit["over"] | (place["w"] >= long_words)).alias("over"),
+        )
+
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("w"), F.lit(0).alias("size"), F.lit(False).alias("over")
+    )
+
+    def unit(place: Column, i: Column) -> Column:
+        ahead = F.slice(places, i + 1, F.lit(long_words))
+        return F.when(
+            place["w"] < long_words,
+            F.aggregate(
+                ahead,
+                start,
+                join,
+                lambda u: F.struct(
+                    u["key"].alias("key"),
+                    F.when(u["w"] >= long_words, u["size"]).otherwise(0).alias("size"),
+                ),
+            ),
+        ).otherwise(F.struct(F.lit(0).cast("bigint").alias("key"), F.lit(0).alias("size")))
+
+    return F.transform(places, unit)
+
+
+def _narrow(places: Column) -> Column:
+    return F.transform(places, lambda p: F.struct(p["template"].alias("template"), p["w"].cast("int").alias("w")))
+
+
 def _runs(similar: float) -> Column:
     """A key for each run of positions of a line: one run more than positions may differ."""
     n = F.col("n").cast("int")
@@ -121,18 +171,41 @@ def recurring_templates(
 ) -> tuple[DataFrame, DataFrame]:
     """(occurrences, templates).
 
-    ``occurrences`` has a row for each distinct line template of a document, ``templates`` a row
-    for each template that recurs: ``template`` and ``keeper``, the document that keeps it.
+    ``occurrences`` has a row for each distinct line template or unit of a document, ``templates``
+    a row for each that recurs: ``template``, ``unit`` (whether it is a unit) and ``keeper``, the
+    document that keeps it.
     """
-    short = F.transform(
-        F.filter(F.transform(_lines(), _place), lambda p: p["n"] >= min_words),
-        lambda p: F.struct(p["template"], p["leaf"], p["n"]),
-    )
+    def rows(places: Column) -> Column:
+        """A row for each line that counts by itself, and one for each unit (null leaf)."""
+        lines = F.transform(
+            F.filter(places, lambda p: p["w"] >= min_words),
+            lambda p: F.struct(p["template"], p["leaf"], p["n"], p["w"]),
+        )
+        none = F.expr("struct(0L AS template, CAST(NULL AS BIGINT) AS leaf, 0 AS n, 0 AS w)")
+        units = bound(
+            _narrow(places),
+            lambda own: F.transform(
+                F.filter(_units(own, long_words), lambda u: u["size"] > 0),
+                lambda u: F.struct(
+                    u["key"].alias("template"), none["leaf"].alias("leaf"), none["n"].alias("n"), none["w"].alias("w")
+                ),
+            ),
+        )
+        return F.concat(F.array_distinct(lines), F.array_distinct(units))
+
     placed = docs.select(
-        F.struct("doc_id").alias("doc"), F.explode(F.array_distinct(short)).alias("p")
+        F.struct("doc_id").alias("doc"),
+        F.explode(bound(F.transform(_lines(), _place), rows)).alias("p"),
     )
     seen = stored(placed.select("doc", "p.*").distinct(), "lines")
-    distinct = seen.groupBy("template", "leaf", "n").agg(
+    units = (
+        seen.filter("leaf IS NULL")
+        .groupBy("template")
+        .agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("keeper"))
+        .filter(F.col("docs") >= long_docs)
+        .select("template", "keeper", F.lit(True).alias("unit"))
+    )
+    distinct = seen.filter("leaf IS NOT NULL").groupBy("template", "leaf", "n", "w").agg(
         F.count(F.lit(1)).alias("docs"), F.min("doc").alias("keeper")
     )
     distinct = stored(distinct, "templates")
@@ -175,7 +248,7 @@ def recurring_templates(
         F.min("keeper").alias("first"),
         F.max("keeper").alias("last"),
     )
-    enough = F.when(F.col("n") >= long_words, long_docs).otherwise(short_docs)
+    enough = F.when(F.col("w") >= long_words, long_docs).otherwise(short_docs)
     alone = joined.filter("group is null").filter(F.col("docs") >= enough)
     grouped = (
         joined.filter("group is not null")
@@ -189,24 +262,48 @@ def recurring_templates(
     templates = alone.select("template", "keeper").unionByName(
         grouped.groupBy("template").agg(F.min("first").alias("keeper"))
     )
-    return seen, templates
+    seen = seen.select("doc", "template", F.col("leaf").isNull().alias("unit"))
+    return seen, templates.withColumn("unit", F.lit(False)).unionByName(units)
 
 
 def drop_recurring_lines(docs: DataFrame, **params) -> DataFrame:
     """The documents without the recurring lines that another document keeps."""
     seen, templates = recurring_templates(docs.select("doc_id", "text"), **params)
+    hashes = lambda unit: F.collect_set(F.when(F.col("unit") == unit, F.col("template")))
     drops = (
-        seen.join(templates, "template")
+        seen.join(templates, ["template", "unit"])
         .filter(F.col("doc") != F.col("keeper"))
         .groupBy(F.col("doc.doc_id").alias("_doc"))
-        .agg(F.collect_set("template").alias("_drops"))
+        .agg(hashes(False).alias("_drops"), hashes(True).alias("_units"))
     )
     # one struct for the row, so that no column of the caller can clash with these
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     text = F.col("_row")["text"]
-    kept = F.filter(
+    long_words = params.get("long_words", LONG_WORDS)
+    by_line = F.filter(
         F.split(text, "\n"), lambda x: ~F.array_contains("_drops", F.xxhash64(_masked(x)))
     )
+
+    def outside(places: Column) -> Column:
+        """The lines that are neither dropped by themselves nor in a dropped unit."""
+        sizes = F.transform(
+            _units(_narrow(places), long_words),
+            lambda u: F.when((u["size"] > 0) & F.array_contains("_units", u["key"]), u["size"]).otherwise(0),
+        )
+        lines = F.arrays_zip(F.split(text, "\n").alias("line"), sizes.alias("size"), places.alias("place"))
+
+        def step(left: Column, at: Column) -> tuple[Column, Column]:
+            """``left`` lines from this one on are in a unit."""
+            covered = F.greatest(left, at["size"])
+            drop = (covered > 0) | F.array_contains("_drops", at["place"]["template"])
+            none = F.expr("cast(array() as array<string>)")
+            return F.greatest(covered - 1, F.lit(0)), F.when(drop, none).otherwise(F.array(at["line"]))
+
+        return bound(lines, lambda own: walk(own, F.lit(0), "string", step)["out"])
+
+    kept = F.when(F.size("_units") == 0, by_line).otherwise(
+        bound(F.transform(F.split(text, "\n"), _place), outside)
+    )
     changed = F.when(F.col("_drops").isNotNull(), F.array_join(kept, "\n")).otherwise(text)
     out = rows.join(drops, F.col("_row")["doc_id"].eqNullSafe(F.col("_doc")), "left").select(
         "_row", "_drops", changed.alias("_text")

@@ -22,10 +22,12 @@ in blocks, as appending to one long list would copy it every time. Other columns
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .sequences import bound as _bound, walk as _walk
+
 # fixed values: the patterns of the three plain kinds, in the order of the report
 ASSIGN = (
     r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"
@@ -53,41 +55,11 @@ ALLOWED = (
 PIECE = 8
 #: the sum of n*log2(n) is kept as whole multiples of one part in this
 SCALE = 1 << 32
-#: items of a list that are worked off before they are added to the result
-STRETCH = 300
 
 _OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 _SPAN = "struct<start:bigint,kind:int,end:bigint>"
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, as the variable of a lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _walk(items: Column, state: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
-    """struct(state, out): ``step`` gives the next state and an array to append, item after item."""
-    none = F.expr(f"cast(array() as array<{kind}>)")
-
-    def held(now: Column, out: Column) -> Column:
-        return F.struct(now.alias("state"), out.alias("out"))
-
-    def one(so_far: Column, item: Column) -> Column:
-        now, more = step(so_far["state"], item)
-        return held(now, F.concat(so_far["out"], more))
-
-    def stretch(so_far: Column, k: Column) -> Column:
-        part = F.slice(items, k * STRETCH + 1, F.lit(STRETCH))
-        worked = F.aggregate(part, held(so_far["state"], none), one)
-        return _bound(worked, lambda w: held(w["state"], F.concat(so_far["out"], w["out"])))
-
-    last = F.floor((F.size(items) - 1) / STRETCH).cast("int")
-    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(
-        F.expr("cast(array() as array<int>)")
-    )
-    return F.aggregate(numbers, held(state, none), stretch)
-
-
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct(start, found)> of the leftmost non-overlapping matches."""
     kind = "struct<start:bigint,found:string>"
