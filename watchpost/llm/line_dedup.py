@@ -224,7 +224,12 @@ def recurring_templates(
         .filter("docs is not null")
     )
     lines = full.dropDuplicates(["template", "leaf", "n"]).select(
-        "template", "leaf", "n", "docs", F.split("masked", " ").alias("tokens")
+        "template",
+        "leaf",
+        "n",
+        "docs",
+        # hashes, as tokens are only ever compared
+        F.transform(F.split("masked", " "), lambda t: F.xxhash64(t)).alias("tokens"),
     )
     lines, path = stored_at(lines, "leaf-lines")
     members = None
