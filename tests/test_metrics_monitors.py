@@ -149,12 +149,13 @@ def test_evaluate_since(spark, points):
     assert [(r["group"], r["state"]) for r in none] == [("*", "No Data")]
 
 
-def test_evaluate_over_a_range(spark, points, raw):
+@pytest.mark.parametrize("frame_steps", [0, 48])
+def test_evaluate_over_a_range(spark, points, raw, frame_steps):
     rules = spark.createDataFrame(RULES, RULE_DDL)
     lo, hi, step = T0 + 1830, T0 + 4000, 60
     got = {
         (r["rule_id"], r["group"], r["s"]): (r["value"], r["state"])
-        for r in evaluate_monitors_over(points, rules, lo, hi, step)
+        for r in evaluate_monitors_over(points, rules, lo, hi, step, frame_steps)
         .withColumn("s", F.unix_timestamp("ts"))
         .collect()
     }

@@ -14,6 +14,11 @@ from ..functions.times import from_ts, require_utc, seconds_to_ts, ts_lit, ts_ty
 from .filters import time_range
 from .metrics import exact_sum, is_exact, mean, scope_labels, tag_set
 
+#: lookbacks of up to so many steps are read as window frames, longer ones as blocks
+FRAME_STEPS = 48
+_TICKS = 1_000_000_000
+
+
 def with_series(rules: DataFrame, step_s: int) -> DataFrame:
     """Rules with a normal scope, a lookback in whole steps, and the key of their series."""
     return rules.withColumns(
@@ -186,12 +191,19 @@ def evaluate_monitors(
 
 
 def evaluate_monitors_over(
-    points: DataFrame, rules: DataFrame, from_s: int, to_s: int, step_s: int = 60
+    points: DataFrame,
+    rules: DataFrame,
+    from_s: int,
+    to_s: int,
+    step_s: int = 60,
+    frame_steps: int = FRAME_STEPS,
 ) -> DataFrame:
     """The state of every rule and group at every step in ``[from_s, to_s)``.
 
     The state at a step looks at the last lookback's steps including it. Silent steps of a
-    group seen in the range or the lookback before it have a row too.
+    group seen in the range or the lookback before it have a row too. Where no lookback has more
+    than ``frame_steps`` steps they are frames of one window, the cheaper way for few steps; else
+    they are put together from blocks, so a step never costs more than a frame of that many.
     """
     step_s = whole("step_s", step_s, 1)
     first = from_s - from_s % step_s
@@ -217,7 +229,8 @@ def evaluate_monitors_over(
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(tasks, "rule_id", "group")
     # Fill the silent steps: each row also stands for the gap up to the next one, the first one
-    # for those back to a lookback before the range too.
+    # for those back to the range, and for blocks to a lookback before it.
+    framed = longest <= frame_steps * step_s
     by_step = Window.partitionBy("rule_id", "group").orderBy("step")
     is_first = F.lag("step").over(by_step).isNull()
     until = F.coalesce(F.lead("step").over(by_step) - step_s, F.lit(last))
@@ -225,7 +238,7 @@ def evaluate_monitors_over(
         cells.withColumns(
             {
                 "_from": F.when(
-                    is_first, F.least("step", F.lit(first) - F.col("lookback_s"))
+                    is_first, F.least("step", F.lit(first) - (F.lit(0) if framed else F.col("lookback_s")))
                 ).otherwise(F.col("step")),
                 "_to": until,
             }
@@ -234,9 +247,13 @@ def evaluate_monitors_over(
         .withColumn("at", F.explode(F.sequence("_from", "_to", F.lit(step_s).cast("long"))))
         .withColumn("value", F.when(F.col("at") == F.col("step"), F.col("value")))
     )
+    if framed:
+        parts = _framed(filled, base, longest, step_s)
+    else:
+        number = F.expr(f"(at - {base - step_s}) div {step_s}")
+        parts = trailing(filled, number, F.expr(f"lookback_s div {step_s}"))
     return (
-        trailing(filled, F.expr(f"(at - {base - step_s}) div {step_s}"), F.expr(f"lookback_s div {step_s}"))
-        .filter(F.col("at") >= first)
+        parts.filter(F.col("at") >= first)
         .withColumn("value", chosen("time_agg"))
         .select(
             "rule_id",
@@ -248,6 +265,25 @@ def evaluate_monitors_over(
     )
 
 
+def _framed(filled: DataFrame, base: int, longest: int, step_s: int) -> DataFrame:
+    """The parts of ``accumulate`` over each row's lookback, as frames of one window.
+
+    Frames take constant bounds but each rule has its own lookback, so time is measured in
+    lookbacks: a frame just short of one holds the current step and those after ``at - lookback``.
+    """
+    ticks = F.call_function("div", (F.col("at") - F.lit(base)) * F.lit(_TICKS), F.col("lookback_s"))
+    slack = _TICKS * step_s // (2 * longest)
+    frame = Window.partitionBy("rule_id", "group").orderBy(ticks).rangeBetween(-(_TICKS - slack), 0)
+    return filled.withColumns(
+        {
+            "_sum": F.sum("value").over(frame),
+            "_n": F.count("value").over(frame),
+            "_min": F.min("value").over(frame),
+            "_max": F.max("value").over(frame),
+        }
+    )
+
+
 def trailing(filled: DataFrame, number: Column, width: Column) -> DataFrame:
     """Adds the parts of ``accumulate`` over each row's last ``width`` rows of its rule and group.
 
