@@ -87,7 +87,8 @@ class Inputs:
         places = np.array(starts, np.int64)[:, None] + step
         padded = step >= np.array(sizes, np.int64)[:, None]
         if starts:
-            self.windows = np.where(padded, -1, at[np.minimum(places, len(at) - 1)])
+            places = np.minimum(places, len(at) - 1)
+            self.windows = np.where(padded, -1, at.astype(np.int32)[places])
         else:
             self.windows = np.zeros((0, WINDOW), np.int64)
         self.owner = np.array(owner, np.int64)
@@ -96,15 +97,20 @@ class Inputs:
     def _trigrams(w: Words, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = w.stops[first] - w.starts[first]
         at = np.arange(CHARS)
-        inside = at < size[:, None]
-        # the texts are followed by a line end, so a place one off a word exists or is clipped
-        places = np.minimum(w.starts[first][:, None] + at, len(w.data) - 1)
-        letters = np.where(inside, w.data[places], 0).astype(np.uint64)
-        before = np.pad(letters, ((0, 0), (1, 0)))[:, :-1]
-        after = np.pad(letters, ((0, 0), (0, 1)))[:, 1:]
-        key = mix((before << np.uint64(16)) | (letters << np.uint64(8)) | after)
-        slots = (key % np.uint64(CHAR_SLOTS - 1)).astype(np.int64) + 1
-        return np.where(inside, slots, 0), np.maximum(size, 1)
+        out = np.empty((len(first), CHARS), np.int32)
+        # some words at a time, as the arrays in between are many and wide
+        for low in range(0, len(first), 8192):
+            part = slice(low, low + 8192)
+            inside = at < size[part, None]
+            # the texts are followed by a line end, so a place one off a word exists or is clipped
+            places = np.minimum(w.starts[first[part]][:, None] + at, len(w.data) - 1)
+            letters = np.where(inside, w.data[places], 0).astype(np.uint64)
+            before = np.pad(letters, ((0, 0), (1, 0)))[:, :-1]
+            after = np.pad(letters, ((0, 0), (0, 1)))[:, 1:]
+            key = mix((before << np.uint64(16)) | (letters << np.uint64(8)) | after)
+            slots = (key % np.uint64(CHAR_SLOTS - 1)).astype(np.int32) + 1
+            out[part] = np.where(inside, slots, 0)
+        return out, np.maximum(size, 1)
 
 
 class Network:
