@@ -304,6 +304,20 @@ def test_url_rules_and_list(spark):
     assert url_filter.judge_urls(pages.limit(0), url_filter.listed_hosts(pages)).count() == 0
 
 
+def test_very_long_urls_and_odd_rows(spark):
+    """A megabyte of slashes, a host of many dots, null and repeated rows."""
+    deep = "http://s.bad.org/x/" + "y/" * 500_000
+    dotted = "http://" + "a." * 100_000 + "bad.org/x/"
+    rows = [(1, deep), (2, dotted), (3, "http://ok.org/" + "/" * 1_000_000), (None, None), (None, "http://bad.org/x/1"), (4, "http://bad.org"), (4, "http://bad.org")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    listed = spark.createDataFrame([("bad.org/x/",), ("very.long.name.of.a.host.org",)], "entry string")
+    begun = time.time()
+    got = [(r["page_id"], r["verdict"]) for r in url_filter.judge_urls(pages, listed, ()).collect()]
+    assert time.time() - begun < 60
+    assert sorted(got, key=key) == sorted(
+        [(1, "block"), (2, "block"), (3, "allow"), (None, "allow"), (None, "block"), (4, "allow"), (4, "allow")], key=key)
+
+
 def test_listed_paths_and_several_files(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "PER_FILE", 2)
     pages = spark.createDataFrame(

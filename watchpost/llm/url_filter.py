@@ -143,17 +143,21 @@ def ship_entries(spark: SparkSession, entries: DataFrame, per_file: int = PER_FI
     return names
 
 
-def _suffixes(host: str) -> list[str]:
-    """The host and its parent domains, longest first."""
-    out = [host] if host else []
-    while "." in host:
-        host = host.split(".", 1)[1]
-        if host:
-            out.append(host)
-    return out
-
-
-def _judge(rules: dict[str, str], lengths: list[int], rule_files: list[str], files: list[str]):
+def _suffixes(host: str, dots: int) -> list[str]:
+    """The host and its parent domains, longest first, as far as they have at most so many dots."""
+    labels = host.split(".")
+    names = [".".join(labels[k:]) for k in range(max(len(labels) - 1 - dots, 0), len(labels))]
+    return [n for n in names if n]
+
+
+def _judge(
+    rules: dict[str, str],
+    lengths: list[int],
+    rule_files: list[str],
+    files: list[str],
+    listed_lengths: set[int],
+    dots: int,
+):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_rule = [DigestArray(SparkFiles.get(f)) for f in rule_files]
         by_list = [DigestArray(SparkFiles.get(f)) for f in files]
@@ -170,10 +174,10 @@ def _judge(rules: dict[str, str], lengths: list[int], rule_files: list[str], fil
                 some = batch.slice(i, 2048)
                 asked, listed = [], []
                 for host, path in zip(some["host"].to_pylist(), some["path"].to_pylist()):
-                    own = _suffixes(host)
+                    own = _suffixes(host, dots)
                     asked.append([h + path[:n] for h in own for n in lengths if len(path) >= n])
-                    ends = [k + 1 for k, c in enumerate(path) if c == "/"]
-                    listed.append([h + path[:n] for h in own for n in (0, *ends)])
+                    ends = [n for n in listed_lengths if not n or path[n - 1 : n] == "/"]
+                    listed.append([h + path[:n] for h in own for n in ends])
                 fits = known(by_rule, list({s for own in asked for s in own}))
                 bad = known(by_list, list({s for own in listed for s in own}))
                 chosen, verdicts = [], []
@@ -206,13 +210,23 @@ def judge_urls(
     spark = pages.sparkSession
     verdicts = {rule: verdict for verdict, rule in rules}
     lengths = sorted({len(r) - r.index("/") if "/" in r else 0 for r in verdicts})
+    # a url is asked for in the lengths that the list has only: as many as its entries' paths
+    # have lengths, however long the url and however many its slashes and dots
+    host = F.substring_index("entry", "/", 1)
+    shapes = listed.filter("entry IS NOT NULL").select(
+        (F.length("entry") - F.length(host)).alias("path"),
+        (F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))).alias("dots"),
+    )
+    found = shapes.groupBy("path").agg(F.max("dots").alias("dots")).collect()
+    listed_lengths = {r["path"] for r in found}
+    dots = max([r["dots"] for r in found] + [r.split("/")[0].count(".") for r in verdicts], default=0)
     rule_rows = spark.createDataFrame([(r,) for r in verdicts], "entry string")
     rule_files = ship_entries(spark, rule_rows)
     files = ship_entries(spark, listed.select("entry"))
     return pages.select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")
     ).mapInArrow(
-        _judge(verdicts, lengths, rule_files, files),
+        _judge(verdicts, lengths, rule_files, files, listed_lengths, dots),
         "page_id bigint, host string, path string, rule string, verdict string",
     )
 
