@@ -118,7 +118,7 @@ def read_landed_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def read_landed_points(spark: SparkSession, d: str) -> DataFrame:
-    """Points as series of a metric, scope and day."""
+    """Points as series of a metric, scope and day, in documents of up to 20 hosts and a day each."""
     points = samples.metric_points(spark, d)
     series = points.groupBy(
         "metric", F.array_join("tags", ",").alias("scope"), F.expr("unix_timestamp(ts) div 86400").alias("day")
@@ -128,7 +128,10 @@ def read_landed_points(spark: SparkSession, d: str) -> DataFrame:
         ).alias("pointlist")
     )
     record = F.to_json(F.struct("metric", "scope", "pointlist", F.lit("raw").alias("expression")))
-    path = _land(series.select("day", record.alias("record")), "day", "landed-points", "series")
+    # a day of all hosts in one document would grow with the hosts
+    hosts = F.expr("CAST(regexp_extract(scope, 'host:host-([0-9]+)', 1) AS BIGINT) div 20").alias("hosts")
+    records = series.select("day", hosts, record.alias("record"))
+    path = _land(records, "struct(day, hosts)", "landed-points", "series")
     return read_entity(spark, "metric_points", path, "json").select(
         "metric", F.col("ts").cast("timestamp_ntz").alias("ts"), "value",
         F.array_join("tags", "|").alias("tags"), "expression",
