@@ -286,3 +286,60 @@ def test_rejects_name_their_file_and_record(spark, tmp_path):
         ("two.json", '{"broken": ', "$", 'malformed document: {"broken": '),
         ("two.json", '{"id":"x"}', "id", "not bigint"),
     ]
+
+
+def test_a_record_cast_whole_is_the_record_taken_field_by_field(spark, tmp_path):
+    """A record without attributes sends its document the careful way: all come out the same."""
+    fine = [
+        {"id": "a", "attributes": {"service": "web", "trace_id": 7, "start": S * 10**9 + 1, "duration": "12",
+         "error": 0, "meta": {"n": 1, "o": {"k": [1]}}}},
+        {"id": "b", "attributes": {"service": None, "name": True, "resource": 1.50, "start": 999, "meta": None}},
+        {"id": "c"},
+        {"id": "d", "attributes": {"start": 1.0, "duration": -(2**63), "error": "3", "extra": [1]}},
+    ]
+    alone = [land_one(tmp_path, f"s{i}", {"data": [r]}) for i, r in enumerate(fine)]
+    mixed = land_one(tmp_path, "mixed", {"data": fine})
+    by_id = lambda *paths: {
+        r["span_id"]: r for p in paths for r in read_entity(spark, "spans", p, "json").collect()
+    }
+    one, many = by_id(*alone), by_id(mixed)
+    assert one == many
+    assert one["a"]["meta"] == {"n": "1", "o": '{"k":[1]}'} and one["a"]["duration_ns"] == 12
+    assert one["b"]["operation"] == "true" and one["d"]["error"] == 3 and one["d"]["duration_ns"] == -(2**63)
+
+
+@pytest.mark.parametrize(
+    "kind, doc, field",
+    [
+        ("spans", {"data": [{"id": "a", "attributes": {"start": 1.5}}]}, "attributes.start"),
+        ("spans", {"data": [{"id": "a", "attributes": {"start": True}}]}, "attributes.start"),
+        ("spans", {"data": [{"id": "a", "attributes": {"error": 2**31}}]}, "attributes.error"),
+        ("spans", {"data": [{"id": ["a"]}]}, "id"),
+        ("spans", {"data": [{"id": "a", "attributes": "none"}]}, "attributes"),
+        ("spans", {"data": [{"id": "a", "attributes": {"meta": [1]}}]}, "attributes.meta"),
+        ("logs", {"data": [{"id": "a", "attributes": {"tags": [["x"]]}}]}, "attributes.tags"),
+        ("logs", {"data": [{"id": "a", "attributes": {"timestamp": "soon"}}]}, "attributes.timestamp"),
+        ("hosts", {"host_list": [{"id": 1, "is_muted": "true"}]}, "is_muted"),
+        ("hosts", {"host_list": [{"id": 1, "metrics": {"load": False}}]}, "metrics"),
+        ("metric_points", {"series": [{"metric": "m", "pointlist": [[1, True]]}]}, "pointlist[0]"),
+        ("metric_points", {"series": [{"metric": "m", "pointlist": [[1, 2], [None, 2]]}]}, "pointlist[1]"),
+        ("metric_points", {"series": [{"metric": "m", "pointlist": [[1]]}]}, "pointlist[0]"),
+        ("monitors", [{"id": 1, "created": "yesterday"}], "created"),
+        ("incidents", {"data": [{"attributes": {"timeline": {"entries": [{"timestamp": "x"}]}}}]},
+         "attributes.timeline.entries[].timestamp"),
+    ],
+)
+def test_no_problem_hides_behind_a_whole_cast(spark, tmp_path, kind, doc, field):
+    _, _, rejects = landed(spark, tmp_path, kind, doc)
+    assert [f for f, _ in rejects] == [field]
+
+
+def test_a_record_does_not_carry_its_document(spark, tmp_path):
+    """Records of one long document, each with the whole of it, would be gigabytes here."""
+    from watchpost.sources import landing
+
+    path = land_one(tmp_path, "long", {"series": [{"metric": "m", "pointlist": [[1, 2]]}] * 50})
+    plan = landing.parsed(landing.documents(spark, path, False), "metric_points")
+    lines = plan._jdf.queryExecution().analyzed().toString().split("\n")
+    parse = [x for x in lines if "try_parse_json" in x]
+    assert len(parse) == 1 and "left(value" in parse[0] and plan.count() == 50

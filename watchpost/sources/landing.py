@@ -4,10 +4,18 @@ A document is parsed once to a VARIANT. Each declared field is then cast by itse
 against what is there: a field that is absent or null is null, one that is present and does not
 fit its type is a reject. Text is read from any scalar, a number from a number or a numeral, a
 whole number from nothing with a fraction, a flag from a flag only.
+
+Most records have nothing wrong. The records of a document are therefore cast in one go first,
+numbers as texts and flags as they are, so that every problem shows in what comes out. Where none of a
+document's records is in doubt that is all; otherwise each is cast by itself, and one that is still
+in doubt is taken field by field.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import RAW
@@ -115,62 +123,193 @@ def _list(v: Column, path: str, kind: T.ArrayType, name: str, there: Column, che
     return _Field(own.value, own.problems + [F.filter(numbered, lambda p: p.isNotNull())])
 
 
-def _items(v: Column, kind: str) -> Column:
-    """array<struct(v, problem)>: a document's records, or the one thing wrong with it."""
+#: texts that come to the same whole number, decimal of six places or double from text and number
+_WHOLE, _DECIMAL = "^-?[0-9]{1,19}$", r"^-?[0-9]{1,14}(\.[0-9]{1,6})?$"
+_DOUBLE = r"^-?[0-9]{1,30}(\.[0-9]{1,30})?([eE][+-]?[0-9]{1,3})?$"
+_NUMBERS = (T.LongType, T.IntegerType, T.DecimalType, T.DoubleType)
+
+
+def _loose(kind: T.DataType) -> T.DataType:
+    """The type that shows what a field holds: texts for numbers, variants for flags."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _loose(f.dataType)) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_loose(kind.elementType))
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _loose(kind.valueType))
+    if isinstance(kind, T.BooleanType):
+        return T.VariantType()
+    return T.StringType() if isinstance(kind, _NUMBERS) else kind
+
+
+def _made(own: Column, kind: T.DataType) -> Column:
+    """The declared value of a field that is plain."""
+    if isinstance(kind, T.StructType):
+        inner = [_made(own[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(own.isNotNull(), F.struct(*inner))
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, T.StringType):
+        return F.transform(own, lambda e: _made(e, kind.elementType))
+    if isinstance(kind, T.MapType) and not isinstance(kind.valueType, T.StringType):
+        return F.transform_values(own, lambda _, e: _made(e, kind.valueType))
+    if isinstance(kind, T.BooleanType):
+        return _get(own, "$", "boolean")
+    return own.try_cast(kind) if isinstance(kind, _NUMBERS) else own
+
+
+def _plain(own: Column, kind: T.DataType, absent: Callable[[str], Column] | None, path: str = "$") -> Column:
+    """Whether a field, cast to its loose type, surely has no problem (``_field``).
+
+    A null is one that is absent or null, and with lists, maps and records one that does not fit,
+    too: ``absent`` tells them apart by the path, and without it they are in doubt.
+    """
+    doubt = absent(path) if absent else F.lit(False)
+
+    def flat(text: Column) -> Column:
+        return text.isNull() | ~F.left(text, F.lit(1)).isin("{", "[")
+
+    if isinstance(kind, T.StructType):
+        inner = [_plain(own[f.name], f.dataType, absent, f"{path}.{f.name}") for f in kind.fields]
+        return F.when(own.isNull(), doubt).otherwise(_all(inner))
+    if isinstance(kind, T.StringType):
+        return flat(own)
+    if isinstance(kind, T.BooleanType):
+        return own.isNull() | F.schema_of_variant(own).isin("BOOLEAN", "VOID")
+    if isinstance(kind, (T.LongType, T.IntegerType)):
+        return own.isNull() | (own.rlike(_WHOLE) & own.try_cast(kind).isNotNull())
+    if isinstance(kind, T.DecimalType):
+        return own.isNull() | own.rlike(_DECIMAL)
+    if isinstance(kind, T.DoubleType):
+        return own.isNull() | own.rlike(_DOUBLE)
+    if isinstance(kind, T.MapType):
+        if isinstance(kind.valueType, T.StringType):
+            return own.isNotNull() | doubt
+        number = lambda e: _plain(e, kind.valueType, None)
+        return F.when(own.isNull(), doubt).otherwise(F.forall(F.map_values(own), number))
+    element = kind.elementType
+    if isinstance(element, T.ArrayType):
+        # points: two numbers or more, the first of them not null
+        def fits(e: Column) -> Column:
+            dated = (F.size(e) >= 2) & F.get(e, F.lit(0)).isNotNull()
+            return e.isNotNull() & dated & F.forall(e, lambda x: _plain(x, element.elementType, None))
+    else:
+        def fits(e: Column) -> Column:
+            return _plain(e, element, None)
+    return F.when(own.isNull(), doubt).otherwise(F.forall(own, fits))
+
+
+def _timely(own: Column, path: str) -> Column:
+    """Whether the text at ``path``, or those in a list of records, are times or null."""
+    outer, _, inner = path.partition("[].")
+
+    def fits(t: Column) -> Column:
+        return t.isNull() | F.try_to_timestamp(t).isNotNull()
+
+    held = reduce(lambda c, name: c[name], outer.split("."), own)
+    if inner:
+        return held.isNull() | F.forall(held, lambda e: fits(e[inner]))
+    return fits(held)
+
+
+def _all(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _is_object(v: Column) -> Column:
+    """The same as ``_is(v, "OBJECT")``, without the schema of all that is in it."""
+    return _get(v, "$", "struct<_: boolean>").isNotNull()
+
+
+def _items(v: Column, kind: str, loose: T.StructType, plain: Callable[..., Column]) -> Column:
+    """array<struct(v, own, problem)>: a document's records, or the one thing wrong with it.
+
+    ``own`` is the record as cast to ``loose``. A record without ``v`` is plain.
+    """
     spec = RAW[kind]
     key = spec["envelope"]
     path = "$" if key is None else f"$.{key}"
     raw = _get(v, path, "variant")
     absent = raw.isNull() | F.is_variant_null(raw)
     none = F.lit(None).cast("string")
+    failed = F.lit(False)
     problem = F.when(v.isNull(), F.concat(F.lit("malformed document: "), F.left("value", F.lit(SHOWN))))
     if kind == "metric_points":
         note = F.coalesce(_get(v, "$.message", "string"), F.lit(""))
-        problem = problem.when(
-            _get(v, "$.status", "string") == "error", F.concat(F.lit("metric query failed: "), note)
-        )
+        failed = F.coalesce(_get(v, "$.status", "string") == "error", F.lit(False))
+        problem = problem.when(failed, F.concat(F.lit("metric query failed: "), note))
     problem = problem.when(absent, F.lit(spec["required"]) if spec["required"] else none)
     if key is not None:
-        problem = problem.when(~_is(v, "OBJECT"), F.lit("not an object"))
+        problem = problem.when(~_is_object(v), F.lit("not an object"))
     if spec.get("single"):
         held = F.array(raw)
     else:
-        problem = problem.when(~_is(raw, "ARRAY"), F.lit("not a list of records"))
         held = _get(v, path, "array<variant>")
-    wrong = F.array(F.struct(F.lit(None).cast("variant").alias("v"), problem.alias("problem")))
-    found = F.transform(held, lambda e: F.struct(e.alias("v"), none.alias("problem")))
-    return F.when(problem.isNotNull(), wrong).when(~absent, found)
+        problem = problem.when(held.isNull(), F.lit("not a list of records"))
+    no_v, no_own = F.lit(None).cast("variant"), F.lit(None).cast(loose)
+
+    def item(v: Column, own: Column, problem: Column) -> Column:
+        return F.struct(v.alias("v"), own.alias("own"), problem.alias("problem"))
+
+    wrong = F.array(item(no_v, no_own, problem))
+    found = F.transform(held, lambda e: item(e, _get(e, "$", loose.simpleString()), none))
+    doubtful = F.when(problem.isNotNull(), wrong).when(~absent, found)
+    if spec.get("single"):
+        return doubtful
+
+    def whole(records: Column) -> Column:
+        fine = records.isNotNull() & ~failed & F.forall(records, lambda e: e.isNotNull() & plain(e))
+        return F.when(fine, F.transform(records, lambda e: item(no_v, e, none))).otherwise(doubtful)
+
+    # a list of one, so that the records are cast once
+    cast = _get(v, path, f"array<{loose.simpleString()}>")
+    return F.flatten(F.transform(F.array(cast), whole))
 
 
 def parsed(docs: DataFrame, kind: str) -> DataFrame:
     """(file, text, r, problems) for each record of landed documents (file, value).
 
-    A document with something wrong as a whole is one row, ``text`` its beginning.
+    A document with something wrong as a whole is one row, ``text`` its beginning. A record with
+    nothing wrong may be without its text.
     """
     record = T.StructType.fromDDL(RAW[kind]["record"].removeprefix("struct<").removesuffix(">"))
-    variants = docs.withColumn("doc", F.try_parse_json("value"))
-    items = variants.select("file", "value", F.explode(_items(F.col("doc"), kind)).alias("i")).select(
-        "file", "value", F.col("i.v").alias("v"), F.col("i.problem").alias("problem")
+    loose, iso = _loose(record), RAW[kind].get("iso", ())
+    v, own, problem = F.col("v"), F.col("own"), F.col("problem")
+
+    def plain(cast: Column, absent: Callable[[str], Column] | None = None) -> Column:
+        return F.coalesce(
+            _all([_plain(cast, record, absent)] + [_timely(cast, path) for path in iso]), F.lit(False)
+        )
+
+    def absent(path: str) -> Column:
+        raw = _get(v, path, "variant")
+        return raw.isNull() | F.is_variant_null(raw)
+
+    # of a document only its beginning goes with its records
+    variants = docs.select(
+        "file", F.left("value", F.lit(SHOWN)).alias("value"), F.try_parse_json("value").alias("doc")
     )
-    fields = [(f.name, _field(F.col("v"), f"$.{f.name}", f.dataType)) for f in record.fields]
+    items = variants.select(
+        "file", "value", F.explode(_items(F.col("doc"), kind, loose, plain)).alias("i")
+    ).select("file", "value", "i.*")
+    fields = [(f.name, _field(v, f"$.{f.name}", f.dataType)) for f in record.fields]
     none = F.expr(f"cast(array() as array<{_PROBLEM}>)")
-    iso = RAW[kind].get("iso", ())
-    own = [F.coalesce(p, none) for _, f in fields for p in f.problems]
-    own += [F.coalesce(_not_a_time(path), none) for path in iso]
-    whole = F.when(F.col("problem").isNotNull(), F.array(_problem("$", F.col("problem"))))
+    found = [F.coalesce(p, none) for _, f in fields for p in f.problems]
+    found += [F.coalesce(_not_a_time(path), none) for path in iso]
+    whole = F.when(problem.isNotNull(), F.array(_problem("$", problem)))
     problems = (
-        whole.when(~F.coalesce(_is(F.col("v"), "OBJECT"), F.lit(False)), F.array(_problem("$", "not an object")))
-        .otherwise(F.concat(*own))
+        whole.when(~F.coalesce(_is_object(v), F.lit(False)), F.array(_problem("$", "not an object")))
+        .otherwise(F.concat(*found))
     )
-    text = F.when(F.col("problem").isNull(), F.to_json("v")).otherwise(F.left("value", F.lit(SHOWN)))
-    record = F.struct(
-        text.alias("text"),
+    careful = F.struct(
+        F.when(problem.isNull(), F.to_json("v")).otherwise(F.col("value")).alias("text"),
         F.struct(*[f.value.alias(n) for n, f in fields]).alias("r"),
         problems.alias("problems"),
     )
+    sure = problem.isNull() & own.isNotNull() & (v.isNull() | plain(own, absent))
+    taken = F.struct(F.lit(None).cast("string").alias("text"), _made(own, record).alias("r"), none.alias("problems"))
     # as the rows of a generator the fields are made once; a projection would be merged into every
     # filter and projection that follows
-    return items.select("file", F.explode(F.array(record)).alias("x")).select("file", "x.*")
+    made = F.explode(F.array(F.when(sure, taken).otherwise(careful)))
+    return items.select("file", made.alias("x")).select("file", "x.*")
 
 
 def _not_a_time(path: str) -> Column:
