@@ -49,6 +49,34 @@ def test_contexts_are_the_commonest_word_before():
     assert got.tolist() == [0, 0, 1, 1, 2, 2, 1, 0, 2]
 
 
+def test_a_word_is_drawn_after_the_word_before_it(spark):
+    """Forty words, none of them among the commonest, each with a word that only it has before it."""
+    rng = np.random.default_rng(5)
+    text = lambda pairs: " ".join(f"left{p} right{p}" for p in pairs)
+    rows = [(k, text(rng.permutation(40))) for k in range(60)]
+    rows += [(100, text(range(40))), (101, " ".join(f"left{p} right{(p + 7) % 40}" for p in range(40)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in lm_score.score_texts(docs, chunk_bytes=1500).collect()}
+    # the same words, so the same base
+    assert got[100]["base_score"] == pytest.approx(got[101]["base_score"])
+    # a right after its left is next to certain, after another left a new pair
+    assert got[100]["score"] - got[101]["score"] > 40
+
+
+def test_probabilities_after_a_word_sum_to_one():
+    rng = np.random.default_rng(1)
+    n = rng.integers(0, 5, 50)
+    sums = np.where(n > 0, lm_score.KEPT * np.minimum(n, 2), 0)
+    c, above = np.full(50, n.sum()), np.full(50, sums.sum())
+    parent = rng.dirichlet(np.ones(50))
+    logs = lm_score.log_probabilities(n, sums, c, above, np.log(parent), 0.7)
+    assert np.exp(logs).sum() == pytest.approx(1)
+    # a word that was never seen before another leaves all to the parent
+    none = np.zeros(50)
+    logs = lm_score.log_probabilities(none, none, none, none, np.log(parent), 0.7)
+    assert np.exp(logs) == pytest.approx(parent)
+
+
 def test_seating_follows_the_chinese_restaurant():
     rng = np.random.default_rng(0)
     n = np.full(4000, 200)

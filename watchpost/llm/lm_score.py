@@ -1,29 +1,31 @@
 """Language-model scores of whole texts by a hierarchical Pitman-Yor model.
 
-A word is drawn in the restaurant of its context. All context restaurants share one parent, the
-restaurant of words alone, and its parent spells new words byte by byte, with a restaurant for
+A word is drawn in the restaurant of the word before it; the end token of the text before stands
+before a text's first word. All these restaurants, one for every word there is, share one parent,
+the restaurant of words alone, and its parent spells new words byte by byte, with a restaurant for
 every context of up to four bytes. The tables of a restaurant are the customers of its parent.
 Seating is sampled by Gibbs sweeps, and predictive probabilities are averaged over sweeps. The
 probabilities of all byte strings sum to one, so unseen words need no special case.
 
-The context of a word is which of the ``COMMON`` commonest words the text has used most before it
-(none at first): what precedes is read whole, and tells languages and styles apart.
-
 1. Chunks: each task stores its documents as numbers into a list of their words.
-2. Counts by word and context over all training documents. A word's counts are one row, so the
-   seating of both word levels needs only totals from elsewhere, one number for a restaurant.
-3. Spelling: grams of all words, weighted by the words' tables, are dealt out by the last two bytes
+2. Vocabulary: one row a word, with its number, its training count and its places in the chunks.
+3. Pairs: each chunk deals its distinct (word before, word) out by a hash of both into packed
+   lists, as many as the tokens ask for, so that no frequent word lands in one task. A bucket adds
+   the counts up and keeps what each chunk asked for. A pair seen once has one table; the others
+   are seated, given their words' probabilities and tables by a join on the word's number.
+4. Spelling: grams of all words, weighted by the words' tables, are dealt out by the last two bytes
    of the context; there the contexts of four, three and two bytes are seated. Shorter ones, at
-   most 65,536 dishes, are seated on the driver. ``ROUNDS`` times spelling and words take turns.
-4. Each word is spelled once, in blocks of the model of bounded size, and each chunk gets the
-   counts and probabilities of its own words and contexts.
+   most 65,536 dishes, are seated on the driver. Blocks of words ask for the grams they have.
+   ``ROUNDS`` times spelling, pairs and words take turns.
+5. Each chunk gets counts and probabilities of its own words and pairs.
 
 Words are split at spaces, tabs and line ends after lower-casing A-Z; every text ends with one end
 token, the empty word. Training documents are those with crc32(doc_id as text) mod 7 other than 2.
 
 Cases: a null text is an empty one (the end token alone). Rows are scored one by one, so repeated
 rows and null or equal ids give a row each; a null id counts as a training document. Without
-training documents the base and the model are those of no counts. Other columns are ignored.
+training documents the base and the model are those of no counts. Other columns are ignored. More
+than 2**32 word numbers are refused.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACED, Words, mix, stored
+from .common import SPACED, Words, mix, removed, stored, stored_at
 from .pitman_yor import (
     DISCOUNTS,
     ORDER,
@@ -50,19 +52,24 @@ from .pitman_yor import (
 )
 
 FOLDS, HELD_FOLD = 7, 2
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 ROUNDS, SWEEPS, KEPT = 2, 4, 2
-#: grams that are sent out at once
-BLOCK_GRAMS = 4_000_000
+#: tokens to a bucket of pairs, rows of the spelling model and words to a block
+BUCKET_TOKENS = 2_000_000
+BLOCK_GRAMS = 500_000
+BLOCK_WORDS = 1 << 16
+#: chunks that a task makes at most; the last one then takes all that is left
+TASK_CHUNKS = 2048
 SEED = 11
 LOW = 2
 COMMON = 16
-WORD_STRENGTH = 20.0
+#: strength of the restaurants of the word before
+PAIR_STRENGTH = 1.0
 UNIFORM = np.full((SYMBOLS, SYMBOLS), 1 / SYMBOLS)
 
 CHUNK = (
-    "chunk bigint, words array<binary>, counts array<bigint>, doc_ids array<bigint>, "
-    "held array<boolean>, ends binary, tokens binary"
+    "chunk bigint, n_tokens bigint, words array<binary>, counts array<bigint>, "
+    "doc_ids array<bigint>, held array<boolean>, ends binary, tokens binary"
 )
 
 
@@ -90,52 +97,60 @@ def _chunk(chunk: int, ids: list, held: list[bool], texts: list[str | None]) ->
     trained = np.repeat(~np.array(held, bool), np.diff(ends, prepend=0))
     return {
         "chunk": chunk,
+        "n_tokens": len(at),
         "words": words,
         "counts": np.bincount(at[trained], minlength=len(words)).tolist(),
         "doc_ids": ids,
         "held": held,
         "ends": ends.astype("<i8").tobytes(),
-        "tokens": at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(),
+        "tokens": packed(at),
     }
 
 
-def encode_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Stored chunks of about ``chunk_bytes`` of text and at least one document."""
+def packed(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Integers from 0 as ``width`` bytes each, all lowest bytes first: they compress well."""
+    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
+def encode_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, str]:
+    """Stored chunks of about ``chunk_bytes`` of text and at least one document, and their path."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     schema = to_arrow_schema(_parse_datatype_string(CHUNK))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
+        chunk = TaskContext.get().partitionId() * TASK_CHUNKS
+        last = chunk + TASK_CHUNKS - 1
         ids, held, texts, size = [], [], [], 0
-        for batch in batches:
+        # few texts at a time: a batch of Spark's has thousands
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, b.num_rows, 200)):
             cols = (batch[c].to_pylist() for c in ("doc_id", "held", "text"))
             for doc_id, out, text in zip(*cols):
                 ids.append(doc_id)
                 held.append(out)
                 texts.append(text)
                 size += len(text or "")
-                if size >= chunk_bytes:
+                if size >= chunk_bytes and chunk < last:
                     yield pa.RecordBatch.from_pylist([_chunk(chunk, ids, held, texts)], schema)
                     ids, held, texts, size, chunk = [], [], [], 0, chunk + 1
         if ids:
             yield pa.RecordBatch.from_pylist([_chunk(chunk, ids, held, texts)], schema)
 
     chosen = docs.select("doc_id", held_out().alias("held"), "text")
-    return stored(chosen.mapInArrow(encode, CHUNK), "lm-chunks")
-
-
-def _tokens(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return stored_at(chosen.mapInArrow(encode, CHUNK), "lm-chunks")
 
 
 def contexts_of(tokens: np.ndarray, ends: np.ndarray, common: np.ndarray) -> np.ndarray:
     """For each token 1 + the place of the commonest listed word before it in its text, or 0.
 
     ``common`` maps a word number to its place in the list, -1 for all other words. Among equals
-    the earlier in the list wins.
+    the earlier in the list wins. The model does not use it: its contexts are all words.
     """
     place = common[tokens]
     out = np.zeros(len(tokens), np.int64)
@@ -153,57 +168,218 @@ def contexts_of(tokens: np.ndarray, ends: np.ndarray, common: np.ndarray) -> np.
     return out
 
 
-def _pair_stream(row: pa.RecordBatch) -> tuple[np.ndarray, ...]:
-    """(pair of each token, distinct pairs, ends); a pair is word * (COMMON + 1) + context."""
-    tokens, ends = _tokens(row["tokens"][0].as_py()), np.frombuffer(row["ends"][0].as_py(), "<i8")
-    listed = np.full(int(tokens.max(initial=0)) + 1, -1, np.int64)
-    for place, word in enumerate(row["listed"][0].as_py()):
-        if 0 < word <= len(listed):
-            listed[word - 1] = place
-    pairs = tokens * (COMMON + 1) + contexts_of(tokens, ends, listed)
-    distinct, at = np.unique(pairs, return_inverse=True)
-    return at, distinct, ends
+def _chunk_pairs(row: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, ...]:
+    """A numbered chunk's pairs: (pair of each token, keys, words, order, edges, ends).
+
+    A key is the number of the word before and that of the word, ``words`` are the places of both
+    in the chunk. ``order`` sorts the keys by bucket and key, ``edges`` are the buckets' in it.
+    """
+    tokens = unpacked(row["tokens"][0].as_py())
+    ends = np.frombuffer(row["ends"][0].as_py(), "<i8")
+    ids = row["ids"][0].values.to_numpy().astype(np.uint64)
+    # every text ends with the end token, so the token before a first word is one
+    before = np.concatenate([tokens[-1:], tokens[:-1]])
+    pairs, at = np.unique(before * len(ids) + tokens, return_inverse=True)
+    words = np.divmod(pairs, len(ids))
+    keys = (ids[words[0]] << np.uint64(32)) | ids[words[1]]
+    bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return at, keys, words, order, edges, ends
 
 
-def with_listed(chunks: DataFrame, common: list[bytes]) -> DataFrame:
-    """Adds ``listed``: the place of each common word in the chunk's own list, from 1, 0 if none."""
-    places = [F.array_position("words", F.lit(bytearray(w))) for w in common]
-    return chunks.withColumn("listed", F.array(*places).cast("array<bigint>"))
+ASKED = "bucket bigint, chunk bigint, keys binary, n binary"
 
 
-def _pairs(counted: bool):
-    """Distinct (word, context) of each chunk, with their place in it or their training count."""
+def _deal(buckets: int):
+    """The distinct pairs of each chunk with their training counts, a row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                words = row["words"][0].values
-                at, distinct, ends = _pair_stream(row)
-                if counted:
-                    held = np.array(row["held"][0].as_py(), bool)
-                    trained = np.repeat(~held, np.diff(ends, prepend=0))
-                    value = np.bincount(at[trained], minlength=len(distinct))
-                else:
-                    value = np.arange(len(distinct))
-                chunk = row["chunk"][0].as_py()
-                for i in range(0, len(distinct), 50_000):
-                    some = distinct[i : i + 50_000]
-                    own = pa.array(some // (COMMON + 1))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([chunk] * len(some), pa.int64()),
-                            words.take(own).cast(pa.binary()),
-                            pa.array((some % (COMMON + 1)).astype(np.int32)),
-                            pa.array(value[i : i + 50_000].astype(np.int64)),
-                        ],
-                        names=["chunk", "word", "context", "value"],
-                    )
+                at, keys, _, order, edges, ends = _chunk_pairs(row, buckets)
+                held = np.array(row["held"][0].as_py(), bool)
+                trained = np.repeat(~held, np.diff(ends, prepend=0))
+                n = np.bincount(at[trained], minlength=len(keys))[order]
+                keys, used = keys[order], np.flatnonzero(np.diff(edges))
+                cuts = [slice(edges[b], edges[b + 1]) for b in used]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used, pa.int64()),
+                        pa.array([row["chunk"][0].as_py()] * len(used), pa.int64()),
+                        pa.array([packed(keys[c], 8) for c in cuts], pa.binary()),
+                        pa.array([packed(n[c]) for c in cuts], pa.binary()),
+                    ],
+                    names=["bucket", "chunk", "keys", "n"],
+                )
 
     return run
 
 
-PAIR = "chunk bigint, word binary, context int, value bigint"
+BUCKET = (
+    "bucket bigint, keys binary, n binary, ones bigint, twos bigint, many_keys binary, "
+    "many_n binary, chunks array<bigint>, sizes array<bigint>, places binary"
+)
+_KINDS = {
+    "binary": pa.binary(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()),
+    "double": pa.float64(),
+}
+
+
+def _arrow(schema: str) -> pa.Schema:
+    """The Arrow form of a schema, also where there is no session."""
+    fields = (field.split() for field in schema.split(", "))
+    return pa.schema([(name, _KINDS[kind]) for name, kind in fields])
+
+
+BUCKET_ROW = _arrow(BUCKET)
+
+
+def _count(asked: pa.Table) -> pa.Table:
+    """A bucket's trained pairs and counts, and which of them each chunk asked for, in its order.
+
+    Pairs that are not trained have a count of 0. ``places`` has the steps from each to the next.
+    """
+    parts = [unpacked(k, 8) for k in asked["keys"].to_pylist()]
+    n = np.concatenate([unpacked(k) for k in asked["n"].to_pylist()])
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    n = np.bincount(at, n, len(keys)).astype(np.int64)
+    starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
+    steps = np.diff(at, prepend=0)
+    # each chunk's keys come in order
+    steps[starts] = at[starts]
+    row = {
+        "bucket": asked["bucket"][0].as_py(),
+        "keys": packed(keys[n > 0], 8),
+        "n": packed(n),
+        "ones": int((n == 1).sum()),
+        "twos": int((n == 2).sum()),
+        "many_keys": packed(keys[n > 1], 8),
+        "many_n": packed(n[n > 1]),
+        "chunks": asked["chunk"].to_pylist(),
+        "sizes": [len(p) for p in parts],
+        "places": packed(steps),
+    }
+    return pa.Table.from_pylist([row], BUCKET_ROW)
+
+
+def _words_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct word numbers of keys, and the places of the words before and the words."""
+    ids, at = np.unique(np.concatenate([keys >> 32, keys & 0xFFFFFFFF]), return_inverse=True)
+    return ids, at[: len(keys)], at[len(keys) :]
+
+
+DEGREE = "id bigint, followers bigint, contexts bigint"
+
+
+def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each word of a bucket the distinct words after it, and before it."""
+    for batch in batches:
+        for keys in batch["keys"]:
+            ids, u, w = _words_of(unpacked(keys.as_py(), 8))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(np.bincount(u, minlength=len(ids)), pa.int64()),
+                    pa.array(np.bincount(w, minlength=len(ids)), pa.int64()),
+                ],
+                names=["id", "followers", "contexts"],
+            )
+
+
+def _many_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the pairs of a bucket that were seen twice or more."""
+    for batch in batches:
+        for bucket, keys in zip(batch["bucket"].to_pylist(), batch["many_keys"]):
+            ids, _, _ = _words_of(unpacked(keys.as_py(), 8))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([bucket] * len(ids), pa.int64()), pa.array(ids, pa.int64())],
+                names=["bucket", "id"],
+            )
+
+
+SEATED = "bucket bigint, tables binary, sums binary, ids binary, more binary, customers binary"
+SEATED_ROW = _arrow(SEATED)
+
+
+def _seat_pairs(discount: float, seed: int, sweeps: int, kept: int):
+    """Seats the pairs of a bucket seen twice or more.
+
+    ``tables`` are the last ones and ``sums`` those of the kept sweeps together. Of each word,
+    ``more`` is what its own restaurant had above one table for a pair in the kept sweeps, and
+    ``customers`` what it has above that as a dish, by the last.
+    """
+
+    def run(pairs: pa.Table, words: pa.Table) -> pa.Table:
+        if not pairs.num_rows:
+            return SEATED_ROW.empty_table()
+        bucket = pairs["bucket"][0].as_py()
+        keys = unpacked(pairs["many_keys"][0].as_py(), 8)
+        n = unpacked(pairs["many_n"][0].as_py())
+        before = pairs["tables"][0].as_py()
+        t = np.ones(len(n), np.int64) if before is None else unpacked(before)
+        ids, u, w = _words_of(keys)
+        order = np.argsort(words["id"].to_numpy())
+        p = words["p"].to_numpy()[order][w]
+        above = words["above"].to_numpy()[order][u]
+        rng = np.random.default_rng([seed, bucket, len(n)])
+        sums = np.zeros(len(n), np.int64)
+        for turn in range(sweeps):
+            fresh = (PAIR_STRENGTH + discount * np.maximum(above - t, 0)) * p
+            t = seat(n, fresh, discount, rng, discount * p)
+            if turn >= sweeps - kept:
+                sums += t
+        more = np.bincount(u, sums - kept, len(ids))
+        customers = np.bincount(w, t - 1, len(ids))
+        row = {
+            "bucket": bucket,
+            "tables": packed(t),
+            "sums": packed(sums),
+            "ids": packed(ids, 8),
+            "more": packed(more, 8),
+            "customers": packed(customers, 8),
+        }
+        return pa.Table.from_pylist([row], SEATED_ROW)
+
+    return run
+
+
+def _handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            cols = ("ids", "more", "customers")
+            values = [pa.array(unpacked(batch[c][k].as_py(), 8), pa.int64()) for c in cols]
+            yield pa.RecordBatch.from_arrays(values, names=["id", "more", "customers"])
+
+
+ANSWER = "chunk bigint, bucket bigint, n binary, sums binary"
+
+
+def _answer_pairs(kept: int):
+    """For each chunk that asked a bucket, counts and summed tables of its pairs in its order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                n = unpacked(batch["n"][k].as_py())
+                sums = np.where(n > 0, kept, 0)
+                sums[n > 1] = unpacked(batch["sums"][k].as_py())
+                chunks = batch["chunks"][k].as_py()
+                sizes = np.cumsum(batch["sizes"][k].as_py())[:-1]
+                steps = np.split(unpacked(batch["places"][k].as_py()), sizes)
+                places = [np.cumsum(s) for s in steps]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(chunks, pa.int64()),
+                        pa.array([batch["bucket"][k].as_py()] * len(chunks), pa.int64()),
+                        pa.array([packed(n[p]) for p in places], pa.binary()),
+                        pa.array([packed(sums[p]) for p in places], pa.binary()),
+                    ],
+                    names=["chunk", "bucket", "n", "sums"],
+                )
+
+    return run
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,231 +487,267 @@ def fit_spelling(tables: DataFrame, top: np.ndarray, seed: int) -> tuple[DataFra
     return rows.filter("level > 1"), _seat_top(counts, seed, SWEEPS, KEPT)
 
 
+def _block_grams(words: list[bytes], tails: int) -> tuple[np.ndarray, ...]:
+    """(distinct grams by tail, place of each gram in them, its word, edges of the tails)."""
+    grams, owner = byte_grams(words)
+    keys, at = np.unique(grams, return_inverse=True)
+    tail = ((keys >> 8) & 0xFFFF) % tails
+    order = np.argsort(tail, kind="stable")
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.arange(len(keys))
+    return keys[order], place[at], owner, np.searchsorted(tail[order], np.arange(tails + 1))
+
+
 def spell(words: DataFrame, model: DataFrame, top: np.ndarray) -> DataFrame:
     """Adds ``spelling``, the natural logarithm of the probability of the word's bytes.
 
-    The model is sent out in blocks of about ``BLOCK_GRAMS`` rows, by the last two bytes of the
-    context; every byte of a word belongs to one block.
+    Each block of words asks for its distinct grams by the last two bytes of the context. Such a
+    tail, or as many as make up ``BLOCK_GRAMS`` rows of the model, answers all blocks in a task.
     """
-    blocks = max(1, math.ceil(model.count() / BLOCK_GRAMS))
+    tails = min(1 << 16, max(1, math.ceil(model.count() / BLOCK_GRAMS)))
     # a gram of level k holds k context bytes and a byte, a context k bytes
     tail = F.expr("if(is_context, key & 65535, (key >> 8) & 65535)")
-    out = words.withColumn("spelling", F.lit(0.0))
-    for b in range(blocks):
-        rows = model.filter(F.pmod(tail, F.lit(blocks)) == b).toPandas()
-        tables = {}
+    model = model.withColumn("tail", F.pmod(tail, F.lit(tails)))
+
+    def ask(block: pa.Table) -> pa.Table:
+        grams, _, _, edges = _block_grams(block["word"].to_pylist(), tails)
+        used = np.flatnonzero(np.diff(edges))
+        return pa.table(
+            {
+                "tail": pa.array(used, pa.int64()),
+                "block": pa.array([block["block"][0].as_py()] * len(used), pa.int64()),
+                "grams": pa.array([packed(grams[edges[b] : edges[b + 1]], 8) for b in used], pa.binary()),
+            }
+        )
+
+    def answer(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        level, is_context = rows["level"].to_numpy(), rows["is_context"].to_numpy()
+        keys, values, tables = rows["key"].to_numpy(), rows["value"].to_numpy(), {}
         for k in range(LOW, ORDER + 1):
             own = []
-            for is_context in (False, True):
-                part = rows[(rows.level == k) & (rows.is_context == is_context)].sort_values("key")
-                own += [part.key.to_numpy(), part.value.to_numpy()]
+            for side in (False, True):
+                part = np.flatnonzero((level == k) & (is_context == side))
+                part = part[np.argsort(keys[part])]
+                own += [keys[part], values[part]]
             tables[k] = tuple(own)
-        shared = words.sparkSession.sparkContext.broadcast(SpellingModel(top, tables))
-        out = out.mapInArrow(_spell_block(shared, b, blocks), out.schema)
-    return out
-
-
-def _spell_block(shared, block: int, blocks: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 20_000):
-                some = batch.slice(i, 20_000)
-                grams, owner = byte_grams(some["word"].to_pylist())
-                if blocks > 1:
-                    own = ((grams >> 8) & 0xFFFF) % blocks == block
-                    grams, owner = grams[own], owner[own]
-                sums = np.bincount(owner, model.log_probability(grams), some.num_rows)
-                at = some.schema.get_field_index("spelling")
-                total = pa.array(some["spelling"].to_numpy() + sums)
-                yield some.set_column(at, some.schema.field(at), total)
+        spelling = SpellingModel(top, tables)
+        found = [spelling.log_probability(unpacked(g, 8)).tobytes() for g in asked["grams"].to_pylist()]
+        return pa.table(
+            {"block": asked["block"], "tail": asked["tail"], "logs": pa.array(found, pa.binary())}
+        )
 
-    return run
+    names = words.columns
 
+    def add(block: pa.Table, answers: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            return block.append_column("spelling", pa.array([], pa.float64()))
+        _, place, owner, _ = _block_grams(block["word"].to_pylist(), tails)
+        order = np.argsort(answers["tail"].to_numpy())
+        logs = answers["logs"].to_pylist()
+        values = np.concatenate([np.frombuffer(logs[i]) for i in order])
+        sums = np.bincount(owner, values[place], block.num_rows)
+        return block.select(names).append_column("spelling", pa.array(sums))
 
-WORD = (
-    "word binary, c bigint, by array<bigint>, tables bigint, spelling double, "
-    "own array<double>, mid double, means array<double>"
-)
+    asked = words.select("block", "word").groupBy("block").applyInArrow(
+        ask, "tail bigint, block bigint, grams binary"
+    )
+    answers = (
+        asked.groupBy("tail")
+        .cogroup(model.groupBy("tail"))
+        .applyInArrow(answer, "block bigint, tail bigint, logs binary")
+    )
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema)
+    return (
+        words.groupBy("block")
+        .cogroup(answers.groupBy("block"))
+        .applyInArrow(add, f"{schema}, spelling double")
+    )
 
 
-def _seat_words(discounts: tuple[float, float], totals: dict, seed: int, sweeps: int, kept: int):
-    """Seats both levels of words.
+def _seat_words(discount: float, tables: float, seed: int, sweeps: int, kept: int, schema: pa.Schema):
+    """Seats the restaurant of words alone, given its number of tables.
 
-    ``own`` gets the mean customers less discounts by context, ``mid`` the same in the parent,
-    ``means`` the mean tables by context and then the parent's; ``tables`` the parent's last.
+    ``mid`` gets the mean customers less discounts, ``mean`` the mean tables, ``tables`` the last.
     """
-    high, low = discounts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 50_000):
-                some = batch.slice(i, 50_000)
-                n = some.num_rows
-                by = some["by"].flatten().to_numpy().reshape(n, COMMON + 1)
-                p0 = np.exp(some["spelling"].to_numpy())
-                # a seed of the rows, not of the task
-                rng = np.random.default_rng([seed, n, int(by.sum()), int((by * by).sum() >> 8)])
-                t, t1 = (by > 0).astype(np.int64), some["tables"].to_numpy()
-                own, mid = np.zeros(by.shape), np.zeros(n)
-                means = np.zeros((n, COMMON + 2))
-                for turn in range(sweeps):
-                    c1 = t.sum(1)
-                    # totals stand for all other words
-                    house = STRENGTH + totals["c1"]
-                    back = (STRENGTH + low * totals["t1"]) / house
-                    p1 = np.maximum(c1 - low * t1, 0) / house + back * p0
-                    fresh = (WORD_STRENGTH + high * np.maximum(totals["t"] - t, 0)) * p1[:, None]
-                    flat = seat(
-                        by.ravel(), fresh.ravel(), high, rng, np.repeat(high * p1, COMMON + 1)
-                    )
-                    t = flat.reshape(by.shape)
-                    c1 = t.sum(1)
-                    fresh = (STRENGTH + low * np.maximum(totals["t1"] - t1, 0)) * p0
-                    t1 = seat(c1, fresh, low, rng, low * p0)
-                    if turn >= sweeps - kept:
-                        own += np.maximum(by - high * t, 0) / kept
-                        mid += np.maximum(c1 - low * t1, 0) / kept
-                        means[:, :-1] += t / kept
-                        means[:, -1] += t1 / kept
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        some["word"],
-                        some["c"],
-                        some["by"],
-                        pa.array(t1, pa.int64()),
-                        some["spelling"],
-                        _lists(own),
-                        pa.array(mid),
-                        _lists(means),
-                    ],
-                    names=["word", "c", "by", "tables", "spelling", "own", "mid", "means"],
-                )
+            c = batch["customers"].to_numpy()
+            t = np.minimum(batch["tables"].to_numpy(), c)
+            p0 = np.exp(batch["spelling"].to_numpy())
+            # a seed of the rows, not of the task
+            rng = np.random.default_rng([seed, len(c), int(c.sum()), int(batch["id"][0].as_py())])
+            mid, mean = np.zeros(len(c)), np.zeros(len(c))
+            for turn in range(sweeps):
+                fresh = (STRENGTH + discount * np.maximum(tables - t, 0)) * p0
+                t = seat(c, fresh, discount, rng, discount * p0)
+                if turn >= sweeps - kept:
+                    mid += np.maximum(c - discount * t, 0) / kept
+                    mean += t / kept
+            new = {"tables": pa.array(t, pa.int64()), "mid": pa.array(mid), "mean": pa.array(mean)}
+            yield pa.RecordBatch.from_arrays(
+                [new[c] if c in new else batch[c] for c in schema.names], schema=schema
+            )
 
     return run
 
 
-def _lists(values: np.ndarray) -> pa.Array:
-    n, k = values.shape
-    return pa.ListArray.from_arrays(np.arange(0, n * k + 1, k, dtype=np.int32), values.ravel())
+def vocabulary(chunks: DataFrame) -> DataFrame:
+    """Stored words: number ``id``, training count ``c`` and ``places``.
 
+    A place is the chunk, times 2**32, and the place from 0 among its words.
+    """
+    at = F.shiftleft("chunk", 32) + F.col("place")
+    rows = (
+        chunks.select(
+            "chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "word")
+        )
+        .select(F.col("word.words").alias("word"), F.col("word.counts").alias("c"), at.alias("at"))
+        # at most one row a chunk: nothing to add up before
+        .repartition("word")
+        .groupBy("word")
+        .agg(F.sum("c").alias("c"), F.collect_list("at").alias("places"))
+        # frequent words get small numbers, which take less room
+        .sortWithinPartitions(F.col("c").desc(), "word")
+        .withColumn("row", F.monotonically_increasing_id())
+    )
+    rows = stored(rows, "lm-words")
+    part, place = F.expr("row >> 33"), F.col("row").bitwiseAND((1 << 33) - 1)
+    parts, stride = rows.agg(
+        F.coalesce(F.max(part), F.lit(0)) + 1, F.coalesce(F.max(place), F.lit(0)) + 1
+    ).first()
+    if parts * stride > 1 << 32:
+        raise ValueError(f"{parts * stride} word numbers are needed, 2**32 are possible")
+    return rows.select((place * parts + part).alias("id"), "word", "c", "places")
+
+
+def numbered(chunks: DataFrame, words: DataFrame) -> DataFrame:
+    """Stored chunks with the numbers of their words in place of the words."""
+    ids = (
+        words.select("id", F.explode("places").alias("at"))
+        .repartition(F.expr("at >> 32"))
+        .groupBy(F.expr("at >> 32").alias("chunk"))
+        .agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("ids"))
+        .select("chunk", F.col("ids.id").alias("ids"))
+    )
+    return stored(chunks.drop("words", "counts").join(ids, "chunk"), "lm-numbered")
 
-def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words that make up a thousandth of their chunk or more, and their counts."""
-    for batch in batches:
-        for k in range(batch.num_rows):
-            counts = batch["counts"][k].values.to_numpy()
-            words = batch["words"][k].values
-            chosen = np.flatnonzero((counts > 0) & (counts * 1000 >= counts.sum()))
-            yield pa.RecordBatch.from_arrays(
-                [words.take(pa.array(chosen)).cast(pa.binary()), pa.array(counts[chosen])],
-                names=["word", "c"],
-            )
 
+def count_pairs(chunks: DataFrame) -> tuple[DataFrame, str, int]:
+    """(stored buckets of pairs, their path, their number) of numbered chunks."""
+    size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(size / BUCKET_TOKENS))
+    dealt = chunks.mapInArrow(_deal(buckets), ASKED)
+    return *stored_at(dealt.groupBy("bucket").applyInArrow(_count, BUCKET), "lm-pairs"), buckets
 
-def common_words(chunks: DataFrame) -> list[bytes]:
-    """The commonest words, each counted where it makes up a thousandth of a chunk or more."""
-    ranked = (
-        chunks.select("words", "counts")
-        .mapInArrow(_frequent, "word binary, c bigint")
-        .filter("octet_length(word) > 0")
-        .groupBy("word")
-        .agg(F.sum("c").alias("c"))
-        .orderBy(F.col("c").desc(), "word")
-        .limit(COMMON)
-    )
-    return [bytes(r["word"]) for r in ranked.collect()]
+
+def _discount(once: int, twice: int) -> float:
+    return min(max((once + 1) / (once + 2 * twice + 2), 0.1), 0.95)
 
 
-def fit_words(
-    chunks: DataFrame, rounds: int = ROUNDS, seed: int = SEED
-) -> tuple[DataFrame, dict]:
-    """(words, totals).
+def fit(
+    words: DataFrame, pairs: DataFrame, rounds: int = ROUNDS, seed: int = SEED
+) -> tuple[DataFrame, DataFrame, dict]:
+    """(words, seated pairs, totals).
 
-    Words have their count ``c``, the natural logarithm ``log_p`` of their probability in the
-    parent, and for the contexts they were seen in, ``contexts``, the mean customers less
-    discounts, ``own``. ``totals`` has what else a context's probability needs.
+    Words have their training count ``c``, the natural logarithm ``log_p`` of their probability
+    in the parent and, as a context, ``above``, their restaurant's tables in all kept sweeps. ``totals``
+    has the training tokens ``n``, distinct ones ``v`` and the ``discount`` of the pairs.
     """
-    by_pair = (
-        chunks.mapInArrow(_pairs(True), PAIR)
-        # both groupings below use this one exchange; a word has few rows for each chunk
-        .repartition("word")
-        .groupBy("word", "context")
-        .agg(F.sum("value").alias("n"))
+    degrees = (
+        pairs.select("keys").mapInArrow(_degrees, DEGREE)
+        .groupBy("id").agg(F.sum("followers").alias("followers"), F.sum("contexts").alias("contexts"))
     )
-    counts = F.map_from_entries(F.collect_list(F.struct("context", "n")))
-    every = F.sequence(F.lit(0), F.lit(COMMON))
-    words = by_pair.groupBy("word").agg(F.sum("n").alias("c"), counts.alias("m")).select(
-        "word",
-        "c",
-        F.transform(every, lambda k: F.coalesce(F.col("m")[k], F.lit(0))).alias("by"),
-        (F.col("c") > 0).cast("bigint").alias("tables"),
+    none = F.lit(0).cast("bigint")
+    spark = words.sparkSession
+    words, at = stored_at(
+        words.select("id", "word", "c").join(degrees, "id", "left").select(
+            "id",
+            F.expr(f"id div {BLOCK_WORDS}").alias("block"),
+            "word",
+            "c",
+            F.coalesce("followers", none).alias("followers"),
+            F.coalesce("contexts", none).alias("contexts"),
+            F.coalesce("followers", none).cast("double").alias("above"),
+            F.coalesce("contexts", none).alias("customers"),
+            (F.col("c") > 0).cast("bigint").alias("tables"),
+            F.lit(0.0).alias("mid"),
+            F.lit(0.0).alias("mean"),
+        ),
+        "lm-degrees",
     )
-    words = stored(words, "lm-words")
-
-    def each(name: str, size: int, start: float = 0.0) -> list:
-        return [F.coalesce(F.sum(F.get(name, F.lit(k))), F.lit(start)) for k in range(size)]
-
-    first = words.agg(
-        *each("by", COMMON + 1),
-        *[F.count_if(F.get("by", F.lit(k)) > 0) for k in range(COMMON + 1)],
-        F.coalesce(F.sum(F.size(F.filter("by", lambda n: n == 1))), F.lit(0)),
-        F.coalesce(F.sum(F.size(F.filter("by", lambda n: n == 2))), F.lit(0)),
-        F.count_if(F.size(F.filter("by", lambda n: n > 0)) == 1),
-        F.count_if(F.size(F.filter("by", lambda n: n > 0)) == 2),
-        F.count_if(F.col("c") > 0),
+    n, v, customers, once, twice = words.agg(
+        *(
+            F.coalesce(x, F.lit(0))
+            for x in (
+                F.sum("c"), F.count_if(F.col("c") > 0), F.sum("contexts"),
+                F.count_if(F.col("contexts") == 1), F.count_if(F.col("contexts") == 2),
+            )
+        )
     ).first()
-    k = COMMON + 1
-    totals = {"c": np.array(first[:k], float), "t": np.array(first[k : 2 * k], float)}
-    totals |= {"c1": totals["t"].sum(), "t1": float(first[-1])}
-
-    def discount(once: int, twice: int) -> float:
-        return min(max((once + 1) / (once + 2 * twice + 2), 0.1), 0.95)
-
-    high, low = discount(first[2 * k], first[2 * k + 1]), discount(first[-3], first[-2])
-    top, seated = UNIFORM, words
+    low, tables = _discount(once, twice), float(v)
+    # a word has at first one table, and all its other customers are its own
+    words = words.withColumn("mid", F.greatest(F.col("customers") - low * F.col("tables"), F.lit(0.0)))
+    once, twice = pairs.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("ones", "twos"))).first()
+    high = _discount(once, twice)
+    asked = stored(pairs.select("bucket", "many_keys").mapInArrow(_many_words, "bucket bigint, id bigint"), "lm-asked")
+    many = pairs.select("bucket", "many_keys", "many_n")
+    seated = many.withColumn("tables", F.lit(None).cast("binary"))
+    names, top = words.columns, UNIFORM
     for turn in range(rounds):
-        model, next_top = fit_spelling(seated, top, seed + turn)
-        spelled = spell(seated.select("word", "c", "by", "tables"), model, top)
+        model, next_top = fit_spelling(words.select("word", "tables"), top, seed + turn)
+        spelled, spelled_at = stored_at(spell(words, model, top), "lm-spelled")
+        removed(spark, at)
         top = next_top
-        seated = stored(
-            spelled.mapInArrow(_seat_words((high, low), totals, seed + turn, SWEEPS, KEPT), WORD),
+        p = F.exp(_log_p(low, tables, customers))
+        found = asked.join(spelled.select("id", p.alias("p"), "above"), "id")
+        seats = stored(
+            seated.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(
+                _seat_pairs(high, seed + turn, SWEEPS, KEPT), SEATED
+            ),
             "lm-seated",
         )
-        means = np.array(seated.agg(*each("means", COMMON + 2)).first()[:], float)
-        totals |= {"t": means[:-1], "c1": means[:-1].sum(), "t1": float(means[-1])}
-    house = STRENGTH + totals["c1"]
-    new = F.col("spelling") + math.log((STRENGTH + low * totals["t1"]) / house)
-    # logarithms for what a word has of its own are only taken where there is any; a very long
-    # word's spelling has no probability that is a number
-    log_p = F.when(
-        F.col("mid") > 0, F.log(F.col("mid") / house + F.exp(new))
-    ).otherwise(new)
-    seen = F.filter(F.sequence(F.lit(0), F.lit(COMMON)), lambda k: F.get("own", k) > 0)
-    words = seated.select("word", "c", log_p.alias("log_p"), seen.alias("contexts"), "own").select(
-        "word", "c", "log_p", "contexts", F.transform("contexts", lambda k: F.get("own", k)).alias("own")
-    )
-    return words, {
-        "n": int(totals["c"].sum()),
-        "v": int(first[-1]),
-        "back": (WORD_STRENGTH + high * totals["t"]) / (WORD_STRENGTH + totals["c"]),
-        "house": WORD_STRENGTH + totals["c"],
-    }
-
+        seated = many.join(seats.select("bucket", "tables"), "bucket")
+        handed = (
+            seats.select("ids", "more", "customers").mapInArrow(_handed, "id bigint, more bigint, customers bigint")
+            .groupBy("id").agg(F.sum("more").alias("more"), F.sum("customers").alias("extra"))
+        )
+        fed = spelled.join(handed, "id", "left").withColumns(
+            {
+                "above": F.col("followers") + F.coalesce("more", none) / float(KEPT),
+                "customers": F.col("contexts") + F.coalesce("extra", none),
+            }
+        ).select(*names, "spelling")
+        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fed.schema)
+        words, at = stored_at(
+            fed.mapInArrow(
+                _seat_words(low, tables, seed + turn, SWEEPS, KEPT, _arrow(kind)), kind
+            ),
+            "lm-fed",
+        )
+        removed(spark, spelled_at)
+        customers, tables = words.agg(
+            F.coalesce(F.sum("customers"), none), F.coalesce(F.sum("mean"), F.lit(0.0))
+        ).first()
+        last = words.select(
+            "id", "c", (F.col("above") * KEPT).cast("bigint").alias("above"),
+            _log_p(low, tables, customers).alias("log_p"),
+        )
+        words = words.select(names)
+    last = stored(last, "lm-fitted")
+    removed(spark, at)
+    return last, seats, {"n": n, "v": v, "discount": high}
 
-def log10_probability(totals: dict) -> Column:
-    """Of the word of a row in the context of the row."""
 
-    def of_context(values: np.ndarray) -> Column:
-        return F.get(F.array(*[F.lit(float(x)) for x in values]), F.col("context"))
+def _log_p(discount: float, tables: float, customers: int) -> Column:
+    """Natural logarithm of a word's probability in the restaurant of words alone.
 
-    at = F.array_position("contexts", F.col("context"))
-    own = F.get("own", (at - 1).cast("int")) / of_context(totals["house"])
-    back = of_context(totals["back"])
-    natural = F.when(at > 0, F.log(own + back * F.exp("log_p"))).otherwise(
-        F.log(back) + F.col("log_p")
-    )
-    return natural / math.log(10)
+    Logarithms are only taken of a sum where a word has a share of its own; a very long word's
+    spelling has no probability that is a number.
+    """
+    house = STRENGTH + customers
+    new = F.col("spelling") + math.log((STRENGTH + discount * tables) / house)
+    return F.when(F.col("mid") > 0, F.log(F.col("mid") / house + F.exp(new))).otherwise(new)
 
 
 SCORES = (
@@ -544,37 +756,59 @@ SCORES = (
 )
 
 
-def _score(n: int, v: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                at, distinct, ends = _pair_stream(row)
-                places = row["place"][0].values.to_numpy()
-                c, lp = np.empty(len(distinct), np.int64), np.empty(len(distinct))
-                c[places] = row["c"][0].values.to_numpy()
-                lp[places] = row["lp"][0].values.to_numpy()
-                starts = np.concatenate([[0], ends[:-1]])
+def log_probabilities(
+    n: np.ndarray, sums: np.ndarray, c: np.ndarray, above: np.ndarray, log_p: np.ndarray, discount: float
+) -> np.ndarray:
+    """Natural logarithms of words after words.
 
-                def by_text(values: np.ndarray) -> np.ndarray:
-                    return np.add.reduceat(values[at], starts)
+    A pair's count ``n`` and tables in all kept sweeps, the count ``c`` and such tables ``above``
+    of the word before, ``log_p`` of the word in the parent.
+    """
+    house = PAIR_STRENGTH + c
+    back = (PAIR_STRENGTH + discount * above / KEPT) / house
+    own = (n - discount * sums / KEPT) / house
+    out = np.log(back) + log_p
+    some = own > 0
+    out[some] = np.log(own[some] + back[some] * np.exp(log_p[some]))
+    return out
 
-                base = np.log10((c + 1) / (n + 1 * (v + 1)))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"][0].as_py(), pa.int64()),
-                        pa.array(row["held"][0].as_py(), pa.bool_()),
-                        pa.array(np.diff(ends, prepend=0), pa.int64()),
-                        pa.array(by_text((c > 0).astype(np.int64)), pa.int64()),
-                        pa.array([n] * len(ends), pa.int64()),
-                        pa.array(by_text(base), pa.float64()),
-                        pa.array(by_text(lp), pa.float64()),
-                    ],
-                    names=[
-                        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens",
-                        "base_score", "score",
-                    ],
-                )
+
+def _score(n: int, v: int, discount: float, buckets: int):
+    def run(chunk: pa.Table) -> pa.Table:
+        row = chunk.combine_chunks().to_batches()[0]
+        at, keys, (u, w), order, edges, ends = _chunk_pairs(row, buckets)
+        known = row["known"][0].values
+        places = known.field("at").to_numpy() & 0xFFFFFFFF
+        cols = {}
+        for name in ("c", "above", "log_p"):
+            cols[name] = np.empty(len(places))
+            cols[name][places] = known.field(name).to_numpy()
+        counts, sums = np.zeros(len(keys)), np.zeros(len(keys))
+        answers = row["answers"][0].values
+        for bucket, a, b in zip(*(answers.field(x) for x in ("bucket", "n", "sums"))):
+            own = order[edges[bucket.as_py()] : edges[bucket.as_py() + 1]]
+            counts[own], sums[own] = unpacked(a.as_py()), unpacked(b.as_py())
+        logs = log_probabilities(
+            counts, sums, cols["c"][u], cols["above"][u], cols["log_p"][w], discount
+        ) / math.log(10)
+        tokens = unpacked(row["tokens"][0].as_py())
+        starts = np.concatenate([[0], ends[:-1]])
+        c = cols["c"].astype(np.int64)
+        base = np.log10((c + 1) / (n + 1 * (v + 1)))
+        return pa.Table.from_arrays(
+            [
+                pa.array(row["doc_ids"][0].as_py(), pa.int64()),
+                pa.array(row["held"][0].as_py(), pa.bool_()),
+                pa.array(np.diff(ends, prepend=0), pa.int64()),
+                pa.array(np.add.reduceat((c > 0).astype(np.int64)[tokens], starts), pa.int64()),
+                pa.array([n] * len(ends), pa.int64()),
+                pa.array(np.add.reduceat(base[tokens], starts), pa.float64()),
+                pa.array(np.add.reduceat(logs[at], starts), pa.float64()),
+            ],
+            names=[
+                "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
+            ],
+        )
 
     return run
 
@@ -583,25 +817,34 @@ def score_texts(
     docs: DataFrame, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
     """Per row: the base score and the model's log10 probability of the whole text."""
-    chunks = encode_chunks(docs, chunk_bytes)
-    chunks = with_listed(chunks, common_words(chunks))
-    words, totals = fit_words(chunks, rounds)
+    encoded, at = encode_chunks(docs, chunk_bytes)
+    listed = vocabulary(encoded)
+    chunks = numbered(encoded, listed)
+    removed(docs.sparkSession, at)
+    pairs, at, buckets = count_pairs(chunks)
+    words, seats, totals = fit(listed, pairs, rounds)
+    known = (
+        listed.select("id", "places").join(words, "id")
+        .select(F.explode("places").alias("at"), "c", "above", "log_p")
+        .repartition(F.expr("at >> 32"))
+        .groupBy(F.expr("at >> 32").alias("chunk"))
+        .agg(F.collect_list(F.struct("at", "c", "above", "log_p")).alias("known"))
+    )
     answers = (
-        chunks.mapInArrow(_pairs(False), PAIR)
-        .join(words, "word")
-        .select(
-            "chunk", F.col("value").cast("int").alias("place"), "c",
-            log10_probability(totals).alias("lp"),
-        )
+        pairs.select("bucket", "n", "chunks", "sizes", "places")
+        .join(seats.select("bucket", "sums"), "bucket")
+        .mapInArrow(_answer_pairs(KEPT), ANSWER)
+    )
+    answers = (
+        stored(answers, "lm-answers")
         .groupBy("chunk")
-        .agg(
-            F.collect_list("place").alias("place"),
-            F.collect_list("c").alias("c"),
-            F.collect_list("lp").alias("lp"),
-        )
+        .agg(F.collect_list(F.struct("bucket", "n", "sums")).alias("answers"))
     )
+    removed(docs.sparkSession, at)
     return (
-        chunks.drop("words", "counts")
+        chunks.join(known, "chunk")
         .join(answers, "chunk")
-        .mapInArrow(_score(totals["n"], totals["v"]), SCORES)
+        # one chunk at a time
+        .groupBy("chunk")
+        .applyInArrow(_score(totals["n"], totals["v"], totals["discount"], buckets), SCORES)
     )
