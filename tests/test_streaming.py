@@ -89,6 +89,34 @@ def test_monitor_stream_equals_batch_for_all_rules(spark, files, tmp_path):
     assert sum(s == "No Data" for _, s in found.values()) > 100
 
 
+def test_closed_steps_are_not_broadcast(spark, files, tmp_path):
+    """The last batch has no new file, so the estimated size of its rows says nothing."""
+    spark.createDataFrame(RULES, RULE_DDL).write.parquet(f"{tmp_path}/rules")
+    # of a known size, other than rows from Python
+    rules = spark.read.parquet(f"{tmp_path}/rules")
+    q = (
+        stream_monitors(stream(spark, files), rules, 60, "5 minutes")
+        .writeStream.format("parquet").option("path", f"{tmp_path}/rows")
+        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    )
+    assert q.awaitTermination(300)
+    assert q.lastProgress.numInputRows == 0
+    plan = q._jsq.explainInternal(False).splitlines()
+    assert any("StateStoreSave" in line for line in plan)
+
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = []
+            for other in plan[i + 1 :]:
+                if depth(other) <= depth(line):
+                    break
+                below.append(other)
+            assert not any("StateStore" in other for other in below)
+
+
 def test_a_silent_group_is_reported_until_it_speaks_again(spark, tmp_path):
     rule = [(1, "cpu", ["*"], ["host"], "avg", "avg", 120, ">", 1.0)]
     sent = [[(0, "a"), (0, "b")], [(600, "b")], [(1200, "a"), (1500, "b")]]

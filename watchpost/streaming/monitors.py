@@ -93,7 +93,10 @@ def _grouped(sets: DataFrame, rules: DataFrame) -> DataFrame:
         )
     )
     probes = sets.withColumn("_p", probe).select("w", "tags", "value", "_p.metric", "_p.probe")
-    matched = probes.join(spaces.unionByName(clock), ["metric", "probe"]).filter(in_scope())
+    # a batch without new files closes most steps, but its source is empty: Spark would take the
+    # closed rows for the small side, and send them out through the driver
+    spaces = F.broadcast(spaces.unionByName(clock))
+    matched = probes.join(spaces, ["metric", "probe"]).filter(in_scope())
     labels = (
         F.when(F.col("series") == CLOCK, F.array(F.lit(CLOCK)))
         .when(F.size("by") == 0, F.array(F.lit("*")))
@@ -118,6 +121,8 @@ def _keyed(series: DataFrame, rules: DataFrame) -> DataFrame:
     )
     to = held.withColumn("to", F.col("series")).unionByName(held.withColumn("to", F.lit(CLOCK)))
     kind = F.when(F.col("group") == CLOCK, "clock").when(F.col("group") == SEEN, "seen").otherwise("value")
+    # the rules, for the reason given in _grouped
+    to = F.broadcast(to)
     return series.join(to.drop("series"), series["series"] == to["to"]).select(
         "rules",
         F.when(kind == "value", F.col("group")).otherwise("*").alias("group"),
