@@ -1,15 +1,18 @@
 import hashlib
 import math
+import os
 import re
 import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from watchpost.llm import lm_score, quality, secrets, toxicity, url_filter
 from watchpost.llm.pitman_yor import byte_grams, seat
+from watchpost.session import scratch_root
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -42,6 +45,84 @@ def test_lm_without_documents(no_docs):
     assert lm_score.score_texts(no_docs).count() == 0
 
 
+def test_lm_keeps_only_what_its_result_reads(spark, docs):
+    """Tables and shuffles of the steps before took more disk than the result needs."""
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    root = scratch_root(spark).removeprefix("file:")
+    before, setting = set(os.listdir(root)), spark.conf.get(cleanup, None)
+    scores = lm_score.score_texts(docs, chunk_bytes=2000)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(root)) - before}
+    assert left == {"lm-numbered", "lm-answers"}
+    assert spark.conf.get(cleanup, None) == setting
+    assert scores.count() == docs.count()
+
+
+def test_shuffles_are_removed_while_a_model_is_fitted(spark, docs, monkeypatch):
+    seen, stored_at = [], lm_score._stored_at
+
+    def watched(df, label):
+        seen.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+        return stored_at(df, label)
+
+    monkeypatch.setattr(lm_score, "_stored_at", watched)
+    lm_score.score_texts(docs, rounds=1)
+    assert seen and set(seen) == {"true"}
+
+
+@pytest.mark.parametrize("bucket_words", [40, 1_000_000])
+def test_vocabulary_counts_and_numbers_words_of_all_chunks(docs, rows, monkeypatch, bucket_words):
+    monkeypatch.setattr(lm_score, "BUCKET_WORDS", bucket_words)
+    encoded, _ = lm_score.encode_chunks(docs, 2000)
+    listed, _, parts = lm_score.vocabulary(encoded)
+    assert (parts > 20) == (bucket_words == 40)
+    words = listed.mapInArrow(lm_score._word_rows(parts), "id bigint, word binary, c bigint").collect()
+    expected, every = Counter(), set()
+    for d, t in rows:
+        tokens = [w.encode() for w in WORD.findall((t or "").translate(LOWER))] + [b""]
+        every.update(tokens)
+        if folds(d, 7) != 2:
+            expected.update(tokens)
+    assert len(words) == len({w["id"] for w in words}) == len(every)
+    assert {bytes(w["word"]): w["c"] for w in words} == {w: expected[w] for w in every}
+    # the tokens of a chunk, by the numbers of its words, are the words of its texts
+    name = {w["id"]: bytes(w["word"]).decode() for w in words}
+    chunks, _ = lm_score.numbered(encoded, listed)
+    got = Counter()
+    for batch in chunks.toArrow().to_batches():
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            ids = lm_score._numbers(row, parts)
+            tokens = [name[i] for i in ids[lm_score.unpacked(row["tokens"][0].as_py())].tolist()]
+            low = 0
+            for high in np.frombuffer(row["ends"][0].as_py(), "<i8").tolist():
+                got[tuple(tokens[low:high])] += 1
+                low = high
+    assert got == Counter((*WORD.findall((t or "").translate(LOWER)), "") for _, t in rows)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    class Same(lm_score.Words):
+        def _hash(self):
+            return np.full(len(self.starts), 7 << 60, np.uint64)
+
+    monkeypatch.setattr(lm_score, "Words", Same)
+    row = lm_score._chunk(5, [1, 2], [False, True], ["a bb ccc bb a", "bb dddd"])
+    batch = pa.RecordBatch.from_pylist([{c: row[c] for c in ("chunk", "text", "sizes", "counts", "ranges")}])
+    counts = {}
+    for asked in lm_score._deal_words(16)([batch]):
+        for k in range(asked.num_rows):
+            listed = lm_score._list_words(pa.Table.from_batches([asked.slice(k, 1)]))
+            for words in lm_score._word_rows(16)(listed.to_batches()):
+                counts |= dict(zip(words["word"].to_pylist(), words["c"].to_pylist()))
+    assert counts == {b"": 1, b"a": 2, b"bb": 2, b"ccc": 1, b"dddd": 0}
+
+
+def test_packed_numbers_come_back():
+    for width, n in ((4, [0, 1, 2**32 - 1, 7]), (8, [2**62, 0, 5]), (4, [])):
+        got = lm_score.unpacked(lm_score.packed(np.array(n, np.int64), width), width)
+        assert got.tolist() == n
+
+
 def test_contexts_are_the_commonest_word_before():
     common = np.array([-1, 0, 1])
     tokens = np.array([0, 1, 2, 2, 0, 1, 0, 2, 0])

@@ -7,8 +7,10 @@ every context of up to four bytes. The tables of a restaurant are the customers
 Seating is sampled by Gibbs sweeps, and predictive probabilities are averaged over sweeps. The
 probabilities of all byte strings sum to one, so unseen words need no special case.
 
-1. Chunks: each task stores its documents as numbers into a list of their words.
-2. Vocabulary: one row a word, with its number, its training count and its places in the chunks.
+1. Chunks: each task stores its documents as numbers into a list of their words, in the order of
+   the words' hashes.
+2. Vocabulary: each chunk deals its words out by ranges of hashes into packed lists, as many as the
+   words ask for. A bucket numbers its words, adds the counts up and keeps what each chunk asked for.
 3. Pairs: each chunk deals its distinct (word before, word) out by a hash of both into packed
    lists, as many as the tokens ask for, so that no frequent word lands in one task. A bucket adds
    the counts up and keeps what each chunk asked for. A pair seen once has one table; the others
@@ -19,6 +21,9 @@ probabilities of all byte strings sum to one, so unseen words need no special ca
    ``ROUNDS`` times spelling, pairs and words take turns.
 5. Each chunk gets counts and probabilities of its own words and pairs.
 
+Lists are packed and compressed, and a stored table or a shuffle goes when nothing reads it any
+more, so that disk holds little more than the chunks, the pairs and the step that runs.
+
 Words are split at spaces, tabs and line ends after lower-casing A-Z; every text ends with one end
 token, the empty word. Training documents are those with crc32(doc_id as text) mod 7 other than 2.
 
@@ -32,13 +37,16 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import SPACED, Words, mix, removed, stored, stored_at
+from ..session import scratch_path
+from .common import SPACED, Words, mix, removed
 from .pitman_yor import (
     DISCOUNTS,
     ORDER,
@@ -58,6 +66,9 @@ ROUNDS, SWEEPS, KEPT = 2, 4, 2
 BUCKET_TOKENS = 2_000_000
 BLOCK_GRAMS = 500_000
 BLOCK_WORDS = 1 << 16
+#: words of chunks to a bucket of the vocabulary, and the ranges of hashes that buckets are made of
+BUCKET_WORDS = 1_000_000
+RANGES = 1 << 14
 #: chunks that a task makes at most; the last one then takes all that is left
 TASK_CHUNKS = 2048
 SEED = 11
@@ -68,11 +79,33 @@ PAIR_STRENGTH = 1.0
 UNIFORM = np.full((SYMBOLS, SYMBOLS), 1 / SYMBOLS)
 
 CHUNK = (
-    "chunk bigint, n_tokens bigint, words array<binary>, counts array<bigint>, "
-    "doc_ids array<bigint>, held array<boolean>, ends binary, tokens binary"
+    "chunk bigint, n_tokens bigint, n_words bigint, text binary, sizes binary, counts binary, "
+    "ranges binary, doc_ids array<bigint>, held array<boolean>, ends binary, tokens binary"
 )
 
 
+def _stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The rows, written once to the shared scratch folder and read back, and the path."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Jobs run meanwhile leave no shuffle files: what they made is stored and read from there."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def held_out():
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     return F.coalesce(fold == HELD_FOLD, F.lit(False))
@@ -80,26 +113,34 @@ def held_out():
 
 def _chunk(chunk: int, ids: list, held: list[bool], texts: list[str | None]) -> dict:
     w = Words(texts, SPACED)
-    h = w.hashes
-    raw = w.data.tobytes()
+    h, size = w.hashes, w.stops - w.starts
     _, first, at = np.unique(h, return_index=True, return_inverse=True)
-    words = [raw[a:b] for a, b in zip(w.starts[first].tolist(), w.stops[first].tolist())]
-    # two words of one hash would be counted as one: tell them apart by their lengths and bytes
-    size = w.stops - w.starts
-    odd = np.flatnonzero(size != size[first][at]) if len(h) else []
-    for i in list(odd):
-        words.append(raw[w.starts[i] : w.stops[i]])
-        at[i] = len(words) - 1
-    # the end token, the empty word, closes every text
-    words.append(b"")
-    at = np.insert(at, w.ends, len(words) - 1)
+    # two words of one hash would be counted as one: tell them apart by their lengths
+    odd = np.flatnonzero(size != size[first][at]) if len(h) else first
+    at[odd] = len(first) + np.arange(len(odd))
+    first = np.concatenate([first, odd])
+    # in order of the hashes, so that the words of a range of them are a slice
+    order = np.argsort(h[first], kind="stable")
+    first, place = first[order], np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    # the end token, the empty word, closes every text; it is the first word
+    at = np.insert(place[at] + 1, w.ends, 0)
     ends = w.ends + np.arange(1, len(ids) + 1)
     trained = np.repeat(~np.array(held, bool), np.diff(ends, prepend=0))
+    sizes = size[first]
+    skipped = w.starts[first] - (np.cumsum(sizes) - sizes)
+    text = w.data[np.repeat(skipped, sizes) + np.arange(sizes.sum())]
+    ranges = np.bincount((h[first] >> np.uint64(64 - 14)).astype(np.int64), minlength=RANGES)
+    ranges[0] += 1
+    n_words = len(first) + 1
     return {
         "chunk": chunk,
         "n_tokens": len(at),
-        "words": words,
-        "counts": np.bincount(at[trained], minlength=len(words)).tolist(),
+        "n_words": n_words,
+        "text": squeezed(text.tobytes()),
+        "sizes": packed(np.concatenate([[0], sizes])),
+        "counts": packed(np.bincount(at[trained], minlength=n_words)),
+        "ranges": packed(ranges),
         "doc_ids": ids,
         "held": held,
         "ends": ends.astype("<i8").tobytes(),
@@ -107,13 +148,22 @@ def _chunk(chunk: int, ids: list, held: list[bool], texts: list[str | None]) ->
     }
 
 
+def squeezed(raw: bytes) -> bytes:
+    """Compressed bytes, after their number."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def packed(numbers: np.ndarray, width: int = 4) -> bytes:
-    """Integers from 0 as ``width`` bytes each, all lowest bytes first: they compress well."""
-    return numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    """Integers from 0 as ``width`` bytes each, all lowest bytes first, compressed."""
+    return squeezed(numbers.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unpacked(data: bytes, width: int = 4) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    planes = np.frombuffer(unsqueezed(data), np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
 
 
@@ -143,7 +193,7 @@ def encode_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[Data
             yield pa.RecordBatch.from_pylist([_chunk(chunk, ids, held, texts)], schema)
 
     chosen = docs.select("doc_id", held_out().alias("held"), "text")
-    return stored_at(chosen.mapInArrow(encode, CHUNK), "lm-chunks")
+    return _stored_at(chosen.mapInArrow(encode, CHUNK), "lm-chunks")
 
 
 def contexts_of(tokens: np.ndarray, ends: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -168,7 +218,13 @@ def contexts_of(tokens: np.ndarray, ends: np.ndarray, common: np.ndarray) -> np.
     return out
 
 
-def _chunk_pairs(row: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, ...]:
+def _numbers(row: pa.RecordBatch, parts: int) -> np.ndarray:
+    """The numbers of a chunk's words: of each bucket of the vocabulary, in order, their ranks."""
+    own = sorted(row["ids"][0].as_py(), key=lambda x: x["bucket"])
+    return np.concatenate([unpacked(x["ranks"]) * parts + x["bucket"] for x in own])
+
+
+def _chunk_pairs(row: pa.RecordBatch, buckets: int, parts: int) -> tuple[np.ndarray, ...]:
     """A numbered chunk's pairs: (pair of each token, keys, words, order, edges, ends).
 
     A key is the number of the word before and that of the word, ``words`` are the places of both
@@ -176,7 +232,7 @@ def _chunk_pairs(row: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, ...]:
     """
     tokens = unpacked(row["tokens"][0].as_py())
     ends = np.frombuffer(row["ends"][0].as_py(), "<i8")
-    ids = row["ids"][0].values.to_numpy().astype(np.uint64)
+    ids = _numbers(row, parts).astype(np.uint64)
     # every text ends with the end token, so the token before a first word is one
     before = np.concatenate([tokens[-1:], tokens[:-1]])
     pairs, at = np.unique(before * len(ids) + tokens, return_inverse=True)
@@ -191,14 +247,14 @@ def _chunk_pairs(row: pa.RecordBatch, buckets: int) -> tuple[np.ndarray, ...]:
 ASKED = "bucket bigint, chunk bigint, keys binary, n binary"
 
 
-def _deal(buckets: int):
+def _deal(buckets: int, parts: int):
     """The distinct pairs of each chunk with their training counts, a row for each bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                at, keys, _, order, edges, ends = _chunk_pairs(row, buckets)
+                at, keys, _, order, edges, ends = _chunk_pairs(row, buckets, parts)
                 held = np.array(row["held"][0].as_py(), bool)
                 trained = np.repeat(~held, np.diff(ends, prepend=0))
                 n = np.bincount(at[trained], minlength=len(keys))[order]
@@ -223,7 +279,7 @@ BUCKET = (
 )
 _KINDS = {
     "binary": pa.binary(), "bigint": pa.int64(), "array<bigint>": pa.list_(pa.int64()),
-    "double": pa.float64(),
+    "double": pa.float64(), "array<binary>": pa.list_(pa.binary()),
 }
 
 
@@ -353,7 +409,7 @@ def _handed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(values, names=["id", "more", "customers"])
 
 
-ANSWER = "chunk bigint, bucket bigint, n binary, sums binary"
+ANSWER = "chunk bigint, bucket bigint, pairs boolean, n binary, tables binary, log_p binary"
 
 
 def _answer_pairs(kept: int):
@@ -373,15 +429,45 @@ def _answer_pairs(kept: int):
                     [
                         pa.array(chunks, pa.int64()),
                         pa.array([batch["bucket"][k].as_py()] * len(chunks), pa.int64()),
+                        pa.array([True] * len(chunks)),
                         pa.array([packed(n[p]) for p in places], pa.binary()),
                         pa.array([packed(sums[p]) for p in places], pa.binary()),
+                        pa.nulls(len(chunks), pa.binary()),
                     ],
-                    names=["chunk", "bucket", "n", "sums"],
+                    names=["chunk", "bucket", "pairs", "n", "tables", "log_p"],
                 )
 
     return run
 
 
+def _answer_words(parts: int):
+    """For each chunk with words of a bucket, their counts, tables and logarithms in its order."""
+
+    def run(words: pa.Table, listed: pa.Table) -> pa.Table:
+        rank = words["id"].to_numpy() // parts
+        cols = []
+        for name, kind in (("c", np.int64), ("above", np.int64), ("log_p", float)):
+            col = np.empty(len(rank), kind)
+            col[rank] = words[name].to_numpy()
+            cols.append(col)
+        c, above, log_p = cols
+        chunks = [x for row in listed["chunks"].to_pylist() for x in row]
+        places = [unpacked(x) for row in listed["ranks"].to_pylist() for x in row]
+        return pa.Table.from_arrays(
+            [
+                pa.array(chunks, pa.int64()),
+                pa.array(listed["bucket"].to_pylist() * len(chunks), pa.int64()),
+                pa.array([False] * len(chunks), pa.bool_()),
+                pa.array([packed(c[p], 8) for p in places], pa.binary()),
+                pa.array([packed(above[p], 8) for p in places], pa.binary()),
+                pa.array([packed(log_p[p].view("<u8"), 8) for p in places], pa.binary()),
+            ],
+            names=["chunk", "bucket", "pairs", "n", "tables", "log_p"],
+        )
+
+    return run
+
+
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 20_000):
@@ -470,6 +556,12 @@ def _seat_top(counts: np.ndarray, seed: int, sweeps: int, kept: int) -> np.ndarr
 
 def fit_spelling(tables: DataFrame, top: np.ndarray, seed: int) -> tuple[DataFrame, np.ndarray]:
     """(stored model rows under ``top``, the next top level) from words and their tables."""
+    return _fit_spelling(tables, top, seed)[:2]
+
+
+def _fit_spelling(
+    tables: DataFrame, top: np.ndarray, seed: int
+) -> tuple[DataFrame, np.ndarray, str]:
     grams = (
         tables.filter("tables > 0")
         .select("word", "tables")
@@ -479,12 +571,14 @@ def fit_spelling(tables: DataFrame, top: np.ndarray, seed: int) -> tuple[DataFra
     )
     # the last two bytes of the context: bits 8 to 24 of a gram
     dealt = grams.repartition(F.expr("(gram >> 8) & 65535"))
-    rows = stored(dealt.mapInArrow(_seat_contexts(top, SWEEPS, KEPT, seed), MODEL), "lm-spelling")
+    rows, at = _stored_at(
+        dealt.mapInArrow(_seat_contexts(top, SWEEPS, KEPT, seed), MODEL), "lm-spelling"
+    )
     handed = rows.filter("level = 1").groupBy("key").agg(F.sum("value").alias("n")).collect()
     counts = np.zeros(SYMBOLS * SYMBOLS)
     for r in handed:
         counts[r["key"]] = r["n"]
-    return rows.filter("level > 1"), _seat_top(counts, seed, SWEEPS, KEPT)
+    return rows.filter("level > 1"), _seat_top(counts, seed, SWEEPS, KEPT), at
 
 
 def _block_grams(words: list[bytes], tails: int) -> tuple[np.ndarray, ...]:
@@ -592,53 +686,142 @@ def _seat_words(discount: float, tables: float, seed: int, sweeps: int, kept: in
     return run
 
 
-def vocabulary(chunks: DataFrame) -> DataFrame:
-    """Stored words: number ``id``, training count ``c`` and ``places``.
+ASKED_WORDS = "bucket bigint, chunk bigint, text binary, sizes binary, counts binary"
+
+
+def _deal_words(parts: int):
+    """The words of each chunk with their training counts, a row for each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts = np.arange(parts + 1) * RANGES // parts
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text = unsqueezed(batch["text"][k].as_py())
+                sizes, counts = (unpacked(batch[c][k].as_py()) for c in ("sizes", "counts"))
+                edges = np.append(0, np.cumsum(unpacked(batch["ranges"][k].as_py())))[firsts]
+                stops = np.append(0, np.cumsum(sizes))[edges].tolist()
+                used = np.flatnonzero(np.diff(edges))
+                cuts = [slice(edges[b], edges[b + 1]) for b in used]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used, pa.int64()),
+                        pa.array([batch["chunk"][k].as_py()] * len(used), pa.int64()),
+                        pa.array([squeezed(text[stops[b] : stops[b + 1]]) for b in used], pa.binary()),
+                        pa.array([packed(sizes[c]) for c in cuts], pa.binary()),
+                        pa.array([packed(counts[c]) for c in cuts], pa.binary()),
+                    ],
+                    names=["bucket", "chunk", "text", "sizes", "counts"],
+                )
+
+    return run
+
+
+LISTED = (
+    "bucket bigint, n_words bigint, text binary, sizes binary, c binary, chunks array<bigint>, "
+    "ranks array<binary>"
+)
+
+
+def _binary(text: bytes, sizes: np.ndarray, kind: pa.DataType = pa.large_binary()) -> pa.Array:
+    """Words from their bytes in a row and their lengths."""
+    width = np.int64 if kind == pa.large_binary() else np.int32
+    offsets = np.append(0, np.cumsum(sizes)).astype(width)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+
+
+def _list_words(asked: pa.Table) -> pa.Table:
+    """A bucket's words and counts, frequent ones first, and the ranks of each chunk's, in its order."""
+    sizes = [unpacked(x) for x in asked["sizes"].to_pylist()]
+    words = _binary(
+        b"".join([unsqueezed(x) for x in asked["text"].to_pylist()]), np.concatenate(sizes)
+    ).dictionary_encode()
+    at, words = words.indices.to_numpy(), words.dictionary
+    counts = np.concatenate([unpacked(x) for x in asked["counts"].to_pylist()])
+    c = np.bincount(at, counts, len(words)).astype(np.int64)
+    order = pc.sort_indices(
+        pa.table({"c": c, "word": words}), [("c", "descending"), ("word", "ascending")]
+    )
+    words, order = words.take(order), order.to_numpy()
+    rank = np.empty(len(c), np.int64)
+    rank[order] = np.arange(len(c))
+    ranks = np.split(rank[at], np.cumsum([len(x) for x in sizes])[:-1])
+    _, offsets, text = words.buffers()
+    row = {
+        "bucket": asked["bucket"][0].as_py(),
+        "n_words": len(c),
+        "text": squeezed(text.to_pybytes() if text else b""),
+        "sizes": packed(np.diff(np.frombuffer(offsets, np.int64)[: len(c) + 1])),
+        "c": packed(c[order], 8),
+        "chunks": asked["chunk"].to_pylist(),
+        "ranks": [packed(x) for x in ranks],
+    }
+    return pa.Table.from_pylist([row], _arrow(LISTED))
+
+
+def _word_rows(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                c = unpacked(batch["c"][k].as_py(), 8)
+                sizes = unpacked(batch["sizes"][k].as_py())
+                text = unsqueezed(batch["text"][k].as_py())
+                stops = np.append(0, np.cumsum(sizes))
+                for i in range(0, len(c), 10_000):
+                    own = slice(i, i + 10_000)
+                    n = len(c[own])
+                    ids = (i + np.arange(n)) * parts + batch["bucket"][k].as_py()
+                    part = text[stops[i] : stops[i + n]]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(ids),
+                            _binary(part, sizes[own], pa.binary()),
+                            pa.array(c[own]),
+                        ],
+                        names=["id", "word", "c"],
+                    )
+
+    return run
+
+
+def vocabulary(chunks: DataFrame) -> tuple[DataFrame, str, int]:
+    """(stored buckets of words, their path, their number).
 
-    A place is the chunk, times 2**32, and the place from 0 among its words.
+    Chunks deal their words out by the hash, so a bucket has all counts of its words. The number
+    of a word is its rank in the bucket, times the number of buckets, and the bucket: frequent
+    words get small numbers, which take less room. A bucket keeps the ranks of each chunk's words.
     """
-    at = F.shiftleft("chunk", 32) + F.col("place")
-    rows = (
-        chunks.select(
-            "chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "word")
-        )
-        .select(F.col("word.words").alias("word"), F.col("word.counts").alias("c"), at.alias("at"))
-        # at most one row a chunk: nothing to add up before
-        .repartition("word")
-        .groupBy("word")
-        .agg(F.sum("c").alias("c"), F.collect_list("at").alias("places"))
-        # frequent words get small numbers, which take less room
-        .sortWithinPartitions(F.col("c").desc(), "word")
-        .withColumn("row", F.monotonically_increasing_id())
+    size = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    parts = min(RANGES, max(1, math.ceil(size / BUCKET_WORDS)))
+    dealt = chunks.select("chunk", "text", "sizes", "counts", "ranges").mapInArrow(
+        _deal_words(parts), ASKED_WORDS
     )
-    rows = stored(rows, "lm-words")
-    part, place = F.expr("row >> 33"), F.col("row").bitwiseAND((1 << 33) - 1)
-    parts, stride = rows.agg(
-        F.coalesce(F.max(part), F.lit(0)) + 1, F.coalesce(F.max(place), F.lit(0)) + 1
-    ).first()
+    listed, at = _stored_at(dealt.groupBy("bucket").applyInArrow(_list_words, LISTED), "lm-words")
+    stride = listed.agg(F.coalesce(F.max("n_words"), F.lit(0))).first()[0]
     if parts * stride > 1 << 32:
         raise ValueError(f"{parts * stride} word numbers are needed, 2**32 are possible")
-    return rows.select((place * parts + part).alias("id"), "word", "c", "places")
+    return listed, at, parts
 
 
-def numbered(chunks: DataFrame, words: DataFrame) -> DataFrame:
-    """Stored chunks with the numbers of their words in place of the words."""
+def numbered(chunks: DataFrame, listed: DataFrame) -> tuple[DataFrame, str]:
+    """Stored chunks with the ranks of their words in place of the words."""
     ids = (
-        words.select("id", F.explode("places").alias("at"))
-        .repartition(F.expr("at >> 32"))
-        .groupBy(F.expr("at >> 32").alias("chunk"))
-        .agg(F.sort_array(F.collect_list(F.struct("at", "id"))).alias("ids"))
-        .select("chunk", F.col("ids.id").alias("ids"))
+        listed.select("bucket", F.explode(F.arrays_zip("chunks", "ranks")).alias("own"))
+        .select(F.col("own.chunks").alias("chunk"), "bucket", F.col("own.ranks").alias("ranks"))
+        # at most one row a chunk and bucket: nothing to add up before
+        .repartition("chunk")
+        .groupBy("chunk")
+        .agg(F.collect_list(F.struct("bucket", "ranks")).alias("ids"))
     )
-    return stored(chunks.drop("words", "counts").join(ids, "chunk"), "lm-numbered")
+    rest = chunks.drop("n_words", "text", "sizes", "counts", "ranges")
+    return _stored_at(rest.join(ids, "chunk"), "lm-numbered")
 
 
-def count_pairs(chunks: DataFrame) -> tuple[DataFrame, str, int]:
+def count_pairs(chunks: DataFrame, parts: int) -> tuple[DataFrame, str, int]:
     """(stored buckets of pairs, their path, their number) of numbered chunks."""
     size = chunks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(size / BUCKET_TOKENS))
-    dealt = chunks.mapInArrow(_deal(buckets), ASKED)
-    return *stored_at(dealt.groupBy("bucket").applyInArrow(_count, BUCKET), "lm-pairs"), buckets
+    dealt = chunks.mapInArrow(_deal(buckets, parts), ASKED)
+    return *_stored_at(dealt.groupBy("bucket").applyInArrow(_count, BUCKET), "lm-pairs"), buckets
 
 
 def _discount(once: int, twice: int) -> float:
@@ -647,8 +830,8 @@ def _discount(once: int, twice: int) -> float:
 
 def fit(
     words: DataFrame, pairs: DataFrame, rounds: int = ROUNDS, seed: int = SEED
-) -> tuple[DataFrame, DataFrame, dict]:
-    """(words, seated pairs, totals).
+) -> tuple[DataFrame, str, DataFrame, str, dict]:
+    """(stored words, their path, stored seated pairs, their path, totals).
 
     Words have their training count ``c``, the natural logarithm ``log_p`` of their probability
     in the parent and, as a context, ``above``, their restaurant's tables in all kept sweeps. ``totals``
@@ -660,7 +843,7 @@ def fit(
     )
     none = F.lit(0).cast("bigint")
     spark = words.sparkSession
-    words, at = stored_at(
+    words, at = _stored_at(
         words.select("id", "word", "c").join(degrees, "id", "left").select(
             "id",
             F.expr(f"id div {BLOCK_WORDS}").alias("block"),
@@ -690,23 +873,29 @@ def fit(
     words = words.withColumn("mid", F.greatest(F.col("customers") - low * F.col("tables"), F.lit(0.0)))
     once, twice = pairs.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in ("ones", "twos"))).first()
     high = _discount(once, twice)
-    asked = stored(pairs.select("bucket", "many_keys").mapInArrow(_many_words, "bucket bigint, id bigint"), "lm-asked")
+    asked, asked_at = _stored_at(
+        pairs.select("bucket", "many_keys").mapInArrow(_many_words, "bucket bigint, id bigint"), "lm-asked"
+    )
     many = pairs.select("bucket", "many_keys", "many_n")
     seated = many.withColumn("tables", F.lit(None).cast("binary"))
-    names, top = words.columns, UNIFORM
+    names, top, seats_at = words.columns, UNIFORM, None
     for turn in range(rounds):
-        model, next_top = fit_spelling(words.select("word", "tables"), top, seed + turn)
-        spelled, spelled_at = stored_at(spell(words, model, top), "lm-spelled")
+        model, next_top, model_at = _fit_spelling(words.select("word", "tables"), top, seed + turn)
+        spelled, spelled_at = _stored_at(spell(words, model, top), "lm-spelled")
+        removed(spark, model_at)
         removed(spark, at)
         top = next_top
         p = F.exp(_log_p(low, tables, customers))
         found = asked.join(spelled.select("id", p.alias("p"), "above"), "id")
-        seats = stored(
+        last_at = seats_at
+        seats, seats_at = _stored_at(
             seated.groupBy("bucket").cogroup(found.groupBy("bucket")).applyInArrow(
                 _seat_pairs(high, seed + turn, SWEEPS, KEPT), SEATED
             ),
             "lm-seated",
         )
+        if last_at:
+            removed(spark, last_at)
         seated = many.join(seats.select("bucket", "tables"), "bucket")
         handed = (
             seats.select("ids", "more", "customers").mapInArrow(_handed, "id bigint, more bigint, customers bigint")
@@ -719,7 +908,7 @@ def fit(
             }
         ).select(*names, "spelling")
         kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fed.schema)
-        words, at = stored_at(
+        words, at = _stored_at(
             fed.mapInArrow(
                 _seat_words(low, tables, seed + turn, SWEEPS, KEPT, _arrow(kind)), kind
             ),
@@ -734,9 +923,10 @@ def fit(
             _log_p(low, tables, customers).alias("log_p"),
         )
         words = words.select(names)
-    last = stored(last, "lm-fitted")
+    removed(spark, asked_at)
+    last, last_at = _stored_at(last, "lm-fitted")
     removed(spark, at)
-    return last, seats, {"n": n, "v": v, "discount": high}
+    return last, last_at, seats, seats_at, {"n": n, "v": v, "discount": high}
 
 
 def _log_p(discount: float, tables: float, customers: int) -> Column:
@@ -773,27 +963,27 @@ def log_probabilities(
     return out
 
 
-def _score(n: int, v: int, discount: float, buckets: int):
-    def run(chunk: pa.Table) -> pa.Table:
+def _score(n: int, v: int, discount: float, buckets: int, parts: int):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         row = chunk.combine_chunks().to_batches()[0]
-        at, keys, (u, w), order, edges, ends = _chunk_pairs(row, buckets)
-        known = row["known"][0].values
-        places = known.field("at").to_numpy() & 0xFFFFFFFF
-        cols = {}
-        for name in ("c", "above", "log_p"):
-            cols[name] = np.empty(len(places))
-            cols[name][places] = known.field(name).to_numpy()
+        at, keys, (u, w), order, edges, ends = _chunk_pairs(row, buckets, parts)
         counts, sums = np.zeros(len(keys)), np.zeros(len(keys))
-        answers = row["answers"][0].values
-        for bucket, a, b in zip(*(answers.field(x) for x in ("bucket", "n", "sums"))):
-            own = order[edges[bucket.as_py()] : edges[bucket.as_py() + 1]]
-            counts[own], sums[own] = unpacked(a.as_py()), unpacked(b.as_py())
+        found = answers.sort_by("bucket")
+        own = found.filter(pc.field("pairs"))
+        for bucket, a, b in zip(*(own[x].to_pylist() for x in ("bucket", "n", "tables"))):
+            places = order[edges[bucket] : edges[bucket + 1]]
+            counts[places], sums[places] = unpacked(a), unpacked(b)
+        # a chunk has its words in the order of their buckets
+        own = found.filter(~pc.field("pairs"))
+        c, above, log_p = (
+            np.concatenate([unpacked(x, 8) for x in own[name].to_pylist()])
+            for name in ("n", "tables", "log_p")
+        )
         logs = log_probabilities(
-            counts, sums, cols["c"][u], cols["above"][u], cols["log_p"][w], discount
+            counts, sums, c[u], above[u], log_p.view(float)[w], discount
         ) / math.log(10)
         tokens = unpacked(row["tokens"][0].as_py())
         starts = np.concatenate([[0], ends[:-1]])
-        c = cols["c"].astype(np.int64)
         base = np.log10((c + 1) / (n + 1 * (v + 1)))
         return pa.Table.from_arrays(
             [
@@ -817,34 +1007,41 @@ def score_texts(
     docs: DataFrame, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
     """Per row: the base score and the model's log10 probability of the whole text."""
+    with _shuffles_removed(docs.sparkSession):
+        return _score_texts(docs, rounds, chunk_bytes)
+
+
+def _score_texts(docs: DataFrame, rounds: int, chunk_bytes: int) -> DataFrame:
+    spark = docs.sparkSession
     encoded, at = encode_chunks(docs, chunk_bytes)
-    listed = vocabulary(encoded)
-    chunks = numbered(encoded, listed)
-    removed(docs.sparkSession, at)
-    pairs, at, buckets = count_pairs(chunks)
-    words, seats, totals = fit(listed, pairs, rounds)
-    known = (
-        listed.select("id", "places").join(words, "id")
-        .select(F.explode("places").alias("at"), "c", "above", "log_p")
-        .repartition(F.expr("at >> 32"))
-        .groupBy(F.expr("at >> 32").alias("chunk"))
-        .agg(F.collect_list(F.struct("at", "c", "above", "log_p")).alias("known"))
+    listed, listed_at, parts = vocabulary(encoded)
+    chunks, _ = numbered(encoded, listed)
+    removed(spark, at)
+    pairs, pairs_at, buckets = count_pairs(chunks, parts)
+    rows = listed.select("bucket", "text", "sizes", "c").mapInArrow(
+        _word_rows(parts), "id bigint, word binary, c bigint"
     )
-    answers = (
+    words, words_at, seats, seats_at, totals = fit(rows, pairs, rounds)
+    answers, _ = _stored_at(
         pairs.select("bucket", "n", "chunks", "sizes", "places")
         .join(seats.select("bucket", "sums"), "bucket")
-        .mapInArrow(_answer_pairs(KEPT), ANSWER)
+        .mapInArrow(_answer_pairs(KEPT), ANSWER),
+        "lm-answers",
     )
-    answers = (
-        stored(answers, "lm-answers")
-        .groupBy("chunk")
-        .agg(F.collect_list(F.struct("bucket", "n", "sums")).alias("answers"))
+    removed(spark, pairs_at)
+    removed(spark, seats_at)
+    own, _ = _stored_at(
+        words.withColumn("bucket", F.pmod("id", F.lit(parts)))
+        .groupBy("bucket")
+        .cogroup(listed.select("bucket", "chunks", "ranks").groupBy("bucket"))
+        .applyInArrow(_answer_words(parts), ANSWER),
+        "lm-answers",
     )
-    removed(docs.sparkSession, at)
+    removed(spark, words_at)
+    removed(spark, listed_at)
+    # one chunk at a time
     return (
-        chunks.join(known, "chunk")
-        .join(answers, "chunk")
-        # one chunk at a time
-        .groupBy("chunk")
-        .applyInArrow(_score(totals["n"], totals["v"], totals["discount"], buckets), SCORES)
+        chunks.groupBy("chunk")
+        .cogroup(answers.union(own).groupBy("chunk"))
+        .applyInArrow(_score(totals["n"], totals["v"], totals["discount"], buckets, parts), SCORES)
     )
