@@ -68,7 +68,8 @@ BLOCK_GRAMS = 500_000
 BLOCK_WORDS = 1 << 16
 #: words of chunks to a bucket of the vocabulary, and the ranges of hashes that buckets are made of
 BUCKET_WORDS = 1_000_000
-RANGES = 1 << 14
+RANGE_BITS = 14
+RANGES = 1 << RANGE_BITS
 #: chunks that a task makes at most; the last one then takes all that is left
 TASK_CHUNKS = 2048
 SEED = 11
@@ -130,7 +131,7 @@ def _chunk(chunk: int, ids: list, held: list[bool], texts: list[str | None]) ->
     sizes = size[first]
     skipped = w.starts[first] - (np.cumsum(sizes) - sizes)
     text = w.data[np.repeat(skipped, sizes) + np.arange(sizes.sum())]
-    ranges = np.bincount((h[first] >> np.uint64(64 - 14)).astype(np.int64), minlength=RANGES)
+    ranges = np.bincount((h[first] >> np.uint64(64 - RANGE_BITS)).astype(np.int64), minlength=RANGES)
     ranges[0] += 1
     n_words = len(first) + 1
     return {
