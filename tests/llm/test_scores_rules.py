@@ -75,17 +75,20 @@ def test_vocabulary_counts_and_numbers_words_of_all_chunks(docs, rows, monkeypat
     encoded, _ = lm_score.encode_chunks(docs, 2000)
     listed, _, parts = lm_score.vocabulary(encoded)
     assert (parts > 20) == (bucket_words == 40)
-    words = listed.mapInArrow(lm_score._word_rows(parts), "id bigint, word binary, c bigint").collect()
+    words = []
+    for bucket in listed.toArrow().to_batches(max_chunksize=1):
+        got = lm_score._listing(pa.Table.from_batches([bucket]), parts)
+        words += zip(*(x.tolist() for x in got))
     expected, every = Counter(), set()
     for d, t in rows:
         tokens = [w.encode() for w in WORD.findall((t or "").translate(LOWER))] + [b""]
         every.update(tokens)
         if folds(d, 7) != 2:
             expected.update(tokens)
-    assert len(words) == len({w["id"] for w in words}) == len(every)
-    assert {bytes(w["word"]): w["c"] for w in words} == {w: expected[w] for w in every}
+    assert len(words) == len({i for i, _, _ in words}) == len(every)
+    assert {w: c for _, w, c in words} == {w: expected[w] for w in every}
     # the tokens of a chunk, by the numbers of its words, are the words of its texts
-    name = {w["id"]: bytes(w["word"]).decode() for w in words}
+    name = {i: w.decode() for i, w, _ in words}
     chunks, _ = lm_score.numbered(encoded, listed)
     got = Counter()
     for batch in chunks.toArrow().to_batches():
@@ -112,8 +115,8 @@ def test_words_of_one_hash_are_told_apart(monkeypatch):
     for asked in lm_score._deal_words(16)([batch]):
         for k in range(asked.num_rows):
             listed = lm_score._list_words(pa.Table.from_batches([asked.slice(k, 1)]))
-            for words in lm_score._word_rows(16)(listed.to_batches()):
-                counts |= dict(zip(words["word"].to_pylist(), words["c"].to_pylist()))
+            _, words, c = lm_score._listing(listed, 16)
+            counts |= dict(zip(words.to_pylist(), c.tolist()))
     assert counts == {b"": 1, b"a": 2, b"bb": 2, b"ccc": 1, b"dddd": 0}
 
 

@@ -115,7 +115,10 @@ def held_out():
 def _chunk(chunk: int, ids: list, held: list[bool], texts: list[str | None]) -> dict:
     w = Words(texts, SPACED)
     h, size = w.hashes, w.stops - w.starts
-    _, first, at = np.unique(h, return_index=True, return_inverse=True)
+    coded = pa.array(h).dictionary_encode()
+    at, first = coded.indices.to_numpy().astype(np.int64), np.empty(len(coded.dictionary), np.int64)
+    # the last one written is the first there is
+    first[at[::-1]] = np.arange(len(at))[::-1]
     # two words of one hash would be counted as one: tell them apart by their lengths
     odd = np.flatnonzero(size != size[first][at]) if len(h) else first
     at[odd] = len(first) + np.arange(len(odd))
@@ -240,7 +243,10 @@ def _chunk_pairs(row: pa.RecordBatch, buckets: int, parts: int) -> tuple[np.ndar
     words = np.divmod(pairs, len(ids))
     keys = (ids[words[0]] << np.uint64(32)) | ids[words[1]]
     bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((keys, bucket))
+    order = np.argsort(keys)
+    # numbers of 16 bits are sorted in one go
+    small = np.uint16 if buckets <= 1 << 16 else np.int64
+    order = order[np.argsort(bucket[order].astype(small), kind="stable")]
     edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
     return at, keys, words, order, edges, ends
 
@@ -327,22 +333,31 @@ def _words_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, at[: len(keys)], at[len(keys) :]
 
 
-DEGREE = "id bigint, followers bigint, contexts bigint"
+DEGREES = "bucket bigint, ranks binary, followers binary, contexts binary"
 
 
-def _degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each word of a bucket the distinct words after it, and before it."""
-    for batch in batches:
-        for keys in batch["keys"]:
-            ids, u, w = _words_of(unpacked(keys.as_py(), 8))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array(np.bincount(u, minlength=len(ids)), pa.int64()),
-                    pa.array(np.bincount(w, minlength=len(ids)), pa.int64()),
-                ],
-                names=["id", "followers", "contexts"],
-            )
+def _degrees(parts: int):
+    """For each word of a bucket the distinct words after it, and before it, by its own bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for keys in batch["keys"]:
+                ids, u, w = _words_of(unpacked(keys.as_py(), 8))
+                part = ids % parts
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                used = np.flatnonzero(np.diff(edges))
+                cuts = [order[edges[b] : edges[b + 1]] for b in used]
+                cols = ids // parts, np.bincount(u, minlength=len(ids)), np.bincount(w, minlength=len(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(used, pa.int64()),
+                        *(pa.array([packed(col[c]) for c in cuts], pa.binary()) for col in cols),
+                    ],
+                    names=["bucket", "ranks", "followers", "contexts"],
+                )
+
+    return run
 
 
 def _many_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -759,27 +774,27 @@ def _list_words(asked: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], _arrow(LISTED))
 
 
+def _listing(listed: pa.Table, parts: int) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Numbers, words and counts of a bucket of words."""
+    sizes, c = unpacked(listed["sizes"][0].as_py()), unpacked(listed["c"][0].as_py(), 8)
+    words = _binary(unsqueezed(listed["text"][0].as_py()), sizes)
+    return np.arange(len(c)) * parts + listed["bucket"][0].as_py(), words.cast(pa.binary()), c
+
+
+WORD_ROWS = "id bigint, word binary, c bigint, followers bigint, contexts bigint"
+
+
 def _word_rows(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                c = unpacked(batch["c"][k].as_py(), 8)
-                sizes = unpacked(batch["sizes"][k].as_py())
-                text = unsqueezed(batch["text"][k].as_py())
-                stops = np.append(0, np.cumsum(sizes))
-                for i in range(0, len(c), 10_000):
-                    own = slice(i, i + 10_000)
-                    n = len(c[own])
-                    ids = (i + np.arange(n)) * parts + batch["bucket"][k].as_py()
-                    part = text[stops[i] : stops[i + n]]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(ids),
-                            _binary(part, sizes[own], pa.binary()),
-                            pa.array(c[own]),
-                        ],
-                        names=["id", "word", "c"],
-                    )
+    """The words of a bucket with their counts and the distinct words after and before them."""
+
+    def run(listed: pa.Table, degrees: pa.Table) -> pa.Table:
+        ids, words, c = _listing(listed, parts)
+        sums = {name: np.zeros(len(c), np.int64) for name in ("followers", "contexts")}
+        for row in degrees.to_pylist():
+            ranks = unpacked(row["ranks"])
+            for name, total in sums.items():
+                total[ranks] += unpacked(row[name])
+        return pa.table({"id": ids, "word": words, "c": c} | sums)
 
     return run
 
@@ -830,7 +845,7 @@ def _discount(once: int, twice: int) -> float:
 
 
 def fit(
-    words: DataFrame, pairs: DataFrame, rounds: int = ROUNDS, seed: int = SEED
+    listed: DataFrame, parts: int, pairs: DataFrame, rounds: int = ROUNDS, seed: int = SEED
 ) -> tuple[DataFrame, str, DataFrame, str, dict]:
     """(stored words, their path, stored seated pairs, their path, totals).
 
@@ -838,22 +853,24 @@ def fit(
     in the parent and, as a context, ``above``, their restaurant's tables in all kept sweeps. ``totals``
     has the training tokens ``n``, distinct ones ``v`` and the ``discount`` of the pairs.
     """
-    degrees = (
-        pairs.select("keys").mapInArrow(_degrees, DEGREE)
-        .groupBy("id").agg(F.sum("followers").alias("followers"), F.sum("contexts").alias("contexts"))
+    degrees = pairs.select("keys").mapInArrow(_degrees(parts), DEGREES)
+    words = (
+        listed.select("bucket", "text", "sizes", "c").groupBy("bucket")
+        .cogroup(degrees.groupBy("bucket"))
+        .applyInArrow(_word_rows(parts), WORD_ROWS)
     )
     none = F.lit(0).cast("bigint")
     spark = words.sparkSession
     words, at = _stored_at(
-        words.select("id", "word", "c").join(degrees, "id", "left").select(
+        words.select(
             "id",
             F.expr(f"id div {BLOCK_WORDS}").alias("block"),
             "word",
             "c",
-            F.coalesce("followers", none).alias("followers"),
-            F.coalesce("contexts", none).alias("contexts"),
-            F.coalesce("followers", none).cast("double").alias("above"),
-            F.coalesce("contexts", none).alias("customers"),
+            "followers",
+            "contexts",
+            F.col("followers").cast("double").alias("above"),
+            F.col("contexts").alias("customers"),
             (F.col("c") > 0).cast("bigint").alias("tables"),
             F.lit(0.0).alias("mid"),
             F.lit(0.0).alias("mean"),
@@ -1019,10 +1036,7 @@ def _score_texts(docs: DataFrame, rounds: int, chunk_bytes: int) -> DataFrame:
     chunks, _ = numbered(encoded, listed)
     removed(spark, at)
     pairs, pairs_at, buckets = count_pairs(chunks, parts)
-    rows = listed.select("bucket", "text", "sizes", "c").mapInArrow(
-        _word_rows(parts), "id bigint, word binary, c bigint"
-    )
-    words, words_at, seats, seats_at, totals = fit(rows, pairs, rounds)
+    words, words_at, seats, seats_at, totals = fit(listed, parts, pairs, rounds)
     answers, _ = _stored_at(
         pairs.select("bucket", "n", "chunks", "sizes", "places")
         .join(seats.select("bucket", "sums"), "bucket")
