@@ -3,6 +3,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 from watchpost.llm import decontam, line_dedup, near_dedup
@@ -87,6 +88,22 @@ def test_no_documents_or_no_items(docs, no_docs, items, spark):
     assert decontam.find_passages(docs, none).filter("size(hits) > 0").count() == 0
 
 
+def test_a_task_holds_one_segment_at_a_time(spark, docs, items, tmp_path):
+    """Row groups are what a writer gathers and what a reader opens at once."""
+    path = tmp_path / "index"
+    decontam.build_index(docs.coalesce(1), str(path), segment_bytes=400)
+    groups = [pq.ParquetFile(f).metadata for f in path.glob("*.parquet")]
+    sizes = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+    assert len(sizes) > 5 and set(sizes) == {1}
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    found = decontam.find_passages(docs, items[0])
+    assert spark.conf.get(key) == before
+    # batches are small while the index is written and searched; what is returned needs neither
+    assert "MapInArrow" not in found._jdf.queryExecution().toString()
+
+
 def brute_groups(rows):
     sets = []
     for doc, text in rows:

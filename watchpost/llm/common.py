@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -40,6 +42,24 @@ def removed(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = 8 << 20):
+    """Jobs run meanwhile send Python Arrow batches of about ``size`` bytes.
+
+    The JVM holds a batch outside its heap, in buffers that double as they grow.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     scratch_root(df.sparkSession)
     return df.checkpoint()

@@ -3,7 +3,8 @@
 The documents are indexed where they lie, in segments of about ``SEGMENT_BYTES`` of text and at
 least one whole document. A segment is one stored row: its term dictionary (ordered by hash, with
 the terms' bytes), and for each term the ascending word positions at which it stands. Queries visit
-every segment on their own; nothing is shuffled.
+every segment on their own; nothing is shuffled. A segment is a row group by itself, so tasks that
+write or search many of them hold one after another.
 
 An exact phrase is found by intersecting its terms' lists, each moved back by the term's offset in
 the phrase, from the rarest term in the segment upwards, until the list is empty or all terms
@@ -26,13 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import scratch_path
-from .common import ALNUM, Words, mix
+from .common import ALNUM, Words, mix, removed, small_batches, stored
 
 SEGMENT_BYTES = 6 << 20
+#: documents of an Arrow batch that are Python objects at a time
+AT_ONCE = 256
 BLOCK_CHARS = 16 << 20
 PHRASE = 10
 
@@ -122,12 +126,13 @@ def build_index(docs: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
             one = {"part": part, "segment": segment, "doc_ids": ids, "keys": keys}
             return pa.RecordBatch.from_pylist([one | index_segment(texts)], schema)
 
-        for batch in batches:
-            for doc_id, key, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "key", "text"))):
+        for part_of in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+            columns = [part_of[c].to_pylist() for c in ("doc_id", "key", "text")]
+            for doc_id, key, text, n in zip(*columns, pc.binary_length(part_of["text"]).to_pylist()):
                 ids.append(doc_id)
                 keys.append(key)
                 texts.append(text)
-                size += len(text or "")
+                size += n or 0
                 if size >= segment_bytes:
                     yield row()
                     ids, keys, texts, size, segment = [], [], [], 0, segment + 1
@@ -135,7 +140,11 @@ def build_index(docs: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES)
             yield row()
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    keyed.mapInArrow(index, SEGMENT).write.option("compression", "zstd").parquet(path)
+    # a row group for each segment: the writer would hold 100 of them before it first looks at
+    # their size, and readers hold a whole group
+    keyed.mapInArrow(index, SEGMENT).write.options(
+        **{"compression": "zstd", "parquet.block.row.count.limit": "1"}
+    ).parquet(path)
 
 
 class Segment:
@@ -235,7 +244,7 @@ def _search(phrases, distance: int | None):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: Phrases = phrases.value
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 segment = Segment(row)
                 numbers = segment.numbers(asked.terms, asked.hashes)
                 n_words = np.diff(segment.doc_ends, prepend=0)
@@ -295,7 +304,8 @@ def find_passages(
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "positional-index")
-    build_index(docs, path)
+    with small_batches(spark):
+        build_index(docs, path)
     items = benchmark.select("item_id", "text").distinct()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(2 * chars / block_chars)) if chars > block_chars else 1
@@ -307,7 +317,11 @@ def find_passages(
         part = spark.read.schema(SEGMENT).parquet(path).mapInArrow(
             _search(phrases, distance), MATCHED
         )
+        with small_batches(spark):
+            part = stored(part, "passages")
+        phrases.unpersist()
         found = part if found is None else found.unionByName(part)
+    removed(spark, path)
     if blocks == 1:
         return found
     return found.groupBy("part", "segment", "nth", "doc_id", "key", "n_words").agg(
