@@ -43,14 +43,9 @@ def removed(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = 8 << 20):
-    """Jobs run meanwhile send Python Arrow batches of about ``size`` bytes.
-
-    The JVM holds a batch outside its heap, in buffers that double as they grow.
-    """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+def _setting(spark: SparkSession, key: str, value: str):
     before = spark.conf.get(key, None)
-    spark.conf.set(key, str(size))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
@@ -60,6 +55,19 @@ def small_batches(spark: SparkSession, size: int = 8 << 20):
             spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession, size: int = 8 << 20):
+    """Jobs run meanwhile send Python Arrow batches of about ``size`` bytes.
+
+    The JVM holds a batch outside its heap, in buffers that double as they grow.
+    """
+    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def shuffles_removed(spark: SparkSession):
+    """Jobs run meanwhile leave no shuffle files: what they made is stored and read from there."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     scratch_root(df.sparkSession)
     return df.checkpoint()

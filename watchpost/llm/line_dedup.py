@@ -31,9 +31,11 @@ whatever their names; ``n_chars``, where there is one, is counted anew for chang
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import removed, stored, stored_at
+from .common import removed, shuffles_removed, stored, stored_at
 from .sequences import bound, walk
 
 DEPTH = 4
@@ -42,30 +44,37 @@ MIN_WORDS, LONG_WORDS = 3, 20
 LONG_DOCS, SHORT_DOCS = 2, 10
 FIELD = "<*>"
 CHARS = 12
+#: lines of a group that may meet in one task
+TOGETHER = 1000
 
 
 def _masked(line: Column) -> Column:
     with_fields = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)
-    return F.trim(F.when(line.rlike("[0-9]"), with_fields).otherwise(line))
+    # looked for in the bytes, as most lines have none
+    digit = reduce(lambda a, b: a | b, [line.contains(d) for d in "0123456789"])
+    return F.trim(F.when(digit, with_fields).otherwise(line))
 
 
 def _place(line: Column) -> Column:
     """struct(template, leaf, n, masked) of a line; its tokens are what stands between spaces."""
 
-    def named(masked: Column) -> Column:
+    def counted(masked: Column) -> Column:
         n = (
             F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
         )
-        return F.struct(
-            F.xxhash64(masked).alias("template"),
-            F.xxhash64(n, F.substring_index(masked, " ", DEPTH)).alias("leaf"),
-            n.alias("n"),
-            F.greatest(n, (F.length(masked) / CHARS).cast("int")).alias("w"),
-            masked.alias("masked"),
+        return bound(
+            n,
+            lambda n: F.struct(
+                F.xxhash64(masked).alias("template"),
+                F.xxhash64(n, F.substring_index(masked, " ", DEPTH)).alias("leaf"),
+                n.alias("n"),
+                F.greatest(n, (F.length(masked) / CHARS).cast("int")).alias("w"),
+                masked.alias("masked"),
+            ),
         )
 
-    # a lambda over one element, so that the masked line is made once
-    return F.get(F.transform(F.array(_masked(line)), named), 0)
+    # the masked line is made once, and its tokens are counted once
+    return bound(_masked(line), counted)
 
 
 def _lines() -> Column:
@@ -126,9 +135,11 @@ def _runs(similar: float) -> Column:
     return F.transform(F.sequence(F.lit(0), k - 1), key)
 
 
-def general_templates(lines: DataFrame, similar: float) -> DataFrame:
-    """(template, group) of the lines that a general template has in common with others."""
-    spread = lines.select("template", F.explode(_runs(similar)).alias("group"))
+def general_templates(lines: DataFrame, spread: DataFrame, similar: float) -> DataFrame:
+    """(template, group) of the lines that a general template has in common with others.
+
+    ``spread`` has the (template, group) of each run of the lines.
+    """
     # runs that the same lines agree in are one group
     same = spread.groupBy("group").agg(
         F.count(F.lit(1)).alias("k"),
@@ -136,7 +147,15 @@ def general_templates(lines: DataFrame, similar: float) -> DataFrame:
         F.bit_xor(F.xxhash64("template")).alias("name2"),
     )
     groups = same.filter("k > 1").groupBy("k", "name", "name2").agg(F.min("group").alias("group"))
-    grouped = spread.join(groups.select("group"), "group").join(lines, "template")
+    grouped = spread.join(groups.select("group", "k"), "group").join(lines, "template")
+    # the lines of all but very large groups meet in one task, where their tokens are counted
+    # without being sent on
+    few = _members(grouped.filter(F.col("k") <= TOGETHER).repartition("group"), similar)
+    return few.unionByName(_members(grouped.filter(F.col("k") > TOGETHER), similar))
+
+
+def _members(grouped: DataFrame, similar: float) -> DataFrame:
+    """(template, group) of the lines that agree with their group's commonest tokens."""
     votes = (
         grouped.select("group", "docs", F.posexplode("tokens").alias("at", "token"))
         .groupBy("group", "at", "token")
@@ -191,7 +210,7 @@ def recurring_templates(
                 ),
             ),
         )
-        return F.concat(F.array_distinct(lines), F.array_distinct(units))
+        return F.concat(lines, units)
 
     placed = docs.select(
         F.struct("doc_id").alias("doc"),
@@ -232,19 +251,29 @@ def recurring_templates(
         F.transform(F.split("masked", " "), lambda t: F.xxhash64(t)).alias("tokens"),
     )
     lines, path = stored_at(lines, "leaf-lines")
+    spread, spread_path = stored_at(
+        lines.select("template", F.explode(_runs(similar)).alias("group")), "line-runs"
+    )
     members = None
     while True:
-        found = stored(general_templates(lines, similar), "line-groups")
+        found = stored(general_templates(lines, spread, similar), "line-groups")
         members = found if members is None else members.unionByName(found)
         if not found.limit(1).count():
             break
-        # the templates found hold all that this round's lines are still needed for
-        left, next_path = stored_at(
-            lines.join(found.select("template"), "template", "left_anti"), "leaf-lines"
+        # the templates found hold all that this round's lines are still needed for. What a group
+        # comes to depends on its lines alone: one that has lost none came to nothing and would
+        # again, so only the others go on
+        lost = found.select("template").distinct()
+        shrunk = spread.join(lost, "template", "left_semi").select("group").distinct()
+        spread, next_spread = stored_at(
+            spread.join(lost, "template", "left_anti").join(shrunk, "group", "left_semi"), "line-runs"
         )
-        removed(docs.sparkSession, path)
-        lines, path = left, next_path
-    removed(docs.sparkSession, path)
+        lines, next_path = stored_at(lines.join(spread, "template", "left_semi"), "leaf-lines")
+        for old in (path, spread_path):
+            removed(docs.sparkSession, old)
+        path, spread_path = next_path, next_spread
+    for old in (path, spread_path):
+        removed(docs.sparkSession, old)
 
     # a general template stands for all its members; any other line for itself
     joined = distinct.join(members, "template", "left")
@@ -273,7 +302,8 @@ def recurring_templates(
 
 def drop_recurring_lines(docs: DataFrame, **params) -> DataFrame:
     """The documents without the recurring lines that another document keeps."""
-    seen, templates = recurring_templates(docs.select("doc_id", "text"), **params)
+    with shuffles_removed(docs.sparkSession):
+        seen, templates = recurring_templates(docs.select("doc_id", "text"), **params)
     hashes = lambda unit: F.collect_set(F.when(F.col("unit") == unit, F.col("template")))
     drops = (
         seen.join(templates, ["template", "unit"])

@@ -37,7 +37,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
-from .common import SPACED, Words, mix, removed
+from .common import SPACED, Words, mix, removed, shuffles_removed
 from .pitman_yor import (
     DISCOUNTS,
     ORDER,
@@ -92,21 +91,6 @@ def _stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
-@contextmanager
-def _shuffles_removed(spark: SparkSession):
-    """Jobs run meanwhile leave no shuffle files: what they made is stored and read from there."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def held_out():
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
     return F.coalesce(fold == HELD_FOLD, F.lit(False))
@@ -1025,7 +1009,7 @@ def score_texts(
     docs: DataFrame, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
     """Per row: the base score and the model's log10 probability of the whole text."""
-    with _shuffles_removed(docs.sparkSession):
+    with shuffles_removed(docs.sparkSession):
         return _score_texts(docs, rounds, chunk_bytes)
 
 
