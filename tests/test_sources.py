@@ -343,3 +343,27 @@ def test_a_record_does_not_carry_its_document(spark, tmp_path):
     lines = plan._jdf.queryExecution().analyzed().toString().split("\n")
     parse = [x for x in lines if "try_parse_json" in x]
     assert len(parse) == 1 and "left(value" in parse[0] and plan.count() == 50
+
+
+@pytest.mark.parametrize("pass_bytes", [1 << 30, 60_000])
+def test_landed_documents_take_little_disk(spark, tmp_path, monkeypatch, pass_bytes):
+    """They are compressed, in files of a few documents each, and only a pass is in shuffle files."""
+    from watchpost import catalogue
+
+    monkeypatch.setattr(catalogue, "scratch_path", lambda spark, label: str(tmp_path / label))
+    monkeypatch.setattr(catalogue, "FILE_DOCUMENTS", 20)
+    monkeypatch.setattr(catalogue, "PASS_BYTES", pass_bytes)
+    records = spark.range(0, 20_000, 1, 2).select(
+        "id", F.to_json(F.struct(F.col("id").cast("string").alias("id"), F.struct(
+            (F.col("id") * 1000).alias("timestamp"), F.lit("a message of some length").alias("message"),
+        ).alias("attributes"))).alias("record"),
+    )
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    path = catalogue._land(records, "id div 100", "landed-some", "data")
+    assert spark.conf.get(key) == before
+    files = list((tmp_path / "landed-some").glob("part-*"))
+    plain = records.agg(F.sum(F.length("record"))).first()[0]
+    assert len(files) >= 10 and sum(f.stat().st_size for f in files) < plain / 4
+    read = read_entity(spark, "logs", path, "json")
+    assert sorted(int(r["id"]) for r in read.select("id").collect()) == list(range(20_000))

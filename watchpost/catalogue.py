@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions.times import from_ts, to_ts
 from .operators import aggregates, downtimes, filters, metrics, monitors, mutes, paging, projections
 from .plans.alerting import alert_report
-from .session import scratch_path
+from .session import scratch_path, shuffles_removed
 from .sources import samples
 from .sources.entities import land_entity, ndjson_lines, read_entity
 from .sources.tables import write_entity
@@ -34,6 +34,8 @@ SPAN_TIES = (
     "operation", "error",
 )
 STREAM_WAIT_S = 900
+FILE_DOCUMENTS = 2000
+PASS_BYTES = 1 << 30
 
 
 # logs
@@ -60,12 +62,26 @@ def _land(records: DataFrame, group: str, label: str, envelope: str | None) -> s
     """Write JSON texts (column ``record``) as documents of one ``group`` each; returns the path."""
     path = scratch_path(records.sparkSession, label)
     held = F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]"))
-    docs = records.groupBy(F.expr(group)).agg(held.alias("held"))
     text = "held" if envelope is None else f"concat('{{\"{envelope}\":', held, '}}')"
-    docs.select(F.expr(text).alias("value")).write.text(path)
+    # compressed files cannot be read in parts, so none gets too many documents
+    packed = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": FILE_DOCUMENTS}
+    # large tables in several passes over their groups, so that only a part is in shuffle files at once
+    passes = 1 + _bytes_read(records) // PASS_BYTES
+    for k in range(passes):
+        part = records if passes == 1 else records.filter(f"pmod(xxhash64({group}), {passes}) = {k}")
+        docs = part.groupBy(F.expr(group)).agg(held.alias("held"))
+        with shuffles_removed(records.sparkSession):
+            docs.select(F.expr(text).alias("value")).write.mode("append").options(**packed).text(path)
     return path
 
 
+def _bytes_read(df: DataFrame) -> int:
+    """The size of the files that are read for the rows."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [leaves.apply(k).stats().sizeInBytes() for k in range(leaves.size())]
+    return sum(int(str(n)) for n in sizes)
+
+
 def _log_records(spark: SparkSession, d: str) -> DataFrame:
     record = F.struct(
         F.col("id").cast("string").alias("id"),

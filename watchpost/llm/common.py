@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..session import scratch_path, scratch_root
+from ..session import scratch_path, scratch_root, setting
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: lower-cases A-Z in UTF-8 bytes and leaves every other byte alone
@@ -42,30 +40,12 @@ def removed(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(found, True)
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
-
-
 def small_batches(spark: SparkSession, size: int = 8 << 20):
     """Jobs run meanwhile send Python Arrow batches of about ``size`` bytes.
 
     The JVM holds a batch outside its heap, in buffers that double as they grow.
     """
-    return _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-
-
-def shuffles_removed(spark: SparkSession):
-    """Jobs run meanwhile leave no shuffle files: what they made is stored and read from there."""
-    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

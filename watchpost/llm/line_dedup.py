@@ -35,7 +35,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import removed, shuffles_removed, stored, stored_at
+from ..session import shuffles_removed
+from .common import removed, stored, stored_at
 from .sequences import bound, walk
 
 DEPTH = 4

@@ -44,8 +44,8 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..session import scratch_path
-from .common import SPACED, Words, mix, removed, shuffles_removed
+from ..session import scratch_path, shuffles_removed
+from .common import SPACED, Words, mix, removed
 from .pitman_yor import (
     DISCOUNTS,
     ORDER,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,25 @@ def build_session(app: str = "watchpost", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A setting of the session for the jobs run meanwhile; its own is put back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Jobs run meanwhile leave no shuffle files: what they made is stored and read from there."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables, shared by all executors.
 
